@@ -135,3 +135,25 @@ def captions(metadata: DataFrame) -> DataFrame:
 
 def write_captions(metadata: DataFrame, path: str) -> None:
     captions(metadata).write.text(path)
+
+
+def standardize(df: DataFrame) -> DataFrame:
+    """Any metadata table as ``URL, TEXT, NSFW``, aliases resolved by its own columns."""
+    from captionloom.operators.filters import safety_flag
+
+    return df.select(
+        first_truthy(df, "URL", "url").alias("URL"),
+        first_truthy(df, "TEXT", "text", "caption").alias("TEXT"),
+        safety_flag(df).alias("NSFW"),
+    )
+
+
+def read_standard(spark: SparkSession, *paths: str) -> DataFrame:
+    """Several files as one ``URL, TEXT, NSFW`` table.
+
+    Aliases are resolved per file: after a plain union a row of a file without ``NSFW`` could
+    not be told from one whose ``NSFW`` is null.
+    """
+    if not paths:
+        raise ValueError("no metadata path given")
+    return reduce(DataFrame.unionByName, [standardize(_read_one(spark, p, None)) for p in paths])
