@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from captionloom.functions.hashing import u32, uniform
 from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, null_tokens
+from captionloom.operators.ordering import global_rank
 
 
 def is_dropped(key: Column, p: float, seed, epoch=0) -> Column:
@@ -36,11 +36,10 @@ def resample_shards(
 ) -> DataFrame:
     """An epoch of shards drawn with replacement: the samples of each drawn shard, once per draw.
 
-    The list of shards, one row each, is numbered; a draw picks a number by hash. Draws of
+    Shards are numbered by name; a draw picks a number by hash. Draws of
     one shard are counted before the samples are met, so the join has one row per shard.
     """
-    names = samples.select(shard).distinct()
-    numbered = names.select(shard, (F.row_number().over(W.orderBy(shard)) - 1).cast("bigint").alias("_pos"))
+    numbered = global_rank(samples.select(shard).distinct(), [shard], "_pos")
     n_shards = numbered.count()
     n_draws = draws if draws is not None else round(n_shards * draws_per_shard)
     salt = ("draw",) if epoch is None else (epoch, "draw")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionloom.plans import prepare
+from captionloom.plans import features, prepare
 
-MODULES = [prepare]
+MODULES = [prepare, features]
 
 
 def queries() -> dict:

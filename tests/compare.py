@@ -67,6 +67,7 @@ if __name__ == "__main__":
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -79,7 +80,7 @@ if __name__ == "__main__":
         try:
             msg, took, ok = compare(spark, con, name, fn, sqls.get(name), f"/root/testdata/sf{sf}")
         except Exception as e:  # report and go on with the next query
-            msg, took, ok = f"{type(e).__name__}: {str(e)[:1500]}", 0.0, False
+            msg, took, ok = f"{type(e).__name__}: {str(e)[:500]}", 0.0, False
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name:24s} {took:6.2f}s {'sql' if name in sqls else '-'} {msg}", flush=True)
     print("bad:", bad)
