@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 # Python's html.unescape), of a tag, and Python's notion of whitespace spelled out for Java.
 CHARREF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 TAG = r"<[^>]+>"
-WHITESPACE = (
-    r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
-)
+_SPACES = r"\t\n\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Any run of whitespace but a lone plain space, which would be replaced by itself.
+WHITESPACE = rf"[{_SPACES}][ {_SPACES}]*| [ {_SPACES}]+"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -135,7 +135,6 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
     pieces: list[str] = []
     known = set(chars)
     rounds, top = 0, CANDIDATES
-    import time as _t; _t0=_t.time(); print('rows', table.count())
     while len(pieces) < wanted:
         ranked = best_pairs(pair_counts(table), top).collect()
         merges = certain_merges(ranked, known, wanted - len(pieces), len(ranked) < top) if ranked else []
@@ -149,7 +148,6 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
         known.update(made)
         table = merge_symbols(table, merges)
         rounds += 1
-        print(rounds, len(merges), _t.time()-_t0)
         if rounds % ROUNDS_PER_WRITE == 0:
             table = materialize(table, "symbols")
     listed = [*SPECIAL_PIECES, *pieces, *chars]

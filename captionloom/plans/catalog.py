@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionloom.plans import features, prepare
+from captionloom.plans import features, prepare, tokens
 
-MODULES = [prepare, features]
+MODULES = [prepare, features, tokens]
 
 
 def queries() -> dict:

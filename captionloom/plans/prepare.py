@@ -16,12 +16,12 @@ SEED = 17
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return docs.select("doc_id", clean_caption("text").alias("caption"))
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.texts(spark, sf_dir, "pages", "page_id", "html")
     return pages.select("page_id", clean_caption("html").alias("caption"))
 
 

@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.operators.ordering import with_row_index
+from captionloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and text of a table, over all cores even where it is a single file."""
+    return spread(table(spark, sf_dir, name).select(key, text), key)
+
+
 def documents_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their position in the input."""
     return with_row_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "idx")
@@ -22,7 +28,7 @@ def metadata(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFra
     if indexed:
         docs = documents_indexed(spark, sf_dir)
     else:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("idx"))
+        docs = texts(spark, sf_dir).withColumn("idx", F.col("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     flag = F.when(F.col("toxic") == 1, "NSFW").when(F.col("toxic") == 0, "UNLIKELY")

@@ -58,3 +58,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hands a scan of fewer files than cores to all cores before heavy text work.
+
+    A table of many files is left as it is: no exchange is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
