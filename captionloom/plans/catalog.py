@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionloom.plans import features, prepare, tokens
+from captionloom.plans import features, prepare, storage, tokens
 
-MODULES = [prepare, features, tokens]
+MODULES = [prepare, features, tokens, storage]
 
 
 def queries() -> dict:
