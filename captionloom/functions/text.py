@@ -19,10 +19,15 @@ WHITESPACE = rf"[{_SPACES}][ {_SPACES}]*| [ {_SPACES}]+"
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _decode_references(refs: pd.Series) -> pd.Series:
+def _decode(refs: pd.Series) -> pd.Series:
     return refs.map(lambda found: [html.unescape(r) for r in found])
 
 
+# Repeatable, but declared otherwise: else a later test on the cleaned text would be moved below
+# the projection, and every text cleaned twice.
+_decode_references = _decode.asNondeterministic()
+
+
 def unescape_html(col: Column) -> Column:
     """Resolve HTML character references once.
 

@@ -124,6 +124,7 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
     lost executor costs those rounds and no more.
     """
     spark = words.sparkSession
+    words = materialize(words, "words")
     alphabet = materialize(char_coverage(words, coverage), "alphabet")
     chars = [r["char"] for r in alphabet.filter("kept").orderBy(F.desc("n"), "char").select("char").collect()]
     wanted = vocab_size - len(SPECIAL_PIECES) - len(chars)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from captionloom.functions.hashing import digest
+from captionloom.session import materialize
 
 MAX_BROADCAST_FILES = 50_000
 
@@ -42,17 +43,15 @@ def with_row_index(scan: DataFrame, name: str = "idx") -> DataFrame:
 def rank_in_buckets(df: DataFrame, bucket: Column, order: list, name: str = "rank") -> DataFrame:
     """Global rank from 0, given a bucket number that rises with the order.
 
-    The join of the starts and the window use the same key, so the rows are exchanged once.
+    Rows are exchanged once, by bucket. What was placed is written out, so that the input is
+    not computed again for the counts; counting then reads the bucket column alone.
     """
     placed = df.withColumn("_bucket", bucket)
-    starts = _offsets(placed.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket")
     place = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    return (
-        placed.withColumn("_place", place)
-        .join(starts, "_bucket")
-        .withColumn(name, (F.col("_start") + F.col("_place") - 1).cast("bigint"))
-        .drop("_bucket", "_place", "_start")
-    )
+    placed = materialize(placed.withColumn("_place", place), "ranks")
+    starts = _offsets(placed.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket")
+    ranked = placed.join(starts, "_bucket")
+    return ranked.select(*df.columns, (F.col("_start") + F.col("_place") - 1).cast("bigint").alias(name))
 
 
 def kept_rank(df: DataFrame, idx: str = "idx", name: str = "kept_rank", block_rows: int = 65_536) -> DataFrame:
@@ -101,34 +100,36 @@ def batches(df: DataFrame, rank: str, columns: list[str], batch_size: int) -> Da
     )
 
 
-def range_bucket(df: DataFrame, order: list[str], buckets: int = 64, per_bucket: int = 40) -> Column:
-    """A bucket expression that rises with ``order`` and holds about equal numbers of rows.
+def range_chunks(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """The table in sorted chunks: adds ``_chunk``, rising with ``order``, and ``_place`` in it.
 
-    Split points come from a sample of about ``buckets * per_bucket`` rows, whatever the size
-    of the table. The last order column should be unique, so that ties of the others,
-    however many, are split as well. Ranks do not depend on which points were drawn.
+    Spark's range partitioning picks split points that give chunks of about equal size. The last
+    order column should be unique, so that ties of the others, however many, are split as
+    well. Written out once, because the chunks must be the same for every later use.
     """
-    keys = df.select(*order)
-    total = keys.count()
-    wanted = buckets * per_bucket
-    if total <= wanted:
-        return F.lit(0).cast("bigint")
-    drawn = keys.sample(fraction=min(1.0, wanted / total), seed=7).sort(*order).collect()
-    step = max(1, len(drawn) // buckets)
-    splits = drawn[step::step]
-    if not splits:
-        return F.lit(0).cast("bigint")
-    fields = {f.name: f.dataType for f in keys.schema.fields}
-    points = F.array(
-        *[F.struct(*[F.lit(row[c]).cast(fields[c]).alias(c) for c in order]) for row in splits]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    spot = F.monotonically_increasing_id()
+    numbered = ordered.withColumn("_spot", spot)
+    return materialize(
+        numbered.select(
+            *df.columns,
+            F.shiftright("_spot", 33).alias("_chunk"),
+            F.col("_spot").bitwiseAND(F.lit(2**33 - 1)).alias("_place"),
+        ),
+        "chunks",
     )
-    here = F.struct(*[F.col(c).alias(c) for c in order])
-    return F.size(F.filter(points, lambda p: p <= here)).cast("bigint")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank", buckets: int = 64) -> DataFrame:
-    """Rank from 0 by any sortable columns, the last of them unique."""
-    return rank_in_buckets(df, range_bucket(df, order, buckets), [F.col(c) for c in order], name)
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Rank from 0 by any sortable columns, the last of them unique.
+
+    The starts have one row per chunk, so their number is that of the range partitions.
+    """
+    chunks = range_chunks(df, order)
+    starts = _offsets(chunks.groupBy("_chunk").agg(F.count("*").alias("_n")), "_chunk")
+    ranked = chunks.join(F.broadcast(starts), "_chunk")
+    return ranked.select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))
 
 
 def zip_by_rank(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:

@@ -9,15 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from captionloom.operators.ordering import range_bucket
-
-
-def chunked(df: DataFrame, series: str, order: list[str], buckets: int = 64) -> DataFrame:
-    """Adds ``_chunk``: consecutive stretches of the table sorted by series and order.
-
-    Stretches hold about equal row counts, so a long series spans many of them.
-    """
-    return df.withColumn("_chunk", range_bucket(df, [series, *order], buckets))
+from captionloom.operators.ordering import range_chunks
 
 
 def log_latest(log: DataFrame, keys: list[str], timestamp: str = "timestamp") -> DataFrame:
@@ -33,13 +25,13 @@ def log_latest(log: DataFrame, keys: list[str], timestamp: str = "timestamp") ->
 
 
 def previous_in_series(
-    df: DataFrame, series: str, order: list[str], columns: dict[str, str], buckets: int = 64
+    df: DataFrame, series: str, order: list[str], columns: dict[str, str]
 ) -> DataFrame:
     """Adds the value of the preceding row in the series: ``columns`` maps source to new name.
 
     A lag inside each chunk; the first row of a chunk takes it from the last row before it.
     """
-    parts = chunked(df, series, order, buckets)
+    parts = range_chunks(df, [series, *order])
     inside = W.partitionBy(series, "_chunk").orderBy(*order)
     first = F.row_number().over(inside) == 1
     lagged = parts.withColumns({new: F.lag(old).over(inside) for old, new in columns.items()} | {"_first": first})
@@ -50,7 +42,7 @@ def previous_in_series(
     filled = {
         new: F.when(F.col("_first"), F.col(f"_in.{old}")).otherwise(F.col(new)) for old, new in columns.items()
     }
-    return joined.withColumns(filled).drop("_chunk", "_first", "_in")
+    return joined.withColumns(filled).drop("_chunk", "_place", "_first", "_in")
 
 
 def throughput(log: DataFrame, series: str, step: str = "step", timestamp: str = "timestamp") -> DataFrame:
@@ -82,7 +74,6 @@ def ema_series(
     value: str,
     decay: float = 0.999,
     state: DataFrame | None = None,
-    buckets: int = 64,
 ) -> DataFrame:
     """Adds ``ema``: s <- d s + (1-d) x along each series, seeded with its first value.
 
@@ -91,7 +82,7 @@ def ema_series(
     per series. ``state`` (series, ema) continues series from an earlier run.
     """
     d = float(decay)
-    parts = chunked(df, series, order, buckets)
+    parts = range_chunks(df, [series, *order])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,4 +126,4 @@ def ema_series(
     )
     joined = local.join(carries, [series, "_chunk"])
     ema = F.col("_local") + F.col("_carry") * F.pow(F.lit(d), F.col("_n"))
-    return joined.withColumn("ema", ema).drop("_chunk", "_local", "_n", "_carry")
+    return joined.withColumn("ema", ema).drop("_chunk", "_place", "_local", "_n", "_carry")

@@ -25,16 +25,20 @@ def salted_join(
     fanout: int = 32,
     top: int = 64,
     min_rows: int = 200_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of ``left`` with ``right`` (inner, left, left_semi, left_anti) on ``key``.
 
     Left rows of a hot key are spread over ``fanout`` salts and the right rows of that key are
     repeated once per salt; all other rows have salt 0. Null keys match nothing, so they
     are spread too and no task receives them all. Results equal the plain join.
+
+    ``counted`` is a table to count keys in, where ``left`` is costly to compute twice: it
+    only decides which keys are salted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = F.broadcast(hot_keys(left, key, top, min_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left if counted is None else counted, key, top, min_rows).withColumn("_hot", F.lit(True)))
     spread = spread if spread is not None else F.xxhash64(*left.columns)
     salt = F.pmod(spread, F.lit(fanout)).cast("int")
     lhs = left.join(hot, key, "left").withColumn(

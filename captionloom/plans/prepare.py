@@ -47,14 +47,20 @@ def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = filters.safe_captions(views.metadata(spark, sf_dir))
-    joined = payload.attach_payload(meta, views.payload(spark, sf_dir), spread=F.xxhash64("idx"))
+    raw = views.metadata(spark, sf_dir)
+    joined = payload.attach_payload(
+        filters.safe_captions(raw), views.payload(spark, sf_dir), spread=F.xxhash64("idx"),
+        counted=raw.select(F.col("URL").alias("url")),
+    )
     return joined.select("idx", "url", "caption", F.md5(F.col("html").cast("binary")).alias("payload_md5"))
 
 
 def missing_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = filters.safe_captions(views.metadata(spark, sf_dir)).select("idx", "url")
-    return payload.missing_payload(meta, views.payload(spark, sf_dir), spread=F.xxhash64("idx"))
+    raw = views.metadata(spark, sf_dir)
+    return payload.missing_payload(
+        filters.safe_captions(raw).select("idx", "url"), views.payload(spark, sf_dir), spread=F.xxhash64("idx"),
+        counted=raw.select(F.col("URL").alias("url")),
+    )
 
 
 def limit_input(spark: SparkSession, sf_dir: str) -> DataFrame:

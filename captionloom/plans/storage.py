@@ -59,9 +59,11 @@ def caption_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata to shards: filter, payload, rank, write; and the shards read back."""
     path = fresh_dir(spark, "shards")
-    kept = filters.safe_captions(views.metadata(spark, sf_dir, indexed=True))
-    rows = payload.attach_payload(kept, views.payload(spark, sf_dir), spread=F.xxhash64("idx"))
-    ranked = ordering.kept_rank(rows)
+    raw = views.metadata(spark, sf_dir, indexed=True)
+    fetched = views.payload(spark, sf_dir)
+    # Ranks need only to know which payloads exist; the bytes join in afterwards.
+    kept = filters.safe_captions(raw).join(fetched.select("url"), "url", "left_semi")
+    ranked = payload.attach_payload(ordering.kept_rank(kept), fetched, spread=F.xxhash64("idx"))
     members = F.create_map(
         F.lit("jpg"), F.encode("html", "UTF-8"), F.lit("txt"), F.encode("caption", "UTF-8")
     )

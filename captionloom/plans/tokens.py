@@ -9,6 +9,7 @@ from captionloom.functions.text import clean_caption
 from captionloom.functions.tokens import attention_mask, check_length, pad_truncate
 from captionloom.operators import bpe, encode, lexicon, sampling
 from captionloom.plans import views
+from captionloom.session import materialize
 from captionloom.plans.views import clean_sql, u32_sql
 from captionloom.sources import vocab as vocab_source
 
@@ -46,7 +47,7 @@ def char_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the first round, with the piece each would make."""
-    words = lexicon.training_words(_corpus(spark, sf_dir))
+    words = materialize(lexicon.training_words(_corpus(spark, sf_dir)), "words")
     table = bpe.symbol_table(words, lexicon.char_coverage(words))
     return bpe.pair_counts(table).select("left", "right", "n")
 
