@@ -7,7 +7,10 @@ spaces, so that counting and merging are plain string expressions in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from captionloom.functions.tokens import SPECIAL_PIECES
@@ -25,7 +28,7 @@ SCRIPTS = (
 )
 
 CANDIDATES = 256
-ROUNDS_PER_WRITE = 6
+ROUNDS_PER_WRITE = 10
 
 
 def _script_runs() -> str:
@@ -109,19 +112,37 @@ def certain_merges(ranked: list[Row], known: set[str], room: int, complete: bool
     return taken
 
 
+def _merged(text: Column, merges: list[Row]) -> Column:
+    for m in merges:
+        text = F.replace(text, F.lit(f" {m['left']}  {m['right']} "), F.lit(f" {m['left']}{m['right']} "))
+    return text
+
+
 def merge_symbols(symbols: DataFrame, merges: list[Row]) -> DataFrame:
-    text = F.col("symbols")
-    for p in merges:
-        text = F.replace(text, F.lit(f" {p['left']}  {p['right']} "), F.lit(f" {p['left']}{p['right']} "))
-    return symbols.select(text.alias("symbols"), "n")
+    """The table with the merges applied in order; words that are one piece now are done."""
+    merged = symbols.select(_merged(F.col("symbols"), merges).alias("symbols"), "n")
+    return merged.filter(F.contains("symbols", F.lit("  ")))
+
+
+def updated_counts(counts: DataFrame, symbols: DataFrame, merges: list[Row]) -> DataFrame:
+    """Pair counts after ``merges``, from the counts before: only words that change are split.
+
+    Their old pairs are taken off and their new ones added.
+    """
+    hit = reduce(or_, [F.contains("symbols", F.lit(f" {m['left']}  {m['right']} ")) for m in merges])
+    old = F.struct("symbols", (-F.col("n")).alias("n"))
+    new = F.struct(_merged(F.col("symbols"), merges).alias("symbols"), "n")
+    both = symbols.filter(hit).select(F.explode(F.array(old, new)).alias("s")).select("s.symbols", "s.n")
+    summed = counts.unionByName(pair_counts(both)).groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return summed.filter("n > 0")
 
 
 def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVERAGE) -> DataFrame:
     """``id, piece, score``: special pieces, merges in order of choice, then single characters.
 
     Only rankings of bounded length and the vocabulary itself come to the driver. The word table
-    stays distributed; it is rewritten to the shared folder every few rounds, so that a
-    lost executor costs those rounds and no more.
+    and the pair counts stay distributed and cached from round to round; they are written to the
+    shared folder every few rounds, so that a lost executor costs those rounds and no more.
     """
     spark = words.sparkSession
     words = materialize(words, "words")
@@ -132,12 +153,19 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
         raise ValueError(f"vocabulary of {vocab_size} is smaller than the alphabet of {len(chars)}")
     # Small in bytes but heavy in work: spread over all tasks rather than merged by size.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols")
+    table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols").persist()
+    counts = pair_counts(table).persist()
+    cached: list[tuple[DataFrame, DataFrame]] = [(table, counts)]
     pieces: list[str] = []
     known = set(chars)
     rounds, top = 0, CANDIDATES
     while len(pieces) < wanted:
-        ranked = best_pairs(pair_counts(table), top).collect()
+        ranked = best_pairs(counts, top).collect()
+        # The counts just ranked are in the cache, and with them all they were made from but the
+        # last word table; what is older is not read again.
+        while len(cached) > 2:
+            for old in cached.pop(0):
+                old.unpersist()
         merges = certain_merges(ranked, known, wanted - len(pieces), len(ranked) < top) if ranked else []
         if not merges:
             if len(ranked) < top:
@@ -147,10 +175,14 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
         made = [m["left"] + m["right"] for m in merges]
         pieces += made
         known.update(made)
+        counts = updated_counts(counts, table, merges)
         table = merge_symbols(table, merges)
         rounds += 1
         if rounds % ROUNDS_PER_WRITE == 0:
-            table = materialize(table, "symbols")
+            counts, table = materialize(counts, "pairs"), materialize(table, "symbols")
+        cached.append((table.persist(), counts.persist()))
+    for old in [df for pair in cached for df in pair]:
+        old.unpersist()
     listed = [*SPECIAL_PIECES, *pieces, *chars]
     n_special = len(SPECIAL_PIECES)
     rows = [(i, p, float(min(0, n_special - i))) for i, p in enumerate(listed)]

@@ -30,20 +30,23 @@ def salted_join(
     """Equi-join of ``left`` with ``right`` (inner, left, left_semi, left_anti) on ``key``.
 
     Left rows of a hot key are spread over ``fanout`` salts and the right rows of that key are
-    repeated once per salt; all other rows have salt 0. Null keys match nothing, so they
-    are spread too and no task receives them all. Results equal the plain join.
+    repeated once per salt; all other rows have salt 0. Null keys match nothing, so where they
+    are kept they are spread too, and no task receives them all. Without hot keys it is the
+    plain join. Results are equal in any case.
 
-    ``counted`` is a table to count keys in, where ``left`` is costly to compute twice: it
-    only decides which keys are salted.
+    Keys are counted first, in ``counted`` if given: a cheaper table to count in where ``left``
+    is costly to compute twice. It only decides which keys are salted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = F.broadcast(hot_keys(left if counted is None else counted, key, top, min_rows).withColumn("_hot", F.lit(True)))
+    hot = [r[0] for r in hot_keys(left if counted is None else counted, key, top, min_rows).collect()]
+    keeps_nulls = how in ("left", "left_anti")
+    if not hot and not keeps_nulls:
+        return left.join(right, key, how)
     spread = spread if spread is not None else F.xxhash64(*left.columns)
-    salt = F.pmod(spread, F.lit(fanout)).cast("int")
-    lhs = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(0)
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
-    rhs = right.filter(F.col(key).isNotNull()).join(hot, key, "left").withColumn("_salt", F.explode(salts))
-    return lhs.drop("_hot").join(rhs.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    salted = is_hot | F.col(key).isNull() if keeps_nulls else is_hot
+    lhs = left.withColumn("_salt", F.when(salted, F.pmod(spread, F.lit(fanout)).cast("int")).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
+    rhs = right.filter(F.col(key).isNotNull()).withColumn("_salt", F.explode(salts) if hot else F.lit(0))
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
