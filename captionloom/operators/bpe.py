@@ -140,9 +140,9 @@ def updated_counts(counts: DataFrame, symbols: DataFrame, merges: list[Row]) ->
 def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVERAGE) -> DataFrame:
     """``id, piece, score``: special pieces, merges in order of choice, then single characters.
 
-    Only rankings of bounded length and the vocabulary itself come to the driver. The word table
-    and the pair counts stay distributed and cached from round to round; they are written to the
-    shared folder every few rounds, so that a lost executor costs those rounds and no more.
+    Only rankings of bounded length and the vocabulary itself come to the driver. The pair counts
+    are cached from round to round. They and the word table are written to the shared folder
+    every few rounds, so that a lost executor costs those rounds and no more.
     """
     spark = words.sparkSession
     words = materialize(words, "words")
@@ -153,19 +153,17 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
         raise ValueError(f"vocabulary of {vocab_size} is smaller than the alphabet of {len(chars)}")
     # Small in bytes but heavy in work: spread over all tasks rather than merged by size.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols").persist()
+    table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols")
     counts = pair_counts(table).persist()
-    cached: list[tuple[DataFrame, DataFrame]] = [(table, counts)]
+    cached = [counts]
     pieces: list[str] = []
     known = set(chars)
     rounds, top = 0, CANDIDATES
     while len(pieces) < wanted:
         ranked = best_pairs(counts, top).collect()
-        # The counts just ranked are in the cache, and with them all they were made from but the
-        # last word table; what is older is not read again.
-        while len(cached) > 2:
-            for old in cached.pop(0):
-                old.unpersist()
+        # These counts are in the cache now: those they were made from are not read again.
+        while len(cached) > 1:
+            cached.pop(0).unpersist()
         merges = certain_merges(ranked, known, wanted - len(pieces), len(ranked) < top) if ranked else []
         if not merges:
             if len(ranked) < top:
@@ -180,8 +178,8 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
         rounds += 1
         if rounds % ROUNDS_PER_WRITE == 0:
             counts, table = materialize(counts, "pairs"), materialize(table, "symbols")
-        cached.append((table.persist(), counts.persist()))
-    for old in [df for pair in cached for df in pair]:
+        cached.append(counts.persist())
+    for old in cached:
         old.unpersist()
     listed = [*SPECIAL_PIECES, *pieces, *chars]
     n_special = len(SPECIAL_PIECES)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from captionloom.functions.tokens import (
@@ -142,11 +143,9 @@ def vocab_usage(corpus: DataFrame, vocab: DataFrame, caption: str = "caption") -
 
     words = training_words(corpus, caption, max_bytes=None)
     used = words.select(F.explode(encode("word")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n"))
-    # One row per piece from here on.
-    total = used.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
-    shared = used.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    named = shared.join(F.broadcast(vocab.select("id", "piece")), "id")
-    return named.select("id", "piece", "n", (F.col("n") / F.col("_total")).alias("share"))
+    # One row per piece from here on: the total over all of them is a small window.
+    shared = used.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return shared.join(F.broadcast(vocab.select("id", "piece")), "id").select("id", "piece", "n", "share")
 
 
 def token_report(rows: DataFrame, length: int = CONTEXT_LENGTH) -> DataFrame:

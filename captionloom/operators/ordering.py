@@ -7,6 +7,8 @@ table, a few rows per bucket, is ever scanned in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,25 +102,25 @@ def batches(df: DataFrame, rank: str, columns: list[str], batch_size: int) -> Da
     )
 
 
-def range_chunks(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+def range_chunks(
+    df: DataFrame, order: list[str], stage: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None
+) -> DataFrame:
     """The table in sorted chunks: adds ``_chunk``, rising with ``order``, and ``_place`` in it.
 
     Spark's range partitioning picks split points that give chunks of about equal size. The last
     order column should be unique, so that ties of the others, however many, are split as
-    well. Written out once, because the chunks must be the same for every later use.
+    well. ``stage`` is run on the sorted chunks, one chunk a partition, in the same pass.
+    Written out once, because the chunks must be the same for every later use.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     spot = F.monotonically_increasing_id()
-    numbered = ordered.withColumn("_spot", spot)
-    return materialize(
-        numbered.select(
-            *df.columns,
-            F.shiftright("_spot", 33).alias("_chunk"),
-            F.col("_spot").bitwiseAND(F.lit(2**33 - 1)).alias("_place"),
-        ),
-        "chunks",
+    numbered = ordered.withColumn("_spot", spot).select(
+        *df.columns,
+        F.shiftright("_spot", 33).alias("_chunk"),
+        F.col("_spot").bitwiseAND(F.lit(2**33 - 1)).alias("_place"),
     )
+    return materialize(stage(numbered) if stage else numbered, "chunks")
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:

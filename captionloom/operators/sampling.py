@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from captionloom.functions.hashing import u32, uniform
 from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, null_tokens
 from captionloom.operators.ordering import global_rank
+from captionloom.operators.skew import salted_join
 
 
 def is_dropped(key: Column, p: float, seed, epoch=0) -> Column:
@@ -47,4 +48,5 @@ def resample_shards(
         F.col("id").alias("draw"), F.pmod(u32(seed, F.col("id"), *salt), F.lit(max(n_shards, 1))).alias("_pos")
     )
     per_shard = picks.join(numbered, "_pos").groupBy(shard).agg(F.collect_list("draw").alias("_draws"))
-    return samples.join(per_shard, shard).withColumn("draw", F.explode("_draws")).drop("_draws")
+    joined = salted_join(samples, per_shard, shard, "inner", counted=samples.select(shard))
+    return joined.withColumn("draw", F.explode("_draws")).drop("_draws")

@@ -82,8 +82,6 @@ def ema_series(
     per series. ``state`` (series, ema) continues series from an earlier run.
     """
     d = float(decay)
-    parts = range_chunks(df, [series, *order])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, s, n = None, 0.0, 0
@@ -102,8 +100,11 @@ def ema_series(
                 [*batch.columns, *added], names=[*batch.schema.names, "_local", "_n"]
             )
 
-    ordered = parts.repartition(series, "_chunk").sortWithinPartitions(series, "_chunk", *order)
-    local = ordered.mapInArrow(scan, f"{fields}, _local double, _n bigint")
+    def stage(chunks: DataFrame) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
+        return chunks.mapInArrow(scan, f"{fields}, _local double, _n bigint")
+
+    local = range_chunks(df, [series, *order], stage)
 
     ends = local.groupBy(series, "_chunk").agg(
         F.max(F.struct("_n", "_local")).alias("_end"), F.min(F.struct("_n", F.col(value).alias("x"))).alias("_head")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from captionloom.functions.tokens import attention_mask, pad_truncate
 from captionloom.operators import filters, ordering, payload, series, stages
+from captionloom.operators.skew import salted_join
 from captionloom.plans import tokens as token_plans
 from captionloom.plans import views
 from captionloom.plans.features import ORACLES as FEATURE_SQL
@@ -62,7 +63,8 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.metadata(spark, sf_dir, indexed=True)
     fetched = views.payload(spark, sf_dir)
     # Ranks need only to know which payloads exist; the bytes join in afterwards.
-    kept = filters.safe_captions(raw).join(fetched.select("url"), "url", "left_semi")
+    found = salted_join(raw, fetched.select(F.col("url").alias("URL")), "URL", "left_semi", F.xxhash64("idx"))
+    kept = filters.safe_captions(found)
     ranked = payload.attach_payload(ordering.kept_rank(kept), fetched, spread=F.xxhash64("idx"))
     members = F.create_map(
         F.lit("jpg"), F.encode("html", "UTF-8"), F.lit("txt"), F.encode("caption", "UTF-8")

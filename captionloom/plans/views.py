@@ -20,7 +20,8 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str =
 
 def documents_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their position in the input."""
-    return with_row_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "idx")
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(with_row_index(scan, "idx"), "doc_id")
 
 
 def metadata(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:

@@ -43,9 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/captionloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path of its own below the shared folder, for one run's files."""
-    return f"{shared_dir(spark).rstrip('/')}/captionloom/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder.
+
+    To be called once results are stored elsewhere: tables read from there are gone then.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from captionloom.functions.text import clean_caption, first_truthy
+from captionloom.operators.skew import salted_join
 
 
 def _read_one(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
@@ -82,13 +83,13 @@ def url_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
 
     ``same_name`` counts the URLs that would be saved under one file name (a download
     would overwrite). It is an aggregate joined back, not a window: a name shared by
-    a large part of the list is counted map-side and never gathered in one task.
+    a large part of the list is counted map-side, and spread over tasks in the join.
     """
     url = F.trim(F.col(column))
     urls = lines.select(url.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
     named = urls.withColumn("filename", manifest_entry(F.col("url")))
     clashes = named.groupBy("filename").agg(F.count("*").alias("same_name")).filter("same_name > 1")
-    return named.join(clashes, "filename", "left").select(
+    return salted_join(named, clashes, "filename", "left", F.xxhash64("url")).select(
         "url", "filename", F.coalesce("same_name", F.lit(1).cast("bigint")).alias("same_name")
     )
 
