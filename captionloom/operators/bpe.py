@@ -7,9 +7,6 @@ spaces, so that counting and merging are plain string expressions in the JVM.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -28,7 +25,8 @@ SCRIPTS = (
 )
 
 CANDIDATES = 256
-ROUNDS_PER_WRITE = 10
+TRIPLES_PER_PAIR = 8
+ROUNDS_PER_WRITE = 8
 
 
 def _script_runs() -> str:
@@ -60,18 +58,28 @@ def symbol_table(words: DataFrame, alphabet: DataFrame) -> DataFrame:
     return runs.filter(F.char_length("run") > 1).groupBy(spaced.alias("symbols")).agg(F.sum("n").alias("n"))
 
 
-def pair_counts(symbols: DataFrame, max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """``left, right, n`` over the symbol table, pieces beyond the longest left out.
+def gram_counts(symbols: DataFrame, max_chars: int | None = MAX_PIECE_CHARS) -> DataFrame:
+    """``left, right, after, n``: adjacent pairs by the symbol that follows (null at the end).
 
-    Every adjacent position counts, also within a run of one symbol.
+    Every adjacent position counts, also within a run of one symbol. Pieces longer than
+    ``max_chars`` are left out.
     """
-    s = F.col("s")
-    adjacent = F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("l"), F.slice(s, 2, F.size(s) - 1).alias("r"))
-    longer = symbols.filter(F.contains("symbols", F.lit("  ")))
-    split = longer.select(F.split(F.trim("symbols"), "  ").alias("s"), "n")
-    pairs = split.select(F.explode(adjacent).alias("p"), "n")
-    counted = pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n"))
-    return counted.filter(F.char_length("left") + F.char_length("right") <= max_chars)
+    s = F.split(F.trim("symbols"), "  ")
+    longer = symbols.filter(F.contains("symbols", F.lit("  "))).select(s.alias("s"), "n")
+    s, size = F.col("s"), F.size("s")
+    spots = F.arrays_zip(
+        F.slice(s, 1, size - 1).alias("l"), F.slice(s, 2, size - 1).alias("r"), F.slice(s, 3, size - 2).alias("a")
+    )
+    spots = longer.select(F.explode(spots).alias("p"), "n").select(
+        F.col("p.l").alias("left"), F.col("p.r").alias("right"), F.col("p.a").alias("after"), "n"
+    )
+    counted = spots.groupBy("left", "right", "after").agg(F.sum("n").alias("n"))
+    return counted.filter(F.char_length("left") + F.char_length("right") <= max_chars) if max_chars else counted
+
+
+def pair_counts(symbols: DataFrame, max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
+    """``left, right, n`` over the symbol table."""
+    return gram_counts(symbols, max_chars).groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def best_pairs(counts: DataFrame, top: int) -> DataFrame:
@@ -80,69 +88,92 @@ def best_pairs(counts: DataFrame, top: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.char_length(piece), piece, "left").limit(top)
 
 
-def certain_merges(ranked: list[Row], known: set[str], room: int, complete: bool) -> list[Row]:
-    """The longest prefix of the ranking that merging one by one would also choose.
+def ranking(symbols: DataFrame, top: int) -> tuple[list[Row], list[Row], bool, bool]:
+    """The best pairs, the most frequent triples, and whether each list was cut.
 
-    Taking a merge leaves the next pair the best as long as (a) the two cannot overlap, so its
-    count stands, and (b) no new pair can have reached its count: a new pair next to piece
-    ``lr`` is at most as frequent as an old pair ending in ``l`` or starting with ``r``.
+    One action with lists of bounded length. Both come from the same counts, which are computed
+    once: whatever would tell the two branches apart (a filter on length or on null is moved
+    below the aggregate) is left to the sort, or done to the short lists here.
     """
-    floor = 0 if complete else ranked[-1]["n"]
-    into: dict[str, int] = {}
-    out_of: dict[str, int] = {}
-    for p in ranked:
-        into[p["right"]] = max(into.get(p["right"], 0), p["n"])
-        out_of[p["left"]] = max(out_of.get(p["left"], 0), p["n"])
+    grams = gram_counts(symbols, None)
+    pairs = grams.groupBy("left", "right").agg(F.sum("n").alias("n"))
+    pairs = best_pairs(pairs, top).select("left", "right", F.lit(None).cast("string").alias("after"), "n", F.lit(2).alias("k"))
+    inner = F.when(F.col("after").isNotNull(), F.col("n")).otherwise(0)
+    triples = grams.orderBy(F.desc(inner)).limit(top * TRIPLES_PER_PAIR).withColumn("k", F.lit(3))
+    rows = pairs.unionByName(triples).collect()
+    two, three = [r for r in rows if r["k"] == 2], [r for r in rows if r["k"] == 3]
+    by_rank = lambda p: (-p["n"], len(p["left"] + p["right"]), p["left"] + p["right"], p["left"])
+    return (
+        sorted(two, key=by_rank),
+        [r for r in three if r["after"] is not None],
+        len(two) >= top,
+        len(three) >= top * TRIPLES_PER_PAIR,
+    )
+
+
+def certain_merges(
+    pairs: list[Row], triples: list[Row], known: set[str], room: int, pairs_cut: bool, triples_cut: bool
+) -> list[Row]:
+    """The merges that merging one by one would take next, in that order, as far as is certain.
+
+    Going down the ranking, a pair is next if its own count stands, and nothing else can have
+    reached it: no new pair beside a piece just made (it occurs at most as often as the triple it
+    comes from), and no pair passed over because it overlaps a merge (it lost the triples
+    that the merge used up). Where a list was cut, its smallest count stands for all that is
+    not on it.
+    """
+    pair_floor = pairs[-1]["n"] if pairs_cut else 0
+    triple_floor = min((t["n"] for t in triples), default=0) if triples_cut else 0
+    beside: dict[tuple[str, str], int] = {}
+    used: dict[tuple[str, str, str], int] = {}
+    for t in triples:
+        used[t["left"], t["right"], t["after"]] = t["n"]
+        for pair in ((t["left"], t["right"]), (t["right"], t["after"])):
+            beside[pair] = max(beside.get(pair, 0), t["n"])
     taken: list[Row] = []
-    newest = 0
     pieces = set(known)
-    for p in ranked:
-        if len(taken) >= room:
-            break
+    limit = 0
+    for p in pairs:
         left, right, n = p["left"], p["right"], p["n"]
-        if left + right in pieces:
+        if len(taken) >= room or (taken and n <= max(limit, pair_floor)):
+            break
+        if left + right in pieces or len(left + right) > MAX_PIECE_CHARS:
+            continue
+        lost = []
+        for t in taken:
+            exact = t["left"] != t["right"] and left != right
+            if t["right"] == left:
+                lost.append(used.get((t["left"], left, right), 0) if exact else 0)
+            if t["left"] == right:
+                lost.append(used.get((left, right, t["right"]), 0) if exact else 0)
+        if lost:
+            limit = max(limit, n - max(lost))
             continue
-        if taken:
-            overlaps = any(t["right"] == left or t["left"] == right for t in taken)
-            if overlaps or newest >= n or n <= floor:
-                break
         taken.append(p)
         pieces.add(left + right)
-        newest = max(newest, min(n, max(into.get(left, floor), out_of.get(right, floor), floor)))
+        limit = max(limit, min(n, beside.get((left, right), triple_floor)))
     return taken
 
 
-def _merged(text: Column, merges: list[Row]) -> Column:
-    for m in merges:
-        text = F.replace(text, F.lit(f" {m['left']}  {m['right']} "), F.lit(f" {m['left']}{m['right']} "))
-    return text
-
-
 def merge_symbols(symbols: DataFrame, merges: list[Row]) -> DataFrame:
-    """The table with the merges applied in order; words that are one piece now are done."""
-    merged = symbols.select(_merged(F.col("symbols"), merges).alias("symbols"), "n")
-    return merged.filter(F.contains("symbols", F.lit("  ")))
-
+    """The table with the merges applied in order; words that are one piece now are done.
 
-def updated_counts(counts: DataFrame, symbols: DataFrame, merges: list[Row]) -> DataFrame:
-    """Pair counts after ``merges``, from the counts before: only words that change are split.
-
-    Their old pairs are taken off and their new ones added.
+    The merges are one constant array that is folded over, not a chain of expressions: the plan
+    has the same shape in every round, and its compiled code is used again.
     """
-    hit = reduce(or_, [F.contains("symbols", F.lit(f" {m['left']}  {m['right']} ")) for m in merges])
-    old = F.struct("symbols", (-F.col("n")).alias("n"))
-    new = F.struct(_merged(F.col("symbols"), merges).alias("symbols"), "n")
-    both = symbols.filter(hit).select(F.explode(F.array(old, new)).alias("s")).select("s.symbols", "s.n")
-    summed = counts.unionByName(pair_counts(both)).groupBy("left", "right").agg(F.sum("n").alias("n"))
-    return summed.filter("n > 0")
+    steps = F.split(F.lit("\n".join(f" {m['left']}  {m['right']} " for m in merges)), "\n")
+    text = F.aggregate(
+        steps, F.col("symbols"), lambda text, step: F.replace(text, step, F.replace(step, F.lit("  "), F.lit("")))
+    )
+    return symbols.select(text.alias("symbols"), "n").filter(F.contains("symbols", F.lit("  ")))
 
 
 def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVERAGE) -> DataFrame:
     """``id, piece, score``: special pieces, merges in order of choice, then single characters.
 
-    Only rankings of bounded length and the vocabulary itself come to the driver. The pair counts
-    are cached from round to round. They and the word table are written to the shared folder
-    every few rounds, so that a lost executor costs those rounds and no more.
+    Only rankings of bounded length and the vocabulary itself come to the driver. The word table
+    stays distributed, loses words as they become one piece, and is written to the shared
+    folder every few rounds, so that a lost executor costs those rounds and no more.
     """
     spark = words.sparkSession
     words = materialize(words, "words")
@@ -154,33 +185,26 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
     # Small in bytes but heavy in work: spread over all tasks rather than merged by size.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols")
-    counts = pair_counts(table).persist()
-    cached = [counts]
     pieces: list[str] = []
     known = set(chars)
+    pending: list[Row] = []
     rounds, top = 0, CANDIDATES
     while len(pieces) < wanted:
-        ranked = best_pairs(counts, top).collect()
-        # These counts are in the cache now: those they were made from are not read again.
-        while len(cached) > 1:
-            cached.pop(0).unpersist()
-        merges = certain_merges(ranked, known, wanted - len(pieces), len(ranked) < top) if ranked else []
+        current = merge_symbols(table, pending) if pending else table
+        pairs, triples, pairs_cut, triples_cut = ranking(current, top)
+        merges = certain_merges(pairs, triples, known, wanted - len(pieces), pairs_cut, triples_cut)
         if not merges:
-            if len(ranked) < top:
+            if not pairs_cut:
                 break
             top *= 2
             continue
         made = [m["left"] + m["right"] for m in merges]
         pieces += made
         known.update(made)
-        counts = updated_counts(counts, table, merges)
-        table = merge_symbols(table, merges)
+        pending += merges
         rounds += 1
         if rounds % ROUNDS_PER_WRITE == 0:
-            counts, table = materialize(counts, "pairs"), materialize(table, "symbols")
-        cached.append(counts.persist())
-    for old in cached:
-        old.unpersist()
+            table, pending = materialize(merge_symbols(table, pending), "symbols"), []
     listed = [*SPECIAL_PIECES, *pieces, *chars]
     n_special = len(SPECIAL_PIECES)
     rows = [(i, p, float(min(0, n_special - i))) for i, p in enumerate(listed)]
