@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from captionloom.llm import decontaminate, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, warc
 from captionloom.llm.common import table
+from captionloom.llm.oracles import ORACLES
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ QUERIES = {
         op10_simhash,
     )
 }
-ORACLES: dict[str, str] = {}
+
