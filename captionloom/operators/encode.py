@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,14 +93,15 @@ def bpe_encode(text: Column | str, vocab: DataFrame) -> Column:
     rows = vocab_rows(vocab)
 
     @F.pandas_udf("array<int>")
-    def encode(batch: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode_word = _encoder(rows)
 
         def one(line: str) -> list[int]:
             words = unicodedata.normalize("NFKC", line).split()
             return [i for w in words for i in encode_word(WORD_START + w)]
 
-        return batch.map(one)
+        for batch in batches:
+            yield batch.map(one)
 
     return encode(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
@@ -138,10 +139,12 @@ def vocab_usage(corpus: DataFrame, vocab: DataFrame, caption: str = "caption") -
     rows = vocab_rows(vocab)
 
     @F.pandas_udf("array<int>")
-    def encode(words: pd.Series) -> pd.Series:
-        return words.map(_encoder(rows))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode_word = _encoder(rows)
+        for words in batches:
+            yield words.map(encode_word)
 
-    words = training_words(corpus, caption, max_bytes=None)
+    words = training_words(corpus, caption)
     used = words.select(F.explode(encode("word")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per piece from here on: the total over all of them is a small window.
     shared = used.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))

@@ -10,9 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Mark of a word start, longest training line in bytes, share of characters kept.
+# Mark of a word start, share of characters kept.
 WORD_START = "▁"
-MAX_LINE_BYTES = 4192
 COVERAGE = 0.9995
 
 
@@ -24,15 +23,15 @@ def _nfkc(words: pd.Series) -> pd.Series:
 def word_counts(corpus: DataFrame, caption: str = "caption", max_bytes: int | None = None) -> DataFrame:
     """``word, n`` over space-separated words. Counts are combined map-side.
 
-    ``max_bytes`` leaves out longer lines, as tokenizer training does.
+    ``max_bytes`` leaves out longer lines, for who wants that.
     """
     lines = corpus.filter(F.octet_length(caption) <= max_bytes) if max_bytes else corpus
     words = lines.select(F.explode(F.split(caption, " ")).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def training_words(corpus: DataFrame, caption: str = "caption", max_bytes: int | None = MAX_LINE_BYTES) -> DataFrame:
-    """``word, n`` with compatibility forms composed and the word start marked.
+def training_words(corpus: DataFrame, caption: str = "caption", max_bytes: int | None = None) -> DataFrame:
+    """``word, n`` with compatibility forms composed and the word start marked. All texts count.
 
     Normalising happens once per distinct word; what falls together is added up.
     """

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TASKS_PER_CORE = 4
 _PARTIAL = "side string, i int, n bigint, mean array<double>, m2 array<double>"
 
 
@@ -25,7 +26,10 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state: dict = {}
     for batch in batches:
         sides = np.asarray(batch.column(0).to_pylist(), dtype=object)
-        dim = len(batch.column(1)[0]) if batch.num_rows else 0
+        dims = set(batch.column(1).value_lengths().to_pylist())
+        if len(dims) > 1:
+            raise ValueError(f"feature vectors of different lengths: {sorted(dims)}")
+        dim = dims.pop() if dims else 0
         flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         rows = flat.reshape(-1, dim) if dim else flat.reshape(0, 0)
         for side in set(sides.tolist()):
@@ -34,6 +38,8 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centred = part - mean
             new = (len(part), mean, centred.T @ centred)
             if side in state:
+                if len(state[side][1]) != dim:
+                    raise ValueError(f"feature vectors of different lengths: {sorted({len(state[side][1]), dim})}")
                 n, mean, m2a, m2b, delta, weight = _merge(state[side], new)
                 new = (n, mean, m2a + m2b + np.outer(delta, delta) * weight)
             state[side] = new
@@ -57,6 +63,8 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for side, i, n, mean, m2 in batch.itertuples(index=False):
             new = (n, np.asarray(mean), np.asarray(m2))
             if (side, i) in state:
+                if len(state[side, i][1]) != len(new[1]):
+                    raise ValueError("feature vectors of different lengths")
                 n, mean, m2a, m2b, delta, weight = _merge(state[side, i], new)
                 new = (n, mean, m2a + m2b + delta[i] * delta * weight)
             state[side, i] = new
@@ -67,11 +75,14 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def feature_moments(df: DataFrame, side: str = "side", vec: str = "embedding") -> DataFrame:
     """``side, i, n, mean, cov``: one row per dimension, ``cov`` the i-th row of the covariance.
 
-    Every partition reduces its rows to a d x d matrix before anything is shuffled; the
-    partial matrices are then summed row by row, spread over (side, i).
+    Every task reduces its rows to a d x d matrix before anything is shuffled; the partial matrices are
+    then summed row by row, spread over (side, i). A task takes several input partitions, so
+    that the number of matrices follows the cores of the cluster and not the size of the input.
+    Vectors of different lengths are an error.
     """
     narrow = df.select(F.col(side).cast("string").alias("side"), F.col(vec).alias("v"))
-    partial = narrow.filter(F.col("v").isNotNull()).mapInArrow(_partials, _PARTIAL)
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    partial = narrow.filter(F.col("v").isNotNull()).coalesce(tasks).mapInArrow(_partials, _PARTIAL)
     return partial.repartition("side", "i").mapInPandas(
         _combine, "side string, i int, n bigint, mean double, cov array<double>"
     )
@@ -88,7 +99,7 @@ def _root_trace(a: np.ndarray, b: np.ndarray) -> float:
 def frechet_distance(moments: DataFrame, real: str = "real", fake: str = "fake") -> DataFrame:
     """``n_real, n_fake, fid`` from moments: |mr-mf|^2 + tr(Cr + Cf - 2 (Cr Cf)^(1/2)).
 
-    What meets in one task are the 2d moment rows, fixed by the vector length.
+    What meets in one task, under a constant key, are the 2d moment rows, fixed by the vector length.
     """
 
     def distance(rows: pd.DataFrame) -> pd.DataFrame:

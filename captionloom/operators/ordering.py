@@ -71,17 +71,14 @@ def sample_key(idx: str = "idx", prefix: str = "sample") -> Column:
     return F.format_string(f"{prefix}-%09d", F.col(idx).cast("bigint"))
 
 
-def shuffle_rank(
-    df: DataFrame, key: str, seed, epoch=0, name: str = "shuffle_rank", buckets: int = 256
-) -> DataFrame:
+def shuffle_rank(df: DataFrame, key: str, seed, epoch=0, name: str = "shuffle_rank") -> DataFrame:
     """A full, repeatable shuffle: rank by hash of (seed, epoch, key).
 
-    Hashes are uniform, so their leading digits are balanced buckets.
+    Range partitions of the hash: their number is that of the session's shuffle partitions, whatever the
+    size of the table.
     """
     hashed = df.withColumn("_hash", digest(seed, epoch, F.col(key)))
-    lead = F.conv(F.substring("_hash", 1, 6), 16, 10).cast("bigint")
-    bucket = F.floor(lead * buckets / F.lit(16**6))
-    return rank_in_buckets(hashed, bucket, [F.col("_hash"), F.col(key)], name).drop("_hash")
+    return global_rank(hashed, ["_hash", key], name).drop("_hash")
 
 
 def shuffle_local(df: DataFrame, key: str, seed, epoch=0) -> DataFrame:

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionloom.operators.filters import KEPT, NO_PAYLOAD, with_reason
-from captionloom.operators.skew import salted_join
 
 
-def attach_payload(
-    meta: DataFrame, payload: DataFrame, key: str = "url", spread: Column | None = None, **skew
-) -> DataFrame:
-    """Rows that have a payload, with it. ``payload`` holds one row per key."""
-    return salted_join(meta.filter(F.col(key).isNotNull()), payload, key, "inner", spread, **skew)
+def attach_payload(meta: DataFrame, payload: DataFrame, key: str = "url") -> DataFrame:
+    """Rows that have a payload, with it. ``payload`` holds one row per key, and is a table, not an aggregate.
+
+    A URL with very many rows is split by Spark as it runs (``spark.sql.adaptive.skewJoin``).
+    """
+    return meta.filter(F.col(key).isNotNull()).join(payload, key)
 
 
-def missing_payload(
-    meta: DataFrame, payload: DataFrame, key: str = "url", spread: Column | None = None, **skew
-) -> DataFrame:
+def missing_payload(meta: DataFrame, payload: DataFrame, key: str = "url") -> DataFrame:
     """Rows whose key has no payload, so that failed fetches are seen and not lost."""
-    return salted_join(meta.filter(F.col(key).isNotNull()), payload.select(key), key, "left_anti", spread, **skew)
+    return meta.filter(F.col(key).isNotNull()).join(payload.select(key), key, "left_anti")
 
 
 def filter_funnel(meta: DataFrame, payload: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from captionloom.functions.hashing import u32, uniform
 from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, null_tokens
 from captionloom.operators.ordering import global_rank
-from captionloom.operators.skew import salted_join
 
 
 def is_dropped(key: Column, p: float, seed, epoch=0) -> Column:
@@ -37,8 +36,8 @@ def resample_shards(
 ) -> DataFrame:
     """An epoch of shards drawn with replacement: the samples of each drawn shard, once per draw.
 
-    Shards are numbered by name; a draw picks a number by hash. Draws of
-    one shard are counted before the samples are met, so the join has one row per shard.
+    Shards are numbered by name; a draw picks a number by hash. The draws are a table of shard and
+    draw; a shard that is drawn often is split by Spark in the join.
     """
     numbered = global_rank(samples.select(shard).distinct(), [shard], "_pos")
     n_shards = numbered.count()
@@ -47,6 +46,4 @@ def resample_shards(
     picks = samples.sparkSession.range(n_draws).select(
         F.col("id").alias("draw"), F.pmod(u32(seed, F.col("id"), *salt), F.lit(max(n_shards, 1))).alias("_pos")
     )
-    per_shard = picks.join(numbered, "_pos").groupBy(shard).agg(F.collect_list("draw").alias("_draws"))
-    joined = salted_join(samples, per_shard, shard, "inner", counted=samples.select(shard))
-    return joined.withColumn("draw", F.explode("_draws")).drop("_draws")
+    return samples.join(picks.join(numbered, "_pos").drop("_pos"), shard)

@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 
 from captionloom.functions.hashing import U32, digest, u32
 from captionloom.functions.vectors import as_double, cosine
-from captionloom.operators.skew import salted_join
 from captionloom.session import materialize
 
-BROADCAST_BYTES = 64 << 20
-
 
 def clip_pairs(images: DataFrame, texts: DataFrame, key: str, image: str = "image", text: str = "text") -> DataFrame:
     """Cosine of the image and the text vector of each key."""
@@ -111,18 +108,15 @@ def masked_mean(
 ) -> DataFrame:
     """Mean of the token vectors where the mask is 1, per key; zeros where no token counts.
 
-    The vector table goes to every task only if its counted size allows; else it is
-    joined by token id, frequent ids salted.
+    The vector table is joined by token id. Spark broadcasts it if its size on disk allows, and else
+    splits the ids that are frequent.
     """
     first = table.select(F.size(vec).alias("d")).limit(1).collect()
     dim = first[0]["d"] if first else 0
     live = F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col(mask).alias("m")), lambda p: p["m"] == 1)
     spread = rows.select(key, F.explode_outer(F.transform(live, lambda p: p["t"])).alias(token_id))
     vectors = table.select(token_id, as_double(vec).alias("_v"))
-    if table.count() * dim * 8 <= BROADCAST_BYTES:
-        joined = spread.join(F.broadcast(vectors), token_id, "left")
-    else:
-        joined = salted_join(spread, vectors, token_id, "left", F.xxhash64(key, token_id))
+    joined = spread.join(vectors, token_id, "left")
     # A padded key has no vector; a vector of zeros adds nothing and keeps the key.
     zero = F.array_repeat(F.lit(0.0), dim)
     filled = joined.select(key, array_to_vector(F.coalesce("_v", zero)).alias("_v"))

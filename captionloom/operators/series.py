@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,20 +31,48 @@ def previous_in_series(
 ) -> DataFrame:
     """Adds the value of the preceding row in the series: ``columns`` maps source to new name.
 
-    A lag inside each chunk; the first row of a chunk takes it from the last row before it.
+    The lag runs on the sorted chunks as they are made, without another exchange; the first row of a
+    series in a chunk takes it from the last row before it.
     """
-    parts = range_chunks(df, [series, *order])
-    inside = W.partitionBy(series, "_chunk").orderBy(*order)
-    first = F.row_number().over(inside) == 1
-    lagged = parts.withColumns({new: F.lag(old).over(inside) for old, new in columns.items()} | {"_first": first})
-    rest = [c for c in columns if c not in order]
-    last = parts.groupBy(series, "_chunk").agg(F.max(F.struct(*order, *rest)).alias("_last"))
+    needed = list(dict.fromkeys([*order, *columns]))
+
+    def stage(chunks: DataFrame) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
+        types = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+        more = ", ".join(f"`_p{i}` {types[c]}" for i, c in enumerate(columns))
+
+        def lag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, last = None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = batch.column(series)
+                same = pc.equal(keys[1:], keys[:-1]).fill_null(False) if len(keys) > 1 else pa.array([], pa.bool_())
+                begins = last is not None and keys[0].as_py() == name
+                fresh = pa.concat_arrays([pa.array([not begins]), pc.invert(same)])
+                added = []
+                for c in columns:
+                    values = batch.column(c)
+                    head = pa.array([last[c] if begins else None], values.type)
+                    shifted = pa.concat_arrays([head, values[:-1]])
+                    added.append(pc.if_else(fresh, pa.scalar(None, values.type), shifted))
+                name, last = keys[-1].as_py(), {c: batch.column(c)[-1].as_py() for c in needed}
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *added, fresh], names=[*batch.schema.names, *[f"_p{i}" for i in range(len(added))], "_first"]
+                )
+
+        return chunks.mapInArrow(lag, f"{fields}, {more}, _first boolean")
+
+    lagged = range_chunks(df, [series, *order], stage)
+    # One row per chunk and series from here on.
+    last = lagged.groupBy(series, "_chunk").agg(F.max(F.struct(*needed)).alias("_last"))
     handed = last.select(series, "_chunk", F.lag("_last").over(W.partitionBy(series).orderBy("_chunk")).alias("_in"))
     joined = lagged.join(handed, [series, "_chunk"], "left")
     filled = {
-        new: F.when(F.col("_first"), F.col(f"_in.{old}")).otherwise(F.col(new)) for old, new in columns.items()
+        new: F.when(F.col("_first"), F.col(f"_in.{old}")).otherwise(F.col(f"_p{i}"))
+        for i, (old, new) in enumerate(columns.items())
     }
-    return joined.withColumns(filled).drop("_chunk", "_place", "_first", "_in")
+    return joined.withColumns(filled).drop("_chunk", "_place", "_first", "_in", *[f"_p{i}" for i in range(len(columns))])
 
 
 def throughput(log: DataFrame, series: str, step: str = "step", timestamp: str = "timestamp") -> DataFrame:
@@ -67,6 +97,23 @@ def metric_buckets(log: DataFrame, series: str, interval: int, step: str = "step
     return seen.withColumn("missing_before", gap).drop("_prev")
 
 
+EMA_BLOCK = 128
+
+
+def _running(x: np.ndarray, before: float, d: float) -> np.ndarray:
+    """s <- d s + (1-d) x along ``x`` from ``before``, a block of rows to a matrix product."""
+    steps = np.arange(EMA_BLOCK)
+    weights = np.tril((1.0 - d) * d ** np.clip(steps[:, None] - steps[None, :], 0, None))
+    fades = d ** (steps + 1.0)
+    out = np.empty(len(x))
+    for at in range(0, len(x), EMA_BLOCK):
+        part = x[at : at + EMA_BLOCK]
+        m = len(part)
+        out[at : at + m] = weights[:m, :m] @ part + fades[:m] * before
+        before = out[at + m - 1]
+    return out
+
+
 def ema_series(
     df: DataFrame,
     series: str,
@@ -79,23 +126,34 @@ def ema_series(
 
     The recurrence is linear, so each chunk is run from zero, and what came before it
     is added as carry * d^position. Carries are folded over the chunk ends, a few rows
-    per series. ``state`` (series, ema) continues series from an earlier run.
+    per series. ``state`` (series, ema) continues series from an earlier run. A null value has
+    no average and leaves the state as it is.
     """
     d = float(decay)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, s, n = None, 0.0, 0
         for batch in batches:
-            out_s, out_n = [], []
-            names, chunks, values = (batch.column(c).to_pylist() for c in (series, "_chunk", value))
-            for name, chunk, x in zip(names, chunks, values):
-                if (name, chunk) != here:
-                    here, s, n = (name, chunk), 0.0, 0
-                s = d * s + (1.0 - d) * x
-                n += 1
-                out_s.append(s)
-                out_n.append(n)
-            added = [pa.array(out_s, pa.float64()), pa.array(out_n, pa.int64())]
+            values = batch.column(value)
+            known = np.asarray(values.is_valid().to_numpy(zero_copy_only=False), bool)
+            x = pc.fill_null(pc.cast(values, pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+            names, chunks = batch.column(series), batch.column("_chunk").to_numpy(zero_copy_only=False)
+            codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            local, count = np.zeros(len(x)), np.zeros(len(x), np.int64)
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(chunks) != 0)) + 1
+            for first, end in zip([0, *cuts], [*cuts, len(x)]):
+                if first == end:
+                    continue
+                key = (names[int(first)].as_py(), int(chunks[first]))
+                if key != here:
+                    here, s, n = key, 0.0, 0
+                live = np.flatnonzero(known[first:end]) + first
+                local[live] = _running(x[live], s, d)
+                count[live] = n + 1 + np.arange(len(live))
+                if len(live):
+                    s, n = local[live[-1]], n + len(live)
+            mask = ~known
+            added = [pa.array(local, pa.float64(), mask=mask), pa.array(count, pa.int64(), mask=mask)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added], names=[*batch.schema.names, "_local", "_n"]
             )
@@ -106,25 +164,33 @@ def ema_series(
 
     local = range_chunks(df, [series, *order], stage)
 
-    ends = local.groupBy(series, "_chunk").agg(
+    live = local.filter(F.col("_n").isNotNull())
+    ends = live.groupBy(series, "_chunk").agg(
         F.max(F.struct("_n", "_local")).alias("_end"), F.min(F.struct("_n", F.col(value).alias("x"))).alias("_head")
     )
+    # At most one entry per chunk and series, folded once from the first to the last.
     ends = ends.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_end", "_head"))).alias("_ends"))
     seed = F.element_at("_ends", 1)["_head"]["x"].cast("double")
     if state is not None:
         ends = ends.join(state.select(series, F.col("ema").alias("_state")), series, "left")
         seed = F.coalesce("_state", seed)
-    # At most one entry per chunk and series; the carry into a chunk is the fold over those before.
-    start = F.struct(seed.alias("carry"), F.array().cast("array<struct<chunk:bigint,carry:double>>").alias("done"))
-
-    def step(acc, end):
-        entry = F.struct(end["_chunk"].alias("chunk"), acc["carry"].alias("carry"))
-        after = acc["carry"] * F.pow(F.lit(d), end["_end"]["_n"]) + end["_end"]["_local"]
-        return F.struct(after.alias("carry"), F.concat(acc["done"], F.array(entry)).alias("done"))
-
-    carries = ends.select(series, F.explode(F.aggregate("_ends", start, step)["done"]).alias("_c")).select(
-        series, F.col("_c.chunk").alias("_chunk"), F.col("_c.carry").alias("_carry")
-    )
-    joined = local.join(carries, [series, "_chunk"])
+    listed = ends.select(series, seed.alias("_seed"), F.transform("_ends", lambda e: F.struct(e["_chunk"].alias("_chunk"), e["_end"].alias("_end"))).alias("_ends"))
+
+    def carry(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for i, (name, s) in enumerate(zip(batch.column(0), batch.column(1).to_pylist())):
+                chunks, carries = [], []
+                for end in batch.column(2)[i].as_py():
+                    chunks.append(end["_chunk"])
+                    carries.append(s)
+                    s = s * d ** end["_end"]["_n"] + end["_end"]["_local"]
+                names = pa.array([name.as_py()] * len(chunks), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(chunks, pa.int64()), pa.array(carries, pa.float64())], [series, "_chunk", "_carry"]
+                )
+
+    kind = df.schema[series].dataType.simpleString()
+    carries = listed.mapInArrow(carry, f"`{series}` {kind}, _chunk bigint, _carry double")
+    joined = local.join(carries, [series, "_chunk"], "left")
     ema = F.col("_local") + F.col("_carry") * F.pow(F.lit(d), F.col("_n"))
     return joined.withColumn("ema", ema).drop("_chunk", "_place", "_local", "_n", "_carry")

@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from captionloom.session import materialize
 
-def hot_keys(df: DataFrame, key: str, top: int = 64, min_rows: int = 200_000) -> DataFrame:
-    """The at most ``top`` most frequent keys with ``min_rows`` rows or more.
 
-    Counts are combined map-side. Any key left out has less than 1/top of the rows, so a
-    bounded list is enough, and its size does not grow with the data.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n"), key).limit(top).select(key)
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "inner",
-    spread: Column | None = None,
-    fanout: int = 32,
-    top: int = 64,
-    min_rows: int = 200_000,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join of ``left`` with ``right`` (inner, left, left_semi, left_anti) on ``key``.
-
-    Left rows of a hot key are spread over ``fanout`` salts and the right rows of that key are
-    repeated once per salt; all other rows have salt 0. Null keys match nothing, so where they
-    are kept they are spread too, and no task receives them all. Without hot keys it is the
-    plain join. Results are equal in any case.
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join of ``left`` with ``right``, a table of one row per key, which may be an aggregate.
 
-    Keys are counted first, in ``counted`` if given: a cheaper table to count in where ``left``
-    is costly to compute twice. It only decides which keys are salted.
+    Spark splits the partitions of a hot key, and of null keys where they are kept, by the bytes that it
+    measures, for every join type that keeps left rows only once. It can do so where both sides come
+    straight from an exchange. An aggregate by the same key would not, so the right side is written
+    out first; a small one is then broadcast, by its size on disk.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = [r[0] for r in hot_keys(left if counted is None else counted, key, top, min_rows).collect()]
-    keeps_nulls = how in ("left", "left_anti")
-    if not hot and not keeps_nulls:
-        return left.join(right, key, how)
-    spread = spread if spread is not None else F.xxhash64(*left.columns)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
-    salted = is_hot | F.col(key).isNull() if keeps_nulls else is_hot
-    lhs = left.withColumn("_salt", F.when(salted, F.pmod(spread, F.lit(fanout)).cast("int")).otherwise(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
-    rhs = right.filter(F.col(key).isNotNull()).withColumn("_salt", F.explode(salts) if hot else F.lit(0))
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    return left.join(materialize(right, "joined"), key, how)

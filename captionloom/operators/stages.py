@@ -31,7 +31,7 @@ def try_map(fn: Callable, column: Column | str, return_type: str) -> Column:
             try:
                 out.append((fn(v), None))
             except Exception as e:  # any failure of the caller's code marks the row
-                out.append((None, f"{type(e).__name__}: {e}"[:500]))
+                out.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["value", "error"])
 
     return stage(F.col(column) if isinstance(column, str) else column)

@@ -11,12 +11,15 @@ from captionloom.sources import shards
 from captionloom.sources.vocab import read_vocab
 
 
-def token_batches(spark: SparkSession, settings: DataSettings, seed, epoch: int = 0) -> DataFrame:
+def token_batches(
+    spark: SparkSession, settings: DataSettings, seed, epoch: int = 0, skip_bad: bool = False
+) -> DataFrame:
     """``batch_id, batch_rows, key, tokens, mask``: one epoch, shuffled, with caption dropout.
 
-    Media stay in the shards; batches name their samples by key.
+    Media stay in the shards; batches name their samples by key. With ``skip_bad`` samples behind a shard's
+    damage are left out; ``shards.shard_faults`` accounts for them.
     """
-    samples = shards.read_shards(spark, settings.shards_path, skip_bad=True)
+    samples = shards.read_shards(spark, settings.shards_path, skip_bad=skip_bad)
     pick = shards.latent_samples if settings.latent_mode else shards.image_samples
     texts = pick(samples).select("key", clean_caption("caption").alias("caption"))
     vocab = read_vocab(spark, settings.tokenizer_path)

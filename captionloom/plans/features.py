@@ -76,7 +76,8 @@ def feature_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moments.fid(views.sided_vectors(spark, sf_dir))
+    found = moments.fid(views.sided_vectors(spark, sf_dir))
+    return found.select("n_real", "n_fake", F.round("fid", 6).alias("fid"))
 
 
 def kid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +86,12 @@ def kid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as token rows (a turn is a token), pooled over the vectors of their turns."""
+    """Conversations as token rows (a turn is a token, numbered from 1), pooled over the vectors of their turns."""
     turns = views.table(spark, sf_dir, "conversations")
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("int"))).alias("ids"))
-    rows = rows.select("conv_id", pad_truncate("ids", 8).alias("tokens"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("int") + 1)).alias("ids"))
+    rows = rows.select("conv_id", pad_truncate("ids", 77).alias("tokens"))
     rows = rows.withColumn("mask", attention_mask("tokens"))
-    table = views.vectors(spark, sf_dir).select(F.col("vec_id").cast("int").alias("id"), "embedding")
+    table = views.vectors(spark, sf_dir).select((F.col("vec_id").cast("int") + 1).alias("id"), "embedding")
     pooled = scores.masked_mean(rows, table, "conv_id")
     return pooled.select("conv_id", V.vector_text("pooled").alias("pooled"))
 
@@ -230,6 +231,33 @@ SELECT rank, image, item_id FROM a FULL JOIN b USING (rank)""",
     "feature_cov": f"""WITH {_CELLS_SQL}
 SELECT a.side, a.i, b.i AS j, round(covar_samp(a.x, b.x), 9) AS cov
 FROM cells a JOIN cells b USING (vec_id) GROUP BY 1, 2, 3""",
+    # The trace of the root of the product: coupled Newton-Schulz steps on the matrix over its trace.
+    "fid": f"""WITH RECURSIVE {_CELLS_SQL},
+m AS (SELECT side, i, avg(x) AS mean, count(*) AS n FROM cells GROUP BY 1, 2),
+c AS (
+  SELECT a.side, a.i, b.i AS j, covar_samp(a.x, b.x) AS v
+  FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.side = b.side GROUP BY 1, 2, 3),
+p AS (
+  SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i WHERE a.side = 'real' AND b.side = 'fake' GROUP BY 1, 2),
+s AS (SELECT sum(v) AS s FROM p WHERE i = j),
+steps AS (
+  SELECT 0 AS k, 'y' AS w, i, j, v / s AS v FROM p, s
+  UNION ALL SELECT 0, 'z', i, j, (i = j)::INT::DOUBLE FROM p
+  UNION ALL
+  SELECT k, w, i, j, v FROM (
+    SELECT any_value(y.k) + 1 AS k, 'y' AS w, y.i, t.j, sum(y.v * t.v) AS v FROM steps y JOIN (
+      SELECT z.i, x.j, 1.5 * (z.i = x.j)::INT - 0.5 * sum(z.v * x.v) AS v
+      FROM steps z JOIN steps x ON z.w = 'z' AND x.w = 'y' AND z.j = x.i GROUP BY z.i, x.j) t
+    ON y.w = 'y' AND y.j = t.i WHERE y.k < 45 GROUP BY y.i, t.j
+    UNION ALL
+    SELECT any_value(z.k) + 1, 'z', t.i, z.j, sum(t.v * z.v) FROM steps z JOIN (
+      SELECT z.i, x.j, 1.5 * (z.i = x.j)::INT - 0.5 * sum(z.v * x.v) AS v
+      FROM steps z JOIN steps x ON z.w = 'z' AND x.w = 'y' AND z.j = x.i GROUP BY z.i, x.j) t
+    ON z.w = 'z' AND t.j = z.i WHERE z.k < 45 GROUP BY t.i, z.j)),
+root AS (SELECT sum(v) * sqrt(any_value(s)) AS tr FROM steps, s WHERE w = 'y' AND i = j AND k = (SELECT max(k) FROM steps))
+SELECT (SELECT max(n) FROM m WHERE side = 'real') AS n_real, (SELECT max(n) FROM m WHERE side = 'fake') AS n_fake,
+       round((SELECT sum((a.mean - b.mean) ** 2) FROM m a JOIN m b USING (i) WHERE a.side = 'real' AND b.side = 'fake')
+             + (SELECT sum(v) FROM c WHERE i = j) - 2 * tr, 6) AS fid FROM root""",
     "kid": f"""WITH v AS (
   SELECT vec_id, embedding, CASE WHEN label < 5 THEN 'real' ELSE 'fake' END AS side FROM embeddings),
 ranked AS (
@@ -247,7 +275,7 @@ scored AS (
 SELECT count(*) AS subsets, round(avg(mmd2), 9) AS kid_mean, round(stddev_pop(mmd2), 9) AS kid_std FROM scored""",
     "masked_mean": f"""WITH tok AS (
   SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
-live AS (SELECT conv_id, turn FROM tok WHERE r <= 8 AND turn <> 0),
+live AS (SELECT conv_id, turn FROM tok WHERE r <= 77),
 cells AS (SELECT l.conv_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
           FROM live l JOIN embeddings e ON e.vec_id = l.turn),
 means AS (SELECT conv_id, i, avg(x) AS m FROM cells GROUP BY 1, 2),

@@ -10,6 +10,7 @@ from captionloom.functions.text import clean_caption, clamp_text
 from captionloom.operators import filters, ordering, payload, sampling
 from captionloom.plans import views
 from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql, u32_sql
+from captionloom.session import fresh_dir
 from captionloom.sources import metadata as meta_source
 
 SEED = 17
@@ -48,19 +49,13 @@ def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attach_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.metadata(spark, sf_dir)
-    joined = payload.attach_payload(
-        filters.safe_captions(raw), views.payload(spark, sf_dir), spread=F.xxhash64("idx"),
-        counted=raw.select(F.col("URL").alias("url")),
-    )
+    joined = payload.attach_payload(filters.safe_captions(raw), views.payload(spark, sf_dir))
     return joined.select("idx", "url", "caption", F.md5(F.col("html").cast("binary")).alias("payload_md5"))
 
 
 def missing_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.metadata(spark, sf_dir)
-    return payload.missing_payload(
-        filters.safe_captions(raw).select("idx", "url"), views.payload(spark, sf_dir), spread=F.xxhash64("idx"),
-        counted=raw.select(F.col("URL").alias("url")),
-    )
+    return payload.missing_payload(filters.safe_captions(raw).select("idx", "url"), views.payload(spark, sf_dir))
 
 
 def limit_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +115,38 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 25 benchmark lines as prompts, with an inline prompt at the end of the list."""
+    """The first 35 prompts of the benchmark lines and an inline prompt behind them (a limit is the feature)."""
     table = views.table(spark, sf_dir, "benchmark")
-    listed = meta_source.prompt_table(table, "item_id", "text", inline="  a red fox ")
-    return listed.orderBy(F.desc("pos")).limit(25).select("pos", "prompt")
+    return meta_source.prompt_table(table, "item_id", "text", inline="  a red fox ", limit=35).select("pos", "prompt")
+
+
+def prompts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark lines as prompts, with the inline prompt at the end of the list."""
+    table = views.table(spark, sf_dir, "benchmark")
+    return meta_source.prompt_table(table, "item_id", "text", inline="  a red fox ").select("pos", "prompt")
+
+
+def shuffle_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a shuffle within partitions: all of them, whatever their order."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return ordering.shuffle_local(docs, "doc_id", SEED, epoch=1)
+
+
+def json_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a JSON Lines file that mixes ``NSFW``, ``nsfw`` and neither, with the flag of each key's presence."""
+    path = fresh_dir(spark, "flags")
+    meta = views.metadata(spark, sf_dir)
+    key = F.col("idx") % 3
+    line = (
+        F.when(key == 0, F.to_json(F.struct("URL", "TEXT", "NSFW"), {"ignoreNullFields": "false"}))
+        .when(key == 1, F.to_json(F.struct("URL", "TEXT", F.col("NSFW").alias("nsfw")), {"ignoreNullFields": "false"}))
+        .otherwise(F.to_json(F.struct("URL", "TEXT"), {"ignoreNullFields": "false"}))
+    )
+    meta.select(line.alias("value")).write.text(path)
+    rows = meta_source.read_json_lines_flagged(spark, path)
+    return rows.groupBy(F.lower("NSFW").alias("flag"), F.md5(F.col("TEXT").cast("binary")).alias("text_md5")).agg(
+        F.count("*").alias("n"), F.count("URL").alias("with_url")
+    )
 
 
 QUERIES = {
@@ -132,6 +155,7 @@ QUERIES = {
         clean_documents, clean_pages, safe_rows, caption_clamp, caption_corpus, filter_funnel,
         attach_payload, missing_payload, limit_input, shard_assign, shuffle_rank, batch_assign,
         caption_dropout, holdout_split, resample_shards, manifest, prompts_union,
+        prompts_all, shuffle_local, json_flags,
     )
 }
 
@@ -139,6 +163,10 @@ _RANKED_SQL = f"""ranked AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}|1|' || doc_id), doc_id) - 1 AS shuffle_rank
   FROM documents)"""
 
+_PROMPTS_SQL = """SELECT pos, prompt FROM (
+  SELECT item_id AS pos, trim(text) AS prompt FROM benchmark WHERE trim(text) <> ''
+  UNION ALL SELECT max(item_id) + 1, 'a red fox' FROM benchmark WHERE trim(text) <> '')"""
+
 ORACLES = {
     "clean_documents": f"SELECT doc_id, {clean_sql('text')} AS caption FROM documents",
     "clean_pages": f"SELECT page_id, {clean_sql('html')} AS caption FROM pages",
@@ -190,7 +218,10 @@ SELECT shard, sum(rows)::BIGINT AS rows, count(*) AS draws FROM draws JOIN shard
   SELECT trim(url) AS url FROM pages WHERE trim(url) <> '' AND NOT starts_with(trim(url), '#')),
 named AS (SELECT url, list_extract(string_split(url, '/'), -1) AS filename FROM urls)
 SELECT url, filename, count(*) OVER (PARTITION BY filename) AS same_name FROM named""",
-    "prompts_union": """SELECT pos, prompt FROM (
-  SELECT item_id AS pos, trim(text) AS prompt FROM benchmark WHERE trim(text) <> ''
-  UNION ALL SELECT 4611686018427387904, 'a red fox') ORDER BY pos DESC LIMIT 25""",
+    "prompts_union": f"{_PROMPTS_SQL} ORDER BY pos LIMIT 35",
+    "prompts_all": _PROMPTS_SQL,
+    "shuffle_local": "SELECT doc_id, source FROM documents",
+    "json_flags": f"""WITH {METADATA_SQL}
+SELECT CASE WHEN idx % 3 = 2 THEN '' ELSE lower(coalesce("NSFW", 'none')) END AS flag, md5(nullif("TEXT", '')) AS text_md5,
+       count(*) AS n, count(nullif("URL", '')) AS with_url FROM metadata GROUP BY 1, 2""",
 }

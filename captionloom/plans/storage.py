@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from captionloom.functions.tokens import attention_mask, pad_truncate
 from captionloom.operators import filters, ordering, payload, series, stages
-from captionloom.operators.skew import salted_join
 from captionloom.plans import tokens as token_plans
 from captionloom.plans import views
 from captionloom.plans.features import ORACLES as FEATURE_SQL
 from captionloom.plans.prepare import ORACLES as PREPARE_SQL
+from captionloom.plans.tokens import ORACLES as TOKEN_SQL
 from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL
 from captionloom.session import fresh_dir
 from captionloom.sources import images, metric_log, shards
@@ -63,9 +63,9 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.metadata(spark, sf_dir, indexed=True)
     fetched = views.payload(spark, sf_dir)
     # Ranks need only to know which payloads exist; the bytes join in afterwards.
-    found = salted_join(raw, fetched.select(F.col("url").alias("URL")), "URL", "left_semi", F.xxhash64("idx"))
+    found = raw.join(fetched.select(F.col("url").alias("URL")), "URL", "left_semi")
     kept = filters.safe_captions(found)
-    ranked = payload.attach_payload(ordering.kept_rank(kept), fetched, spread=F.xxhash64("idx"))
+    ranked = payload.attach_payload(ordering.kept_rank(kept), fetched)
     members = F.create_map(
         F.lit("jpg"), F.encode("html", "UTF-8"), F.lit("txt"), F.encode("caption", "UTF-8")
     )
@@ -73,11 +73,32 @@ def shard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked.select(ordering.shard_id("kept_rank", 50).alias("shard"), ordering.sample_key("idx").alias("key"), members.alias("members")),
         path,
     )
-    back = shards.read_shards(spark, path)
-    samples = shards.image_samples(back).join(back.select("key", "shard"), "key")
+    samples = shards.image_samples(shards.read_shards(spark, path))
     return samples.select("shard", "key", "caption", F.md5("image").alias("payload_md5"))
 
 
+def shard_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in shards, every third shard then damaged: samples read and lost, by kind of shard."""
+    path = fresh_dir(spark, "damaged")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.pmod(F.col("doc_id"), F.lit(30))
+    members = F.create_map(F.lit("txt"), F.encode("text", "UTF-8"))
+    rows = docs.select(F.format_string("%06d", number).alias("shard"), ordering.sample_key("doc_id").alias("key"), members.alias("members"))
+    shards.write_shards(rows, path)
+    system, inner = open_fs(path)
+    for k in range(0, 30, 3):
+        with system.open_output_stream(f"{inner}/{k:06d}.tar") as out:
+            out.write(b"no tar at all" * 100)
+    good = shards.read_shards(spark, path, skip_bad=True)
+    faults = shards.shard_faults(spark, path)
+    lost = rows.groupBy("shard").agg(F.count("*").alias("written")).join(faults, "shard")
+    read = good.groupBy("shard").agg(F.count("*").alias("read"))
+    return lost.join(read, "shard", "left").select(
+        "shard", "written", F.coalesce("read", F.lit(0)).alias("read"), (F.col("written") - F.col("samples")).alias("lost"),
+        F.col("error").isNotNull().alias("damaged"),
+    )
+
+
 def _png(grey: np.ndarray) -> bytes:
     """A small RGB PNG of a square grey image."""
     side = grey.shape[0]
@@ -162,19 +183,21 @@ def vocab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Which metric an event type stands for.
-_METRIC_OF = {"click": "loss", "view": "lr", "error": "clip_mean"}
+_METRIC_OF = {"click": "loss", "view": "lr", "error": "clip_mean", "purchase": "clip_std", "signup": "grad_norm"}
 
 
 def metric_log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as log records, appended in two runs with overlapping steps, read in long form."""
+    """All events as log records, appended in two runs with overlapping steps, read in long form."""
     path = fresh_dir(spark, "log")
-    events = views.table(spark, sf_dir, "events").filter(F.col("event_type").isin(*_METRIC_OF))
+    events = views.table(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     named = [F.when(F.col("event_type") == e, F.col("value")).alias(m) for e, m in _METRIC_OF.items()]
     records = events.select((at / 1e6).alias("timestamp"), (F.col("event_id") % 2000).alias("step"), *named)
     metric_log.append_log(records.filter("step < 1500"), path)
     metric_log.append_log(records.filter("step >= 1500"), path)
-    log = metric_log.long_form(metric_log.read_log(spark, path))
+    metrics = tuple(_METRIC_OF.values())
+    schema = "timestamp double, step bigint, " + ", ".join(f"{m} double" for m in metrics)
+    log = metric_log.long_form(metric_log.read_log(spark, path, schema), metrics)
     latest = series.log_latest(log, ["series", "step"])
     return latest.select("series", "step", F.unix_micros("timestamp").alias("ts_us"), "value")
 
@@ -259,7 +282,7 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metadata_formats, caption_file, shard_roundtrip, image_scan, stage_encode, quarantine, vector_store,
+        metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan, stage_encode, quarantine, vector_store,
         vocab_files, metric_log_file, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
     )
 }
@@ -276,6 +299,10 @@ SELECT lower(coalesce("NSFW", CASE WHEN idx % 4 = 0 AND NOT EXISTS (
 kept AS (SELECT idx, substr(caption, 1, 512) AS caption, md5(html) AS payload_md5,
                 row_number() OVER (ORDER BY idx) - 1 AS r FROM safe JOIN payload USING (url))
 SELECT printf('%06d', r // 50) AS shard, printf('sample-%09d', idx) AS key, caption, payload_md5 FROM kept""",
+    "shard_quarantine": """SELECT printf('%06d', doc_id % 30) AS shard, count(*) AS written,
+  CASE WHEN doc_id % 30 % 3 = 0 THEN 0 ELSE count(*) END AS read,
+  CASE WHEN doc_id % 30 % 3 = 0 THEN count(*) ELSE 0 END AS lost, doc_id % 30 % 3 = 0 AS damaged
+FROM documents GROUP BY doc_id % 30""",
     "image_scan": """SELECT printf('img-%09d.png', vec_id) AS name, 8::BIGINT AS width, 8::BIGINT AS height, 3::BIGINT AS channels,
   list_sum(list_transform(embedding, lambda x: 3 * floor((x::DOUBLE + 1.0) * 127.5)))::BIGINT AS pixel_sum
 FROM embeddings WHERE vec_id <> 0""",
@@ -285,10 +312,11 @@ SELECT vec_id, i, round(avg(x) * {LATENT_SCALE}::DOUBLE, 6) AS x FROM cells GROU
     "quarantine": """SELECT CASE WHEN contains(text, '@') THEN 'ValueError' WHEN contains(text, '.') THEN 'ok'
   ELSE 'dropped' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
     "vector_store": "SELECT vec_id, len(embedding)::BIGINT AS dims, true AS close FROM embeddings",
+    "vocab_files": TOKEN_SQL["vocab_files"],
     "metric_log_file": """WITH log AS (
-  SELECT CASE event_type WHEN 'click' THEN 'loss' WHEN 'view' THEN 'lr' ELSE 'clip_mean' END AS series,
-         event_id % 2000 AS step, epoch_us(ts) AS ts_us, value FROM events
-  WHERE event_type IN ('click', 'view', 'error'))
+  SELECT CASE event_type WHEN 'click' THEN 'loss' WHEN 'view' THEN 'lr' WHEN 'error' THEN 'clip_mean'
+         WHEN 'purchase' THEN 'clip_std' WHEN 'signup' THEN 'grad_norm' END AS series,
+         event_id % 2000 AS step, epoch_us(ts) AS ts_us, value FROM events)
 SELECT series, step, max(ts_us) AS ts_us, max_by(value, ts_us) AS value FROM log GROUP BY 1, 2""",
     "stream_ingest": f"""WITH {METADATA_SQL}, {SAFE_SQL},
 clamped AS (SELECT idx, substr(caption, 1, 512) AS caption FROM safe),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,16 @@ def build_session(app_name: str = "captionloom", master: str | None = None, **co
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local runs
-    and tests) a folder of our own is made, and then remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one
+    local process (tests) a folder of our own is made, and then remembered in the session; a
+    cluster without a shared folder is refused, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     root = spark.conf.get("spark.captionloom.sharedDir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="captionloom-")

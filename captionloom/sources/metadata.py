@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from captionloom.functions.text import clean_caption, first_truthy
-from captionloom.operators.skew import salted_join
+from captionloom.operators.skew import skew_join
 
 
-def _read_one(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+def _read_one(spark: SparkSession, path: str, schema: T.StructType | None, multi_line: bool = True) -> DataFrame:
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix in (".json", ".jsonl"):
         # Spark skips blank lines itself; every scalar is kept as the text it was written as.
@@ -25,7 +25,7 @@ def _read_one(spark: SparkSession, path: str, schema: T.StructType | None) -> Da
             .option("sep", "\t" if suffix == ".tsv" else ",")
             .option("quote", '"')
             .option("escape", '"')
-            .option("multiLine", "true")
+            .option("multiLine", str(multi_line))
         )
         return (reader.schema(schema) if schema else reader).csv(path)
     if suffix == ".parquet":
@@ -33,16 +33,19 @@ def _read_one(spark: SparkSession, path: str, schema: T.StructType | None) -> Da
     raise ValueError(f"Unsupported metadata format: {suffix or path}")
 
 
-def read_metadata(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
+def read_metadata(
+    spark: SparkSession, *paths: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Metadata by file suffix: JSON Lines, CSV/TSV with a header, or Parquet.
 
     Several files are put together by column name, absent columns filled with null. Pass
     ``schema`` for JSON or CSV at scale: it saves the pass that infers the columns.
-    ``NSFW`` next to ``nsfw`` in one file needs ``spark.sql.caseSensitive=true``.
+    ``NSFW`` next to ``nsfw`` in one file needs ``spark.sql.caseSensitive=true``. A CSV file whose fields
+    hold line breaks is read by one task; ``multi_line=False`` splits files that have none.
     """
     if not paths:
         raise ValueError("no metadata path given")
-    parts = [_read_one(spark, p, schema) for p in paths]
+    parts = [_read_one(spark, p, schema, multi_line) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -52,7 +55,10 @@ def read_json_lines_flagged(spark: SparkSession, path: str) -> DataFrame:
     Rows are parsed one by one, so that a file which mixes ``NSFW`` and ``nsfw`` keys is
     read without inferring a schema first.
     """
+    is_object = F.json_object_keys("value").isNotNull()
+    refused = F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("value")))
     lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = lines.select(F.when(is_object, F.col("value")).otherwise(refused).alias("value"))
     keys = F.json_object_keys("value")
     field = lambda name: F.get_json_object("value", f"$.{name}")
     flag = (
@@ -61,15 +67,13 @@ def read_json_lines_flagged(spark: SparkSession, path: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     blank = F.lit("")
+    # Every column goes through the parsed line, so that no choice of columns lets a bad line pass.
     return lines.select(
         F.coalesce(F.nullif(field("URL"), blank), F.nullif(field("url"), blank)).alias("URL"),
         F.coalesce(
             F.nullif(field("TEXT"), blank), F.nullif(field("text"), blank), F.nullif(field("caption"), blank)
         ).alias("TEXT"),
         flag.alias("NSFW"),
-        F.when(keys.isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("value"))))
-        .otherwise(F.lit(True))
-        .alias("parsed"),
     )
 
 
@@ -83,13 +87,13 @@ def url_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
 
     ``same_name`` counts the URLs that would be saved under one file name (a download
     would overwrite). It is an aggregate joined back, not a window: a name shared by
-    a large part of the list is counted map-side, and spread over tasks in the join.
+    a large part of the list is counted map-side, and split by Spark in the join.
     """
     url = F.trim(F.col(column))
     urls = lines.select(url.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
     named = urls.withColumn("filename", manifest_entry(F.col("url")))
     clashes = named.groupBy("filename").agg(F.count("*").alias("same_name")).filter("same_name > 1")
-    return salted_join(named, clashes, "filename", "left", F.xxhash64("url")).select(
+    return skew_join(named, clashes, "filename", "left").select(
         "url", "filename", F.coalesce("same_name", F.lit(1).cast("bigint")).alias("same_name")
     )
 
@@ -105,8 +109,8 @@ def prompt_table(
     listed = prompts.select(F.col(order).cast("bigint").alias("pos"), F.trim(text).alias("prompt"))
     listed = listed.filter(F.col("prompt") != "")
     if inline and inline.strip():
-        last = prompts.sparkSession.createDataFrame([(2**62, inline.strip())], "pos bigint, prompt string")
-        listed = listed.unionByName(last)
+        end = listed.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"), F.lit(inline.strip()).alias("prompt"))
+        listed = listed.unionByName(end)
     return listed.orderBy("pos").limit(limit) if limit else listed
 
 
@@ -149,7 +153,9 @@ def standardize(df: DataFrame) -> DataFrame:
     )
 
 
-def read_standard(spark: SparkSession, *paths: str) -> DataFrame:
+def read_standard(
+    spark: SparkSession, *paths: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """Several files as one ``URL, TEXT, NSFW`` table.
 
     Aliases are resolved per file: after a plain union a row of a file without ``NSFW`` could
@@ -157,4 +163,4 @@ def read_standard(spark: SparkSession, *paths: str) -> DataFrame:
     """
     if not paths:
         raise ValueError("no metadata path given")
-    return reduce(DataFrame.unionByName, [standardize(_read_one(spark, p, None)) for p in paths])
+    return reduce(DataFrame.unionByName, [standardize(_read_one(spark, p, schema, multi_line)) for p in paths])

@@ -7,6 +7,7 @@ dot of the base name, the extension what follows.
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from captionloom.sources.paths import expand_braces, list_files, open_fs
 
-SCHEMA = "shard string, key string, members map<string,binary>"
+SCHEMA = "shard string, key string, members map<string,binary>, error string"
+#: Folder, beside the tars, of the lists of what each committed write made.
+LISTS = "_shards"
+# What counts as an image, the first that a sample has.
 IMAGE_EXTENSIONS = ("jpg", "png", "jpeg")
 BATCH_BYTES = 16 << 20
 BATCH_SAMPLES = 1000
@@ -31,12 +35,52 @@ class _Tar(InputPartition):
     path: str
 
 
+def _listed(system: fs.FileSystem, root: str) -> list[str] | None:
+    """Names of the tars that committed writes to a folder have listed; None where there is no list."""
+    folder = f"{root}/{LISTS}"
+    if system.get_file_info(folder).type != fs.FileType.Directory:
+        return None
+    names: set[str] = set()
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if info.base_name.endswith(".json"):
+            with system.open_input_stream(info.path) as stream:
+                names.update(json.loads(stream.read()))
+    return sorted(names)
+
+
+def _shard_files(pattern: str) -> list[str]:
+    """The tars of a path or brace pattern. Each parent folder is listed once; a tar that is missing fails.
+
+    In a folder written by ``write_shards`` only committed tars count: what a failed job left behind does not.
+    """
+    paths = expand_braces(pattern)
+    if paths == [pattern] and not pattern.endswith(".tar"):
+        system, inner = open_fs(pattern.rstrip("/"))
+        names = _listed(system, inner)
+        if names is not None:
+            paths = [f"{pattern.rstrip('/')}/{n}.tar" for n in names]
+        else:
+            paths = list_files(pattern, ".tar")
+            if not paths:
+                raise ValueError(f"no shards at {pattern}")
+            return paths
+    by_folder: dict[str, list[str]] = {}
+    for path in paths:
+        by_folder.setdefault(path.rpartition("/")[0], []).append(path)
+    missing = []
+    for folder, wanted in by_folder.items():
+        there = {f.rpartition("/")[2] for f in list_files(folder, ".tar")}
+        missing += [p for p in wanted if p.rpartition("/")[2] not in there]
+    if missing or not paths:
+        raise ValueError(f"no shards at {', '.join(missing[:5]) or pattern} ({len(missing)} of {len(paths)} missing)")
+    return paths
+
+
 class _ShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.skip_bad = str(options.get("skipbad", "false")).lower() == "true"
-        self.paths = [f for p in expand_braces(options["path"]) for f in list_files(p, ".tar")]
-        if not self.paths:
-            raise ValueError(f"no shards at {options['path']}")
+        self.names_only = str(options.get("members", "all")).lower() == "none"
+        self.paths = _shard_files(options["path"])
 
     def partitions(self):
         return [_Tar(p) for p in self.paths]
@@ -44,100 +88,130 @@ class _ShardReader(DataSourceReader):
     def read(self, partition: _Tar) -> Iterator[pa.RecordBatch]:
         system, inner = open_fs(partition.path)
         shard = inner.rsplit("/", 1)[-1].removesuffix(".tar")
-        keys: list[str] = []
-        members: list[list[tuple[str, bytes]]] = []
+        keys: list[str | None] = []
+        members: list[list[tuple[str, bytes]] | None] = []
         size = 0
+        fault = None
 
         def batch() -> pa.RecordBatch:
+            errors = [None] * len(keys)
+            if fault is not None:
+                errors[-1] = fault
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * len(keys), pa.string()),
                     pa.array(keys, pa.string()),
                     pa.array(members, pa.map_(pa.string(), pa.binary())),
+                    pa.array(errors, pa.string()),
                 ],
-                names=["shard", "key", "members"],
+                names=["shard", "key", "members", "error"],
             )
 
-        try:
-            with system.open_input_stream(inner) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
-                for info in tar:
-                    if not info.isfile():
-                        continue
-                    folder, _, base = info.name.rpartition("/")
-                    stem, _, ext = base.partition(".")
-                    key = f"{folder}/{stem}" if folder else stem
-                    data = tar.extractfile(info).read()
-                    if not keys or keys[-1] != key:
-                        if size >= BATCH_BYTES or len(keys) >= BATCH_SAMPLES:
-                            yield batch()
-                            keys, members, size = [], [], 0
-                        keys.append(key)
-                        members.append([])
-                    members[-1].append((ext.lower(), data))
-                    size += len(data)
-        except (tarfile.TarError, OSError):
-            # A damaged shard ends here: what was read stands, if the caller asked for that.
-            if not self.skip_bad:
-                raise
+        with system.open_input_stream(inner) as stream:
+            try:
+                with tarfile.open(fileobj=stream, mode="r|") as tar:
+                    for info in tar:
+                        if not info.isfile():
+                            continue
+                        folder, _, base = info.name.rpartition("/")
+                        stem, _, ext = base.partition(".")
+                        key = f"{folder}/{stem}" if folder else stem
+                        data = b"" if self.names_only else tar.extractfile(info).read()
+                        if not keys or keys[-1] != key:
+                            if size >= BATCH_BYTES or len(keys) >= BATCH_SAMPLES:
+                                yield batch()
+                                keys, members, size = [], [], 0
+                            keys.append(key)
+                            members.append([])
+                        members[-1].append((ext.lower(), data))
+                        size += len(data)
+            except tarfile.TarError as e:
+                # A damaged tar, not a failing network: that raises OSError and is tried again.
+                if not self.skip_bad:
+                    raise
+                fault = f"{type(e).__name__}: {e}"
+                # The sample at hand may be cut off; it goes into the account, not into the data.
+                if keys:
+                    keys.pop()
+                    members.pop()
+                keys.append(None)
+                members.append(None)
         if keys:
             yield batch()
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list
+    names: list
 
 
 class _ShardWriter(DataSourceArrowWriter):
-    """Writes under names of this attempt only; commit gives the files their final names."""
+    """Tasks write under names of their own and give whole tars their final name; commit lists them."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
         self.root = options["path"].rstrip("/")
-        self.staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
+        self.overwrite = overwrite
+        self.run = uuid.uuid4().hex
+        system, root = open_fs(self.root)
+        self.old = _listed(system, root) or []
+        replace = str(options.get("replace", "false")).lower() == "true"
+        self.taken = set() if overwrite or replace else set(self.old)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        system, staging = open_fs(self.staging)
+        system, root = open_fs(self.root)
+        staging = f"{root}/_staging-{self.run}"
         system.create_dir(staging, recursive=True)
         attempt = uuid.uuid4().hex
-        files: list[tuple[str, str]] = []
-        tar = stream = shard = None
-        try:
-            for batch in iterator:
-                for name, key, members in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "members"))):
-                    if name != shard:
-                        if tar is not None:
-                            tar.close()
-                            stream.close()
-                        shard = name
-                        part = f"{staging}/{name}-{attempt}.part"
-                        stream = system.open_output_stream(part)
-                        tar = tarfile.open(fileobj=stream, mode="w|")
-                        files.append((part, name))
-                    for ext, data in sorted(dict(members).items()):
-                        info = tarfile.TarInfo(f"{key}.{ext}")
-                        info.size = len(data)
-                        tar.addfile(info, io.BytesIO(data))
-        finally:
-            if tar is not None:
-                tar.close()
-                stream.close()
-        return _Written(files)
+        names: list[str] = []
+        tar = stream = shard = part = None
+
+        def close() -> None:
+            tar.close()
+            stream.close()
+            system.move(part, f"{root}/{shard}.tar")
+            names.append(shard)
+
+        for batch in iterator:
+            for name, key, members in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "members"))):
+                if name != shard:
+                    if tar is not None:
+                        close()
+                    if name in self.taken:
+                        raise RuntimeError(f"shard {name} is there already; overwrite, or give the batch names of its own")
+                    shard = name
+                    part = f"{staging}/{name}-{attempt}.part"
+                    stream = system.open_output_stream(part)
+                    tar = tarfile.open(fileobj=stream, mode="w|")
+                for ext, data in sorted(dict(members).items()):
+                    info = tarfile.TarInfo(f"{key}.{ext}")
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+        if tar is not None:
+            close()
+        return _Written(names)
 
     def commit(self, messages) -> None:
         system, root = open_fs(self.root)
-        names = [name for m in messages if m for _, name in m.files]
+        names = [name for m in messages if m for name in m.names]
         if len(names) != len(set(names)):
             raise RuntimeError("a shard was written by more than one task; repartition by shard first")
-        for message in messages:
-            for part, name in message.files if message else []:
-                system.move(part, f"{root}/{name}.tar")
+        system.create_dir(f"{root}/{LISTS}", recursive=True)
+        before = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/{LISTS}"))]
+        with system.open_output_stream(f"{root}/{LISTS}/{self.run}.json") as out:
+            out.write(json.dumps(sorted(names)).encode())
+        if self.overwrite:
+            for path in before:
+                system.delete_file(path)
+            for name in set(self.old) - set(names):
+                system.delete_file(f"{root}/{name}.tar")
         self._drop_staging()
 
     def abort(self, messages) -> None:
         self._drop_staging()
 
     def _drop_staging(self) -> None:
-        system, staging = open_fs(self.staging)
+        system, root = open_fs(self.root)
+        staging = f"{root}/_staging-{self.run}"
         if system.get_file_info(staging).type == fs.FileType.Directory:
             system.delete_dir(staging)
 
@@ -156,13 +230,28 @@ class TarShards(DataSource):
         return _ShardReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _ShardWriter(self.options)
+        return _ShardWriter(self.options, overwrite)
+
+
+def read_shards(spark: SparkSession, pattern: str, skip_bad: bool = False, members: bool = True) -> DataFrame:
+    """``shard, key, members`` of a tar, a folder of tars, or a pattern with brace ranges.
+
+    A damaged tar fails the job. With ``skip_bad`` the samples before the damage are read, and
+    ``shard_faults`` accounts for the rest. ``members=False`` leaves the bytes unread, for keys and counts.
+    """
+    return _read(spark, pattern, skip_bad, members).filter("key IS NOT NULL").drop("error")
+
+
+def shard_faults(spark: SparkSession, pattern: str) -> DataFrame:
+    """``shard, samples, error``: of every shard the samples that could be read, and what ended it, if anything did."""
+    rows = _read(spark, pattern, True, False)
+    return rows.groupBy("shard").agg(F.count("key").alias("samples"), F.max("error").alias("error"))
 
 
-def read_shards(spark: SparkSession, pattern: str, skip_bad: bool = False) -> DataFrame:
-    """Samples of a tar, a folder of tars, or a pattern with brace ranges."""
+def _read(spark: SparkSession, pattern: str, skip_bad: bool, members: bool) -> DataFrame:
     spark.dataSource.register(TarShards)
-    return spark.read.format("tarshards").option("skipbad", str(skip_bad)).load(pattern)
+    reader = spark.read.format("tarshards").option("skipbad", str(skip_bad)).option("members", "all" if members else "none")
+    return reader.load(pattern)
 
 
 def member(*extensions: str) -> Column:
@@ -171,23 +260,27 @@ def member(*extensions: str) -> Column:
 
 
 def image_samples(shards: DataFrame) -> DataFrame:
-    """``key, image, caption`` of samples that have both an image and a text."""
-    rows = shards.select("key", member(*IMAGE_EXTENSIONS).alias("image"), F.decode(member("txt"), "UTF-8").alias("caption"))
+    """``shard, key, image, caption`` of samples that have both an image and a text."""
+    rows = shards.select("shard", "key", member(*IMAGE_EXTENSIONS).alias("image"), F.decode(member("txt"), "UTF-8").alias("caption"))
     return rows.filter(F.col("image").isNotNull() & F.col("caption").isNotNull())
 
 
 def latent_samples(shards: DataFrame) -> DataFrame:
-    rows = shards.select("key", member("pt").alias("latent"), F.decode(member("txt"), "UTF-8").alias("caption"))
+    rows = shards.select("shard", "key", member("pt").alias("latent"), F.decode(member("txt"), "UTF-8").alias("caption"))
     return rows.filter(F.col("latent").isNotNull() & F.col("caption").isNotNull())
 
 
-def write_shards(samples: DataFrame, path: str, shard: str = "shard", key: str = "key") -> None:
+def write_shards(
+    samples: DataFrame, path: str, shard: str = "shard", key: str = "key", mode: str = "append", replace: bool = False
+) -> None:
     """Writes ``shard, key, members`` rows, one tar per shard name, keys in order.
 
     A shard has a bounded number of samples, so rows are exchanged by shard name, and sorted
-    and streamed into tars within each task.
+    and streamed into tars within each task. ``mode='overwrite'`` takes away what earlier writes to the folder
+    listed; appending a shard name that is there already fails, unless ``replace`` says that it is written anew,
+    as when a micro-batch runs again.
     """
     samples.sparkSession.dataSource.register(TarShards)
-    rows = samples.select(F.col(shard).alias("shard"), F.col(key).alias("key"), "members")
+    rows = samples.select(F.col(shard).alias("shard"), F.col(key).alias("key"), "members", F.lit(None).cast("string").alias("error"))
     placed = rows.repartition("shard").sortWithinPartitions("shard", "key")
-    placed.write.format("tarshards").mode("append").save(path)
+    placed.write.format("tarshards").option("replace", str(replace)).mode(mode).save(path)

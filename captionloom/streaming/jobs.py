@@ -51,7 +51,7 @@ def shard_stream(stream: DataFrame, key: str, members, out: str, checkpoint: str
         rows = materialize(batch.select(F.col(key).alias("idx"), members.alias("members")), "microbatch")
         ranked = global_rank(rows, ["idx"], "kept_rank")
         shard = F.concat(F.lit(f"{batch_id:06d}-"), shard_id("kept_rank", shard_size))
-        write_shards(ranked.select(shard.alias("shard"), sample_key("idx").alias("key"), "members"), out)
+        write_shards(ranked.select(shard.alias("shard"), sample_key("idx").alias("key"), "members"), out, replace=True)
 
     return _each_batch(stream, write, checkpoint)
 

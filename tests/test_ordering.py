@@ -68,25 +68,40 @@ def test_zip_reports_the_unmatched(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_skew_join_equals_plain_join(spark, how):
     hot = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("u"), F.col("id") % 90))
     left = spark.range(3000).select("id", hot.alias("url"))
     right = spark.range(60).select(F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("v")).union(
         spark.createDataFrame([("hot", -1)], "url string, v bigint")
     )
     plain = left.join(right, "url", how)
-    salted = skew.salted_join(left, right, "url", how, F.xxhash64("id"), fanout=8, min_rows=100).select(*plain.columns)
+    joined = skew.skew_join(left, right, "url", how).select(*plain.columns)
     key = lambda rows: sorted(map(repr, (tuple(r) for r in rows)))
-    assert key(salted.collect()) == key(plain.collect())
-
-
-def test_salting_spreads_the_hot_key(spark):
-    left = spark.range(4000).select("id", F.lit("hot").alias("url"))
-    right = spark.createDataFrame([("hot", 1)], "url string, v int")
-    joined = skew.salted_join(left, right, "url", "inner", F.xxhash64("id"), fanout=8, min_rows=100)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and joined.count() == 4000
-    assert skew.hot_keys(left, "url", min_rows=100).count() == 1
+    assert key(joined.collect()) == key(plain.collect())
+
+
+def test_hot_keys_are_split_as_the_join_runs(spark):
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        # Half of the rows have one key, the others have 100 keys.
+        name = F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.floor(F.col("id") / 2) % 100)
+        left = spark.range(0, 400_000, 1, 16).select("id", name.alias("url"), F.md5(F.col("id").cast("string")).alias("pad"))
+        right = left.groupBy("url").agg(F.count("*").alias("n"))
+        joined = skew.skew_join(left, right, "url").withColumn("task", F.spark_partition_id())
+        rows = [r["n"] for r in joined.groupBy("task").agg(F.count("*").alias("n"), F.max("pad"), F.max("id")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(rows) == 400_000 and max(rows) < 100_000
 
 
 def test_funnel_total_is_input(spark):
@@ -147,6 +162,16 @@ def test_ema_equals_the_loop(spark, decay):
     assert [round(r.ema, 9) for r in out] == [1.0, 1.1, 1.29]
 
 
+def test_ema_skips_nulls_and_splits_series(spark):
+    rows = [("a", i, None if i % 5 == 0 else float(i % 7)) for i in range(700)] + [("b", i, None) for i in range(3)] + [(None, 0, 1.0)]
+    frame = spark.createDataFrame(rows, "series string, step int, value double")
+    got = series.ema_series(frame, "series", ["step"], "value", 0.9).collect()
+    by = {(r.series, r.step): r.ema for r in got}
+    live = [(i, v) for s, i, v in rows if s == "a" and v is not None]
+    assert [by["a", i] for i, _ in live] == pytest.approx(ema([v for _, v in live], 0.9), abs=1e-9)
+    assert len(got) == len(rows) and all(by[s, i] is None for s, i, v in rows if v is None)
+
+
 def test_previous_crosses_chunks(spark):
     log = _log(spark)
     got = series.throughput(log, "series").orderBy("series", "step").collect()

@@ -70,7 +70,7 @@ def _samples(spark, n, size):
 def test_shards_roundtrip(spark, tmp_path):
     path = str(tmp_path / "shards")
     shards.write_shards(_samples(spark, 95, 10), path)
-    names = sorted(p.name for p in (tmp_path / "shards").iterdir())
+    names = sorted(p.name for p in (tmp_path / "shards").iterdir() if p.name != shards.LISTS)
     assert names == [f"{i:06d}.tar" for i in range(10)]
     back = shards.read_shards(spark, path + "/{000000..000009}.tar")
     assert back.count() == 95 and back.groupBy("shard").count().filter("count > 10").isEmpty()
@@ -91,11 +91,36 @@ def test_damaged_shard(spark, tmp_path):
     first.write_bytes(first.read_bytes()[:700])
     with pytest.raises(Exception):
         shards.read_shards(spark, path).count()
-    assert 20 <= shards.read_shards(spark, path, skip_bad=True).count() < 30
+    n = shards.read_shards(spark, path, skip_bad=True).count()
+    assert 20 <= n < 30
+    faults = {r["shard"]: (r["samples"], r["error"]) for r in shards.shard_faults(spark, path).collect()}
+    assert sum(f[0] for f in faults.values()) == n and faults["000001"][1] and faults["000000"] == (10, None)
+    with pytest.raises(Exception, match="1 of 4 missing"):
+        shards.read_shards(spark, path + "/{000000..000003}.tar").count()
     with pytest.raises(Exception, match="no shards"):
         shards.read_shards(spark, str(tmp_path / "none")).count()
 
 
+def test_overwrite_and_append_of_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    shards.write_shards(_samples(spark, 30, 10), path)
+    with pytest.raises(Exception, match="there already"):
+        shards.write_shards(_samples(spark, 5, 10), path)
+    (tmp_path / "shards" / "stray.tar").write_bytes(b"left behind by a failed job")
+    assert shards.read_shards(spark, path).count() == 30
+    shards.write_shards(_samples(spark, 7, 10), path, mode="overwrite")
+    assert shards.read_shards(spark, path, members=False).count() == 7
+    assert sorted(p.name for p in (tmp_path / "shards").glob("0*.tar")) == ["000000.tar"]
+
+
+def test_bad_json_is_refused_whatever_is_selected(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"URL": "u", "TEXT": "t"}\n\nnot json\n')
+    rows = metadata.read_json_lines_flagged(spark, str(tmp_path / "m.jsonl"))
+    for columns in (["URL"], ["NSFW"], ["URL", "TEXT", "NSFW"]):
+        with pytest.raises(Exception, match="not a JSON object"):
+            rows.select(*columns).collect()
+
+
 def test_no_images(spark, tmp_path):
     with pytest.raises(ValueError):
         images.scan_images(spark, str(tmp_path))

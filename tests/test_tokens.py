@@ -27,6 +27,7 @@ def twin(lines, tmp_path_factory):
     spm.SentencePieceTrainer.train(
         input=str(folder / "corpus.txt"), model_prefix=str(folder / "m"), vocab_size=200, model_type="bpe",
         bos_id=1, eos_id=2, pad_id=0, unk_id=3, user_defined_symbols="<null>", minloglevel=2,
+        max_sentence_length=1_000_000,
     )
     return spm.SentencePieceProcessor(str(folder / "m.model"))
 

@@ -79,13 +79,17 @@ def test_subset_threshold_is_widened(spark, monkeypatch):
     assert tight == exact and len(exact) == 540
 
 
-def test_masked_mean_both_ways(spark, monkeypatch):
+def test_masked_mean_both_ways(spark):
     rows = spark.createDataFrame([(1, [5, 6, 0], [1, 1, 0]), (2, [0, 0, 0], [0, 0, 0]), (3, [6, 0, 0], [1, 0, 0])], "k int, tokens array<int>, mask array<int>")
     table = spark.createDataFrame([(5, [1.0, 2.0]), (6, [3.0, 6.0])], "id int, embedding array<double>")
     want = {1: [2.0, 4.0], 2: [0.0, 0.0], 3: [3.0, 6.0]}
     assert {r.k: r.pooled for r in scores.masked_mean(rows, table, "k").collect()} == want
-    monkeypatch.setattr(scores, "BROADCAST_BYTES", 0)
-    assert {r.k: r.pooled for r in scores.masked_mean(rows, table, "k").collect()} == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r.k: r.pooled for r in scores.masked_mean(rows, table, "k").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_vector_columns(spark):
@@ -121,3 +125,17 @@ def test_forward_noise_is_the_same_for_any_layout(spark):
     assert a == b
     drawn = make(4).select(hashing.normal(3, F.col("k"), "z").alias("e")).agg(F.avg("e").alias("m"), F.stddev("e").alias("s")).first()
     assert abs(drawn.m) < 0.2 and abs(drawn.s - 1) < 0.15
+
+
+def test_moments_refuse_ragged_vectors(spark):
+    for parts in (1, 3):
+        rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0, 3.0]), ("a", [1.0])], "side string, embedding array<double>")
+        with pytest.raises(Exception, match="different lengths"):
+            moments.feature_moments(rows.repartition(parts)).collect()
+
+
+def test_moments_of_long_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(900, 512))
+    df = spark.createDataFrame([("a", v.tolist()) for v in x], "side string, embedding array<double>").repartition(40)
+    rows = moments.feature_moments(df).orderBy("i").collect()
+    assert np.allclose(np.stack([r["cov"] for r in rows]), np.cov(x.T), atol=1e-9)
