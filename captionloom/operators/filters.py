@@ -11,7 +11,9 @@ from captionloom.functions.text import clamp_text, clean_caption, first_truthy
 UNSAFE_FLAGS = ("nsfw", "unsafe", "porn", "sexual", "1")
 
 # Reasons of the funnel, in the order in which rows are tested.
-UNSAFE, NO_URL, NO_CAPTION, NO_PAYLOAD, KEPT = "unsafe", "no_url", "no_caption", "no_payload", "kept"
+UNSAFE, NO_URL, NO_CAPTION, NO_PAYLOAD, UNDECODABLE, KEPT = (
+    "unsafe", "no_url", "no_caption", "no_payload", "undecodable", "kept",
+)
 
 
 def safety_flag(df: DataFrame) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
@@ -21,6 +21,24 @@ def map_batches(
     return stage(F.col(column) if isinstance(column, str) else column)
 
 
+def map_values(make_model: Callable, column: Column | str, return_type: str, batch_size: int = 8) -> Column:
+    """A model over values of any type, image bytes for one, in lists of ``batch_size``.
+
+    ``make_model`` runs once per task; it gives a function from a list of values to a list of results.
+    """
+
+    @F.pandas_udf(return_type)
+    def stage(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        for batch in batches:
+            out: list = []
+            for at in range(0, len(batch), batch_size):
+                out += list(model(batch.iloc[at : at + batch_size].to_list()))
+            yield pd.Series(out, index=batch.index, dtype=object)
+
+    return stage(F.col(column) if isinstance(column, str) else column)
+
+
 def try_map(fn: Callable, column: Column | str, return_type: str) -> Column:
     """``fn`` per value as a struct of ``value`` and ``error``; one bad row fails only itself."""
 

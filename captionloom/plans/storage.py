@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,12 +15,13 @@ from pyspark.sql import types as T
 
 from captionloom.functions.tokens import attention_mask, pad_truncate
 from captionloom.operators import filters, ordering, payload, series, stages
+from captionloom.plans import jobs as jobs_plan
 from captionloom.plans import tokens as token_plans
 from captionloom.plans import views
 from captionloom.plans.features import ORACLES as FEATURE_SQL
 from captionloom.plans.prepare import ORACLES as PREPARE_SQL
 from captionloom.plans.tokens import ORACLES as TOKEN_SQL
-from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL
+from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql
 from captionloom.session import fresh_dir
 from captionloom.sources import images, metric_log, shards
 from captionloom.sources import metadata as meta_source
@@ -133,6 +135,89 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("name")
 
 
+def _save_pictures(vectors: DataFrame, folder: str) -> None:
+    """The vectors as 8 x 8 pictures named by number."""
+    system, inner = open_fs(folder)
+    system.create_dir(inner, recursive=True)
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inner = open_fs(folder)
+        for batch in batches:
+            for name, vec in zip(batch["vec_id"], batch["embedding"]):
+                grey = np.floor((np.asarray(vec, np.float64) + 1.0) * 127.5).reshape(8, 8)
+                with system.open_output_stream(f"{inner}/img-{name:09d}.png") as out:
+                    out.write(_png(grey))
+            yield batch[["vec_id"]]
+
+    made = vectors.select("vec_id", "embedding").mapInPandas(save, "vec_id bigint")
+    made.write.format("noop").mode("overwrite").save()
+
+
+def _row_means():
+    """A caller's image model: the mean of each of the eight rows, in red."""
+    return lambda pixels: [(np.asarray(p, np.float64).reshape(8, 8, 3)[:, :, 0].mean(axis=1) / 255.0).tolist() for p in pixels]
+
+
+def score_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of pictures, scored against each other."""
+    root = fresh_dir(spark, "folders")
+    vectors = views.sided_vectors(spark, sf_dir).withColumnRenamed("key", "vec_id")
+    for side in ("real", "fake"):
+        _save_pictures(vectors.filter(F.col("side") == side), f"{root}/{side}")
+    scored = jobs_plan.score_folders(spark, f"{root}/real", f"{root}/fake", _row_means, subsets=5, subset_size=20)
+    return scored.select("n_real", "n_fake", F.round("fid", 6).alias("fid"))
+
+
+def clip_score_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures against the benchmark's lines as prompts, with a text model of eight letter counts."""
+    folder = fresh_dir(spark, "pictures")
+    _save_pictures(views.vectors(spark, sf_dir), folder)
+
+    def counts():
+        return lambda texts: [[float(t.count(c)) for c in "aehinost"] for t in texts]
+
+    table = views.table(spark, sf_dir, "benchmark")
+    prompts = meta_source.prompt_table(table, "item_id", "text")
+    scored = jobs_plan.clip_score_folder(spark, folder, prompts, _row_means, counts)
+    return scored.select("n", F.round("clip_mean", 6).alias("clip_mean"), F.round("clip_std", 6).alias("clip_std"))
+
+
+def prepared_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation with a decode stage that fails on some payloads and drops others; funnel and shards agree."""
+    path = fresh_dir(spark, "prepared")
+
+    def decode(body: bytes) -> bytes | None:
+        if len(body) % 7 == 0:
+            raise ValueError("cut off")
+        return None if len(body) % 5 == 0 else body[::-1]
+
+    fetched = views.payload(spark, sf_dir).select("url", F.encode("html", "UTF-8").alias("body"))
+    funnel = jobs_plan.prepare_shards(views.metadata(spark, sf_dir, indexed=True), fetched, "body", decode, path, 50)
+    written = shards.read_shards(spark, path, members=False).agg(F.count("*").alias("n"))
+    return funnel.unionByName(written.select(F.lit("written").alias("reason"), "n"))
+
+
+def latent_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as image shards, encoded to latents of fixed shape, read back."""
+    root = fresh_dir(spark, "latents")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    members = F.create_map(F.lit("jpg"), F.encode("text", "UTF-8"), F.lit("txt"), F.encode("text", "UTF-8"))
+    shard = F.format_string("%06d", F.floor(F.col("doc_id") / 100))
+    shards.write_shards(docs.select(shard.alias("shard"), ordering.sample_key("doc_id").alias("key"), members.alias("members")), f"{root}/in")
+
+    def make_model():
+        return lambda values: [np.array([[[len(v), v.count(b"e")]]], np.float32) for v in values]
+
+    jobs_plan.encode_latent_shards(spark, f"{root}/in", f"{root}/out", make_model, 0.5)
+    back = shards.latent_samples(shards.read_shards(spark, f"{root}/out"))
+
+    def shape(raw: bytes) -> str:
+        array = np.load(io.BytesIO(raw))
+        return f"{array.ndim}:{float(array.sum())}"
+
+    return back.select("shard", "key", F.md5(F.col("caption").cast("binary")).alias("caption_md5"), stages.try_map(shape, "latent", "string")["value"].alias("latent"))
+
+
 def stage_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's encoder over batches: eight block means, scaled as latents are."""
 
@@ -282,11 +367,15 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan, stage_encode, quarantine, vector_store,
+        metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan,
+        score_folders, clip_score_folder, prepared_funnel, latent_shards, stage_encode, quarantine, vector_store,
         vocab_files, metric_log_file, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
     )
 }
 
+_VECTOR_CELLS = """unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
+_PICTURE_CELLS = """unnest(list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
+           lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0)))) AS x, unnest(range(8)) AS i FROM embeddings)"""
 _IDS = "list_resize(list_slice(list_transform(string_split(caption, ' '), lambda w: length(w)), 1, 77), 77, 0)"
 
 ORACLES = {
@@ -303,6 +392,29 @@ SELECT printf('%06d', r // 50) AS shard, printf('sample-%09d', idx) AS key, capt
   CASE WHEN doc_id % 30 % 3 = 0 THEN 0 ELSE count(*) END AS read,
   CASE WHEN doc_id % 30 % 3 = 0 THEN count(*) ELSE 0 END AS lost, doc_id % 30 % 3 = 0 AS damaged
 FROM documents GROUP BY doc_id % 30""",
+    "score_folders": FEATURE_SQL["fid"].replace(_VECTOR_CELLS, _PICTURE_CELLS),
+    "clip_score_folder": """WITH pictures AS (
+  SELECT vec_id, list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
+         lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0))) AS image, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
+prompts AS (
+  SELECT list_transform(string_split('aehinost', ''), lambda c: (length(t) - length(replace(t, c, '')))::DOUBLE) AS text,
+         row_number() OVER (ORDER BY item_id) AS r FROM (SELECT item_id, trim(text) AS t FROM benchmark) WHERE t <> ''),
+scored AS (
+  SELECT list_sum(list_transform(list_zip(image, text), lambda p: p[1] * p[2]))
+         / (sqrt(list_sum(list_transform(image, lambda x: x * x))) * sqrt(list_sum(list_transform(text, lambda x: x * x)))) AS s
+  FROM pictures JOIN prompts USING (r))
+SELECT count(s) AS n, round(avg(s), 6) AS clip_mean, round(stddev_samp(s), 6) AS clip_std FROM scored""",
+    "prepared_funnel": f"""WITH {METADATA_SQL}, {PAYLOAD_SQL}, funnel AS ({PREPARE_SQL['filter_funnel'].split('payload AS', 1)[1].split(')', 1)[1].strip()}),
+sized AS (
+  SELECT strlen(html) AS b FROM metadata JOIN payload ON payload.url = metadata."URL"
+  WHERE lower(coalesce("NSFW", 'none')) NOT IN ('nsfw', 'unsafe', 'porn', 'sexual', '1') AND {clean_sql('"TEXT"')} <> ''),
+lost AS (SELECT count(*) AS n FROM sized WHERE b % 7 = 0 OR b % 5 = 0)
+SELECT reason, CASE WHEN reason = 'kept' THEN n - (SELECT n FROM lost) ELSE n END AS n FROM funnel
+UNION ALL SELECT 'undecodable', n FROM lost WHERE n > 0
+UNION ALL SELECT 'written', (SELECT count(*) FROM sized) - n FROM lost""",
+    "latent_shards": """SELECT printf('%06d', doc_id // 100) AS shard, printf('latent-%09d', row_number() OVER (ORDER BY doc_id) - 1) AS key,
+  md5(text) AS caption_md5, '3:' || ((strlen(text) + length(text) - length(replace(text, 'e', ''))) * 0.5::FLOAT)::DOUBLE AS latent
+FROM documents""",
     "image_scan": """SELECT printf('img-%09d.png', vec_id) AS name, 8::BIGINT AS width, 8::BIGINT AS height, 3::BIGINT AS channels,
   list_sum(list_transform(embedding, lambda x: 3 * floor((x::DOUBLE + 1.0) * 127.5)))::BIGINT AS pixel_sum
 FROM embeddings WHERE vec_id <> 0""",

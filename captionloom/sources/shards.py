@@ -266,7 +266,7 @@ def image_samples(shards: DataFrame) -> DataFrame:
 
 
 def latent_samples(shards: DataFrame) -> DataFrame:
-    rows = shards.select("shard", "key", member("pt").alias("latent"), F.decode(member("txt"), "UTF-8").alias("caption"))
+    rows = shards.select("shard", "key", member("pt", "npy").alias("latent"), F.decode(member("txt"), "UTF-8").alias("caption"))
     return rows.filter(F.col("latent").isNotNull() & F.col("caption").isNotNull())
 
 
