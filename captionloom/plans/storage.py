@@ -287,6 +287,34 @@ def metric_log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("series", "step", F.unix_micros("timestamp").alias("ts_us"), "value")
 
 
+def stream_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records read from the log as a stream, and appended in long form by micro-batch."""
+    root = fresh_dir(spark, "logstream")
+    metrics = tuple(_METRIC_OF.values())
+    schema = "timestamp double, step bigint, " + ", ".join(f"{m} double" for m in metrics)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    named = [F.when(F.col("event_type") == e, F.col("value")).alias(m) for e, m in _METRIC_OF.items()]
+    events = views.table(spark, sf_dir, "events")
+    metric_log.append_log(events.select((at / 1e6).alias("timestamp"), F.col("event_id").alias("step"), *named), f"{root}/log")
+    stream = metric_log.stream_log(spark, f"{root}/log", schema)
+    job = jobs.ingest(stream, lambda log: metric_log.long_form(log, metrics), f"{root}/rows", f"{root}/checkpoint")
+    job.awaitTermination()
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.select("series", "step", F.unix_micros("timestamp").alias("ts_us"), "value")
+
+
+def stale_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stamped with the fingerprint of their source's file, where only every second file is at hand."""
+    root = fresh_dir(spark, "artifacts")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    names = docs.select("source").distinct().filter(number % 2 == 0)
+    names.select("source", F.col("source").alias("name")).write.partitionBy("name").text(root)
+    files = vocab_source.artifact_fingerprint(spark, f"{root}/*")
+    stamped = vocab_source.stamped(docs, F.sha1(F.concat("source", F.lit("\n")).cast("binary")))
+    return vocab_source.stale_rows(stamped, files)
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """A table as a stream of its files. Given as a pattern, it may be one file or a folder of them."""
     static = views.table(spark, sf_dir, name)
@@ -369,7 +397,7 @@ QUERIES = {
     for f in (
         metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan,
         score_folders, clip_score_folder, prepared_funnel, latent_shards, stage_encode, quarantine, vector_store,
-        vocab_files, metric_log_file, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
+        vocab_files, metric_log_file, stream_metric_log, stale_tokens, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
     )
 }
 
@@ -430,6 +458,11 @@ SELECT vec_id, i, round(avg(x) * {LATENT_SCALE}::DOUBLE, 6) AS x FROM cells GROU
          WHEN 'purchase' THEN 'clip_std' WHEN 'signup' THEN 'grad_norm' END AS series,
          event_id % 2000 AS step, epoch_us(ts) AS ts_us, value FROM events)
 SELECT series, step, max(ts_us) AS ts_us, max_by(value, ts_us) AS value FROM log GROUP BY 1, 2""",
+    "stream_metric_log": """SELECT CASE event_type WHEN 'click' THEN 'loss' WHEN 'view' THEN 'lr' WHEN 'error' THEN 'clip_mean'
+  WHEN 'purchase' THEN 'clip_std' WHEN 'signup' THEN 'grad_norm' END AS series, event_id AS step, epoch_us(ts) AS ts_us, value
+FROM events""",
+    "stale_tokens": """SELECT doc_id, source, sha1(source || chr(10)) AS vocab_sha1 FROM documents
+WHERE regexp_extract(source, '[0-9]+')::INT % 2 = 1""",
     "stream_ingest": f"""WITH {METADATA_SQL}, {SAFE_SQL},
 clamped AS (SELECT idx, substr(caption, 1, 512) AS caption FROM safe),
 rows AS (SELECT idx, {_IDS} AS t FROM clamped)

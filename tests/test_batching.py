@@ -9,6 +9,7 @@ from captionloom.sources import shards, vocab
 def test_settings_are_strict():
     with pytest.raises(ValueError, match="colour"):
         DataSettings.from_dict({"shards_path": "s", "tokenizer_path": "t", "colour": 1})
+    assert DataSettings.from_dict({"shards_path": "s", "tokenizer_path": "t", "num_workers": 4, "shuffle_buffer": 9}).batch_size == 8
     with pytest.raises(TypeError):
         DataSettings.from_dict({"tokenizer_path": "t"})
     assert DataSettings.from_dict({"shards_path": "s", "tokenizer_path": "t"}).caption_dropout == 0.1
