@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from captionloom.llm import licenses, secrets
+
 OP1 = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
@@ -122,4 +124,97 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
-ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op8_mixing": OP8}
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+_PHRASES = _values([(p, label, len(p.split())) for p, label in licenses.PHRASES.items()])
+_TEMPLATES = _values([(t, label, text, key) for t, (label, text, key) in enumerate(licenses.TEMPLATES)])
+_VOCABULARY = _values([(w,) for w in licenses.VOCABULARY])
+
+OP9 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+phrases(phrase, label, n) AS (VALUES {_PHRASES}),
+templates(t, label, body, key) AS (VALUES {_TEMPLATES}),
+vocabulary(w) AS (VALUES {_VOCABULARY}),
+spots AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs),
+base AS (
+  SELECT DISTINCT rid, label, i FROM (
+    SELECT docs.rid, s.i, p.label, array_to_string(ws[s.i + 1 : s.i + p.n], ' ') = p.phrase AS ok
+    FROM spots s JOIN docs USING (rid) JOIN phrases p ON s.w = split_part(p.phrase, ' ', 1)) WHERE ok),
+own AS (SELECT DISTINCT rid, w FROM spots SEMI JOIN vocabulary USING (w)),
+df AS (SELECT w, count(*) AS n FROM own GROUP BY w),
+rare AS (SELECT rid, w FROM own JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, w DESC) <= {licenses.RAREST}),
+parts AS (SELECT t, unnest(string_split(body, ' ')) AS w, generate_subscripts(string_split(body, ' '), 1) - 1 AS k FROM templates),
+offsets AS (
+  SELECT rid, t, s.i - k AS spot FROM spots s JOIN rare USING (rid, w) JOIN parts USING (w)
+  GROUP BY rid, t, s.i - k HAVING count(*) >= {licenses.AGREE}),
+covers AS (
+  SELECT o.rid, o.t, o.spot, avg((s.w IS NOT NULL)::INT) AS cover
+  FROM offsets o JOIN parts p USING (t) LEFT JOIN spots s ON s.rid = o.rid AND s.i = o.spot + p.k AND s.w = p.w GROUP BY ALL),
+keyed AS (
+  SELECT c.rid, t.label, c.cover FROM covers c JOIN templates t USING (t) JOIN docs USING (rid)
+  WHERE cover >= {licenses.COVER} AND spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')) - 1 >= 0
+    AND array_to_string(list_slice(ws,
+      (spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')))::BIGINT,
+      (spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')) + len(string_split(key, ' ')) - 1)::BIGINT), ' ') = key),
+b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY rid),
+named AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label, true AS is_base FROM base UNION ALL SELECT rid, label, false FROM keyed) GROUP BY rid),
+best AS (SELECT rid, max(cover) AS cover FROM keyed GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(cover, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN b USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)
+"""
+
+_SHAPES = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1),
+    ("access", "AKIA[A-Z0-9]{14,}", 0),
+    ("hex", "[0-9a-f]{16,}", 0),
+    ("entropy", f"[A-Za-z0-9+/_-]{{{secrets.WINDOW},}}", 0),
+]
+_FOUND = " UNION ALL ".join(
+    f"""SELECT rid, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {g}) AS gs,
+  string_split_regex(t, '{p}') AS ps FROM d"""
+    for k, kind, p, g in ((k, kind, p.replace("'", "''"), g) for k, (kind, p, g) in enumerate(_SHAPES))
+)
+_ALLOWED = " OR ".join(f"regexp_matches(v, '{a}')" for a in secrets.ALLOWED)
+OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_FOUND}),
+each AS (
+  SELECT rid, k, kind, unnest(ms) AS v, unnest(gs) AS g, unnest(list_slice(ps, 1, len(ms))) AS p, generate_subscripts(ms, 1) AS i
+  FROM found WHERE len(ms) > 0),
+placed AS (SELECT *, sum(length(p) + length(v)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM each),
+likely AS (
+  SELECT *, regexp_matches(v, '^[0-9a-fA-F]+$') AS is_hex FROM placed
+  WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT ({_ALLOWED})),
+windows AS (
+  SELECT rid, i, is_hex, CASE WHEN is_hex THEN lower(v) ELSE v END AS x,
+         unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS s FROM likely),
+counted AS (
+  SELECT rid, i, is_hex, s, c, count(*) AS n FROM (
+    SELECT rid, i, is_hex, s, unnest(string_split(substr(x, s, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),
+peaks AS (
+  SELECT rid, i FROM (
+    SELECT rid, i, is_hex, s, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS bits FROM counted GROUP BY ALL)
+  GROUP BY rid, i, is_hex HAVING max(bits) >= CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END),
+spans AS (
+  SELECT rid, k, kind, (e - length(v))::BIGINT AS s, e::BIGINT AS e FROM placed
+  WHERE k IN (1, 2) OR k = 0 AND length(g) >= {secrets.LEAST_SECRET} OR k = 3 AND (rid, i) IN (SELECT (rid, i) FROM peaks)),
+told AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         count(*) FILTER (k = 3) AS n_entropy,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_entropy, 0)::BIGINT AS n_entropy
+FROM d LEFT JOIN told USING (rid)
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9}
