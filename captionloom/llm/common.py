@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 PLACE = ["__place_file", "__place_row"]
 BLOCK = 256
+#: Texts in an Arrow batch.
+TEXT_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,18 @@ def with_place(df: DataFrame) -> DataFrame:
     return with_place(safe).toDF(*names, *PLACE)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs begun inside hand Python at most so many rows at a time, so that batches of long texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower case whose ASCII letters come from A-Z alone.
 

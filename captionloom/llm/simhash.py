@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captionloom.llm.common import arrow_rows
 from captionloom.llm.graph import components
 from captionloom.session import materialize
 
@@ -210,7 +211,8 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def written_prints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``fp`` of every row of ``docs``, written: the texts are read once."""
-    return materialize(fingerprints(docs.select(*keys, "text")).select(*keys, "fp"), "prints")
+    with arrow_rows(docs.sparkSession):
+        return materialize(fingerprints(docs.select(*keys, "text")).select(*keys, "fp"), "prints")
 
 
 def groups_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
