@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,28 @@ def with_row_index(scan: DataFrame, name: str = "idx") -> DataFrame:
     )
 
 
+def lines_with_index(spark: SparkSession, path: str, name: str = "idx") -> DataFrame:
+    """``value`` and the position of each line of text files (files by name, then lines), from 0.
+
+    A line's place is its file, the block that its split began with, and its place in the split. The lines are
+    written out once with these, so that counting and numbering see the same splits. Blank lines count; parse
+    ``value`` afterwards, as with ``from_json``.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_spot"),
+    )
+    lines = materialize(lines, "lines")
+    # One row per block of a file from here on.
+    blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_spot").alias("_first"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = lines.join(materialize(starts, "starts"), ["_file", "_block"])
+    return numbered.select("value", (F.col("_start") + F.col("_spot") - F.col("_first")).alias(name))
+
+
 def rank_in_buckets(df: DataFrame, bucket: Column, order: list, name: str = "rank") -> DataFrame:
     """Global rank from 0, given a bucket number that rises with the order.
 

@@ -64,6 +64,16 @@ def limit_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.filter_funnel(meta)
 
 
+def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON Lines in order of their number, read back with the position of each line."""
+    path = fresh_dir(spark, "lines")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.json(path)
+    lines = ordering.lines_with_index(spark, path)
+    row = F.from_json("value", "doc_id bigint, text string")
+    return lines.select("idx", row["doc_id"].alias("doc_id"), F.md5(row["text"].cast("binary")).alias("text_md5"))
+
+
 def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = filters.safe_captions(views.metadata(spark, sf_dir, indexed=True))
     ranked = ordering.kept_rank(kept.select("idx"))
@@ -155,7 +165,7 @@ QUERIES = {
         clean_documents, clean_pages, safe_rows, caption_clamp, caption_corpus, filter_funnel,
         attach_payload, missing_payload, limit_input, shard_assign, shuffle_rank, batch_assign,
         caption_dropout, holdout_split, resample_shards, manifest, prompts_union,
-        prompts_all, shuffle_local, json_flags,
+        prompts_all, shuffle_local, json_flags, line_index,
     )
 }
 
@@ -220,6 +230,7 @@ named AS (SELECT url, list_extract(string_split(url, '/'), -1) AS filename FROM
 SELECT url, filename, count(*) OVER (PARTITION BY filename) AS same_name FROM named""",
     "prompts_union": f"{_PROMPTS_SQL} ORDER BY pos LIMIT 35",
     "prompts_all": _PROMPTS_SQL,
+    "line_index": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, md5(text) AS text_md5 FROM documents",
     "shuffle_local": "SELECT doc_id, source FROM documents",
     "json_flags": f"""WITH {METADATA_SQL}
 SELECT CASE WHEN idx % 3 = 2 THEN '' ELSE lower(coalesce("NSFW", 'none')) END AS flag, md5(nullif("TEXT", '')) AS text_md5,

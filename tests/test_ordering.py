@@ -189,3 +189,16 @@ def test_log_latest_and_gaps(spark):
     assert latest == {1: 0.2, 25: 0.3, 47: 0.4}
     rows = series.metric_buckets(log, "series", 10).orderBy("bucket").collect()
     assert [(r.bucket, r.n, r.missing_before) for r in rows] == [(0, 2, 0), (2, 1, 1), (4, 1, 1)]
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    texts = [f"{'x' * (i % 50)} {i}" if i % 9 else "" for i in range(5000)]
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(texts[k * 2000 : (k + 1) * 2000]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+        rows = ordering.lines_with_index(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.value for r in sorted(rows, key=lambda r: r.idx)] == texts and {r.idx for r in rows} == set(range(5000))
