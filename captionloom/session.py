@@ -62,8 +62,13 @@ def release(spark: SparkSession) -> None:
 
     To be called once results are stored elsewhere: tables read from there are gone then.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, _run_dir(spark))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this application wrote, if it is there, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -6,7 +6,8 @@ number, so that a batch run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from captionloom.operators.ordering import global_rank, sample_key, shard_id
 from captionloom.operators.series import ema_series
-from captionloom.session import materialize
+from captionloom.session import drop_path, fresh_dir
 from captionloom.sources.shards import write_shards
 
 
@@ -41,6 +42,18 @@ def write_batch(df: DataFrame, out: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
+@contextmanager
+def _staged(batch: DataFrame) -> Iterator[DataFrame]:
+    """A micro-batch written down for the steps that read it more than once, and taken away after them."""
+    spark = batch.sparkSession
+    path = fresh_dir(spark, "microbatch")
+    batch.write.parquet(path)
+    try:
+        yield spark.read.schema(batch.schema).parquet(path)
+    finally:
+        drop_path(spark, path)
+
+
 def shard_stream(stream: DataFrame, key: str, members, out: str, checkpoint: str, shard_size: int = 1000) -> StreamingQuery:
     """Each micro-batch as tar shards named by batch and shard number.
 
@@ -48,10 +61,10 @@ def shard_stream(stream: DataFrame, key: str, members, out: str, checkpoint: str
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch.select(F.col(key).alias("idx"), members.alias("members")), "microbatch")
-        ranked = global_rank(rows, ["idx"], "kept_rank")
-        shard = F.concat(F.lit(f"{batch_id:06d}-"), shard_id("kept_rank", shard_size))
-        write_shards(ranked.select(shard.alias("shard"), sample_key("idx").alias("key"), "members"), out, replace=True)
+        with _staged(batch.select(F.col(key).alias("idx"), members.alias("members"))) as rows:
+            ranked = global_rank(rows, ["idx"], "kept_rank")
+            shard = F.concat(F.lit(f"{batch_id:06d}-"), shard_id("kept_rank", shard_size))
+            write_shards(ranked.select(shard.alias("shard"), sample_key("idx").alias("key"), "members"), out, replace=True)
 
     return _each_batch(stream, write, checkpoint)
 
@@ -107,20 +120,22 @@ def ema_stream(
 
     The state, one row per series, is a small table versioned by batch. A batch starts from the
     version before it, so that running it again gives the same rows, and a series with a
-    large part of the batch is split as in ``ema_series``.
+    large part of the batch is split as in ``ema_series``. Two versions are kept.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = materialize(batch, "microbatch")
-        like = rows.select(series, F.col(value).cast("double").alias("ema"))
-        before = _read_state(spark, state, batch_id - 1, like)
-        write_batch(ema_series(rows, series, order, value, decay, before), out, batch_id)
+        with _staged(batch) as rows:
+            like = rows.select(series, F.col(value).cast("double").alias("ema"))
+            before = _read_state(spark, state, batch_id - 1, like)
+            write_batch(ema_series(rows, series, order, value, decay, before), out, batch_id)
         done = spark.read.parquet(f"{out}/batch_id={batch_id}")
-        after = done.groupBy(series).agg(F.max_by("ema", F.struct(*order)).alias("ema"))
+        after = done.filter("ema IS NOT NULL").groupBy(series).agg(F.max_by("ema", F.struct(*order)).alias("ema"))
         if before is not None:
             after = after.unionByName(before.join(after.select(series), series, "left_anti"))
         write_batch(after, state, batch_id)
+        # Only the last batch can run again, from the version before it.
+        drop_path(spark, f"{state}/batch_id={batch_id - 2}")
 
     return _each_batch(stream, fold, checkpoint)
 
