@@ -7,33 +7,39 @@ spaces, so that counting and merging are plain string expressions in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.tokens import SPECIAL_PIECES
 from captionloom.operators.lexicon import COVERAGE, WORD_START, char_coverage
 from captionloom.session import materialize
 
-# Longest piece in characters; scripts that are never mixed in a piece. Kana
-# counts as Han; scripts not listed are one class together.
+# Longest piece in characters; scripts that count as one.
 MAX_PIECE_CHARS = 16
-SCRIPTS = (
-    ("Latin",), ("Common",), ("Greek",), ("Cyrillic",), ("Han", "Hiragana", "Katakana"), ("Arabic",), ("Hebrew",),
-    ("Hangul",), ("Thai",), ("Devanagari",), ("Bengali",), ("Tamil",), ("Telugu",), ("Gujarati",), ("Kannada",),
-    ("Malayalam",), ("Gurmukhi",), ("Sinhala",), ("Georgian",), ("Armenian",), ("Ethiopic",), ("Khmer",),
-    ("Lao",), ("Myanmar",), ("Tibetan",), ("Mongolian",),
-)
+TOGETHER = ("HAN", "HIRAGANA", "KATAKANA")
+#: A common mark that belongs to the kana.
+KANA_MARK = r"\x{30FC}"
 
 CANDIDATES = 256
 TRIPLES_PER_PAIR = 8
 ROUNDS_PER_WRITE = 8
 
 
-def _script_runs() -> str:
-    """A pattern for one stretch of a word in a single script, word start included."""
-    named = ["".join(rf"\p{{Is{s}}}" for s in group) for group in SCRIPTS]
-    classes = [rf"[{c}\p{{IsInherited}}&&[^{WORD_START}]]+" for c in named]
-    rest = rf"[^{''.join(named)}{WORD_START}]+"
+def _script_runs(spark: SparkSession) -> str:
+    """A pattern for one stretch of a word in a single script, word start included.
+
+    The scripts are those that the JVM knows; the frequent ones are tried first.
+    """
+    known = [str(s.name()) for s in spark._jvm.java.lang.Character.UnicodeScript.values()]
+    single = [[n] for n in known if n not in (*TOGETHER, "INHERITED", "UNKNOWN", "LATIN", "COMMON")]
+    groups = [["LATIN"], ["COMMON"], list(TOGETHER), *single]
+    classes = []
+    for group in groups:
+        named = "".join(rf"\p{{Is{n}}}" for n in group)
+        without = KANA_MARK if group == ["COMMON"] else ""
+        named += KANA_MARK if group == list(TOGETHER) else ""
+        classes.append(rf"[{named}\p{{IsInherited}}&&[^{WORD_START}{without}]]+")
+    rest = rf"[\p{{IsUNKNOWN}}&&[^{WORD_START}]]+"
     return f"{WORD_START}?(?:{'|'.join([*classes, rest])})|{WORD_START}"
 
 
@@ -52,7 +58,7 @@ def symbol_table(words: DataFrame, alphabet: DataFrame) -> DataFrame:
     text = F.col("word")
     parts = F.split(text, _char_class(dropped), -1) if dropped else F.array(text)
     runs = words.select(F.explode(parts).alias("part"), "n").select(
-        F.explode(F.regexp_extract_all("part", F.lit(_script_runs()), F.lit(0))).alias("run"), "n"
+        F.explode(F.regexp_extract_all("part", F.lit(_script_runs(words.sparkSession)), F.lit(0))).alias("run"), "n"
     )
     spaced = F.regexp_replace("run", "(.)", " $1 ")
     return runs.filter(F.char_length("run") > 1).groupBy(spaced.alias("symbols")).agg(F.sum("n").alias("n"))
@@ -112,8 +118,9 @@ def ranking(symbols: DataFrame, top: int) -> tuple[list[Row], list[Row], bool, b
 
 
 def certain_merges(
-    pairs: list[Row], triples: list[Row], known: set[str], room: int, pairs_cut: bool, triples_cut: bool
-) -> list[Row]:
+    pairs: list[Row], triples: list[Row], known: set[str], room: int, pairs_cut: bool, triples_cut: bool,
+    max_chars: int = MAX_PIECE_CHARS,
+) -> list[Row]:
     """The merges that merging one by one would take next, in that order, as far as is certain.
 
     Going down the ranking, a pair is next if its own count stands, and nothing else can have
@@ -137,7 +144,7 @@ def certain_merges(
         left, right, n = p["left"], p["right"], p["n"]
         if len(taken) >= room or (taken and n <= max(limit, pair_floor)):
             break
-        if left + right in pieces or len(left + right) > MAX_PIECE_CHARS:
+        if left + right in pieces or len(left + right) > max_chars:
             continue
         lost = []
         for t in taken:
@@ -168,7 +175,9 @@ def merge_symbols(symbols: DataFrame, merges: list[Row]) -> DataFrame:
     return symbols.select(text.alias("symbols"), "n").filter(F.contains("symbols", F.lit("  ")))
 
 
-def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVERAGE) -> DataFrame:
+def bpe_train(
+    words: DataFrame, vocab_size: int = 32_000, coverage: float = COVERAGE, max_chars: int = MAX_PIECE_CHARS
+) -> DataFrame:
     """``id, piece, score``: special pieces, merges in order of choice, then single characters.
 
     Only rankings of bounded length and the vocabulary itself come to the driver. The word table
@@ -192,7 +201,7 @@ def bpe_train(words: DataFrame, vocab_size: int = 32_000, coverage: float = COVE
     while len(pieces) < wanted:
         current = merge_symbols(table, pending) if pending else table
         pairs, triples, pairs_cut, triples_cut = ranking(current, top)
-        merges = certain_merges(pairs, triples, known, wanted - len(pieces), pairs_cut, triples_cut)
+        merges = certain_merges(pairs, triples, known, wanted - len(pieces), pairs_cut, triples_cut, max_chars)
         if not merges:
             if not pairs_cut:
                 break
