@@ -153,6 +153,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as it was allocated copies."""
     placed = with_place(docs)
     chosen = allocate(placed, seed).filter("copies > 0").select(*PLACE, F.col("copies").alias("__copies"))
-    out = placed.join(materialize(chosen, "copies"), PLACE)
+    # Merged at every size: a list of rows grows with the input and is never broadcast.
+    out = placed.join(materialize(chosen, "copies").hint("merge"), PLACE)
     each = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return each.drop("__copy", "__copies", *PLACE)

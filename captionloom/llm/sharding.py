@@ -172,7 +172,8 @@ def with_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     docs = docs.drop("shard", "slot")
     placed = with_place(docs)
     homes = materialize(assign_rows(placed, shards).select(*PLACE, "shard", "slot"), "slots")
-    return placed.join(homes, PLACE).drop(*PLACE)
+    # Merged at every size: a list of rows grows with the input and is never broadcast.
+    return placed.join(homes.hint("merge"), PLACE).drop(*PLACE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:

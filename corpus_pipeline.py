@@ -24,8 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked fingerprints the document with the smallest id, null last."""
     placed = with_place(docs)
-    prints = simhash.fingerprints(placed.select(*PLACE, "doc_id", "text")).select(*PLACE, "doc_id", "fp")
-    prints = materialize(prints, "prints")
+    prints = simhash.written_prints(placed, [*PLACE, "doc_id"])
     groups = simhash.groups_of(prints)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)
     first = F.min(F.struct(order.alias("order"), *PLACE)).alias("first")
@@ -33,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     firsts = materialize(prints.groupBy("fp").agg(first), "firsts")
     kept = firsts.join(groups, "fp").groupBy("group").agg(F.min("first").alias("first"))
     places = materialize(kept.select(*[F.col(f"first.{c}").alias(c) for c in PLACE]), "kept")
-    return placed.join(places, PLACE, "left_semi").drop(*PLACE)
+    # Merged at every size: a list of kept rows grows with the input and is never broadcast.
+    return placed.join(places.hint("merge"), PLACE, "left_semi").drop(*PLACE)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
