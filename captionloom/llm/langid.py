@@ -21,6 +21,8 @@ GRAMS = 3
 RIDGE = 0.05
 #: Share of the largest possible loss by which the runner-up must trail.
 MARGIN = 0.04
+#: Score below which no language stands out; two that are level have a half each.
+LEAST_SCORE = 0.45
 SEED = 11
 UNKNOWN = "und"
 BLOCK = 1 << 20
@@ -187,9 +189,12 @@ def report(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     )
 
 
-def accepted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` whose language is found without ambiguity; other rows are rejected."""
+def accepted(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` whose language is found; rows without letters, or without a language that stands out, are rejected.
+
+    A text between two languages is flagged as ambiguous, but kept: it may well be clean.
+    """
     names = docs.columns
     found = predict(docs, learn(docs, train_rows), out="__lang")
-    sure = (F.col("__lang.lang") != UNKNOWN) & ~F.col("__lang.ambiguous")
+    sure = (F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") >= least_score)
     return found.filter(sure).select(*[F.col(f"`{n}`") for n in names])
