@@ -31,11 +31,6 @@ def is_safe(df: DataFrame) -> Column:
     return ~safety_flag(df).isin(*UNSAFE_FLAGS)
 
 
-def with_caption(df: DataFrame, name: str = "caption") -> DataFrame:
-    """Adds the cleaned caption of each row, from the first caption column that is not empty."""
-    return df.withColumn(name, clean_caption(first_truthy(df, "TEXT", "text", "caption")))
-
-
 def with_reason(df: DataFrame) -> DataFrame:
     """Adds ``url``, ``caption`` and ``reason``: the first test a row fails, else ``kept``.
 

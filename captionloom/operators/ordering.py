@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from captionloom.functions.hashing import digest
 from captionloom.session import materialize
 
-MAX_BROADCAST_FILES = 50_000
-
 
 def _offsets(counts: DataFrame, bucket: str, n: str = "_n") -> DataFrame:
     """Rows before each bucket. ``counts`` has one row per bucket."""
@@ -34,9 +32,8 @@ def with_row_index(scan: DataFrame, name: str = "idx") -> DataFrame:
     tagged = scan.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos")
     )
-    starts = _offsets(tagged.groupBy("_file").agg(F.count("*").alias("_n")), "_file")
-    if len(scan.inputFiles()) <= MAX_BROADCAST_FILES:
-        starts = F.broadcast(starts)
+    # One row per file, written out: Spark broadcasts it if its size on disk allows.
+    starts = materialize(_offsets(tagged.groupBy("_file").agg(F.count("*").alias("_n")), "_file"), "starts")
     return tagged.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_pos")).drop(
         "_file", "_pos", "_start"
     )

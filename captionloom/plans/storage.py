@@ -110,31 +110,6 @@ def _png(grey: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors saved as small pictures, next to one file that is none, and scanned."""
-    folder = fresh_dir(spark, "images")
-    system, inner = open_fs(folder)
-    system.create_dir(inner, recursive=True)
-
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, inner = open_fs(folder)
-        for batch in batches:
-            for name, vec in zip(batch["vec_id"], batch["embedding"]):
-                grey = np.floor((np.asarray(vec, np.float64) + 1.0) * 127.5).reshape(8, 8)
-                data = _png(grey) if name else b"not a picture"
-                with system.open_output_stream(f"{inner}/img-{name:09d}.png") as out:
-                    out.write(data)
-            yield batch[["vec_id"]]
-
-    views.vectors(spark, sf_dir).select("vec_id", "embedding").mapInPandas(save, "vec_id bigint").count()
-    scanned = images.scan_images(spark, folder)
-    pixels = scanned.withColumn("rgb", images.rgb_pixels())
-    total = F.aggregate("rgb", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return pixels.select(
-        "name", *[F.col(c).cast("bigint").alias(c) for c in ("width", "height", "channels")], total.alias("pixel_sum")
-    ).orderBy("name")
-
-
 def _save_pictures(vectors: DataFrame, folder: str) -> None:
     """The vectors as 8 x 8 pictures named by number."""
     system, inner = open_fs(folder)
@@ -153,6 +128,20 @@ def _save_pictures(vectors: DataFrame, folder: str) -> None:
     made.write.format("noop").mode("overwrite").save()
 
 
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors saved as small pictures, next to one file that is none, and scanned."""
+    folder = fresh_dir(spark, "images")
+    _save_pictures(views.vectors(spark, sf_dir).filter("vec_id <> 0"), folder)
+    system, inner = open_fs(folder)
+    with system.open_output_stream(f"{inner}/img-{0:09d}.png") as out:
+        out.write(b"not a picture")
+    pixels = images.scan_images(spark, folder).withColumn("rgb", images.rgb_pixels())
+    total = F.aggregate("rgb", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return pixels.select(
+        "name", *[F.col(c).cast("bigint").alias(c) for c in ("width", "height", "channels")], total.alias("pixel_sum")
+    ).orderBy("name")
+
+
 def _row_means():
     """A caller's image model: the mean of each of the eight rows, in red."""
     return lambda pixels: [(np.asarray(p, np.float64).reshape(8, 8, 3)[:, :, 0].mean(axis=1) / 255.0).tolist() for p in pixels]
