@@ -73,56 +73,75 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), F.lit(0)).cast("long")
 
 
-def split_matches(df: DataFrame, text: str, found: dict[str, tuple[str, str]], groups: dict[str, int] | None = None):
-    """Adds for every name in ``found`` the array column ``name`` of its matches, leftmost first.
-
-    ``found`` maps a name to (gate, pattern); texts without the gate are not searched further. A
-    match is (start, end, value, before, after): code points, end exclusive, and up to 80
-    characters on either side up to the next match. ``groups`` asks for a capture group as
-    ``part``. Starts are prefix sums of the pieces between matches, summed in blocks, so that a
-    text with very many matches stays near linear.
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: an array of one gives it a name.
+
+    Without it the optimizer may move a computed column into a lambda, to be computed for every element.
     """
-    groups = groups or {}
-    steps: dict[str, Column] = {}
-    for name, (gate, pattern) in found.items():
-        hit = F.col(text).rlike(gate)
-        steps[f"__m_{name}"] = F.when(hit, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-        steps[f"__p_{name}"] = F.when(hit, F.split(F.col(text), pattern))
-        if name in groups:
-            steps[f"__g_{name}"] = F.when(hit, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(groups[name])))
-    df = df.withColumns(steps)
-    df = df.withColumns(
-        {
-            f"__l_{n}": F.expr(f"transform(__m_{n}, (x, i) -> length(__p_{n}[i]) + length(x))")
-            for n in found
-        }
-    )
-    df = df.withColumns(
-        {
-            f"__b_{n}": F.expr(
-                f"CASE WHEN size(__l_{n}) > 0 THEN transform(sequence(0, (size(__l_{n}) - 1) div {BLOCK}),"
-                f" b -> aggregate(slice(__l_{n}, cast(b * {BLOCK} + 1 as int), {BLOCK}), 0, (s, x) -> s + x)) END"
+    return F.transform(F.array(value), use)[0]
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _starts(lengths: Column, use) -> Column:
+    """``use`` of a function from an index to the sum of the ``lengths`` before it.
+
+    Sums of blocks, and of the blocks before a block, are made first, so that a text with very many
+    matches stays near linear.
+    """
+    zero = F.lit(0)
+
+    def with_blocks(sums: Column) -> Column:
+        before = F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, 1, b), zero, _add))
+        return let(before, lambda offsets: use(lambda i: offsets[_block(i)] + _inside(i)))
+
+    def _block(i: Column) -> Column:
+        return F.floor(i / BLOCK).cast("int")
+
+    def _inside(i: Column) -> Column:
+        return F.aggregate(F.slice(lengths, _block(i) * BLOCK + 1, i % BLOCK), zero, _add)
+
+    blocks = F.sequence(zero, F.floor(F.greatest(F.size(lengths) - 1, zero) / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, _add))
+    return let(sums, with_blocks)
+
+
+def find_matches(text: Column, gate: str, pattern: str, group: int | None = None) -> Column:
+    """The matches of ``pattern`` in a text, leftmost first; texts without ``gate`` are not searched further.
+
+    A match is (start, end, value, before, after, part): code points, end exclusive; up to 80
+    characters on either side, up to the next match; the capture ``group`` asked for.
+    """
+
+    def spans(f: Column) -> Column:
+        m, p = f["m"], f["p"]
+
+        def made(start) -> Column:
+            return F.transform(
+                m,
+                lambda x, i: let(
+                    start(i) + F.length(p[i]),
+                    lambda at: F.struct(
+                        at.alias("start"),
+                        (at + F.length(x)).alias("end"),
+                        x.alias("value"),
+                        F.right(p[i], F.lit(80)).alias("before"),
+                        F.left(p[i + 1], F.lit(80)).alias("after"),
+                        (f["g"][i] if group is not None else F.lit(None).cast("string")).alias("part"),
+                    ),
+                ),
             )
-            for n in found
-        }
-    )
-    df = df.withColumns(
-        {f"__o_{n}": F.expr(f"transform(__b_{n}, (x, b) -> aggregate(slice(__b_{n}, 1, b), 0, (s, y) -> s + y))") for n in found}
-    )
-    empty = "array<struct<start:int,end:int,value:string,before:string,after:string,part:string>>"
-    result = {}
-    for n in found:
-        part = f"__g_{n}[i]" if n in groups else "cast(null as string)"
-        result[n] = F.expr(
-            f"coalesce(transform(transform(__m_{n}, (x, i) -> struct(x as value, i as i, __p_{n}[i] as piece,"
-            f" __o_{n}[i div {BLOCK}] + aggregate(slice(__l_{n}, cast((i div {BLOCK}) * {BLOCK} + 1 as int),"
-            f" i % {BLOCK}), 0, (s, y) -> s + y) + length(__p_{n}[i]) as at, {part} as part)),"
-            f" (m, i) -> struct(cast(m.at as int) as start, cast(m.at + length(m.value) as int) as end, m.value,"
-            f" right(m.piece, 80) as before, left(__p_{n}[i + 1], 80) as after, m.part)),"
-            f" cast(array() as {empty}))"
-        )
-    used = [f"__{k}_{n}" for n in found for k in "mpglbo"]
-    return df.withColumns(result).drop(*used)
+
+        lengths = F.transform(m, lambda x, i: F.length(p[i]) + F.length(x))
+        return let(lengths, lambda sizes: _starts(sizes, made))
+
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("p")]
+    if group is not None:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string,part:string>>")
+    return F.when(text.rlike(gate), let(F.struct(*parts), spans)).otherwise(empty)
 
 
 def span_text(spans: Column) -> Column:

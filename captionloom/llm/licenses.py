@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD, lower_ascii
+from captionloom.llm.common import WORD, let, lower_ascii
 from captionloom.session import materialize
 
 #: The phrases every scan reports, and their labels.
@@ -58,21 +58,6 @@ def _words(text: str) -> list[str]:
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in _words(t)} - EVERYDAY)
 
 
-def _at(words: str | Column, phrase: str) -> Column:
-    """Places in the array of words where the words of ``phrase`` stand one after another."""
-    first, *rest = _words(phrase)
-    words = F.col(words) if isinstance(words, str) else words
-    starts = F.filter(F.transform(words, lambda w, i: F.when(w == first, i)), lambda i: i.isNotNull())
-
-    def follows(i: Column) -> Column:
-        ok = F.lit(True)
-        for k, word in enumerate(rest, 1):
-            ok = ok & F.coalesce(F.get(words, i + k) == word, F.lit(False))
-        return ok
-
-    return F.filter(starts, follows)
-
-
 def _literal(rows: list) -> Column:
     return F.array(*rows)
 
@@ -122,64 +107,69 @@ def scan(docs: DataFrame) -> DataFrame:
     key_at = _literal([F.lit(len(f" {t} ".split(f" {k} ")[0].split())) for _, t, k in TEMPLATES])
     names = _literal([F.lit(label) for label, _, _ in TEMPLATES])
 
-    gated = rows.withColumn("__own", F.array_intersect("words", vocabulary))
-    rarest = F.slice(
-        F.transform(
-            F.reverse(F.array_sort(F.transform("__own", lambda w: F.struct(weight[w].alias("idf"), w.alias("w"))))),
-            lambda s: s["w"],
-        ),
-        1,
-        RAREST,
-    )
-    gated = gated.withColumn("__rare", rarest)
+    words = F.col("words")
     hits = F.filter(
-        F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains("__rare", s["w"])
+        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(vocabulary, s["w"])
     )
-    offsets = F.flatten(
-        F.transform(
-            hits,
-            lambda s: F.transform(postings[s["w"]], lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at"))),
-        )
-    )
-    gated = gated.withColumn("__offsets", F.array_sort(offsets))
-    # Sorted, equal offsets stand together: the AGREE-th of a run shows that so many words agree.
-    agreed = F.filter(
-        "__offsets",
-        lambda o, k: (k >= AGREE - 1) & (F.get(F.col("__offsets"), F.greatest(k - (AGREE - 1), F.lit(0))) == o),
-    )
-    gated = gated.withColumn("__agreed", F.array_distinct(agreed))
+
+    def rarest(hits: Column) -> Column:
+        own = F.array_distinct(F.transform(hits, lambda s: s["w"]))
+        ranked = F.array_sort(F.transform(own, lambda w: F.struct(weight[w].alias("idf"), w.alias("w"))))
+        return F.transform(F.slice(F.reverse(ranked), 1, RAREST), lambda s: s["w"])
+
+    def offsets(hits: Column, rare: Column) -> Column:
+        looked_up = F.filter(hits, lambda s: F.array_contains(rare, s["w"]))
+        at = lambda s: F.transform(postings[s["w"]], lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at")))
+        return F.array_sort(F.flatten(F.transform(looked_up, at)))
+
+    def agreed(found: Column) -> Column:
+        # Sorted, equal offsets stand together: the AGREE-th of a run shows that so many words agree.
+        earlier = lambda k: F.get(found, F.greatest(k - (AGREE - 1), F.lit(0)))
+        return F.array_distinct(F.filter(found, lambda o, k: (k >= AGREE - 1) & (earlier(k) == o)))
 
     def cover(o: Column) -> Column:
+        def stands(w: Column, k: Column) -> Column:
+            at = o["at"] + k
+            return (at >= 0) & F.coalesce(F.get(words, F.greatest(at, F.lit(0))) == w, F.lit(False))
+
         text = texts[o["t"]]
-        same = F.filter(
-            F.transform(text, lambda w, k: (o["at"] + k >= 0) & F.coalesce(F.get(F.col("words"), F.greatest(o["at"] + k, F.lit(0))) == w, F.lit(False))),
-            lambda b: b,
-        )
-        return F.size(same) / F.size(text)
+        return F.size(F.filter(F.transform(text, stands), lambda b: b)) / F.size(text)
 
     def keyed(o: Column) -> Column:
         start = o["at"] + key_at[o["t"]]
-        return F.when(start >= 0, F.slice(F.col("words"), start + 1, F.size(keys[o["t"]])) == keys[o["t"]]).otherwise(False)
+        return F.when(start >= 0, F.slice(words, start + 1, F.size(keys[o["t"]])) == keys[o["t"]]).otherwise(False)
 
-    verified = F.transform(
-        F.filter("__agreed", keyed),
-        lambda o: F.struct(names[o["t"]].alias("label"), o["at"].alias("start"), cover(o).alias("cover")),
-    )
-    found = F.filter(verified, lambda v: v["cover"] >= COVER)
+    def verified(agreed: Column) -> Column:
+        kept = F.transform(
+            F.filter(agreed, keyed),
+            lambda o: F.struct(names[o["t"]].alias("label"), o["at"].alias("start"), cover(o).alias("cover")),
+        )
+        return F.filter(kept, lambda v: v["cover"] >= COVER)
+
+    def labelled(hits: Column, phrase: str, label: str) -> Column:
+        """Places of a base phrase, found from its word that is in the vocabulary."""
+        parts = _words(phrase)
+        anchor = next(k for k, w in enumerate(parts) if w in VOCABULARY)
+
+        def stands(s: Column) -> Column:
+            ok = (s["w"] == parts[anchor]) & (s["i"] >= anchor)
+            for k, word in enumerate(parts):
+                if k != anchor:
+                    ok = ok & F.coalesce(F.get(words, F.greatest(s["i"] + (k - anchor), F.lit(0))) == word, F.lit(False))
+            return ok
+
+        return F.transform(
+            F.filter(hits, stands), lambda s: F.struct((s["i"] - anchor).alias("start"), F.lit(label).alias("label"))
+        )
 
-    def labelled(phrase: str, label: str) -> Column:
-        return F.transform(_at("words", phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
+    def both(hits: Column) -> Column:
+        aligned = let(rarest(hits), lambda rare: let(offsets(hits, rare), lambda at: let(agreed(at), verified)))
+        places = F.flatten(F.array(*[labelled(hits, phrase, label) for phrase, label in PHRASES.items()]))
+        return F.struct(places.alias("places"), aligned.alias("found"))
 
-    places = F.flatten(F.array(*[labelled(phrase, label) for phrase, label in PHRASES.items()]))
-    none_at = F.lit(None).cast("array<struct<start:int,label:string>>")
-    none_found = F.lit(None).cast("array<struct<label:string,start:int,cover:double>>")
-    has = F.col("words").isNotNull()
-    return gated.select(
-        "doc_id",
-        "n_words",
-        F.when(has, places).otherwise(none_at).alias("places"),
-        F.when(has, found).otherwise(none_found).alias("found"),
-    )
+    has = words.isNotNull()
+    seen = rows.select("doc_id", "n_words", F.when(has, let(hits, both)).alias("seen"))
+    return seen.select("doc_id", "n_words", F.col("seen.places").alias("places"), F.col("seen.found").alias("found"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import span_text, split_matches
+from captionloom.llm.common import find_matches, span_text
 from captionloom.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -44,7 +44,8 @@ def find_shapes(docs: DataFrame) -> DataFrame:
         "__phone": (r"\+[0-9]", PHONE),
         "__cand": ("[0-9]", CANDIDATE),
     }
-    df = split_matches(docs.withColumn("__text", F.coalesce("text", F.lit(""))), "__text", found).drop("__text")
+    text = F.coalesce("text", F.lit(""))
+    df = docs.withColumns({name: find_matches(text, *patterns) for name, patterns in found.items()})
     valid = {
         "__ip": lambda s: s["value"].rlike(rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"),
         "__card": lambda s: _is_card(F.regexp_replace(s["value"], "[^0-9]", "")),

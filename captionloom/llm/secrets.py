@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import span_text, split_matches
+from captionloom.llm.common import find_matches, let, span_text
 
 WINDOW = 20
 #: Least entropy of some window, in bits per character, by class.
@@ -38,11 +38,6 @@ HEX_LETTERS = "0123456789abcdef"
 BASE64_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once: an array of one gives it a name."""
-    return F.transform(F.array(value), use)[0]
-
-
 def peak_entropy(value: Column, letters: str, window: int = WINDOW) -> Column:
     """Largest entropy of a window over the string ``value``, all of whose characters are in ``letters``.
 
@@ -78,13 +73,13 @@ def peak_entropy(value: Column, letters: str, window: int = WINDOW) -> Column:
                         counts.alias("counts"), total.alias("total"), most.alias("most"), (st["at"] + 1).alias("at")
                     )
 
-                return _let(total, state)
+                return let(total, state)
 
-            return _let(lost, moved)
+            return let(lost, moved)
 
         return F.aggregate(spots, start, step, lambda st: st["most"])
 
-    return _let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(letters), c)), walk)
+    return let(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(letters), c)), walk)
 
 
 def _kept(spans: str, kind: str, test: str = "true") -> str:
@@ -97,8 +92,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Null text is empty. Positions are code points, end exclusive.
     """
-    found = {"__assign": (ASSIGN_GATE, ASSIGN), "__access": ("AKIA", ACCESS), "__hex": (HEX, HEX), "__cand": (CANDIDATE, CANDIDATE)}
-    df = split_matches(docs.withColumn("__text", F.coalesce("text", F.lit(""))), "__text", found, {"__assign": 1})
+    text = F.coalesce("text", F.lit(""))
+    df = docs.withColumns(
+        {
+            "__assign": find_matches(text, ASSIGN_GATE, ASSIGN, 1),
+            "__access": find_matches(text, "AKIA", ACCESS),
+            "__hex": find_matches(text, HEX, HEX),
+            "__cand": find_matches(text, CANDIDATE, CANDIDATE),
+        }
+    )
     base = ",".join(
         [_kept("__assign", "assign", f"length(s.part) >= {LEAST_SECRET}"), _kept("__access", "access"), _kept("__hex", "hex")]
     )
@@ -114,7 +116,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     df = df.withColumn("__high", F.filter("__cand", high))
     df = df.withColumn("__spans", F.expr(f"array_sort(concat(__base, {_kept('__high', 'entropy')}))"))
-    return df.drop("__text", "__high", "__cand", *[f"__{k}" for k in KINDS[:3]])
+    return df.drop("__high", "__cand", *[f"__{k}" for k in KINDS[:3]])
 
 
 def report(docs: DataFrame) -> DataFrame:
