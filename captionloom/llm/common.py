@@ -15,8 +15,8 @@ from captionloom.session import materialize
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-#: The same alphabet as a regular expression over lowered text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of lowered text, as a regular expression.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of plain white space splitting.
 TOKEN = r"[^\x20\x09-\x0D]+"
 PLACE = ["__place_file", "__place_row"]

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD, let, lower_ascii
+from captionloom.llm.common import BETWEEN, let, lower_ascii
 from captionloom.session import materialize
 
 #: The phrases every scan reports, and their labels.
@@ -64,12 +64,16 @@ def _literal(rows: list) -> Column:
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words`` and, of texts with a licence word, all ``words``: written, texts read once."""
-    lowered = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("low"))
-    every = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
-    cut = lowered.select("doc_id", every.alias("every"))
-    # Every base phrase has a word of the vocabulary, so texts without one hold nothing to find.
-    kept = F.when(F.arrays_overlap("every", _literal([F.lit(w) for w in VOCABULARY])), F.col("every"))
-    return materialize(cut.select("doc_id", F.size("every").cast("long").alias("n_words"), kept.alias("words")), "words")
+    # Empty strings are left at the ends only, where the text does not begin or end with a word.
+    every = F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), BETWEEN), "")
+    vocabulary = _literal([F.lit(w) for w in VOCABULARY])
+
+    def cut(every: Column) -> Column:
+        # Every base phrase has a word of the vocabulary, so texts without one hold nothing to find.
+        kept = F.when(F.arrays_overlap(every, vocabulary), every)
+        return F.struct(F.size(every).cast("long").alias("n_words"), kept.alias("words"))
+
+    return materialize(docs.select("doc_id", let(every, cut).alias("seen")).select("doc_id", "seen.*"), "words")
 
 
 def idf(rows: DataFrame) -> dict[str, float]:
