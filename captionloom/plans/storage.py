@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from captionloom.functions.tokens import attention_mask, pad_truncate
+from captionloom.functions.tokens import SPECIAL_PIECES, attention_mask, pad_truncate
 from captionloom.operators import filters, ordering, payload, series, stages
+from captionloom.plans import batching
 from captionloom.plans import jobs as jobs_plan
 from captionloom.plans import tokens as token_plans
 from captionloom.plans import views
 from captionloom.plans.features import ORACLES as FEATURE_SQL
 from captionloom.plans.prepare import ORACLES as PREPARE_SQL
 from captionloom.plans.tokens import ORACLES as TOKEN_SQL
-from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql
+from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql, u32_sql
 from captionloom.session import fresh_dir
+from captionloom.settings import DataSettings
 from captionloom.sources import images, metric_log, shards
 from captionloom.sources import metadata as meta_source
 from captionloom.sources import vocab as vocab_source
@@ -207,6 +209,30 @@ def latent_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("shard", "key", F.md5(F.col("caption").cast("binary")).alias("caption_md5"), stages.try_map(shape, "latent", "string")["value"].alias("latent"))
 
 
+def latent_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with small latents through shards to batches; every tenth latent has two axes and is left out."""
+    root = fresh_dir(spark, "batches")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def make():
+        return lambda ids: [jobs_plan.npy(np.arange(i, i + 4, dtype=np.float32).reshape((2, 2) if i % 10 == 0 else (1, 2, 2))) for i in ids]
+
+    members = F.create_map(F.lit("npy"), stages.map_values(make, "doc_id", "binary", 64), F.lit("txt"), F.encode("text", "UTF-8"))
+    shard = F.format_string("%06d", F.floor(F.col("doc_id") / 100))
+    rows = docs.select(shard.alias("shard"), ordering.sample_key("doc_id", "latent").alias("key"), members.alias("members"))
+    shards.write_shards(rows, f"{root}/shards")
+    pieces = [*SPECIAL_PIECES, "▁", *"abcdefghijklmnopqrstuvwxyz"]
+    vocab = spark.createDataFrame([(i, p, 0.0) for i, p in enumerate(pieces)], "id int, piece string, score double")
+    vocab_source.write_vocab(vocab, f"{root}/vocab")
+    settings = DataSettings(f"{root}/shards", f"{root}/vocab/tokenizer.vocab", batch_size=16, latent_mode=True)
+    made = batching.token_batches(spark, settings, token_plans.SEED, epoch=1, media=batching.npy_array)
+    text = lambda c: F.array_join(F.flatten(F.transform(c, lambda r: F.transform(r, lambda x: x.cast("int").cast("string")))), " ")
+    return made.select(
+        "batch_id", F.col("batch_rows").cast("bigint").alias("batch_rows"), F.array_join("key", " ").alias("keys"),
+        F.md5(text(F.col("tokens")).cast("binary")).alias("tokens_md5"), text(F.col("values")).alias("latents"),
+    )
+
+
 def stage_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's encoder over batches: eight block means, scaled as latents are."""
 
@@ -385,7 +411,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan,
-        score_folders, clip_score_folder, prepared_funnel, latent_shards, stage_encode, quarantine, vector_store,
+        score_folders, clip_score_folder, prepared_funnel, latent_shards, latent_batches, stage_encode, quarantine, vector_store,
         vocab_files, metric_log_file, stream_metric_log, stale_tokens, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
     )
 }
@@ -432,6 +458,22 @@ UNION ALL SELECT 'written', (SELECT count(*) FROM sized) - n FROM lost""",
     "latent_shards": """SELECT printf('%06d', doc_id // 100) AS shard, printf('latent-%09d', row_number() OVER (ORDER BY doc_id) - 1) AS key,
   md5(text) AS caption_md5, '3:' || ((strlen(text) + length(text) - length(replace(text, 'e', ''))) * 0.5::FLOAT)::DOUBLE AS latent
 FROM documents""",
+    "latent_batches": f"""WITH cleaned AS (
+  SELECT doc_id, printf('latent-%09d', doc_id) AS key, {clean_sql('text')} AS caption FROM documents WHERE doc_id % 10 <> 0),
+chars AS (
+  SELECT doc_id, key, list_transform(string_split('▁' || replace(caption, ' ', '▁'), ''), lambda c:
+         CASE WHEN c = '▁' THEN 5 WHEN regexp_matches(c, '^[a-z]$') THEN unicode(c) - 91 ELSE 3 END) AS ids
+  FROM cleaned WHERE caption <> ''),
+cut AS (
+  SELECT doc_id, key, list_resize(list_slice(list_filter(ids, lambda x, i: x <> 3 OR i = 1 OR ids[i - 1] <> 3), 1, 77), 77, 0) AS t FROM chars),
+dropped AS (
+  SELECT doc_id, key, CASE WHEN {u32_sql(f"'{token_plans.SEED}'", "'1'", 'key')} / 4294967296.0 < 0.1
+         THEN list_resize([4], 77, 0) ELSE t END AS t FROM cut),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('{token_plans.SEED}|1|' || key), key) - 1 AS r FROM dropped)
+SELECT r // 16 AS batch_id, count(*) AS batch_rows, string_agg(key, ' ' ORDER BY r) AS keys,
+       md5(string_agg(array_to_string(t, ' '), ' ' ORDER BY r)) AS tokens_md5,
+       string_agg(doc_id || ' ' || (doc_id + 1) || ' ' || (doc_id + 2) || ' ' || (doc_id + 3), ' ' ORDER BY r) AS latents
+FROM ranked GROUP BY 1""",
     "image_scan": """SELECT printf('img-%09d.png', vec_id) AS name, 8::BIGINT AS width, 8::BIGINT AS height, 3::BIGINT AS channels,
   list_sum(list_transform(embedding, lambda x: 3 * floor((x::DOUBLE + 1.0) * 127.5)))::BIGINT AS pixel_sum
 FROM embeddings WHERE vec_id <> 0""",

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,5 +33,9 @@ def test_shards_to_batches(spark, tmp_path):
     assert sorted(keys) == [f"sample-{i:09d}" for i in range(10) if i != 3] and keys != sorted(keys)
     assert {tuple(t) for r in made for t in r.tokens} == {(6, 0, 0), (4, 0, 0)}
     assert {tuple(m) for r in made for m in r["mask"]} == {(1, 0, 0)}
+    drawn = token_batches(spark, settings, seed=1, draws=3, media=lambda raw: np.frombuffer(raw, np.uint8)).collect()
+    keys = [k for r in drawn for k in r.key]
+    assert len(keys) == 27 and sorted({k.split("/")[0] for k in keys}) == [f"{i:09d}" for i in range(3)]
+    assert all(s == [1] and v == [120.0] for r in drawn for s, v in zip(r.shape, r["values"]))
     again = token_batches(spark, settings, seed=1).orderBy("batch_id").collect()
     assert [tuple(r) for r in again] == [tuple(r) for r in made]
