@@ -1,10 +1,10 @@
 """License scans: fixed phrases, and alignment of rare licence words to templates by position.
 
-The words of the templates that are not everyday words are counted over all files. Of a file's licence words the
-rarest are looked up in the postings of the templates; each place in the file less the place in the
-template is an offset at which the template may stand. An offset that several rare words agree on is
-verified: its key phrase must stand there, and enough of the template's words. All of it is column
-functions; texts are read once and never exchanged.
+The words of the templates that are not everyday words are counted over all files. Of each template's key
+phrase the rarest of them is looked up at all its places in a file; each place in the file less the place in
+the template is an offset at which the template may stand. An offset is verified: the key phrase must stand
+there, several licence words and enough of the template's words. Nothing depends on what else a
+file holds. All of it is column functions; texts are read once and never exchanged.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ EVERYDAY = set(
     "a and any are by can code copy form free in into is it mit modify nc of or person sa source subject terms the this to "
     "under use with without work you 0 2 3 4".split()
 )
-#: Rarest licence words of a file that are looked up; how many must agree; share of the template that must stand there.
+#: Rarest licence words of a file that the SQL of ``op9_licenses`` looks up; here all files are searched for every template.
 RAREST = 6
+#: How many licence words must agree on an offset; share of the template that must stand there.
 AGREE = 2
 COVER = 0.8
 
@@ -55,6 +56,10 @@ def _words(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _key_at(text: str, key: str) -> int:
+    return len(f" {text} ".split(f" {key} ")[0].split())
+
+
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in _words(t)} - EVERYDAY)
 
 
@@ -94,10 +99,9 @@ def scan(docs: DataFrame) -> DataFrame:
     weights = idf(rows)
     vocabulary = _literal([F.lit(w) for w in VOCABULARY])
     by_word: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for i, w in enumerate(_words(text)):
-            if w in weights:
-                by_word.setdefault(w, []).append((t, i))
+    for t, (_, text, key) in enumerate(TEMPLATES):
+        rarest = max((w for w in _words(key) if w in weights), key=lambda w: (weights[w], w))
+        by_word.setdefault(rarest, []).append((t, _key_at(text, key) + _words(key).index(rarest)))
     postings = F.create_map(
         *[
             c
@@ -105,10 +109,10 @@ def scan(docs: DataFrame) -> DataFrame:
             for c in (F.lit(w), _literal([F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in places]))
         ]
     )
-    weight = F.create_map(*[c for w in VOCABULARY for c in (F.lit(w), F.lit(weights[w]))])
+    anchors = _literal([F.lit(w) for w in sorted(by_word)])
     texts = _literal([_literal([F.lit(w) for w in _words(t)]) for _, t, _ in TEMPLATES])
     keys = _literal([_literal([F.lit(w) for w in _words(k)]) for _, _, k in TEMPLATES])
-    key_at = _literal([F.lit(len(f" {t} ".split(f" {k} ")[0].split())) for _, t, k in TEMPLATES])
+    key_at = _literal([F.lit(_key_at(t, k)) for _, t, k in TEMPLATES])
     names = _literal([F.lit(label) for label, _, _ in TEMPLATES])
 
     words = F.col("words")
@@ -116,39 +120,38 @@ def scan(docs: DataFrame) -> DataFrame:
         F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(vocabulary, s["w"])
     )
 
-    def rarest(hits: Column) -> Column:
-        own = F.array_distinct(F.transform(hits, lambda s: s["w"]))
-        ranked = F.array_sort(F.transform(own, lambda w: F.struct(weight[w].alias("idf"), w.alias("w"))))
-        return F.transform(F.slice(F.reverse(ranked), 1, RAREST), lambda s: s["w"])
-
-    def offsets(hits: Column, rare: Column) -> Column:
-        looked_up = F.filter(hits, lambda s: F.array_contains(rare, s["w"]))
+    def offsets(hits: Column) -> Column:
+        looked_up = F.filter(hits, lambda s: F.array_contains(anchors, s["w"]))
         at = lambda s: F.transform(postings[s["w"]], lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at")))
-        return F.array_sort(F.flatten(F.transform(looked_up, at)))
+        return F.flatten(F.transform(looked_up, at))
 
-    def agreed(found: Column) -> Column:
-        # Sorted, equal offsets stand together: the AGREE-th of a run shows that so many words agree.
-        earlier = lambda k: F.get(found, F.greatest(k - (AGREE - 1), F.lit(0)))
-        return F.array_distinct(F.filter(found, lambda o, k: (k >= AGREE - 1) & (earlier(k) == o)))
+    def standing(o: Column) -> Column:
+        """The words of the template that stand in place."""
 
-    def cover(o: Column) -> Column:
         def stands(w: Column, k: Column) -> Column:
             at = o["at"] + k
             return (at >= 0) & F.coalesce(F.get(words, F.greatest(at, F.lit(0))) == w, F.lit(False))
 
-        text = texts[o["t"]]
-        return F.size(F.filter(F.transform(text, stands), lambda b: b)) / F.size(text)
+        return F.filter(texts[o["t"]], stands)
 
     def keyed(o: Column) -> Column:
         start = o["at"] + key_at[o["t"]]
         return F.when(start >= 0, F.slice(words, start + 1, F.size(keys[o["t"]])) == keys[o["t"]]).otherwise(False)
 
-    def verified(agreed: Column) -> Column:
-        kept = F.transform(
-            F.filter(agreed, keyed),
-            lambda o: F.struct(names[o["t"]].alias("label"), o["at"].alias("start"), cover(o).alias("cover")),
-        )
-        return F.filter(kept, lambda v: v["cover"] >= COVER)
+    def verified(offsets: Column) -> Column:
+        def told(o: Column) -> Column:
+            return let(
+                standing(o),
+                lambda there: F.struct(
+                    names[o["t"]].alias("label"),
+                    o["at"].alias("start"),
+                    (F.size(there) / F.size(texts[o["t"]])).alias("cover"),
+                    F.size(F.filter(there, lambda w: F.array_contains(vocabulary, w))).alias("agree"),
+                ),
+            )
+
+        kept = F.transform(F.filter(offsets, keyed), told)
+        return F.filter(kept, lambda v: (v["cover"] >= COVER) & (v["agree"] >= AGREE))
 
     def labelled(hits: Column, phrase: str, label: str) -> Column:
         """Places of a base phrase, found from its word that is in the vocabulary."""
@@ -167,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     def both(hits: Column) -> Column:
-        aligned = let(rarest(hits), lambda rare: let(offsets(hits, rare), lambda at: let(agreed(at), verified)))
+        aligned = let(offsets(hits), verified)
         places = F.flatten(F.array(*[labelled(hits, phrase, label) for phrase, label in PHRASES.items()]))
         return F.struct(places.alias("places"), aligned.alias("found"))
 

@@ -275,6 +275,22 @@ def test_templates_align(spark):
     assert got[1]["score"] == 1 and 0.8 <= got[4]["score"] < 1 and got[5]["score"] == 0
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    notice = {t: text for t, (_, text, _) in enumerate(licenses.TEMPLATES)}
+    label = {t: name for t, (name, _, _) in enumerate(licenses.TEMPLATES)}
+    filler = " ".join(f"w{i}" for i in range(300))
+    sets = [(i,) for i in notice] + [(i, j) for i in notice for j in notice if i < j] + [tuple(notice)]
+    texts = [f"{filler} ".join(notice[t] + " " for t in s) for s in sets]
+    # Files that make other words rare than this one's, and a long one with licence words everywhere.
+    texts.append(" ".join(f"{w} x" for w in licenses.VOCABULARY) + f" {filler} " + notice[9] + " " + filler)
+    sets.append((9,))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, notice[i % len(notice)]) for i in range(200)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, s in enumerate(sets):
+        # A base phrase inside a longer one (cc by) gives its label too.
+        assert {label[t] for t in s} <= set(got[i].split(",")), (s, got[i])
+
+
 def test_simhash(docs, pairs, no_docs):
     check(simhash.report(docs), ["doc_id", "fingerprint", "component_id"], brute.simhash(pairs))
     assert simhash.report(no_docs).count() == 0
