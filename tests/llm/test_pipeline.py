@@ -64,6 +64,13 @@ def test_contaminated_documents_go(spark, stages):
     assert Counter(rows(after, "doc_id", "text")) == clean and sum(clean.values()) < len(pairs)
 
 
+def test_passages_without_an_id_count(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(12))
+    spark.createDataFrame([(None, passage), (1, "another passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"so {passage} it goes"), (2, "clean")], "doc_id long, text string")
+    assert rows(corpus_pipeline.clean_of_benchmark(spark, docs, str(tmp_path)), "doc_id") == [(2,)]
+
+
 def test_mixing_takes_whole_copies(stages):
     before, after = stages["mixing"]
     there, taken = Counter(rows(before, "doc_id", "text", "source")), Counter(rows(after, "doc_id", "text", "source"))
