@@ -114,29 +114,40 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model from labelled rows of ``docs`` that are not held out; None if there are none.
 
-    The sample is chosen by hash, an equal part per language, and holds at most ``2 * train_rows``
-    rows; its features, not its texts, come to the driver. Languages are few by nature.
+    The sample is an equal number of rows per language, one at least: the first in the order of a hash of id and
+    text, copies of a row once. It depends on the rows alone, not on their order or number of
+    partitions. Its features, not its texts, come to the driver. Languages are few by nature.
     """
     open_rows = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     rows = docs.filter(open_rows)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = train_rows / len(counts)
-    picks = [(F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, share / n) * (1 << 30))) for lang, n in counts.items()]
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen | p
-    sample = rows.filter(chosen).select("doc_id", "lang", "text").limit(2 * train_rows)
+    share = max(1, train_rows // len(counts))
+    key = F.xxhash64("doc_id", "text")
 
     @F.arrow_udf("binary")
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
-    got = sample.select("doc_id", "lang", vector("text").alias("x")).collect()
+    # Only hashes below a threshold are looked at. Where copies leave a language too few, its threshold is widened.
+    part = {lang: (1.2 * share + 4 * share**0.5 + 4) / n for lang, n in counts.items()}
+    chosen: dict[str, list] = {}
+    while part:
+        low = F.lit(False)
+        for lang, p in part.items():
+            under = F.lit(True) if p >= 1 else key < F.lit(int(p * 2**64) - 2**63)
+            low = low | ((F.col("lang") == lang) & under)
+        sample = rows.filter(low).select("doc_id", "lang", "text").distinct()
+        got: dict[str, list] = {lang: [] for lang in part}
+        for r in sample.select("doc_id", "lang", key.alias("key"), vector("text").alias("x")).collect():
+            got[r["lang"]].append(r)
+        done = [lang for lang, p in part.items() if p >= 1 or len(got[lang]) >= share]
+        for lang in done:
+            chosen[lang] = sorted(got[lang], key=lambda r: (r["key"], r["doc_id"], bytes(r["x"])))[:share]
+        part = {lang: 2 * p for lang, p in part.items() if lang not in chosen}
+    got = [r for lang in sorted(chosen) for r in chosen[lang]]
     got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
-    if not got:
-        return None
     return fit([r["lang"] for r in got], np.stack([np.frombuffer(r["x"], np.float32) for r in got]))
 
 

@@ -213,6 +213,19 @@ def test_language(docs, pairs, no_docs, real):
     assert kept.columns == docs.columns and 0 < kept.count() < len(pairs)
 
 
+def test_languages_are_learned_the_same_whatever_repeats(spark):
+    # One id in most rows: it is in the sample with all of them or with none.
+    texts = {"aa": "the cat sat on the mat", "bb": "zwei grosse hunde bellen laut"}
+    rows = [(7, f"{texts['aa']} {i}", "aa") for i in range(300)] + [(100 + i, f"{texts['aa']} x{i}", "aa") for i in range(30)]
+    rows += [(7, texts["aa"], "aa")] * 500 + [(7, texts["bb"], "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = langid.learn(docs, 20)
+    assert first.langs == ["aa", "bb"]
+    for parts in (1, 7):
+        again = langid.learn(docs.repartition(parts), 20)
+        assert again.langs == first.langs and np.array_equal(again.weights, first.weights)
+
+
 def test_codewords_stand_apart():
     for k in (2, 3, 4, 5, 9, 40):
         words = langid.codewords(k)
