@@ -203,9 +203,18 @@ def report(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 def accepted(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` whose language is found; rows without letters, or without a language that stands out, are rejected.
 
-    A text between two languages is flagged as ambiguous, but kept: it may well be clean.
+    A text between two languages is flagged as ambiguous, but kept: it may well be clean. Where no row is labelled
+    and open to learning there is nothing to judge by: only texts without letters are rejected.
     """
     names = docs.columns
-    found = predict(docs, learn(docs, train_rows), out="__lang")
+    model = learn(docs, train_rows)
+    if model is None:
+
+        @F.arrow_udf("boolean")
+        def lettered(texts: pa.Array) -> pa.Array:
+            return pa.array([has_letter(t.as_py()) for t in texts], pa.bool_())
+
+        return docs.filter(lettered(F.col("text")))
+    found = predict(docs, model, out="__lang")
     sure = (F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") >= least_score)
     return found.filter(sure).select(*[F.col(f"`{n}`") for n in names])

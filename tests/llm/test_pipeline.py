@@ -44,6 +44,15 @@ def test_language_rejects_what_has_none(stages):
     assert sum(lost.values()) <= sum(blank.values()) + 2
 
 
+def test_nothing_to_learn_from_rejects_only_what_has_no_letter(docs):
+    want = Counter(r for r in rows(docs, "doc_id", "text") if langid.has_letter(r[1]))
+    unlabelled = langid.accepted(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.columns == docs.columns
+    assert want and Counter(rows(unlabelled, "doc_id", "text")) == want
+    nameless = langid.accepted(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(t for (t,) in rows(nameless, "text")) == sorted(want_text for _, want_text in want.elements())
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["near_duplicates"]
     pairs = rows(before, "doc_id", "text")
