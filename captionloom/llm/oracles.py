@@ -217,4 +217,74 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN told USING (rid)
 """
 
-ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9}
+OP11 = r"""
+WITH RECURSIVE table_ AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT)),
+           lambda crc, b: xor(t[(xor(crc, b) & 255) + 1], crc >> 8))) % 20 AS kind
+  FROM conversations, table_
+),
+turns AS (
+  SELECT coalesce('=' || conv_id, '-') AS conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)
+),
+placed AS (
+  SELECT *, left(role, 1) AS first, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS mark,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, md5(conv || chr(10) || length(role) || chr(10) || role || text)) AS i
+  FROM turns
+),
+marked AS (
+  SELECT *, CASE WHEN mark = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+                 WHEN mark NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(first) OVER (PARTITION BY conv ORDER BY i) || first AS pair
+  FROM placed
+),
+bases(src, dst, role, first) AS (
+  VALUES ('N', 'S', NULL, 's'), ('N', 'U', 'user', 'u'), ('S', 'U', 'user', 'u'), ('A', 'U', 'user', 'u'), ('U', 'A', 'assistant', 'a')
+),
+inserts(src, dst, role) AS (VALUES ('N', 'U', 'user'), ('S', 'U', 'user'), ('A', 'U', 'user'), ('U', 'A', 'assistant')),
+single AS (
+  SELECT src, dst, 0 AS cost, 'K' AS letters, first, NULL AS role FROM bases
+  UNION ALL SELECT src, dst, 1, 'R', NULL, role FROM bases WHERE role IS NOT NULL
+  UNION ALL SELECT s, s, 2, 'D', NULL, NULL FROM (VALUES ('N'), ('S'), ('U'), ('A')) x(s)
+),
+moves AS (
+  SELECT src, dst, cost, letters, first, role, []::VARCHAR[] AS lead FROM single
+  UNION ALL
+  SELECT inserts.src, single.dst, cost + 5, 'I' || letters, first, single.role, [inserts.role || ':']
+  FROM inserts JOIN single ON inserts.dst = single.src
+),
+reach(conv, i, state, best) AS (
+  SELECT DISTINCT conv, 0::BIGINT, 'N', {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} FROM marked
+  UNION ALL
+  SELECT r.conv, r.i + 1, m.dst,
+         min({'cost': r.best.cost + m.cost + CASE WHEN t.fault = 3 AND right(m.letters, 1) <> 'D' THEN 5 ELSE 0 END,
+              'audit': r.best.audit || m.letters,
+              'lines': r.best.lines || m.lead || CASE right(m.letters, 1) WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [m.role || ':' || t.text] END})
+  FROM reach r JOIN marked t ON t.conv = r.conv AND t.i = r.i + 1
+  JOIN moves m ON m.src = r.state AND (m.first IS NULL OR m.first = t.first) AND (right(m.letters, 1) = 'D' OR t.fault NOT IN (1, 2))
+  GROUP BY ALL
+),
+ends AS (
+  SELECT conv, min(CASE state WHEN 'U' THEN {'cost': best.cost + 5, 'audit': best.audit || 'I', 'lines': best.lines || ['assistant:']} ELSE best END) AS best
+  FROM reach JOIN (SELECT conv, max(i) AS i FROM marked GROUP BY conv) USING (conv, i) WHERE state <> 'S' GROUP BY conv
+),
+counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '-') AS conv FROM conversations) o LEFT JOIN counted USING (conv) LEFT JOIN ends USING (conv)
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9, "op11_dialogue": OP11}

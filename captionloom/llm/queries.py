@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import decontaminate, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, warc
+from captionloom.llm import decontaminate, dialogue, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, warc
 from captionloom.llm.common import table
 from captionloom.llm.oracles import ORACLES
 
@@ -49,6 +49,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES = {
         op8_mixing,
         op9_licenses,
         op10_simhash,
+        op11_dialogue,
     )
 }
 
