@@ -287,4 +287,20 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '-') AS conv FROM conversations) o LEFT JOIN counted USING (conv) LEFT JOIN ends USING (conv)
 """
 
-ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9, "op11_dialogue": OP11}
+OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: x::DOUBLE * 256) AS e FROM embeddings
+),
+whole AS (
+  SELECT rid, vec_id, list_transform(e, lambda x: floor(x)) AS e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score, c.rid AS other
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)
+)
+SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9, "op11_dialogue": OP11, "op12_vector_search": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import decontaminate, dialogue, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, warc
+from captionloom.llm import decontaminate, dialogue, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, vector_search, warc
 from captionloom.llm.common import table
 from captionloom.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES = {
         op9_licenses,
         op10_simhash,
         op11_dialogue,
+        op12_vector_search,
     )
 }
 
