@@ -303,4 +303,35 @@ SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9, "op11_dialogue": OP11, "op12_vector_search": OP12}
+OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+spots AS (
+  SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM words, (VALUES (1), (2), (3)) s(size) WHERE len(ws) >= size
+),
+counts AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.ws, c.a, x.f AS l, y.f AS r, k, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1 : k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1 : c.size], ' ')
+),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (
+  SELECT lang, array_to_string(ws[s : s + 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest([1, 2]) AS s FROM candidates WHERE size = 3) GROUP BY ALL
+),
+kept AS (
+  SELECT least.* FROM least LEFT JOIN within USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_decontaminate": OP2, "op3_embed_dedup": OP3, "op5_secrets": OP5, "op8_mixing": OP8, "op9_licenses": OP9, "op11_dialogue": OP11, "op12_vector_search": OP12, "op13_collocations": OP13}

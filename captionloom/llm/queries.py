@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import decontaminate, dialogue, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, vector_search, warc
+from captionloom.llm import (
+    collocations, decontaminate, dialogue, embed_dedup, langid, licenses, mixing, pii, secrets, sharding, simhash, vector_search, warc,
+)
 from captionloom.llm.common import table
 from captionloom.llm.oracles import ORACLES
 
@@ -57,6 +59,10 @@ def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +78,7 @@ QUERIES = {
         op10_simhash,
         op11_dialogue,
         op12_vector_search,
+        op13_collocations,
     )
 }
 
