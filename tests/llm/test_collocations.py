@@ -71,8 +71,9 @@ def test_limits_and_longer_phrases(spark):
 def test_more_phrases_than_are_sent(spark, monkeypatch):
     rows = small_rows(200)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    for most in (5, 60):
-        monkeypatch.setattr(co, "MOST", most)
+    for words, keys in ((5, 60), (60, 60), (1000, 5)):
+        monkeypatch.setattr(co, "MOST_WORDS", words)
+        monkeypatch.setattr(co, "MOST_KEYS", keys)
         check(co.collocations(docs, sample_rows=50), COLUMNS, brute(rows))
 
 
