@@ -1,18 +1,33 @@
 """Learning a byte-pair vocabulary over the distinct-word table.
 
-The corpus is read once, to count words. A round then counts adjacent symbol pairs over the
-word table and merges the best. Words are kept as text with every symbol between
-spaces, so that counting and merging are plain string expressions in the JVM.
+The corpus is read once, to count words. Stretches in which merges can happen become arrays of symbol numbers, dealt to
+partitions. From then on nothing is counted anew: a task applies merges to the stretches that hold one of the pairs, and
+tells by how much the counts of the pairs beside them change, step by step.
+
+A round guesses the next merges, lets all tasks apply them in order, and goes through the summed changes: as long as the most
+frequent pair by the exact counts is a guessed one, its merge stands. It may have been guessed for later, if nothing it
+touches was touched by the guesses passed over. At the first pair that was not guessed the rest of the round is thrown away; the first
+guess of a round is always right. Guesses come from merging a bounded number of the most frequent stretches on the driver; they
+decide how many merges a round yields, not which.
+
+The driver holds the counts of the pairs from a threshold on. A merge can only take from pairs that are there, and makes pairs of
+the new symbol, whose counts never grow later; so a pair below the threshold stays below it, and counts are only taken
+again, with a lower threshold, when the held ones are used up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.tokens import SPECIAL_PIECES
 from captionloom.operators.lexicon import COVERAGE, WORD_START, char_coverage
-from captionloom.session import materialize
+from captionloom.session import drop_path, fresh_dir, materialize
 
 # Longest piece in characters; scripts that count as one.
 MAX_PIECE_CHARS = 16
@@ -20,9 +35,15 @@ TOGETHER = ("HAN", "HIRAGANA", "KATAKANA")
 #: A common mark that belongs to the kana.
 KANA_MARK = r"\x{30FC}"
 
-CANDIDATES = 256
-TRIPLES_PER_PAIR = 8
-ROUNDS_PER_WRITE = 8
+#: Pairs that the driver holds; stretches that it guesses from; stretches in a partition.
+HELD_PAIRS = 20_000
+HEAD_RUNS = 20_000
+PART_RUNS = 100_000
+#: Guesses in a round, at least and at most; merges after which the stretches are written anew.
+LEAST_GUESSES, MOST_GUESSES = 32, 512
+MERGES_PER_WRITE = 512
+LAST = 2**32 - 1
+Merge = tuple[int, int, int]
 
 
 def _script_runs(spark: SparkSession) -> str:
@@ -47,12 +68,11 @@ def _char_class(chars: list[str]) -> str:
     return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in chars) + "]"
 
 
-def symbol_table(words: DataFrame, alphabet: DataFrame) -> DataFrame:
-    """``symbols, n``: stretches in which merges can happen, each character a symbol.
+def merge_runs(words: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """``run, n``: stretches of words in which merges can happen, equal ones added up.
 
-    Rare characters and script borders, which no piece may span, cut a word. Equal stretches of
-    different words are added up, which keeps the table small. ``alphabet`` has one row
-    per character, so its rarer half fits a pattern.
+    Rare characters and script borders, which no piece may span, cut a word. ``alphabet`` has one row per character, so its
+    rarer half fits a pattern.
     """
     dropped = [r["char"] for r in alphabet.filter(~F.col("kept")).select("char").collect()]
     text = F.col("word")
@@ -60,8 +80,12 @@ def symbol_table(words: DataFrame, alphabet: DataFrame) -> DataFrame:
     runs = words.select(F.explode(parts).alias("part"), "n").select(
         F.explode(F.regexp_extract_all("part", F.lit(_script_runs(words.sparkSession)), F.lit(0))).alias("run"), "n"
     )
-    spaced = F.regexp_replace("run", "(.)", " $1 ")
-    return runs.filter(F.char_length("run") > 1).groupBy(spaced.alias("symbols")).agg(F.sum("n").alias("n"))
+    return runs.filter(F.char_length("run") > 1).groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def symbol_table(words: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """``symbols, n``: the stretches with every character a symbol between spaces."""
+    return merge_runs(words, alphabet).select(F.regexp_replace("run", "(.)", " $1 ").alias("symbols"), "n")
 
 
 def gram_counts(symbols: DataFrame, max_chars: int | None = MAX_PIECE_CHARS) -> DataFrame:
@@ -88,91 +112,221 @@ def pair_counts(symbols: DataFrame, max_chars: int = MAX_PIECE_CHARS) -> DataFra
     return gram_counts(symbols, max_chars).groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def best_pairs(counts: DataFrame, top: int) -> DataFrame:
-    """Most frequent first, then the shorter piece, then text order."""
-    piece = F.concat("left", "right")
-    return counts.orderBy(F.desc("n"), F.char_length(piece), piece, "left").limit(top)
-
-
-def ranking(symbols: DataFrame, top: int) -> tuple[list[Row], list[Row], bool, bool]:
-    """The best pairs, the most frequent triples, and whether each list was cut.
-
-    One action with lists of bounded length. Both come from the same counts, which are computed
-    once: whatever would tell the two branches apart (a filter on length or on null is moved
-    below the aggregate) is left to the sort, or done to the short lists here.
-    """
-    grams = gram_counts(symbols, None)
-    pairs = grams.groupBy("left", "right").agg(F.sum("n").alias("n"))
-    pairs = best_pairs(pairs, top).select("left", "right", F.lit(None).cast("string").alias("after"), "n", F.lit(2).alias("k"))
-    inner = F.when(F.col("after").isNotNull(), F.col("n")).otherwise(0)
-    triples = grams.orderBy(F.desc(inner)).limit(top * TRIPLES_PER_PAIR).withColumn("k", F.lit(3))
-    rows = pairs.unionByName(triples).collect()
-    two, three = [r for r in rows if r["k"] == 2], [r for r in rows if r["k"] == 3]
-    by_rank = lambda p: (-p["n"], len(p["left"] + p["right"]), p["left"] + p["right"], p["left"])
-    return (
-        sorted(two, key=by_rank),
-        [r for r in three if r["after"] is not None],
-        len(two) >= top,
-        len(three) >= top * TRIPLES_PER_PAIR,
-    )
-
-
-def certain_merges(
-    pairs: list[Row], triples: list[Row], known: set[str], room: int, pairs_cut: bool, triples_cut: bool,
-    max_chars: int = MAX_PIECE_CHARS,
-) -> list[Row]:
-    """The merges that merging one by one would take next, in that order, as far as is certain.
-
-    Going down the ranking, a pair is next if its own count stands, and nothing else can have
-    reached it: no new pair beside a piece just made (it occurs at most as often as the triple it
-    comes from), and no pair passed over because it overlaps a merge (it lost the triples
-    that the merge used up). Where a list was cut, its smallest count stands for all that is
-    not on it.
-    """
-    pair_floor = pairs[-1]["n"] if pairs_cut else 0
-    triple_floor = min((t["n"] for t in triples), default=0) if triples_cut else 0
-    beside: dict[tuple[str, str], int] = {}
-    used: dict[tuple[str, str, str], int] = {}
-    for t in triples:
-        used[t["left"], t["right"], t["after"]] = t["n"]
-        for pair in ((t["left"], t["right"]), (t["right"], t["after"])):
-            beside[pair] = max(beside.get(pair, 0), t["n"])
-    taken: list[Row] = []
-    pieces = set(known)
-    limit = 0
-    for p in pairs:
-        left, right, n = p["left"], p["right"], p["n"]
-        if len(taken) >= room or (taken and n <= max(limit, pair_floor)):
-            break
-        if left + right in pieces or len(left + right) > max_chars:
-            continue
-        lost = []
-        for t in taken:
-            exact = t["left"] != t["right"] and left != right
-            if t["right"] == left:
-                lost.append(used.get((t["left"], left, right), 0) if exact else 0)
-            if t["left"] == right:
-                lost.append(used.get((left, right, t["right"]), 0) if exact else 0)
-        if lost:
-            limit = max(limit, n - max(lost))
-            continue
-        taken.append(p)
-        pieces.add(left + right)
-        limit = max(limit, min(n, beside.get((left, right), triple_floor)))
-    return taken
-
-
-def merge_symbols(symbols: DataFrame, merges: list[Row]) -> DataFrame:
-    """The table with the merges applied in order; words that are one piece now are done.
-
-    The merges are one constant array that is folded over, not a chain of expressions: the plan
-    has the same shape in every round, and its compiled code is used again.
-    """
-    steps = F.split(F.lit("\n".join(f" {m['left']}  {m['right']} " for m in merges)), "\n")
-    text = F.aggregate(
-        steps, F.col("symbols"), lambda text, step: F.replace(text, step, F.replace(step, F.lit("  "), F.lit("")))
-    )
-    return symbols.select(text.alias("symbols"), "n").filter(F.contains("symbols", F.lit("  ")))
+def flatten(symbols: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of some stretches in a row, a 0 around each, and the count of each symbol's stretch."""
+    size = np.diff(symbols.offsets.to_numpy())
+    spots = np.arange(size.sum()) + np.repeat(np.arange(len(size)), size) + 1
+    flat, weight = np.zeros(size.sum() + len(size) + 1, np.int64), np.zeros(size.sum() + len(size) + 1, np.int64)
+    flat[spots], weight[spots] = symbols.flatten().to_numpy(), np.repeat(n.to_numpy(), size)
+    return flat, weight
+
+
+def pair_keys(flat: np.ndarray) -> np.ndarray:
+    """``left << 32 | right`` of each symbol and the next; 0 where one is missing."""
+    left, right = flat[:-1], flat[1:]
+    return np.where((left > 0) & (right > 0), left << 32 | right, 0)
+
+
+def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    different, at = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(different), np.int64)
+    np.add.at(out, at, n)
+    return different, out
+
+
+def merge(flat: np.ndarray, weight: np.ndarray, step: Merge) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols with one pair merged, from the left where it overlaps itself; the pairs whose counts change, and by how much."""
+    a, b, made = step
+    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b))
+    if a == b and len(at):
+        starts = np.concatenate([[True], np.diff(at) > 1])
+        place = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+        at = at[place % 2 == 0]
+    if not len(at):
+        return flat, weight, at, at
+    before = np.unique(np.concatenate([at - 1, at, at + 1]))
+    after = flat.copy()
+    after[at] = made
+    after, left = np.delete(after, at + 1), np.delete(weight, at + 1)
+    now = at - np.arange(len(at))
+    now = np.unique(np.concatenate([now - 1, now]))
+    old, new = _keys_at(flat, before), _keys_at(after, now)
+    # The count of a pair is that of the stretch, on either side of it.
+    keys, n = sums(np.concatenate([old, new]), np.concatenate([-np.maximum(weight[before], weight[before + 1]), np.maximum(left[now], left[now + 1])]))
+    some = (keys > 0) & (n != 0)
+    return after, left, keys[some], n[some]
+
+
+def _keys_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    left, right = flat[at], flat[at + 1]
+    return np.where((left > 0) & (right > 0), left << 32 | right, 0)
+
+
+def touched(flat: np.ndarray, weight: np.ndarray, merges: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
+    """Only the stretches that hold a pair to be merged. Pairs of symbols yet to be made can stand nowhere else."""
+    wanted = np.unique(np.array([a << 32 | b for a, b, _ in merges], np.int64))
+    keys = pair_keys(flat)
+    spot = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    run = np.cumsum(flat == 0)
+    hold = np.zeros(run[-1] + 2, bool)
+    hold[run[:-1][wanted[spot] == keys]] = True
+    # The 0 before a stretch belongs to it; one more ends the last.
+    keep = hold[run]
+    return np.append(flat[keep], 0), np.append(weight[keep], 0)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [flatten(b["symbols"], b["n"]) for b in batches if b.num_rows]
+    if not parts:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def count_changes(runs: DataFrame, done: list[Merge], guessed: list[Merge], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each guessed merge, after those done, the pairs that lose occurrences and the new ones with ``least`` or more."""
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, weight = touched(*_runs(batches), done + guessed)
+        for step in done:
+            flat, weight, _, _ = merge(flat, weight, step)
+        found = []
+        for i, step in enumerate(guessed):
+            flat, weight, keys, n = merge(flat, weight, step)
+            found.append((np.full(len(keys), i, np.int32), keys, n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["step", "key", "n"])
+
+    told = runs.mapInArrow(changes, "step int, key long, n long").groupBy("step", "key").agg(F.sum("n").alias("n"))
+    table = told.filter((F.col("n") < 0) | (F.col("n") >= least)).toArrow()
+    step, key, n = (table[c].to_numpy() for c in ("step", "key", "n"))
+    order = np.argsort(step, kind="stable")
+    ends = np.searchsorted(step[order], np.arange(len(guessed) + 1))
+    return [(key[order[a:b]], n[order[a:b]]) for a, b in zip(ends, ends[1:])]
+
+
+def apply_merges(runs: DataFrame, done: list[Merge]) -> DataFrame:
+    """The stretches with merges applied; those that are one piece now are left out."""
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, weight = _runs(batches)
+        for step in done:
+            flat, weight, _, _ = merge(flat, weight, step)
+        stops = np.flatnonzero(flat == 0)
+        size = np.diff(stops) - 1
+        keep = np.flatnonzero(size > 1)
+        held = np.repeat(size > 1, size)
+        values = flat[flat > 0][held].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(weight[stops[keep] + 1])], ["symbols", "n"]
+        )
+
+    return runs.mapInArrow(applied, "symbols array<int>, n long")
+
+
+def frequent_pairs(runs: DataFrame, sizes: list[int], max_chars: int, most: int = HELD_PAIRS) -> tuple[dict[int, int], int]:
+    """The counts of the most frequent pairs that may become a piece, and the least count from which on they are all there."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, weight = _runs(batches)
+        keys, chars = pair_keys(flat), np.array(sizes)[flat]
+        some = (keys > 0) & (chars[:-1] + chars[1:] <= max_chars)
+        different, n = sums(keys[some], weight[:-1][some])
+        yield pa.RecordBatch.from_arrays([pa.array(different), pa.array(n)], ["key", "n"])
+
+    told = runs.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    table = told.orderBy(F.desc("n")).limit(most + 1).toArrow()
+    keys, n = table["key"].to_pylist(), table["n"].to_pylist()
+    least = n[-1] + 1 if len(n) > most else 1
+    if len(n) > most and n[0] < least:
+        # Nothing but ties: all of them are needed.
+        return frequent_pairs(runs, sizes, max_chars, 4 * most)
+    return {k: c for k, c in zip(keys, n) if c >= least}, least
+
+
+class Ranking:
+    """Counts of pairs, and the best of those that may still become a piece: most frequent, then shorter, then by text."""
+
+    def __init__(self, counts: dict[int, int], pieces: list[str], known: set[str], least: int, max_chars: int):
+        self.counts, self.pieces, self.known, self.least, self.max_chars = dict(counts), pieces, known, least, max_chars
+        self.heap = [self._entry(k, n) for k, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def copy(self) -> Ranking:
+        twin = Ranking({}, list(self.pieces), set(self.known), self.least, self.max_chars)
+        twin.counts, twin.heap = dict(self.counts), list(self.heap)
+        return twin
+
+    def _entry(self, key: int, n: int) -> tuple:
+        left, right = self.pieces[key >> 32], self.pieces[key & LAST]
+        return -n, len(left) + len(right), left + right, left, key
+
+    def best(self) -> int | None:
+        while self.heap:
+            n, _, piece, _, key = self.heap[0]
+            if self.counts.get(key) == -n and -n >= self.least and piece not in self.known:
+                return key
+            heapq.heappop(self.heap)
+        return None
+
+    def take(self, key: int) -> Merge:
+        """Makes the pair a piece, with a number of its own."""
+        piece = self.pieces[key >> 32] + self.pieces[key & LAST]
+        self.pieces.append(piece)
+        self.known.add(piece)
+        return key >> 32, key & LAST, len(self.pieces) - 1
+
+    def follow(self, guessed: list[Merge], changes: list[tuple[np.ndarray, np.ndarray]]) -> list[Merge]:
+        """Takes the guessed merges that are next by the exact counts, as far as each next one was guessed."""
+        place = {a << 32 | b: i for i, (a, b, _) in enumerate(guessed)}
+        for a, b, _ in guessed:
+            self.pieces.append(self.pieces[a] + self.pieces[b])
+        number = {made: i for i, (_, _, made) in enumerate(guessed)}
+        changed: dict[int, set[int]] = {}
+        for i, (keys, _) in enumerate(changes):
+            for key in keys.tolist():
+                if place.get(key, i) != i:
+                    changed.setdefault(key, set()).add(i)
+        taken, left = [], set(range(len(guessed)))
+        while (key := self.best()) is not None and place.get(key) in left:
+            i = place[key]
+            keys, n = (x.tolist() for x in changes[i])
+            # Guesses passed over: none of them may have merged what stands beside this pair, or a part of it.
+            over = {j for j in left if j < i}
+            beside = {number.get(x) for k in keys for x in (k >> 32, k & LAST)}
+            if over & beside or over & changed.get(key, set()):
+                break
+            left.discard(i)
+            taken.append(guessed[i])
+            self.known.add(self.pieces[guessed[i][2]])
+            self.change(keys, n)
+        return taken
+
+    def change(self, keys: list[int], n: list[int]) -> None:
+        for key, by in zip(keys, n):
+            if key in self.counts:
+                self.counts[key] += by
+            elif by >= self.least and len(self.pieces[key >> 32]) + len(self.pieces[key & LAST]) <= self.max_chars:
+                self.counts[key] = by
+            else:
+                continue
+            if self.counts[key] < self.least:
+                del self.counts[key]
+            else:
+                heapq.heappush(self.heap, self._entry(key, self.counts[key]))
+
+
+def guess(ranking: Ranking, flat: np.ndarray, weight: np.ndarray, wanted: int) -> list[Merge]:
+    """The next merges as far as the most frequent stretches tell; the rest of the counts is taken to change alike."""
+    ranking, found = ranking.copy(), []
+    while len(found) < wanted and (key := ranking.best()) is not None:
+        total = ranking.counts[key]
+        step = ranking.take(key)
+        found.append(step)
+        flat, weight, keys, n = merge(flat, weight, step)
+        seen = -int(n[keys == key].sum())
+        share = total / seen if seen else 1.0
+        ranking.change(keys.tolist(), np.rint(n * max(1.0, share)).astype(np.int64).tolist())
+    return found
 
 
 def bpe_train(
@@ -180,9 +334,9 @@ def bpe_train(
 ) -> DataFrame:
     """``id, piece, score``: special pieces, merges in order of choice, then single characters.
 
-    Only rankings of bounded length and the vocabulary itself come to the driver. The word table
-    stays distributed, loses words as they become one piece, and is written to the shared
-    folder every few rounds, so that a lost executor costs those rounds and no more.
+    Only a bounded number of pairs and stretches, the changes beside a round's merges, and the vocabulary itself come to the
+    driver. The stretches stay distributed, leave as they become one piece, and are written to the shared folder every so many
+    merges, so that a lost executor costs a round and no more.
     """
     spark = words.sparkSession
     words = materialize(words, "words")
@@ -191,30 +345,53 @@ def bpe_train(
     wanted = vocab_size - len(SPECIAL_PIECES) - len(chars)
     if wanted < 0:
         raise ValueError(f"vocabulary of {vocab_size} is smaller than the alphabet of {len(chars)}")
-    # Small in bytes but heavy in work: spread over all tasks rather than merged by size.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    table = materialize(symbol_table(words, alphabet).repartition(parts), "symbols")
-    pieces: list[str] = []
-    known = set(chars)
-    pending: list[Row] = []
-    rounds, top = 0, CANDIDATES
-    while len(pieces) < wanted:
-        current = merge_symbols(table, pending) if pending else table
-        pairs, triples, pairs_cut, triples_cut = ranking(current, top)
-        merges = certain_merges(pairs, triples, known, wanted - len(pieces), pairs_cut, triples_cut, max_chars)
-        if not merges:
-            if not pairs_cut:
-                break
-            top *= 2
-            continue
-        made = [m["left"] + m["right"] for m in merges]
-        pieces += made
-        known.update(made)
-        pending += merges
-        rounds += 1
-        if rounds % ROUNDS_PER_WRITE == 0:
-            table, pending = materialize(merge_symbols(table, pending), "symbols"), []
-    listed = [*SPECIAL_PIECES, *pieces, *chars]
+    number = {c: i for i, c in enumerate(chars, 1)}
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = [[number[c] for c in run] for run in batch["run"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(listed, pa.list_(pa.int32())), batch["n"]], ["symbols", "n"])
+
+    table = materialize(merge_runs(words, alphabet), "merge-runs")
+    parts = max(spark.sparkContext.defaultParallelism, -(-table.count() // PART_RUNS))
+    path = fresh_dir(spark, "runs")
+    table.repartition(parts).mapInArrow(coded, "symbols array<int>, n long").write.parquet(path)
+
+    def read() -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        runs = spark.read.schema("symbols array<int>, n long").parquet(path)
+        top = runs.orderBy(F.desc("n")).limit(HEAD_RUNS).toArrow().to_batches()
+        return runs, *_runs(iter(top))
+
+    runs, flat, weight = read()
+    ranking = Ranking({}, ["", *chars], set(chars), 1, max_chars)
+    done: list[Merge] = []
+    made: list[str] = []
+    guesses = LEAST_GUESSES
+    while len(made) < wanted:
+        if len(done) >= MERGES_PER_WRITE or (done and ranking.best() is None):
+            last, path = path, fresh_dir(spark, "runs")
+            apply_merges(runs, done).write.parquet(path)
+            drop_path(spark, last)
+            done, (runs, flat, weight) = [], read()
+        if ranking.best() is None:
+            counts, least = frequent_pairs(runs, [len(p) for p in ranking.pieces], max_chars)
+            ranking = Ranking(counts, ranking.pieces, ranking.known, least, max_chars)
+            if ranking.best() is None:
+                if least == 1:
+                    break
+                # Only pairs whose piece is there already: go on below them.
+                counts, least = frequent_pairs(runs, [len(p) for p in ranking.pieces], max_chars, 2**31)
+                ranking = Ranking(counts, ranking.pieces, ranking.known, least, max_chars)
+                if ranking.best() is None:
+                    break
+        guessed = guess(ranking, flat, weight, min(guesses, wanted - len(made)))
+        taken = ranking.follow(guessed, count_changes(runs, done, guessed, ranking.least))
+        for step in taken:
+            flat, weight, _, _ = merge(flat, weight, step)
+            made.append(ranking.pieces[step[2]])
+        done += taken
+        guesses = min(MOST_GUESSES, max(LEAST_GUESSES, 2 * len(taken)))
+    listed = [*SPECIAL_PIECES, *made, *chars]
     n_special = len(SPECIAL_PIECES)
     rows = [(i, p, float(min(0, n_special - i))) for i, p in enumerate(listed)]
     return spark.createDataFrame(rows, "id int, piece string, score double")

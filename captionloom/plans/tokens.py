@@ -14,7 +14,7 @@ from captionloom.plans.views import clean_sql, u32_sql
 from captionloom.sources import vocab as vocab_source
 
 SEED = 17
-VOCAB_SIZE = 160
+VOCAB_SIZE = 2000
 LENGTH = 77
 
 
@@ -145,26 +145,35 @@ _LEARN = f"""{_CLEAN}, raw AS (
   WHERE word <> '' GROUP BY 1),
 words AS (SELECT '▁' || word AS word, n FROM raw), {_CHARS},
 kept AS (SELECT char, n FROM covered WHERE share_before < 0.9995),
+letters AS (
+  SELECT word, n, i, c, c IN (SELECT char FROM kept) AS ok, regexp_matches(c, '\\p{{Latin}}') AS latin
+  FROM (SELECT word, n, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM words)),
+borders AS (
+  SELECT *, NOT ok OR NOT lag(ok, 1, false) OVER w OR lag(latin) OVER w <> latin AND lag(c) OVER w <> '▁' AS begins
+  FROM letters WINDOW w AS (PARTITION BY word ORDER BY i)),
+runs AS (
+  SELECT word, run, any_value(n) AS n, ' ' || string_agg(c, '  ' ORDER BY i) || ' ' AS symbols
+  FROM (SELECT *, sum(begins::INT) OVER (PARTITION BY word ORDER BY i) AS run FROM borders) WHERE ok GROUP BY word, run),
 start AS (
-  SELECT ' ' || array_to_string(string_split(word, ''), '  ') || ' ' AS symbols, n FROM words
+  SELECT symbols, sum(n)::BIGINT AS n FROM runs WHERE contains(symbols, '  ') GROUP BY symbols
   UNION ALL SELECT chr(10), 0),
 steps AS (
   SELECT 0 AS step, symbols, n FROM start
   UNION ALL
-  SELECT t.step + 1,
-         CASE WHEN t.n = 0 THEN t.symbols || b.l || '  ' || b.r || chr(10)
-              ELSE replace(t.symbols, ' ' || b.l || '  ' || b.r || ' ', ' ' || b.l || b.r || ' ') END, t.n
-  FROM steps t, (
-    SELECT l, r FROM (
-      SELECT s[i] AS l, s[i + 1] AS r, n FROM (
-        SELECT s, n, unnest(range(1, len(s))) AS i FROM (
-          SELECT string_split(trim(symbols), '  ') AS s, n FROM steps WHERE n > 0 AND contains(symbols, '  '))))
-    WHERE right(l, 1) IN (SELECT char FROM kept) AND left(r, 1) IN (SELECT char FROM kept)
-      AND (length(l) > 1 OR l IN (SELECT char FROM kept)) AND length(l) + length(r) <= 16
-      AND (l = '▁' OR regexp_matches(right(l, 1), '\\p{{Latin}}') = regexp_matches(left(r, 1), '\\p{{Latin}}'))
-      AND NOT contains((SELECT replace(any_value(symbols), '  ', '') FROM steps WHERE n = 0), chr(10) || l || r || chr(10))
-    GROUP BY l, r ORDER BY sum(n) DESC, length(l || r), l || r, l LIMIT 1) b
-  WHERE t.step < {VOCAB_SIZE} - 5 - (SELECT count(*) FROM kept)),
+  SELECT * FROM (
+    SELECT t.step + 1 AS step,
+           CASE WHEN t.n = 0 THEN t.symbols || b.l || '  ' || b.r || chr(10)
+                ELSE replace(t.symbols, ' ' || b.l || '  ' || b.r || ' ', ' ' || b.l || b.r || ' ') END AS symbols, t.n
+    FROM steps t, (
+      SELECT l, r FROM (
+        SELECT s[i] AS l, s[i + 1] AS r, sum(n) AS n FROM (
+          SELECT s, n, unnest(range(1, len(s))) AS i FROM (SELECT string_split(trim(symbols), '  ') AS s, n FROM steps WHERE n > 0))
+        GROUP BY 1, 2)
+      WHERE length(l) + length(r) <= 16
+        AND l || r NOT IN (SELECT unnest(string_split(replace(symbols, '  ', ''), chr(10))) FROM steps WHERE n = 0)
+      ORDER BY n DESC, length(l || r), l || r, l LIMIT 1) b
+    WHERE t.step < {VOCAB_SIZE} - 5 - (SELECT count(*) FROM kept)) x
+  WHERE n = 0 OR contains(symbols, '  ')),
 merges AS (
   SELECT m, i FROM (
     SELECT unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (

@@ -1,5 +1,9 @@
 """Vocabulary and encoding against the public sentencepiece library on the same text."""
 
+import random
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 import sentencepiece as spm
 from pyspark.sql import functions as F
@@ -46,6 +50,57 @@ def test_training_finds_the_same_vocabulary(corpus, twin):
     assert [tuple(r) for r in learnt.orderBy("id").collect()] == pieces_of(twin)
 
 
+def test_training_finds_the_same_2000_pieces(corpus, lines, tmp_path):
+    (tmp_path / "corpus.txt").write_text("\n".join(lines) + "\n")
+    spm.SentencePieceTrainer.train(
+        input=str(tmp_path / "corpus.txt"), model_prefix=str(tmp_path / "m"), vocab_size=2000, model_type="bpe",
+        bos_id=1, eos_id=2, pad_id=0, unk_id=3, user_defined_symbols="<null>", minloglevel=2, max_sentence_length=1_000_000,
+    )
+    learnt = bpe.bpe_train(lexicon.training_words(corpus), 2000)
+    assert [tuple(r) for r in learnt.orderBy("id").collect()] == pieces_of(spm.SentencePieceProcessor(str(tmp_path / "m.model")))
+
+
+def plain_training(words, size, max_chars=16):
+    """Merging the best pair of all, one at a time, over whole words of one script."""
+    chars = Counter()
+    for w, n in words.items():
+        chars.update({c: n * w.count(c) for c in set(w)})
+    alphabet = [c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], x[0]))]
+    runs, known, pieces = [(list(w), n) for w, n in words.items()], set(alphabet), []
+    while len(pieces) < size - 5 - len(alphabet):
+        ranked = [(-n, len(a + b), a + b, a, b) for (a, b), n in _pairs(runs).items() if len(a + b) <= max_chars and a + b not in known]
+        if not ranked:
+            break
+        _, _, piece, a, b = min(ranked)
+        runs = [(_merged(r, a, b, piece), n) for r, n in runs]
+        known.add(piece)
+        pieces.append(piece)
+    return pieces
+
+
+@pytest.mark.parametrize("held,head,per_write", [(20_000, 20_000, 256), (40, 15, 7), (300, 0, 40)])
+def test_training_merges_one_by_one(spark, monkeypatch, held, head, per_write):
+    for name, value in (("HELD_PAIRS", held), ("HEAD_RUNS", head), ("MERGES_PER_WRITE", per_write)):
+        monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(bpe.frequent_pairs, "__defaults__", (held,))
+    rng = random.Random(8)
+    syllables = ["ba", "ban", "na", "aa", "aaa", "s", "ss", "on", "tion", "x"]
+    words = Counter("▁" + "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) for _ in range(900))
+    rows = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    want = plain_training(words, 260)
+    got = [r.piece for r in bpe.bpe_train(rows, 260, coverage=1.0).orderBy("id").collect()]
+    assert got[5 : 5 + len(want)] == want
+
+
+def test_training_over_a_large_alphabet(spark):
+    rng = random.Random(4)
+    words = Counter("▁" + "".join(chr(0x4E00 + int(400 * rng.random() ** 3)) for _ in range(rng.randrange(1, 6))) for _ in range(2500))
+    rows = spark.createDataFrame(list(words.items()), "word string, n bigint")
+    want = plain_training(words, 700)
+    got = [r.piece for r in bpe.bpe_train(rows, 700, coverage=1.0).orderBy("id").collect()]
+    assert len(want) > 200 and got[5 : 5 + len(want)] == want
+
+
 def test_encoding_and_decoding(spark, corpus, vocab, lines, twin):
     extra = [
         "<null>", "a <null> b", "x<null>y", "日本 text 日", "Ünïcode ﬁ ™ ①", "", "  spaced   out ", "a\tb", "zzzzzzzzzzzz" * 40,
@@ -115,10 +170,44 @@ def test_pairs_count_every_position(spark):
     assert got == {("a", "a"): 4, ("a", "b"): 6, ("b", "a"): 3}
 
 
-def test_merging_is_left_to_right(spark):
-    table = spark.createDataFrame([(" a  a  a  ab  a ", 1)], "symbols string, n bigint")
-    merged = bpe.merge_symbols(table, [{"left": "a", "right": "a"}]).first().symbols
-    assert merged == " aa  a  ab  a "
+def _changes(before, after):
+    a, b = _pairs(before), _pairs(after)
+    return {k: b[k] - a[k] for k in {*a, *b} if a[k] != b[k]}
+
+
+def _pairs(runs):
+    found = Counter()
+    for run, w in runs:
+        for k in zip(run, run[1:]):
+            found[k] += w
+    return found
+
+
+def _merged(run, a, b, made):
+    out, i = [], 0
+    while i < len(run):
+        if run[i : i + 2] == [a, b]:
+            out.append(made)
+            i += 2
+        else:
+            out.append(run[i])
+            i += 1
+    return out
+
+
+def test_merging_is_left_to_right():
+    rng = random.Random(2)
+    for a, b in ((1, 2), (1, 1), (3, 2)):
+        runs = [([rng.randrange(1, 4) for _ in range(rng.randrange(2, 9))], rng.randrange(1, 5)) for _ in range(60)]
+        runs += [([1] * k, 1) for k in range(2, 8)]
+        flat, weight = bpe.flatten(pa.array([r for r, _ in runs], pa.list_(pa.int32())), pa.array([w for _, w in runs]))
+        want = [(_merged(r, a, b, 9), w) for r, w in runs]
+        for f, w in ((flat, weight), bpe.touched(flat, weight, [(a, b, 9)])):
+            after, left, keys, n = bpe.merge(f, w, (a, b, 9))
+            assert {(int(k) >> 32, int(k) & bpe.LAST): int(c) for k, c in zip(keys, n)} == _changes(runs, want)
+        after, left, _, _ = bpe.merge(flat, weight, (a, b, 9))
+        assert [int(x) for x in after] == [0, *[x for r, _ in want for x in [*r, 0]]]
+        assert [int(x) for x in left] == [0, *[x for r, w in want for x in [*[w] * len(r), 0]]]
 
 
 def test_vocabulary_smaller_than_alphabet(spark):
