@@ -6,6 +6,7 @@ dot of the base name, the extension what follows.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import tarfile
@@ -88,58 +89,128 @@ class _ShardReader(DataSourceReader):
     def read(self, partition: _Tar) -> Iterator[pa.RecordBatch]:
         system, inner = open_fs(partition.path)
         shard = inner.rsplit("/", 1)[-1].removesuffix(".tar")
-        keys: list[str | None] = []
-        members: list[list[tuple[str, bytes]] | None] = []
+        rows: list[tuple] = []
         size = 0
-        fault = None
 
         def batch() -> pa.RecordBatch:
-            errors = [None] * len(keys)
-            if fault is not None:
-                errors[-1] = fault
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard] * len(keys), pa.string()),
-                    pa.array(keys, pa.string()),
-                    pa.array(members, pa.map_(pa.string(), pa.binary())),
-                    pa.array(errors, pa.string()),
-                ],
-                names=["shard", "key", "members", "error"],
-            )
-
-        with system.open_input_stream(inner) as stream:
-            try:
-                with tarfile.open(fileobj=stream, mode="r|") as tar:
-                    for info in tar:
-                        if not info.isfile():
-                            continue
-                        folder, _, base = info.name.rpartition("/")
-                        stem, _, ext = base.partition(".")
-                        key = f"{folder}/{stem}" if folder else stem
-                        data = b"" if self.names_only else tar.extractfile(info).read()
-                        if not keys or keys[-1] != key:
-                            if size >= BATCH_BYTES or len(keys) >= BATCH_SAMPLES:
-                                yield batch()
-                                keys, members, size = [], [], 0
-                            keys.append(key)
-                            members.append([])
-                        members[-1].append((ext.lower(), data))
-                        size += len(data)
-            except tarfile.TarError as e:
-                # A damaged tar, not a failing network: that raises OSError and is tried again.
-                if not self.skip_bad:
-                    raise
-                fault = f"{type(e).__name__}: {e}"
-                # The sample at hand may be cut off; it goes into the account, not into the data.
-                if keys:
-                    keys.pop()
-                    members.pop()
-                keys.append(None)
-                members.append(None)
-        if keys:
+            columns = zip(*[(shard, *row) for row in rows])
+            kinds = (pa.string(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "key", "members", "error"])
+
+        with system.open_input_file(inner) as stream:
+            for key, members, error in _samples(stream, not self.names_only):
+                if error is not None and not self.skip_bad:
+                    raise tarfile.ReadError(f"{partition.path}: {error}")
+                rows.append((key, members, error))
+                size += sum(len(data) for _, data in members or ())
+                if size >= BATCH_BYTES or len(rows) >= BATCH_SAMPLES:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
             yield batch()
 
 
+def _is_blank(stream, start: int, end: int) -> bool:
+    """Whether a stretch of a file holds nothing but zeros, as between and behind the members of a tar."""
+    stream.seek(start)
+    while start < end:
+        part = stream.read(min(BATCH_BYTES, end - start))
+        if not part or part.count(0) < len(part):
+            return not part
+        start += len(part)
+    return True
+
+
+def _members(stream, data: bool) -> Iterator[tuple[tarfile.TarInfo | None, bytes, tuple[int, int] | None]]:
+    """The files of a tar and, where something else stands between them, the range of bytes that is lost.
+
+    Behind damage the reader goes on at the next block of 512 bytes whose header has the right checksum. A tar ends with
+    zeros: one that does not has been cut off.
+    """
+    block = tarfile.BLOCKSIZE
+    size = stream.seek(0, io.SEEK_END)
+    stream.seek(0)
+    expected = 0  # where the next header should be
+    with contextlib.ExitStack() as stack:
+        try:
+            tar = stack.enter_context(tarfile.open(fileobj=stream, mode="r:", ignore_zeros=True))
+        except tarfile.TarError:  # less than a header
+            yield None, b"", (0, size)
+            return
+        while True:
+            try:
+                info = tar.next()
+            except tarfile.TarError:  # a header that speaks of another one, which is not there
+                tar.offset += block
+                if tar.offset >= size:
+                    break
+                continue
+            if info is None:
+                break
+            tar.members.clear()
+            length = info.size if info.isfile() else 0
+            if info.offset_data + length > size:  # cut off, or no header but by chance
+                tar.offset = info.offset + block
+                continue
+            if info.offset > expected and not _is_blank(stream, expected, info.offset):
+                yield None, b"", (expected, info.offset)
+            expected = info.offset_data + -(-length // block) * block
+            if info.isfile():
+                yield info, tar.extractfile(info).read() if data else b"", None
+        if expected + block > size:
+            yield None, b"", (min(expected, size), max(expected, size))
+        elif not _is_blank(stream, expected, size):
+            yield None, b"", (expected, size)
+
+
+def _samples(stream, data: bool) -> Iterator[tuple[str | None, list[tuple[str, bytes]] | None, str | None]]:
+    """``key, members, error`` of a tar: samples, and a row without a key for each range of bytes that is lost.
+
+    A sample beside a gap may have lost members to it. It is kept if it has the extensions of an undisturbed sample
+    of the tar, and counted as lost, with its key, if not.
+    """
+    usual: set[frozenset[str]] = set()
+    beside: list[tuple[str, list[tuple[str, bytes]]]] = []
+    key, members, hurt = None, [], False
+    for info, content, gap in _members(stream, data):
+        if gap is not None:
+            yield None, None, f"bytes {gap[0]} to {gap[1]} are missing or no part of a tar"
+            hurt = True
+            if key is not None:
+                beside.append((key, members))
+            key, members = None, []
+            continue
+        folder, _, base = info.name.rpartition("/")
+        stem, _, ext = base.partition(".")
+        name = f"{folder}/{stem}" if folder else stem
+        if name != key:
+            if key is not None:
+                if hurt:
+                    beside.append((key, members))
+                else:
+                    usual.add(frozenset(e for e, _ in members))
+                    yield key, members, None
+                hurt = False
+            key, members = name, []
+        members.append((ext.lower(), content))
+    if key is not None:
+        if not hurt:
+            usual.add(frozenset(e for e, _ in members))
+            yield key, members, None
+        else:
+            beside.append((key, members))
+    # The two sides of a gap may be parts of one sample.
+    for i, (name, parts) in enumerate(beside):
+        if i and beside[i - 1][0] == name:
+            continue
+        if i + 1 < len(beside) and beside[i + 1][0] == name:
+            parts = [*parts, *beside[i + 1][1]]
+        if frozenset(e for e, _ in parts) in usual or not usual:
+            yield name, parts, None
+        else:
+            yield None, None, f"sample {name} has lost members"
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list
@@ -236,16 +307,17 @@ class TarShards(DataSource):
 def read_shards(spark: SparkSession, pattern: str, skip_bad: bool = False, members: bool = True) -> DataFrame:
     """``shard, key, members`` of a tar, a folder of tars, or a pattern with brace ranges.
 
-    A damaged tar fails the job. With ``skip_bad`` the samples before the damage are read, and
+    A damaged tar fails the job. With ``skip_bad`` the samples before and behind the damage are read, and
     ``shard_faults`` accounts for the rest. ``members=False`` leaves the bytes unread, for keys and counts.
     """
     return _read(spark, pattern, skip_bad, members).filter("key IS NOT NULL").drop("error")
 
 
 def shard_faults(spark: SparkSession, pattern: str) -> DataFrame:
-    """``shard, samples, error``: of every shard the samples that could be read, and what ended it, if anything did."""
+    """``shard, samples, error``: of every shard the samples that could be read, and the bytes and samples lost, if any were."""
     rows = _read(spark, pattern, True, False)
-    return rows.groupBy("shard").agg(F.count("key").alias("samples"), F.max("error").alias("error"))
+    errors = F.array_join(F.sort_array(F.collect_list("error")), "; ")
+    return rows.groupBy("shard").agg(F.count("key").alias("samples"), F.nullif(errors, F.lit("")).alias("error"))
 
 
 def _read(spark: SparkSession, pattern: str, skip_bad: bool, members: bool) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,51 @@ def test_shards_roundtrip(spark, tmp_path):
         assert [m.name for m in tar][:2] == ["sample-000000030.png", "sample-000000030.txt"]
 
 
+def test_samples_behind_damage_are_read(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    two = F.create_map(F.lit("jpg"), F.encode(F.repeat("text", F.lit(90)), "UTF-8"), F.lit("txt"), F.encode("text", "UTF-8"))
+    rows = spark.range(40).select(
+        F.format_string("%06d", F.floor(F.col("id") / 10)).alias("shard"),
+        F.format_string("sample-%09d", "id").alias("key"),
+        F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"),
+    )
+    shards.write_shards(rows.select("shard", "key", two.alias("members")), path)
+    whole = {r.key: dict(r.members) for r in shards.read_shards(spark, path).collect()}
+    places = {}
+    for k in range(4):
+        with tarfile.open(tmp_path / "shards" / f"{k:06d}.tar") as tar:
+            places |= {m.name: m.offset for m in tar}
+
+    def hurt(k, name, start, junk):
+        file = tmp_path / "shards" / f"{k:06d}.tar"
+        data = bytearray(file.read_bytes())
+        at = places[name] + start
+        data[at : at + len(junk)] = junk
+        file.write_bytes(bytes(data))
+
+    # A header in the middle: that member is lost, and with it its sample. Then the very first one, and a stretch over two samples.
+    hurt(1, "sample-000000014.txt", 100, b"junk" * 20)
+    hurt(2, "sample-000000020.jpg", 0, b"\xff" * 512)
+    hurt(3, "sample-000000035.txt", 0, b"\xee" * (places["sample-000000036.txt"] - places["sample-000000035.txt"] + 512))
+    for members in (True, False):
+        got = {r.key: dict(r.members) for r in shards.read_shards(spark, path, skip_bad=True, members=members).collect()}
+        lost = {f"sample-{i:09d}" for i in (14, 20, 35, 36)}
+        assert set(got) == set(whole) - lost
+        assert not members or all(got[k] == whole[k] for k in got)
+    faults = {r["shard"]: (r["samples"], r["error"]) for r in shards.shard_faults(spark, path).collect()}
+    assert faults["000000"] == (10, None) and [faults[f"{k:06d}"][0] for k in (1, 2, 3)] == [9, 9, 8]
+    at = places["sample-000000014.txt"]
+    assert faults["000001"][1] == f"bytes {at} to {at + 1024} are missing or no part of a tar; sample sample-000000014 has lost members"
+    assert "bytes 0 to" in faults["000002"][1] and "sample-000000020" in faults["000002"][1]
+    with pytest.raises(Exception, match="no part of a tar"):
+        shards.read_shards(spark, path).count()
+    # Cut off between two members, and an empty file.
+    (tmp_path / "shards" / "000000.tar").write_bytes((tmp_path / "shards" / "000000.tar").read_bytes()[: places["sample-000000005.jpg"]])
+    (tmp_path / "shards" / "000001.tar").write_bytes(b"")
+    faults = {r["shard"]: (r["samples"], r["error"]) for r in shards.shard_faults(spark, path).collect()}
+    assert faults["000000"][0] == 5 and "missing" in faults["000000"][1] and faults["000001"][0] == 0 and faults["000001"][1]
+
+
 def test_damaged_shard(spark, tmp_path):
     path = str(tmp_path / "shards")
     shards.write_shards(_samples(spark, 30, 10), path)
