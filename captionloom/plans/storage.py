@@ -347,19 +347,17 @@ def _metadata_of(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New documents filtered, cleaned and made token rows (word lengths as ids) as they come."""
+    """New documents filtered, cleaned and encoded as they come; the dropped ones with their reason."""
     root = fresh_dir(spark, "ingest")
-
-    def transform(docs: DataFrame) -> DataFrame:
-        kept = filters.safe_captions(_metadata_of(docs, spark, sf_dir))
-        ids = F.transform(F.split("caption", " "), lambda w: F.char_length(w))
-        rows = kept.select("idx", pad_truncate(ids, 77).alias("tokens"))
-        return rows.withColumn("mask", attention_mask("tokens"))
-
+    vocab = token_plans._vocab(spark, sf_dir)
     docs = _stream(spark, sf_dir, "documents", ["doc_id", "text"])
-    jobs.ingest(docs, transform, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    prepare = lambda batch: filters.with_reason(_metadata_of(batch, spark, sf_dir))
+    jobs.ingest_tokens(docs, vocab, f"{root}/out", f"{root}/checkpoint", prepare).awaitTermination()
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
-    return spark.read.parquet(f"{root}/rows").select("idx", text("tokens"), text("mask"))
+    rows = jobs.token_sink(spark, f"{root}/out").select(
+        "idx", F.lit("kept").alias("reason"), text("tokens"), text("mask"), "n_tokens", "vocab_sha1"
+    )
+    return rows.unionByName(jobs.quarantine_sink(spark, f"{root}/out").select("idx", "reason"), allowMissingColumns=True)
 
 
 def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +417,28 @@ QUERIES = {
 _VECTOR_CELLS = """unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
 _PICTURE_CELLS = """unnest(list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
            lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0)))) AS x, unnest(range(8)) AS i FROM embeddings)"""
-_IDS = "list_resize(list_slice(list_transform(string_split(caption, ' '), lambda w: length(w)), 1, 77), 77, 0)"
+# Captions are cut before they are encoded: their last words are folded as well.
+_INGEST_ENCODE = token_plans._ENCODE.replace(
+    "FROM words, ways)", "FROM (SELECT word, n FROM words UNION ALL SELECT word, NULL FROM cut_words) x, ways)"
+).replace("words AS (SELECT '▁' || word AS word, n FROM raw)", """words AS (SELECT '▁' || word AS word, n FROM raw),
+cut_words AS (
+  SELECT DISTINCT '▁' || w AS word FROM (SELECT unnest(string_split(caption, ' ')) AS w FROM clamped)
+  WHERE w <> '' AND '▁' || w NOT IN (SELECT word FROM words))""")
+_INGEST = f"""WITH RECURSIVE {METADATA_SQL}, {SAFE_SQL},
+clamped AS (SELECT idx, substr(caption, 1, 512) AS caption FROM safe),
+{_INGEST_ENCODE},
+kept_ids AS (
+  SELECT idx, flatten(list(ids ORDER BY k)) AS ids FROM (
+    SELECT idx, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM (
+      SELECT idx, list_filter(string_split(caption, ' '), lambda w: w <> '') AS ws FROM clamped)) d
+  JOIN coded ON coded.word = '▁' || d.word GROUP BY idx),
+kept_rows AS (SELECT idx, ids, list_resize(list_slice(ids, 1, 77), 77, 0) AS t FROM kept_ids)
+SELECT metadata.idx,
+       CASE WHEN lower(coalesce("NSFW", 'none')) IN ('nsfw', 'unsafe', 'porn', 'sexual', '1') THEN 'unsafe'
+            WHEN coalesce("URL", '') = '' THEN 'no_url' WHEN ids IS NULL THEN 'no_caption' ELSE 'kept' END AS reason,
+       array_to_string(t, ' ') AS tokens, array_to_string(list_transform(t, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END), ' ') AS mask,
+       len(ids)::INT AS n_tokens, CASE WHEN ids IS NOT NULL THEN vocab_sha1 END AS vocab_sha1
+FROM metadata LEFT JOIN kept_rows USING (idx), stamp"""
 
 ORACLES = {
     "metadata_formats": f"""WITH {METADATA_SQL}
@@ -494,11 +513,7 @@ SELECT series, step, max(ts_us) AS ts_us, max_by(value, ts_us) AS value FROM log
 FROM events""",
     "stale_tokens": """SELECT doc_id, source, sha1(source || chr(10)) AS vocab_sha1 FROM documents
 WHERE regexp_extract(source, '[0-9]+')::INT % 2 = 1""",
-    "stream_ingest": f"""WITH {METADATA_SQL}, {SAFE_SQL},
-clamped AS (SELECT idx, substr(caption, 1, 512) AS caption FROM safe),
-rows AS (SELECT idx, {_IDS} AS t FROM clamped)
-SELECT idx, array_to_string(t, ' ') AS tokens,
-       array_to_string(list_transform(t, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END), ' ') AS mask FROM rows""",
+    "stream_ingest": _INGEST,
     "stream_funnel": PREPARE_SQL["filter_funnel"],
     "stream_shards": """WITH ranked AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)
 SELECT printf('%06d', r // 100) AS shard, printf('sample-%09d', doc_id) AS key, md5(text) AS text_md5 FROM ranked""",

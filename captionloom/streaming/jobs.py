@@ -9,14 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from captionloom.functions.text import clamp_text
+from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, pad_truncate
+from captionloom.operators.encode import bpe_encode
+from captionloom.operators.filters import KEPT, with_reason
 from captionloom.operators.ordering import global_rank, sample_key, shard_id
 from captionloom.operators.series import ema_series
 from captionloom.session import drop_path, fresh_dir
 from captionloom.sources.shards import write_shards
+from captionloom.sources.vocab import vocab_fingerprint
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -33,6 +39,70 @@ def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out:
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
+def pin(spark: SparkSession, checkpoint: str, name: str, value: str) -> None:
+    """Writes a value beside a checkpoint once, and refuses to go on from the checkpoint with another one."""
+    path = f"{checkpoint.rstrip('/')}-{name}"
+    try:
+        found = [r["value"] for r in spark.read.text(path).collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = []
+    if not found:  # never written, or not to the end
+        spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif found != [value]:
+        raise ValueError(f"{checkpoint} was begun with {name} {found[0]}, not {value}")
+
+
+def ingest_tokens(
+    stream: DataFrame,
+    vocab: DataFrame,
+    out: str,
+    checkpoint: str,
+    prepare: Callable[[DataFrame], DataFrame] = with_reason,
+    caption: str = "caption",
+    length: int = CONTEXT_LENGTH,
+    max_len: int = 512,
+) -> StreamingQuery:
+    """New metadata rows to token rows, those that are dropped to a quarantine, both in one pass over a micro-batch.
+
+    ``prepare`` adds a ``reason`` to each row, ``kept`` or why not. Kept rows get ``tokens``, ``mask``, ``n_tokens`` and the
+    fingerprint of the vocabulary; the others keep their reason. The fingerprint is pinned beside the checkpoint: rows of
+    one folder are all made with one vocabulary, also after a restart. A batch that runs again replaces both its parts.
+    """
+    spark = stream.sparkSession
+    stamp = vocab_fingerprint(vocab)
+    pin(spark, checkpoint, "vocab_sha1", stamp)
+    kept = F.col("reason") == KEPT
+    ids = bpe_encode(F.when(kept, clamp_text(caption, max_len)), vocab)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        coded = prepare(batch).withColumn("_ids", ids)
+        only = lambda c: F.when(kept, c)
+        rows = coded.withColumns(
+            {
+                "tokens": only(pad_truncate("_ids", length)),
+                "mask": only(attention_mask(pad_truncate("_ids", length))),
+                "n_tokens": only(F.size("_ids")),
+                "vocab_sha1": only(F.lit(stamp)),
+                "sink": F.when(kept, "rows").otherwise("quarantine"),
+            }
+        ).drop("_ids")
+        rows.write.mode("overwrite").partitionBy("sink").parquet(f"{out}/batch_id={batch_id}")
+
+    return _each_batch(stream, write, checkpoint)
+
+
+def token_sink(spark: SparkSession, out: str) -> DataFrame:
+    """The token rows that ``ingest_tokens`` has written so far."""
+    return spark.read.parquet(out).filter("sink = 'rows'").drop("sink", "reason")
+
+
+def quarantine_sink(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that it has dropped, with their reason."""
+    return spark.read.parquet(out).filter("sink = 'quarantine'").drop("sink", "tokens", "mask", "n_tokens", "vocab_sha1")
+
+
 def _each_batch(stream: DataFrame, fn, checkpoint: str, mode: str = "append") -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     return writer.outputMode(mode).trigger(availableNow=True).start()

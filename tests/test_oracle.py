@@ -9,7 +9,7 @@ from tests.compare import compare, connect
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: Queries that learn a vocabulary: here a smaller one, in the query and in its SQL; compare.py runs them as registered.
-LEARNING = {"bpe_train", "bpe_encode", "bpe_decode", "vocab_usage", "token_report", "vocab_files"}
+LEARNING = {"bpe_train", "bpe_encode", "bpe_decode", "vocab_usage", "token_report", "vocab_files", "stream_ingest"}
 SMALLER = 250
 
 

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from captionloom.operators import payload, series
+from captionloom.operators import bpe, encode, filters, payload, series
 from captionloom.sources import shards
+from captionloom.sources import vocab as vocab_source
 from captionloom.streaming import jobs
 from tests.test_ordering import _log
 
@@ -81,3 +82,42 @@ def test_funnel_and_ingest_over_batches(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         jobs.ingest(stream_of(spark, path), safe_captions, str(tmp_path / "rows"), str(tmp_path / "ck2")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "rows")).collect()] == [("u", "a x")] * 3
+
+
+def test_token_ingest_over_restarts(spark, tmp_path):
+    path, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def more(first):
+        for k in range(first, first + 2):
+            rows = [("u", f"A <b>red</b> fox {k}", None), ("", "b", None), ("u", "c " * 600, "ok"), ("u", " ", None), ("u", "d", "porn")]
+            spark.createDataFrame(rows, "URL string, TEXT string, NSFW string").coalesce(1).write.mode("append").parquet(path)
+
+    more(0)
+    words = spark.createDataFrame([("▁red", 5), ("▁fox", 4), ("▁a", 3), ("▁cat", 1)], "word string, n bigint")
+    vocab = bpe.bpe_train(words, 22, coverage=1.0)
+    ran = []
+
+    def failing(batch):
+        ran.append(1)
+        if len(ran) == 2:
+            raise RuntimeError("lost")
+        return filters.with_reason(batch)
+
+    with pytest.raises(Exception, match="lost"):
+        jobs.ingest_tokens(stream_of(spark, path), vocab, out, checkpoint, failing).awaitTermination()
+    for first in (2, 4):  # goes on where it stopped, then takes what is new
+        jobs.ingest_tokens(stream_of(spark, path), vocab, out, checkpoint).awaitTermination()
+        more(first)
+    jobs.ingest_tokens(stream_of(spark, path), vocab, out, checkpoint).awaitTermination()
+    got = jobs.token_sink(spark, out)
+    safe = filters.safe_captions(spark.read.parquet(path))
+    want = encode.token_rows(safe, vocab)
+    columns = ["caption", "tokens", "mask", "n_tokens"]
+    read = lambda rows: sorted(str(tuple(r)) for r in rows.select(F.left("caption", F.lit(512)).alias("caption"), *columns[1:]).collect())
+    assert read(got) == read(want) and len(read(got)) == 12
+    assert {r.vocab_sha1 for r in got.collect()} == {vocab_source.vocab_fingerprint(vocab)}
+    dropped = jobs.quarantine_sink(spark, out).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in dropped} == {"no_url": 6, "no_caption": 6, "unsafe": 6}
+    other = bpe.bpe_train(words, 20, coverage=1.0)
+    with pytest.raises(ValueError, match="was begun with"):
+        jobs.ingest_tokens(stream_of(spark, path), other, out, checkpoint)
