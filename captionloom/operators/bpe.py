@@ -41,7 +41,7 @@ HEAD_RUNS = 20_000
 PART_RUNS = 100_000
 #: Guesses in a round, at least and at most; merges after which the stretches are written anew.
 LEAST_GUESSES, MOST_GUESSES = 32, 512
-MERGES_PER_WRITE = 512
+MERGES_PER_WRITE = 256
 LAST = 2**32 - 1
 Merge = tuple[int, int, int]
 
@@ -134,32 +134,47 @@ def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return different, out
 
 
-def merge(flat: np.ndarray, weight: np.ndarray, step: Merge) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols with one pair merged, from the left where it overlaps itself; the pairs whose counts change, and by how much."""
-    a, b, made = step
-    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b))
-    if a == b and len(at):
-        starts = np.concatenate([[True], np.diff(at) > 1])
-        place = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
-        at = at[place % 2 == 0]
-    if not len(at):
-        return flat, weight, at, at
-    before = np.unique(np.concatenate([at - 1, at, at + 1]))
-    after = flat.copy()
-    after[at] = made
-    after, left = np.delete(after, at + 1), np.delete(weight, at + 1)
-    now = at - np.arange(len(at))
-    now = np.unique(np.concatenate([now - 1, now]))
-    old, new = _keys_at(flat, before), _keys_at(after, now)
-    # The count of a pair is that of the stretch, on either side of it.
-    keys, n = sums(np.concatenate([old, new]), np.concatenate([-np.maximum(weight[before], weight[before + 1]), np.maximum(left[now], left[now + 1])]))
-    some = (keys > 0) & (n != 0)
-    return after, left, keys[some], n[some]
-
-
-def _keys_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    left, right = flat[at], flat[at + 1]
-    return np.where((left > 0) & (right > 0), left << 32 | right, 0)
+class Runs:
+    """Stretches whose pairs are merged in place: a symbol that has been taken up by its left neighbour is -1, and passed over."""
+
+    def __init__(self, flat: np.ndarray, weight: np.ndarray):
+        self.symbols, self.weight = flat.copy(), weight
+        self.after, self.before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        self.after[-1:] = len(flat) - 1
+
+    def copy(self) -> Runs:
+        return Runs(*self.flat())
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        left = self.symbols >= 0
+        return self.symbols[left], self.weight[left]
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        left, right = self.symbols[at], self.symbols[self.after[at]]
+        return np.where((left > 0) & (right > 0), left << 32 | right, 0)
+
+    def merge(self, step: Merge) -> tuple[np.ndarray, np.ndarray]:
+        """Merges a pair, from the left where it overlaps itself: the pairs whose counts change, and by how much."""
+        a, b, made = step
+        at = np.flatnonzero(self.symbols == a)
+        at = at[self.symbols[self.after[at]] == b]
+        if a == b and len(at):
+            starts = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
+            place = np.arange(len(at)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+            at = at[place % 2 == 0]
+        if not len(at):
+            return at, at
+        taken = self.after[at]
+        was = np.unique(np.concatenate([self.before[at], at, taken]))
+        old = self._keys(was)
+        beyond = self.after[taken]
+        self.symbols[at], self.symbols[taken] = made, -1
+        self.after[at], self.before[beyond] = beyond, at
+        now = np.unique(np.concatenate([self.before[at], at]))
+        new = self._keys(now)
+        keys, n = sums(np.concatenate([old, new]), np.concatenate([-self.weight[was], self.weight[now]]))
+        some = (keys > 0) & (n != 0)
+        return keys[some], n[some]
 
 
 def touched(flat: np.ndarray, weight: np.ndarray, merges: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,12 +201,12 @@ def count_changes(runs: DataFrame, done: list[Merge], guessed: list[Merge], leas
     """For each guessed merge, after those done, the pairs that lose occurrences and the new ones with ``least`` or more."""
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, weight = touched(*_runs(batches), done + guessed)
+        mine = Runs(*touched(*_runs(batches), done + guessed))
         for step in done:
-            flat, weight, _, _ = merge(flat, weight, step)
+            mine.merge(step)
         found = []
         for i, step in enumerate(guessed):
-            flat, weight, keys, n = merge(flat, weight, step)
+            keys, n = mine.merge(step)
             found.append((np.full(len(keys), i, np.int32), keys, n))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["step", "key", "n"])
 
@@ -207,9 +222,10 @@ def apply_merges(runs: DataFrame, done: list[Merge]) -> DataFrame:
     """The stretches with merges applied; those that are one piece now are left out."""
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, weight = _runs(batches)
+        mine = Runs(*_runs(batches))
         for step in done:
-            flat, weight, _, _ = merge(flat, weight, step)
+            mine.merge(step)
+        flat, weight = mine.flat()
         stops = np.flatnonzero(flat == 0)
         size = np.diff(stops) - 1
         keep = np.flatnonzero(size > 1)
@@ -315,14 +331,14 @@ class Ranking:
                 heapq.heappush(self.heap, self._entry(key, self.counts[key]))
 
 
-def guess(ranking: Ranking, flat: np.ndarray, weight: np.ndarray, wanted: int) -> list[Merge]:
+def guess(ranking: Ranking, head: Runs, wanted: int) -> list[Merge]:
     """The next merges as far as the most frequent stretches tell; the rest of the counts is taken to change alike."""
-    ranking, found = ranking.copy(), []
+    ranking, head, found = ranking.copy(), head.copy(), []
     while len(found) < wanted and (key := ranking.best()) is not None:
         total = ranking.counts[key]
         step = ranking.take(key)
         found.append(step)
-        flat, weight, keys, n = merge(flat, weight, step)
+        keys, n = head.merge(step)
         seen = -int(n[keys == key].sum())
         share = total / seen if seen else 1.0
         ranking.change(keys.tolist(), np.rint(n * max(1.0, share)).astype(np.int64).tolist())
@@ -357,12 +373,12 @@ def bpe_train(
     path = fresh_dir(spark, "runs")
     table.repartition(parts).mapInArrow(coded, "symbols array<int>, n long").write.parquet(path)
 
-    def read() -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    def read() -> tuple[DataFrame, Runs]:
         runs = spark.read.schema("symbols array<int>, n long").parquet(path)
         top = runs.orderBy(F.desc("n")).limit(HEAD_RUNS).toArrow().to_batches()
-        return runs, *_runs(iter(top))
+        return runs, Runs(*_runs(iter(top)))
 
-    runs, flat, weight = read()
+    runs, head = read()
     ranking = Ranking({}, ["", *chars], set(chars), 1, max_chars)
     done: list[Merge] = []
     made: list[str] = []
@@ -372,7 +388,7 @@ def bpe_train(
             last, path = path, fresh_dir(spark, "runs")
             apply_merges(runs, done).write.parquet(path)
             drop_path(spark, last)
-            done, (runs, flat, weight) = [], read()
+            done, (runs, head) = [], read()
         if ranking.best() is None:
             counts, least = frequent_pairs(runs, [len(p) for p in ranking.pieces], max_chars)
             ranking = Ranking(counts, ranking.pieces, ranking.known, least, max_chars)
@@ -384,10 +400,10 @@ def bpe_train(
                 ranking = Ranking(counts, ranking.pieces, ranking.known, least, max_chars)
                 if ranking.best() is None:
                     break
-        guessed = guess(ranking, flat, weight, min(guesses, wanted - len(made)))
+        guessed = guess(ranking, head, min(guesses, wanted - len(made)))
         taken = ranking.follow(guessed, count_changes(runs, done, guessed, ranking.least))
         for step in taken:
-            flat, weight, _, _ = merge(flat, weight, step)
+            head.merge(step)
             made.append(ranking.pieces[step[2]])
         done += taken
         guesses = min(MOST_GUESSES, max(LEAST_GUESSES, 2 * len(taken)))

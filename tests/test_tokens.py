@@ -203,9 +203,11 @@ def test_merging_is_left_to_right():
         flat, weight = bpe.flatten(pa.array([r for r, _ in runs], pa.list_(pa.int32())), pa.array([w for _, w in runs]))
         want = [(_merged(r, a, b, 9), w) for r, w in runs]
         for f, w in ((flat, weight), bpe.touched(flat, weight, [(a, b, 9)])):
-            after, left, keys, n = bpe.merge(f, w, (a, b, 9))
+            keys, n = bpe.Runs(f, w).merge((a, b, 9))
             assert {(int(k) >> 32, int(k) & bpe.LAST): int(c) for k, c in zip(keys, n)} == _changes(runs, want)
-        after, left, _, _ = bpe.merge(flat, weight, (a, b, 9))
+        merged = bpe.Runs(flat, weight)
+        merged.merge((a, b, 9))
+        after, left = merged.flat()
         assert [int(x) for x in after] == [0, *[x for r, _ in want for x in [*r, 0]]]
         assert [int(x) for x in left] == [0, *[x for r, w in want for x in [*[w] * len(r), 0]]]
 
