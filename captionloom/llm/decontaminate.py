@@ -41,7 +41,7 @@ def words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct ``gram`` (bytes), ``n`` (words), ``item`` of the items in ``benchmark`` (``item_id, text``)."""
+    """Distinct ``gram`` (bytes), ``n`` (words), ``item`` (null where it has no id) of ``benchmark`` (``item_id, text``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,22 +53,22 @@ def grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     sizes, items = pa.array([n] * len(found), pa.int32()), pa.array([item] * len(found), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), sizes, items], ["gram", "n", "item"])
 
-    items = benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
     return items.mapInArrow(cut, "gram binary, n int, item string").distinct()
 
 
-def scan(text: str | None, table: dict[int, dict[bytes, list[str]]]) -> tuple[int, list[tuple[int, int]], list[str]]:
-    """Number of words, merged spans of hit words, and the items whose n-grams occur."""
+def scan(text: str | None, table: dict[int, dict[bytes, list[str | None]]]) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Number of words, merged spans of hit words, and the items whose n-grams occur; items without an id hit unnamed."""
     joined, starts, ends = words(text)
     first = starts.tolist()
     hits: list[tuple[int, int]] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     for n, known in table.items():
         for i, (s, e) in enumerate(zip(first, ends[n - 1 :].tolist())):
             if (gram := joined[s:e]) in known:
                 hits.append((i, i + n))
                 items.update(known[gram])
-    return len(first), merged(hits), sorted(items)
+    return len(first), merged(hits), sorted(items - {None})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -83,7 +83,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scanner(pairs: DataFrame):
     """A function of a text column, with the n-grams of ``pairs`` (bounded) broadcast."""
-    table: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
+    table: dict[int, dict[bytes, list[str | None]]] = defaultdict(lambda: defaultdict(list))
     for row in pairs.toLocalIterator():
         table[row["n"]][bytes(row["gram"])].append(row["item"])
     known = pairs.sparkSession.sparkContext.broadcast({n: dict(d) for n, d in table.items()})
@@ -129,7 +129,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_g
     for k in range(blocks):
         share = pairs.filter(F.pmod(F.xxhash64("gram", "item"), F.lit(blocks)) == k)
         seen = placed.select(*PLACE, _scanner(share)(F.col("text")).alias("found"))
-        seen = materialize(seen.filter((F.size("found.items") > 0) | F.lit(k == 0)), "pass")
+        seen = materialize(seen.filter((F.size("found.spans") > 0) | F.lit(k == 0)), "pass")
         passes = seen if passes is None else passes.union(seen)
     whole = passes.groupBy(*PLACE).agg(F.collect_list("found").alias("found"))
     return placed.join(whole.select(*PLACE, _unite(F.col("found")).alias("__found")), PLACE).drop(*PLACE)
@@ -142,7 +142,8 @@ def n_hit(found: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_grams: int = MAX_GRAMS) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row.
 
-    Null and empty texts have no words; items without words or id have no windows.
+    Null and empty texts have no words; items without words have no windows. Items without an id hit words like any
+    other, and are neither counted nor named.
     """
     found = F.col("__found")
     hit = find_hits(docs.select("doc_id", "text"), benchmark, window, max_grams)

@@ -26,7 +26,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 
 OP2 = rf"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 grams AS (
   SELECT DISTINCT item_id::VARCHAR AS item, least(10, len(ws)) AS n,
          array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS gram
@@ -44,7 +44,7 @@ covered AS (
 ),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -51,10 +51,10 @@ def decontaminate(docs, items, window=10):
     grams = defaultdict(set)
     for item, text in items:
         w = words(text)
-        if w and item is not None:
+        if w:
             n = min(window, len(w))
             for i in range(len(w) - n + 1):
-                grams[tuple(w[i : i + n])].add(str(item))
+                grams[tuple(w[i : i + n])].add(item)
     sizes = {len(g) for g in grams}
     out = []
     for doc, text in docs:
@@ -64,8 +64,9 @@ def decontaminate(docs, items, window=10):
                 if (g := tuple(w[i : i + n])) in grams:
                     hit.update(range(i, i + n))
                     found |= grams[g]
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
+        named = sorted(str(i) for i in found if i is not None)
+        digest = hashlib.sha256(",".join(named).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(named), digest, bool(hit)))
     return out
 
 

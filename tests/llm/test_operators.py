@@ -71,6 +71,20 @@ def test_decontaminate(spark, docs, pairs):
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_passages_without_an_id_hit_unnamed(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "three four five")], "doc_id long, text string")
+    names = "item_id long, text string, gram string, item string, n int, __found string"
+    bench = spark.createDataFrame([(None, "one two", "g", "i", 3, "f"), (7, "five", "g", "i", 3, "f")], names)
+    for most in (decontaminate.MAX_GRAMS, 1):
+        got = {r["doc_id"]: r for r in decontaminate.report(docs, bench, max_grams=most).collect()}
+        assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [
+            (2, 0, True),
+            (0, 0, False),
+            (1, 1, True),
+        ]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
