@@ -181,7 +181,10 @@ _FOUND = " UNION ALL ".join(
   string_split_regex(t, '{p}') AS ps FROM d"""
     for k, kind, p, g in ((k, kind, p.replace("'", "''"), g) for k, (kind, p, g) in enumerate(_SHAPES))
 )
-_ALLOWED = " OR ".join(f"regexp_matches(v, '{a}')" for a in secrets.ALLOWED)
+_RUN = f"[A-Za-z0-9+/_-]{{{secrets.WINDOW},}}"
+_UNMARKED = "v"
+for _mark, _length in secrets.MARKS:
+    _UNMARKED = f"regexp_replace({_UNMARKED}, '{_mark}', '{' ' * _length}', 'g')"
 OP5 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_FOUND}),
@@ -189,22 +192,33 @@ each AS (
   SELECT rid, k, kind, unnest(ms) AS v, unnest(gs) AS g, unnest(list_slice(ps, 1, len(ms))) AS p, generate_subscripts(ms, 1) AS i
   FROM found WHERE len(ms) > 0),
 placed AS (SELECT *, sum(length(p) + length(v)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM each),
+cut AS (
+  SELECT rid, i, e - length(v) AS at,
+         CASE WHEN regexp_matches(v, '{secrets.PATH}') THEN replace({_UNMARKED}, '/', ' ') ELSE {_UNMARKED} END AS x
+  FROM placed WHERE k = 3 AND NOT regexp_matches(v, '{secrets.ALLOWED_RUN}')),
+pieces AS (
+  SELECT rid, i, at, unnest(ms) AS v, unnest(list_slice(ps, 1, len(ms))) AS p, generate_subscripts(ms, 1) AS j
+  FROM (SELECT rid, i, at, regexp_extract_all(x, '{_RUN}') AS ms, string_split_regex(x, '{_RUN}') AS ps FROM cut) WHERE len(ms) > 0),
 likely AS (
-  SELECT *, regexp_matches(v, '^[0-9a-fA-F]+$') AS is_hex FROM placed
-  WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT ({_ALLOWED})),
+  SELECT rid, i, v, at + sum(length(p) + length(v)) OVER (PARTITION BY rid, i ORDER BY j) AS e,
+         CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.HEX_BITS}
+              WHEN regexp_matches(v, '[0-9]') THEN {secrets.BASE64_BITS} ELSE {secrets.LETTER_BITS} END AS least
+  FROM pieces),
 windows AS (
-  SELECT rid, i, is_hex, CASE WHEN is_hex THEN lower(v) ELSE v END AS x,
-         unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS s FROM likely),
+  SELECT rid, e, v, least, CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN lower(v) ELSE v END AS x,
+         unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS s
+  FROM likely WHERE NOT regexp_matches(v, '{"|".join(secrets.ALLOWED)}')),
 counted AS (
-  SELECT rid, i, is_hex, s, c, count(*) AS n FROM (
-    SELECT rid, i, is_hex, s, unnest(string_split(substr(x, s, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),
+  SELECT rid, e, v, least, s, c, count(*) AS n FROM (
+    SELECT rid, e, v, least, s, unnest(string_split(substr(x, s, {secrets.WINDOW}), '')) AS c FROM windows) GROUP BY ALL),
 peaks AS (
-  SELECT rid, i FROM (
-    SELECT rid, i, is_hex, s, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS bits FROM counted GROUP BY ALL)
-  GROUP BY rid, i, is_hex HAVING max(bits) >= CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END),
+  SELECT rid, e, v FROM (
+    SELECT rid, e, v, least, s, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS bits FROM counted GROUP BY ALL)
+  GROUP BY rid, e, v, least HAVING max(bits) >= least),
 spans AS (
   SELECT rid, k, kind, (e - length(v))::BIGINT AS s, e::BIGINT AS e FROM placed
-  WHERE k IN (1, 2) OR k = 0 AND length(g) >= {secrets.LEAST_SECRET} OR k = 3 AND (rid, i) IN (SELECT (rid, i) FROM peaks)),
+  WHERE k IN (1, 2) OR k = 0 AND length(g) >= {secrets.LEAST_SECRET}
+  UNION ALL SELECT rid, 3, 'entropy', (e - length(v))::BIGINT, e::BIGINT FROM peaks),
 told AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
          count(*) FILTER (k = 3) AS n_entropy,

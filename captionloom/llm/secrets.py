@@ -1,8 +1,8 @@
 """Secret scans: known shapes, and strings whose sliding-window entropy is too high for language.
 
 All of it is column functions over one pass of the texts, without an exchange. A candidate is a run of
-base64 letters that holds a digit and a letter; its window's entropy per character class is kept up by
-the count of the character that enters and of the one that leaves.
+base64 letters, or what is left of it between the marks of the allow-list; a path is cut into its segments. Its
+window's entropy per character class is kept up by the count of the character that enters and of the one that leaves.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ WINDOW = 20
 #: Least entropy of some window, in bits per character, by class.
 HEX_BITS = 2.9
 BASE64_BITS = 3.7
+LETTER_BITS = 3.9
 #: The shapes every scan reports.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_GATE = "(?i)password|passwd|secret|token|api_?key"
@@ -26,14 +27,16 @@ HEX = r"[0-9a-f]{16,}+"
 LEAST_SECRET = 12
 KINDS = ["assign", "access", "hex", "entropy"]
 RUN = r"A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{RUN}]{{{WINDOW},}}+"
-#: Strings that look random but are not secret: documented sample keys, UUIDs, runs of the alphabet, paths.
-ALLOWED = (
-    "EXAMPLE",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "(?i)0123456789|abcdefghij|1234567890",
-    "^(?:[a-z0-9_-]*/){3,}",
-)
+CANDIDATE = f"[{RUN}]{{{WINDOW},}}+"
+#: Runs that are not secret as a whole: the documented sample key.
+ALLOWED_RUN = "EXAMPLEKEY$"
+#: What looks random inside a run but is not secret, and the length of each: sample marks, runs of the alphabet. A
+#: mark takes itself out of a run, not what stands beside it.
+MARKS = (("EXAMPLE", 7), ("(?i)0123456789|abcdefghij|1234567890", 10))
+#: Runs that are paths; their segments are candidates of their own.
+PATH = "^([a-z0-9_-]*/){3,}"
+#: Candidates that are not secret: UUIDs, and numbers without a letter.
+ALLOWED = ("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "^[0-9+/_-]+$")
 HEX_LETTERS = "0123456789abcdef"
 BASE64_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
@@ -87,6 +90,21 @@ def _kept(spans: str, kind: str, test: str = "true") -> str:
     return f"transform(filter({spans}, s -> {test}), s -> struct(s.start as start, {at} as k, s.end as end, '{kind}' as kind))"
 
 
+def pieces(run: Column) -> Column:
+    """The candidates in a run: what stands between marks of the allow-list, and between slashes of a path."""
+    value = run["value"]
+    for mark, length in MARKS:
+        value = F.regexp_replace(value, mark, " " * length)
+    value = F.when(run["value"].rlike(PATH), F.translate(value, "/", " ")).otherwise(value)
+    found = let(value, lambda v: find_matches(v, CANDIDATE, CANDIDATE))
+    return F.transform(
+        found,
+        lambda s: F.struct(
+            (run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["value"].alias("value")
+        ),
+    )
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` (``text`` and others) with ``__base`` and ``__spans``: arrays of ``start, k, end, kind``, sorted.
 
@@ -105,14 +123,16 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         [_kept("__assign", "assign", f"length(s.part) >= {LEAST_SECRET}"), _kept("__access", "access"), _kept("__hex", "hex")]
     )
     df = df.withColumn("__base", F.expr(f"array_sort(concat({base}))"))
-    allowed = " OR ".join(f"s.value RLIKE '{a}'" for a in ALLOWED)
-    df = df.withColumn("__cand", F.expr(f"filter(__cand, s -> NOT ({allowed}))"))
+    runs = F.filter("__cand", lambda s: ~s["value"].rlike(ALLOWED_RUN))
+    df = df.withColumn("__cand", F.flatten(F.transform(runs, pieces)))
 
     def high(s: Column) -> Column:
         value = s["value"]
-        return F.when(value.rlike("^[0-9a-fA-F]+$"), peak_entropy(F.lower(value), HEX_LETTERS) >= HEX_BITS).otherwise(
-            peak_entropy(value, BASE64_LETTERS) >= BASE64_BITS
+        least = F.when(value.rlike("[0-9]"), BASE64_BITS).otherwise(LETTER_BITS)
+        is_high = F.when(value.rlike("^[0-9a-fA-F]+$"), peak_entropy(F.lower(value), HEX_LETTERS) >= HEX_BITS).otherwise(
+            peak_entropy(value, BASE64_LETTERS) >= least
         )
+        return F.when(value.rlike("|".join(ALLOWED)), False).otherwise(is_high)
 
     df = df.withColumn("__high", F.filter("__cand", high))
     df = df.withColumn("__spans", F.expr(f"array_sort(concat(__base, {_kept('__high', 'entropy')}))"))

@@ -194,6 +194,26 @@ def test_entropy_finds_what_has_no_shape_and_spares_the_allowed(spark):
     assert [got[i]["n_entropy"] for i in (2, 3, 4)] == [0, 0, 0]
 
 
+def test_a_mark_or_a_path_hides_nothing_beside_it(spark):
+    sample = "wJalrXUtnFEMI/K7MDENG/bPxRfiCY" + "EXAMPLEKEY"
+    cases = {
+        "http://localhost/api/v1/sk_live_51H8xKq2eZvKYlo2C": "entropy:24:49",
+        "Zx8Qm2Lp9Vw4Rt7Yb1Nc6Kd3Hf5EXAMPLE": "entropy:0:27",
+        "é EXAMPLEZx8Qm2Lp9Vw4Rt7Yb1Nc6Kd3Hf5": "entropy:9:36",
+        "xQzRtYpLmKjHgFdSaVbNcWeUi": "entropy:0:25",
+        "Zx8Qm2Lp9Vw4Rt7Yb1Nc0123456789xQzRtYpLmKjHgFdSaVbN": "entropy:0:20,entropy:30:50",
+        sample: "",
+        "a/b/c/123e4567-e89b-12d3-a456-426614174000": "",
+        "some/path/of/lower/case/words/that-has-no-end": "",
+        "InternationalizationOfDocumentation": "",
+        "2024-01-01_12-00-00_2024-01-02": "",
+    }
+    frame = spark.createDataFrame([(t, 1) for t in cases], "text string, doc_id long")
+    found = secrets.find_secrets(frame).collect()
+    got = {r["text"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["__spans"] if s["kind"] == "entropy") for r in found}
+    assert got == cases
+
+
 def test_personal(docs, pairs, no_docs):
     columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     check(pii.report(docs), columns, brute.personal(pairs))
