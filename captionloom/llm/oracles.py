@@ -193,14 +193,14 @@ each AS (
   FROM found WHERE len(ms) > 0),
 placed AS (SELECT *, sum(length(p) + length(v)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM each),
 cut AS (
-  SELECT rid, i, e - length(v) AS at,
+  SELECT rid, i, e - length(v) AS begun,
          CASE WHEN regexp_matches(v, '{secrets.PATH}') THEN replace({_UNMARKED}, '/', ' ') ELSE {_UNMARKED} END AS x
   FROM placed WHERE k = 3 AND NOT regexp_matches(v, '{secrets.ALLOWED_RUN}')),
 pieces AS (
-  SELECT rid, i, at, unnest(ms) AS v, unnest(list_slice(ps, 1, len(ms))) AS p, generate_subscripts(ms, 1) AS j
-  FROM (SELECT rid, i, at, regexp_extract_all(x, '{_RUN}') AS ms, string_split_regex(x, '{_RUN}') AS ps FROM cut) WHERE len(ms) > 0),
+  SELECT rid, i, begun, unnest(ms) AS v, unnest(list_slice(ps, 1, len(ms))) AS p, generate_subscripts(ms, 1) AS j
+  FROM (SELECT rid, i, begun, regexp_extract_all(x, '{_RUN}') AS ms, string_split_regex(x, '{_RUN}') AS ps FROM cut) WHERE len(ms) > 0),
 likely AS (
-  SELECT rid, i, v, at + sum(length(p) + length(v)) OVER (PARTITION BY rid, i ORDER BY j) AS e,
+  SELECT rid, i, v, begun + sum(length(p) + length(v)) OVER (PARTITION BY rid, i ORDER BY j) AS e,
          CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.HEX_BITS}
               WHEN regexp_matches(v, '[0-9]') THEN {secrets.BASE64_BITS} ELSE {secrets.LETTER_BITS} END AS least
   FROM pieces),
