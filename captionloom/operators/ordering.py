@@ -119,14 +119,19 @@ def batches(df: DataFrame, rank: str, columns: list[str], batch_size: int) -> Da
 
 
 def range_chunks(
-    df: DataFrame, order: list[str], stage: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None
+    df: DataFrame,
+    order: list[str],
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+    parts: int | None = None,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The table in sorted chunks: adds ``_chunk``, rising with ``order``, and ``_place`` in it.
 
     Spark's range partitioning picks split points that give chunks of about equal size. The last
     order column should be unique, so that ties of the others, however many, are split as
     well. ``stage`` is run on the sorted chunks, one chunk a partition, in the same pass.
-    Written out once, because the chunks must be the same for every later use.
+    Written out once, because the chunks must be the same for every later use: by ``store``, which gives
+    the written table back, or to the shared folder.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -136,7 +141,8 @@ def range_chunks(
         F.shiftright("_spot", 33).alias("_chunk"),
         F.col("_spot").bitwiseAND(F.lit(2**33 - 1)).alias("_place"),
     )
-    return materialize(stage(numbered) if stage else numbered, "chunks")
+    made = stage(numbered) if stage else numbered
+    return store(made) if store else materialize(made, "chunks")
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:

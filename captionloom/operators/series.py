@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,21 +114,10 @@ def _running(x: np.ndarray, before: float, d: float) -> np.ndarray:
     return out
 
 
-def ema_series(
-    df: DataFrame,
-    series: str,
-    order: list[str],
-    value: str,
-    decay: float = 0.999,
-    state: DataFrame | None = None,
+def ema_local(
+    df: DataFrame, series: str, order: list[str], value: str, decay: float, store: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Adds ``ema``: s <- d s + (1-d) x along each series, seeded with its first value.
-
-    The recurrence is linear, so each chunk is run from zero, and what came before it
-    is added as carry * d^position. Carries are folded over the chunk ends, a few rows
-    per series. ``state`` (series, ema) continues series from an earlier run. A null value has
-    no average and leaves the state as it is.
-    """
+    """The table in chunks, each averaged as if from zero (``_local``), with the count of values so far (``_n``)."""
     d = float(decay)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,28 +151,39 @@ def ema_series(
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
         return chunks.mapInArrow(scan, f"{fields}, _local double, _n bigint")
 
-    local = range_chunks(df, [series, *order], stage)
+    return range_chunks(df, [series, *order], stage, store=store)
 
+
+def ema_ends(local: DataFrame, series: str, value: str) -> DataFrame:
+    """What each chunk adds to a series, one row each: ``n`` values, their average ``local`` from zero, the first value."""
     live = local.filter(F.col("_n").isNotNull())
     ends = live.groupBy(series, "_chunk").agg(
-        F.max(F.struct("_n", "_local")).alias("_end"), F.min(F.struct("_n", F.col(value).alias("x"))).alias("_head")
+        F.max(F.struct("_n", "_local")).alias("_end"), F.min(F.struct("_n", F.col(value).cast("double").alias("x"))).alias("_head")
+    )
+    return ends.select(
+        series, "_chunk", F.col("_end._n").alias("n"), F.col("_end._local").alias("local"), F.col("_head.x").alias("head")
     )
+
+
+def ema_series(df: DataFrame, series: str, order: list[str], value: str, decay: float = 0.999) -> DataFrame:
+    """Adds ``ema``: s <- d s + (1-d) x along each series, seeded with its first value.
+
+    The recurrence is linear, so each chunk is run from zero, and what came before it
+    is added as carry * d^position. Carries are folded over the chunk ends, a few rows
+    per series. A null value has no average and leaves the state as it is.
+    """
+    d = float(decay)
+    local = ema_local(df, series, order, value, d)
     # At most one entry per chunk and series, folded once from the first to the last.
-    ends = ends.groupBy(series).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_end", "_head"))).alias("_ends"))
-    seed = F.element_at("_ends", 1)["_head"]["x"].cast("double")
-    if state is not None:
-        ends = ends.join(state.select(series, F.col("ema").alias("_state")), series, "left")
-        seed = F.coalesce("_state", seed)
-    listed = ends.select(series, seed.alias("_seed"), F.transform("_ends", lambda e: F.struct(e["_chunk"].alias("_chunk"), e["_end"].alias("_end"))).alias("_ends"))
+    end = F.struct("_chunk", "n", "local", "head")
+    listed = ema_ends(local, series, value).groupBy(series).agg(F.sort_array(F.collect_list(end)).alias("_ends"))
 
     def carry(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for i, (name, s) in enumerate(zip(batch.column(0), batch.column(1).to_pylist())):
-                chunks, carries = [], []
-                for end in batch.column(2)[i].as_py():
-                    chunks.append(end["_chunk"])
-                    carries.append(s)
-                    s = s * d ** end["_end"]["_n"] + end["_end"]["_local"]
+            for i, name in enumerate(batch.column(0)):
+                ends = batch.column(1)[i].as_py()
+                carries, _ = fold_ends(ends, None, d)
+                chunks = [end["_chunk"] for end in ends]
                 names = pa.array([name.as_py()] * len(chunks), batch.column(0).type)
                 yield pa.RecordBatch.from_arrays(
                     [names, pa.array(chunks, pa.int64()), pa.array(carries, pa.float64())], [series, "_chunk", "_carry"]
@@ -194,3 +194,13 @@ def ema_series(
     joined = local.join(carries, [series, "_chunk"], "left")
     ema = F.col("_local") + F.col("_carry") * F.pow(F.lit(d), F.col("_n"))
     return joined.withColumn("ema", ema).drop("_chunk", "_place", "_local", "_n", "_carry")
+
+
+def fold_ends(ends: list[dict], state: float | None, d: float) -> tuple[list[float], float | None]:
+    """The average before each of the chunks, in order, and the one after the last; the first value seeds it."""
+    carries = []
+    for end in ends:
+        state = end["head"] if state is None else state
+        carries.append(state)
+        state = state * d ** end["n"] + end["local"]
+    return carries, state

@@ -399,10 +399,10 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_dir(spark, "ema")
     job = jobs.ema_stream(
         _event_stream(spark, sf_dir), "series", ["timestamp", "step"], "value",
-        f"{root}/out", f"{root}/state", f"{root}/checkpoint",
+        f"{root}/out", f"{root}/checkpoint",
     )
     job.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("series", "step", F.round("ema", 6).alias("ema"))
+    return jobs.ema_rows(spark, f"{root}/out", "series").select("series", "step", F.round("ema", 6).alias("ema"))
 
 
 QUERIES = {

@@ -71,6 +71,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    """Makes a folder, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a result to the shared folder and read it back.
 

@@ -9,18 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from captionloom.functions.text import clamp_text
 from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, pad_truncate
 from captionloom.operators.encode import bpe_encode
 from captionloom.operators.filters import KEPT, with_reason
 from captionloom.operators.ordering import global_rank, sample_key, shard_id
-from captionloom.operators.series import ema_series
-from captionloom.session import drop_path, fresh_dir
+from captionloom.operators.series import ema_ends, ema_local, fold_ends
+from captionloom.session import drop_path, fresh_dir, make_path
 from captionloom.sources.shards import write_shards
 from captionloom.sources.vocab import vocab_fingerprint
 
@@ -172,42 +174,76 @@ def latest_windows(spark: SparkSession, out: str, series: str = "series") -> Dat
     return latest.select(series, "start", "end", "_last.n", "_last.mean_value")
 
 
-def _read_state(spark: SparkSession, folder: str, batch_id: int, like: DataFrame) -> DataFrame | None:
-    return spark.read.schema(like.schema).parquet(f"{folder}/batch_id={batch_id}") if batch_id >= 0 else None
+def ema_local_stream(
+    stream: DataFrame, series: str, order: list[str], value: str, out: str, checkpoint: str, decay: float = 0.999
+) -> StreamingQuery:
+    """First half of ``ema_stream``: a micro-batch in chunks averaged from zero, and what each chunk adds to its series.
+
+    A series with a large part of the batch lies in many chunks. A batch that runs again replaces both its tables.
+    """
+    spark = stream.sparkSession
+    pin(spark, checkpoint, "decay", repr(float(decay)))
+    make_path(spark, f"{out}/ends")
+
+    def chunked(batch: DataFrame, batch_id: int) -> None:
+        def store(chunks: DataFrame) -> DataFrame:
+            write_batch(chunks.drop("_place"), f"{out}/rows", batch_id)
+            return spark.read.schema(chunks.drop("_place").schema).parquet(f"{out}/rows/batch_id={batch_id}")
+
+        spark = batch.sparkSession
+        with _staged(batch) as rows:
+            local = ema_local(rows, series, order, value, decay, store)
+            # A few rows a series, so few files.
+            write_batch(ema_ends(local, series, value).coalesce(1), f"{out}/ends", batch_id)
+
+    return _each_batch(stream, chunked, checkpoint)
+
+
+def ema_carry_stream(spark: SparkSession, series: str, kind: str, out: str, checkpoint: str, decay: float = 0.999) -> StreamingQuery:
+    """Second half: Spark's keyed state holds a series' average, and each chunk gets the one from before it.
+
+    The state of a series is its average and the last micro-batch folded into it; only series that the new chunks belong to
+    are touched. Chunks of a micro-batch that was folded before are passed over.
+    """
+    d = float(decay)
+    columns = f"`{series}` {kind}, _chunk bigint, n bigint, local double, head double, batch_id bigint"
+    ends = spark.readStream.schema(columns).parquet(f"{out}/ends")
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ema, last = state.get if state.exists else (None, -1)
+        found = pd.concat(list(parts))
+        found = found[found["batch_id"] > last].sort_values(["batch_id", "_chunk"])
+        if len(found):
+            carries, ema = fold_ends(found[["n", "local", "head"]].to_dict("records"), ema, d)
+            state.update((float(ema), int(found["batch_id"].iloc[-1])))
+            yield found[[series, "_chunk", "batch_id"]].assign(_carry=carries)
+
+    carries = ends.groupBy(series).applyInPandasWithState(
+        fold, f"`{series}` {kind}, _chunk bigint, batch_id bigint, _carry double", "ema double, last bigint", "append", "NoTimeout"
+    )
+    return ingest(carries, lambda rows: rows, f"{out}/carries", checkpoint)
 
 
 def ema_stream(
-    stream: DataFrame,
-    series: str,
-    order: list[str],
-    value: str,
-    out: str,
-    state: str,
-    checkpoint: str,
-    decay: float = 0.999,
+    stream: DataFrame, series: str, order: list[str], value: str, out: str, checkpoint: str, decay: float = 0.999
 ) -> StreamingQuery:
-    """Running average per series over micro-batches, rows in order inside a batch.
+    """Running average per series over micro-batches, rows in order inside a batch; ``ema_rows`` reads it.
 
-    The state, one row per series, is a small table versioned by batch. A batch starts from the
-    version before it, so that running it again gives the same rows, and a series with a
-    large part of the batch is split as in ``ema_series``. Two versions are kept.
+    The recurrence is linear: one query writes a micro-batch's chunks as averages from zero, the next folds a few numbers per
+    chunk through Spark's keyed state. The second begins when the first has come to its end, so that it never sees a
+    micro-batch which may be written again. The decay is pinned beside the checkpoint.
     """
+    ema_local_stream(stream, series, order, value, out, f"{checkpoint}/local", decay).awaitTermination()
+    kind = stream.schema[series].dataType.simpleString()
+    return ema_carry_stream(stream.sparkSession, series, kind, out, f"{checkpoint}/carry", decay)
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with _staged(batch) as rows:
-            like = rows.select(series, F.col(value).cast("double").alias("ema"))
-            before = _read_state(spark, state, batch_id - 1, like)
-            write_batch(ema_series(rows, series, order, value, decay, before), out, batch_id)
-        done = spark.read.parquet(f"{out}/batch_id={batch_id}")
-        after = done.filter("ema IS NOT NULL").groupBy(series).agg(F.max_by("ema", F.struct(*order)).alias("ema"))
-        if before is not None:
-            after = after.unionByName(before.join(after.select(series), series, "left_anti"))
-        write_batch(after, state, batch_id)
-        # Only the last batch can run again, from the version before it.
-        drop_path(spark, f"{state}/batch_id={batch_id - 2}")
-
-    return _each_batch(stream, fold, checkpoint)
+
+def ema_rows(spark: SparkSession, out: str, series: str, decay: float = 0.999) -> DataFrame:
+    """All rows that ``ema_stream`` has read so far, with ``ema``; null for null values and rows without a series."""
+    rows, carries = spark.read.parquet(f"{out}/rows"), spark.read.parquet(f"{out}/carries")
+    ema = F.col("_local") + F.col("_carry") * F.pow(F.lit(float(decay)), F.col("_n"))
+    joined = rows.join(carries, [series, "batch_id", "_chunk"], "left").withColumn("ema", ema)
+    return joined.drop("batch_id", "_chunk", "_local", "_n", "_carry")
 
 
 def funnel_stream(stream: DataFrame, funnel: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

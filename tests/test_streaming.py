@@ -23,17 +23,55 @@ def stream_of(spark, path):
     return jobs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
 
 
+EMA = ("series", ["timestamp", "step"], "value")
+
+
+def _ema_of(spark, out):
+    return {(r.series, r.step): r.ema for r in jobs.ema_rows(spark, out, "series", 0.9).collect()}
+
+
 def test_ema_over_batches(spark, log_files, tmp_path):
-    job = jobs.ema_stream(
-        stream_of(spark, log_files), "series", ["timestamp", "step"], "value",
-        str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"), 0.9,
-    )
-    job.awaitTermination()
-    assert sorted(p.name for p in (tmp_path / "state").glob("batch_id=*")) == ["batch_id=2", "batch_id=3"]
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("step").collect()
-    want = series.ema_series(_log(spark, 2000), "series", ["timestamp", "step"], "value", 0.9).orderBy("step").collect()
-    assert [r.step for r in got] == [r.step for r in want]
-    assert [r.ema for r in got] == pytest.approx([r.ema for r in want], abs=1e-9)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    jobs.ema_stream(stream_of(spark, log_files), *EMA, out, ck, 0.9).awaitTermination()
+    want = {(r.series, r.step): r.ema for r in series.ema_series(_log(spark, 2000), *EMA, 0.9).collect()}
+    assert _ema_of(spark, out) == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError, match="decay"):
+        jobs.ema_stream(stream_of(spark, log_files), *EMA, out, ck, 0.8)
+
+
+def _last_commit(checkpoint):
+    last = max((p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (checkpoint / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+
+
+def test_ema_goes_on_after_a_kill(spark, tmp_path):
+    """Each half is stopped once between its write and its commit, with nulls, a new series and an untouched one about."""
+    path, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "ck"
+    names = "series string, timestamp long, step long, value double"
+    parts = [
+        [("a", i, i, float(i % 7)) for i in range(300)] + [("idle", 0, 0, 5.0), (None, 1, 1, 2.0), ("a", 300, 300, None)],
+        [("a", i, i, float(i % 5)) for i in range(301, 600)] + [("new", 301, 301, None), ("new", 302, 302, 4.0)],
+        [("a", i, i, float(i % 3)) for i in range(600, 700)] + [("new", 600, 600, 1.0)],
+    ]
+
+    def add(rows):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(path)
+
+    add(parts[0])
+    jobs.ema_stream(stream_of(spark, path), *EMA, out, str(ck), 0.9).awaitTermination()
+    add(parts[1])
+    jobs.ema_local_stream(stream_of(spark, path), *EMA, out, str(ck / "local"), 0.9).awaitTermination()
+    _last_commit(ck / "local")
+    jobs.ema_stream(stream_of(spark, path), *EMA, out, str(ck), 0.9).awaitTermination()
+    _last_commit(ck / "carry")
+    add(parts[2])
+    jobs.ema_stream(stream_of(spark, path), *EMA, out, str(ck), 0.9).awaitTermination()
+    rows = [r for part in parts for r in part]
+    want = {(r.series, r.step): r.ema for r in series.ema_series(spark.createDataFrame(rows, names), *EMA, 0.9).collect()}
+    got = _ema_of(spark, out)
+    assert len(got) == len(rows) and got[None, 1] is None and got["new", 301] is None
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, abs=1e-9)
 
 
 @pytest.mark.parametrize("slide", [None, "5 minutes"])
