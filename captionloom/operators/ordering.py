@@ -7,8 +7,11 @@ table, a few rows per bucket, is ever scanned in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,10 +103,43 @@ def shuffle_rank(df: DataFrame, key: str, seed, epoch=0, name: str = "shuffle_ra
     return global_rank(hashed, ["_hash", key], name).drop("_hash")
 
 
-def shuffle_local(df: DataFrame, key: str, seed, epoch=0) -> DataFrame:
-    """Shuffle within the present partitions only: no exchange, approximate like a buffer."""
-    hashed = df.withColumn("_hash", digest(seed, epoch, F.col(key)))
-    return hashed.sortWithinPartitions("_hash", key).drop("_hash")
+def buffer_shuffle(df: DataFrame, seed, epoch=0, size: int = 2048, place: str | None = None) -> DataFrame:
+    """Rows mixed on their way through a buffer of ``size`` rows in each task: no exchange, no sort, batch or stream.
+
+    The first ``size`` rows of a partition fill the buffer. Each later one draws a slot by a hash of seed, epoch, partition and
+    row number, sends out the row that it finds there, and stays in its place. What is left at the end goes out
+    by a hash of its slot; in a stream that is the end of a micro-batch. ``place`` names a column for the position in the new order. The order is the same
+    after a retry where the partition's own order is.
+    """
+    if size < 1:
+        raise ValueError(f"a buffer of {size} rows")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def numbered(rows: pa.Table, start: int) -> list[pa.RecordBatch]:
+        if place:
+            rows = rows.append_column(place, pa.array(range(start, start + len(rows)), pa.int64()))
+        return rows.combine_chunks().to_batches()
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = f"{seed}|{epoch}|{TaskContext.get().partitionId()}"
+        held, seen, sent = None, 0, 0
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            pool = fresh if held is None else pa.concat_tables([held, fresh])
+            kept = list(range(min(len(pool), size)))
+            out = []
+            for row in range(len(kept), len(pool)):
+                number = seen + row - (len(pool) - len(fresh))
+                slot = int(md5(f"{key}|{number}".encode()).hexdigest()[:8], 16) % size
+                out.append(kept[slot])
+                kept[slot] = row
+            yield from numbered(pool.take(pa.array(out, pa.int64())), sent)
+            held, seen, sent = pool.take(pa.array(kept, pa.int64())).combine_chunks(), seen + len(fresh), sent + len(out)
+        if held is not None:
+            rest = sorted(range(len(held)), key=lambda slot: md5(f"{key}|rest|{slot}".encode()).hexdigest())
+            yield from numbered(held.take(pa.array(rest, pa.int64())), sent)
+
+    return df.mapInArrow(mix, kinds + (f", `{place}` bigint" if place else ""))
 
 
 def batches(df: DataFrame, rank: str, columns: list[str], batch_size: int) -> DataFrame:

@@ -136,10 +136,14 @@ def prompts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta_source.prompt_table(table, "item_id", "text", inline="  a red fox ").select("pos", "prompt")
 
 
+LANES = 16
+
+
 def shuffle_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a shuffle within partitions: all of them, whatever their order."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return ordering.shuffle_local(docs, "doc_id", SEED, epoch=1)
+    """Documents dealt to lanes and mixed in each by a buffer of 32 rows, with their place in the new order."""
+    docs = views.table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(LANES)).cast("int").alias("lane"), "doc_id", "source")
+    lanes = docs.repartitionById(LANES, "lane").sortWithinPartitions("doc_id")
+    return ordering.buffer_shuffle(lanes, SEED, epoch=1, size=32, place="place")
 
 
 def json_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +235,16 @@ SELECT url, filename, count(*) OVER (PARTITION BY filename) AS same_name FROM na
     "prompts_union": f"{_PROMPTS_SQL} ORDER BY pos LIMIT 35",
     "prompts_all": _PROMPTS_SQL,
     "line_index": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, md5(text) AS text_md5 FROM documents",
-    "shuffle_local": "SELECT doc_id, source FROM documents",
+    # A row goes out when the next one draws its slot; those whose slot is not drawn again follow by a hash of it.
+    "shuffle_local": f"""WITH numbered AS (
+  SELECT (doc_id % {LANES})::INT AS lane, doc_id, source, row_number() OVER (PARTITION BY doc_id % {LANES} ORDER BY doc_id) - 1 AS r
+  FROM documents),
+slots AS (
+  SELECT *, CASE WHEN r < 32 THEN r ELSE ('0x' || substr(md5('{SEED}|1|' || lane || '|' || r), 1, 8))::BIGINT % 32 END AS slot
+  FROM numbered),
+sent AS (SELECT *, lead(r) OVER (PARTITION BY lane, slot ORDER BY r) AS at_row FROM slots)
+SELECT lane, doc_id, source, row_number() OVER (
+  PARTITION BY lane ORDER BY at_row NULLS LAST, md5('{SEED}|1|' || lane || '|rest|' || slot)) - 1 AS place FROM sent""",
     "json_flags": f"""WITH {METADATA_SQL}
 SELECT CASE WHEN idx % 3 = 2 THEN '' ELSE lower(coalesce("NSFW", 'none')) END AS flag, md5(nullif("TEXT", '')) AS text_md5,
        count(*) AS n, count(nullif("URL", '')) AS with_url FROM metadata GROUP BY 1, 2""",

@@ -262,12 +262,13 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors stored at half precision and how far they moved."""
+    """Vectors packed at half precision in a shape, and read back: bytes and values, in units of 2^-24."""
     path = fresh_dir(spark, "vectors")
-    images.write_vectors(views.vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("latent")), path)
-    both = spark.read.parquet(path).join(views.vectors(spark, sf_dir), "vec_id")
-    error = F.array_max(F.zip_with("latent", "embedding", lambda a, b: F.abs(a - b)))
-    return both.select("vec_id", F.size("latent").cast("bigint").alias("dims"), (error < 0.0005).alias("close"))
+    images.write_vectors(views.vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("latent")), path, shape=(4, 4, 4))
+    size = spark.read.parquet(path).select("vec_id", F.octet_length("latent.data").cast("bigint").alias("bytes"))
+    units = F.transform("latent", lambda x: (x.cast("double") * 2**24).cast("bigint").cast("string"))
+    back = images.read_vectors(spark, path, shape=(4, 4, 4)).select("vec_id", F.array_join(units, " ").alias("units"))
+    return back.join(size, "vec_id")
 
 
 def vocab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +502,10 @@ FROM embeddings WHERE vec_id <> 0""",
 SELECT vec_id, i, round(avg(x) * {LATENT_SCALE}::DOUBLE, 6) AS x FROM cells GROUP BY 1, 2""",
     "quarantine": """SELECT CASE WHEN contains(text, '@') THEN 'ValueError' WHEN contains(text, '.') THEN 'ok'
   ELSE 'dropped' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
-    "vector_store": "SELECT vec_id, len(embedding)::BIGINT AS dims, true AS close FROM embeddings",
+    # The nearest 16-bit float: eleven bits from the leading one on, ties to even; below 2^-14 the step stays.
+    "vector_store": """SELECT vec_id, 2 * len(embedding)::BIGINT AS bytes, array_to_string(list_transform(embedding, lambda x:
+  CASE WHEN x = 0 THEN 0 ELSE (round_even(x::DOUBLE / pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10), 0)
+    * pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) + 14))::BIGINT END), ' ') AS units FROM embeddings""",
     "vocab_files": TOKEN_SQL["vocab_files"],
     "metric_log_file": """WITH log AS (
   SELECT CASE event_type WHEN 'click' THEN 'loss' WHEN 'view' THEN 'lr' WHEN 'error' THEN 'clip_mean'

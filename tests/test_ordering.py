@@ -202,3 +202,44 @@ def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.value for r in sorted(rows, key=lambda r: r.idx)] == texts and {r.idx for r in rows} == set(range(5000))
+
+
+def _buffered(rows, part, size, seed=7, epoch=2):
+    held, out = list(rows[:size]), []
+    for i, row in enumerate(rows[size:], size):
+        slot = md5_u32(seed, epoch, part, i) % size
+        out.append(held[slot])
+        held[slot] = row
+    last = lambda slot: hashlib.md5(f"{seed}|{epoch}|{part}|rest|{slot}".encode()).hexdigest()
+    return out + [held[slot] for slot in sorted(range(len(held)), key=last)]
+
+
+@pytest.mark.parametrize("size", [1, 10, 100, 5000])
+def test_buffer_shuffle_equals_a_plain_buffer(spark, size):
+    """Partitions below, at and far above the buffer, one of them empty, over several Arrow batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")
+    try:
+        part = F.when(F.col("id") < 10, 0).when(F.col("id") < 110, 1).otherwise(3)
+        frame = spark.range(1500).select("id", F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), 3)).alias("t"), part.alias("part"))
+        lanes = frame.repartitionById(4, "part").sortWithinPartitions("id")
+        got = ordering.buffer_shuffle(lanes, 7, 2, size, "place").collect()
+    finally:
+        spark.conf.set(name, before)
+    for part, rows in ((0, range(10)), (1, range(10, 110)), (3, range(110, 1500))):
+        mixed = [r for r in got if r.part == part]
+        assert [r.id for r in sorted(mixed, key=lambda r: r.place)] == _buffered(list(rows), part, size)
+        assert all((r.t is None) == (r.id % 3 == 0) for r in mixed)
+    assert ordering.buffer_shuffle(lanes.limit(0), 7).count() == 0
+
+
+def test_buffer_shuffle_in_a_stream(spark, tmp_path):
+    spark.range(300).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    mixed = ordering.buffer_shuffle(stream, 7, 2, 20, "place").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    mixed.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("place").collect()
+    assert [r.id for r in rows] == _buffered(list(range(300)), 0, 20)
+    with pytest.raises(ValueError, match="buffer"):
+        ordering.buffer_shuffle(stream, 7, size=0)

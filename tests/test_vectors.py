@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from captionloom.functions import hashing
 from captionloom.functions import vectors as V
 from captionloom.operators import moments, noise, scores
+from captionloom.sources import images
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +140,39 @@ def test_moments_of_long_vectors(spark):
     df = spark.createDataFrame([("a", v.tolist()) for v in x], "side string, embedding array<double>").repartition(40)
     rows = moments.feature_moments(df).orderBy("i").collect()
     assert np.allclose(np.stack([r["cov"] for r in rows]), np.cov(x.T), atol=1e-9)
+
+
+def test_packed_vectors_equal_numpy(spark, tmp_path):
+    """Subnormals, ties, overflow, infinities, NaN, signed zero, null and other rows, as numpy rounds them."""
+    odd = [1e-8, 6e-8, 2.0**-24 * 1.5, 2049.0, 2051.0, 65504.0, 65520.0, -1e30, float("inf"), float("nan"), -0.0, 0.1]
+    rows = [(0, odd), (1, None), (2, [float(x) for x in np.random.default_rng(1).normal(size=12)])]
+    frame = spark.createDataFrame(rows, "id long, latent array<double>").repartition(2)
+    path = str(tmp_path / "half")
+    images.write_vectors(frame, path, shape=(3, 4))
+    stored = {r.id: r.latent for r in spark.read.parquet(path).collect()}
+    assert stored[1] is None and len(stored[0].data) == 24 and list(stored[0].shape) == [3, 4]
+    with np.errstate(over="ignore"):
+        want = {i: np.array(v, np.float16) for i, v in rows if v}
+    for i in (0, 2):
+        assert bytes(stored[i].data) == want[i].tobytes()
+    got = {r.id: r.latent for r in images.read_vectors(spark, path, shape=(3, 4)).collect()}
+    assert got[1] is None
+    for i in (0, 2):
+        np.testing.assert_array_equal(np.array(got[i], np.float32), want[i].astype(np.float32))
+    with pytest.raises(Exception, match="asked for"):
+        images.read_vectors(spark, path, shape=(4, 3)).collect()
+    with pytest.raises(Exception, match="do not fill"):
+        frame.select(images.pack("latent", (5, 2))).collect()
+    with pytest.raises(Exception, match="null inside"):
+        spark.createDataFrame([([1.0, None],)], "v array<double>").select(images.pack("v")).collect()
+
+
+def test_packed_vectors_of_any_length(spark, tmp_path):
+    rows = [(0, [1.5]), (1, []), (2, [0.25, -3.0])]
+    frame = spark.createDataFrame(rows, "id long, latent array<float>").coalesce(1)
+    for dtype, width in (("float16", 2), ("float32", 4)):
+        path = str(tmp_path / dtype)
+        images.write_vectors(frame, path, dtype=dtype)
+        assert {r.id: len(r.latent.data) for r in spark.read.parquet(path).collect()} == {i: width * len(v) for i, v in rows}
+        assert {r.id: list(r.latent) for r in images.read_vectors(spark, path).collect()} == dict(rows)
+        assert images.read_vectors(spark, path).limit(0).count() == 0
