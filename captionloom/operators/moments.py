@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TASKS_PER_CORE = 4
-_PARTIAL = "side string, i int, n bigint, mean array<double>, m2 array<double>"
+STATE = "side string, i int, n bigint, mean array<double>, m2 array<double>"
 
 
 def _merge(a, b):
@@ -68,12 +69,12 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n, mean, m2a, m2b, delta, weight = _merge(state[side, i], new)
                 new = (n, mean, m2a + m2b + delta[i] * delta * weight)
             state[side, i] = new
-    rows = [(s, i, n, float(mean[i]), m2 / max(n - 1, 1)) for (s, i), (n, mean, m2) in state.items()]
-    yield pd.DataFrame(rows, columns=["side", "i", "n", "mean", "cov"])
+    rows = [(s, i, n, mean, m2) for (s, i), (n, mean, m2) in state.items()]
+    yield pd.DataFrame(rows, columns=["side", "i", "n", "mean", "m2"])
 
 
-def feature_moments(df: DataFrame, side: str = "side", vec: str = "embedding") -> DataFrame:
-    """``side, i, n, mean, cov``: one row per dimension, ``cov`` the i-th row of the covariance.
+def moment_state(df: DataFrame, side: str = "side", vec: str = "embedding") -> DataFrame:
+    """``side, i, n, mean, m2``: one row per dimension, ``m2`` the i-th row of the centred sums of products.
 
     Every task reduces its rows to a d x d matrix before anything is shuffled; the partial matrices are
     then summed row by row, spread over (side, i). A task takes several input partitions, so
@@ -82,10 +83,66 @@ def feature_moments(df: DataFrame, side: str = "side", vec: str = "embedding") -
     """
     narrow = df.select(F.col(side).cast("string").alias("side"), F.col(vec).alias("v"))
     tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    partial = narrow.filter(F.col("v").isNotNull()).coalesce(tasks).mapInArrow(_partials, _PARTIAL)
-    return partial.repartition("side", "i").mapInPandas(
-        _combine, "side string, i int, n bigint, mean double, cov array<double>"
-    )
+    return merge_states(narrow.filter(F.col("v").isNotNull()).coalesce(tasks).mapInArrow(_partials, STATE))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state of the rows of several, those of disjoint sets of vectors: it is the state of all of them."""
+    return states.repartition("side", "i").mapInPandas(_combine, STATE)
+
+
+def moments_of(state: DataFrame) -> DataFrame:
+    """``side, i, n, mean, cov`` of a state."""
+    cov = F.transform("m2", lambda x: x / F.greatest(F.col("n") - 1, F.lit(1)))
+    return state.select("side", "i", "n", F.element_at("mean", F.col("i") + 1).alias("mean"), cov.alias("cov"))
+
+
+def feature_moments(df: DataFrame, side: str = "side", vec: str = "embedding") -> DataFrame:
+    """``side, i, n, mean, cov``: one row per dimension, ``cov`` the i-th row of the covariance."""
+    return moments_of(moment_state(df, side, vec))
+
+
+def _version(spark: SparkSession, store: str) -> int | None:
+    """The last version that was written to the end; its list of sources is written last, as one file."""
+    try:
+        return spark.read.parquet(f"{store}/sources").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def kept_state(spark: SparkSession, store: str) -> DataFrame:
+    """The state kept in ``store``: moments of all that was added, without reading any of it."""
+    version = _version(spark, store)
+    if version is None:
+        raise ValueError(f"{store} holds no moments")
+    return spark.read.schema(STATE).parquet(f"{store}/state/version={version}")
+
+
+def add_to_kept(store: str, name: str, fingerprint: str, vectors: DataFrame, side: str = "side", vec: str = "embedding") -> bool:
+    """Adds the vectors of a source to the state in ``store``; False, and nothing is read, if it is in there already.
+
+    A source is known by its name and what its fingerprint says of its content; a known name with another
+    fingerprint is an error, because what was added cannot be taken out again. The new state stands beside the old
+    one until its list of sources is written, so a run that was stopped can be repeated. One writer at a time.
+    """
+    spark = vectors.sparkSession
+    version = _version(spark, store)
+    names = spark.createDataFrame([(name, fingerprint)], "name string, fingerprint string")
+    state = moment_state(vectors, side, vec)
+    if version is not None:
+        listed = spark.read.parquet(f"{store}/sources/version={version}")
+        known = [r["fingerprint"] for r in listed.filter(F.col("name") == name).collect()]
+        if known == [fingerprint]:
+            return False
+        if known:
+            raise ValueError(f"{name} has changed since it was added to {store}")
+        names, state = listed.unionByName(names), merge_states(kept_state(spark, store).unionByName(state))
+    after = 0 if version is None else version + 1
+    state.write.mode("overwrite").parquet(f"{store}/state/version={after}")
+    names.coalesce(1).write.mode("overwrite").parquet(f"{store}/sources/version={after}")
+    return True
 
 
 def _root_trace(a: np.ndarray, b: np.ndarray) -> float:

@@ -10,6 +10,8 @@ from captionloom.functions.tokens import attention_mask, pad_truncate
 from captionloom.operators import moments, noise, ordering, payload, scores, series
 from captionloom.plans import views
 from captionloom.plans.views import u32_sql
+from captionloom.session import fresh_dir
+from captionloom.sources import paths
 
 SEED = 17
 TIMESTEPS = 1000
@@ -80,6 +82,18 @@ def fid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_real", "n_fake", F.round("fid", 6).alias("fid"))
 
 
+def fid_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same distance from a kept state, to which the vectors come folder by folder, one of them twice."""
+    root = fresh_dir(spark, "kept")
+    views.sided_vectors(spark, sf_dir).withColumn("part", F.pmod("key", F.lit(3))).write.partitionBy("part").parquet(f"{root}/in")
+    for part in (0, 1, 0, 2):
+        folder = f"{root}/in/part={part}"
+        stamp = paths.folder_fingerprint(spark, folder)
+        moments.add_to_kept(f"{root}/moments", f"part {part}", stamp, spark.read.parquet(folder))
+    found = moments.frechet_distance(moments.moments_of(moments.kept_state(spark, f"{root}/moments")))
+    return found.select("n_real", "n_fake", F.round("fid", 6).alias("fid"))
+
+
 def kid(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scores.kid(views.sided_vectors(spark, sf_dir), subsets=10, subset_size=50, seed=SEED)
     return scored.select("subsets", F.round("kid_mean", 9).alias("kid_mean"), F.round("kid_std", 9).alias("kid_std"))
@@ -170,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pixel_norm, unit_vectors, clip_pairs, clip_score_by_label, zip_prompts, feature_mean, feature_cov,
-        fid, kid, masked_mean, noise_levels, forward_noise, mse_by_timestep, latent_captions,
+        fid, fid_kept, kid, masked_mean, noise_levels, forward_noise, mse_by_timestep, latent_captions,
         log_latest, log_throughput, metric_buckets, ema_series,
     )
 }
@@ -316,3 +330,5 @@ r AS (
   SELECT x.series, x.step, x.n, 0.999::DOUBLE * r.s + 0.001::DOUBLE * x.value FROM r JOIN x ON x.series = r.series AND x.n = r.n + 1)
 SELECT series, step, round(s, 6) AS ema FROM r""",
 }
+# What was added folder by folder is what was read at once.
+ORACLES["fid_kept"] = ORACLES["fid"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from captionloom.functions import hashing
 from captionloom.functions import vectors as V
 from captionloom.operators import moments, noise, scores
-from captionloom.sources import images
+from captionloom.sources import images, paths
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,37 @@ def test_moments_equal_numpy(spark, sets):
         np.testing.assert_allclose(np.array([r["cov"] for r in part]), np.cov(data.T), rtol=1e-8, atol=1e-9)
 
 
+def test_kept_moments_equal_all_at_once(spark, sets, tmp_path):
+    df, _, _ = sets
+    store = str(tmp_path / "store")
+    with pytest.raises(ValueError, match="holds no moments"):
+        moments.kept_state(spark, store)
+    parts = [df.filter(f"key % 3 = {i}") for i in range(3)]
+    assert moments.add_to_kept(store, "a", "1", parts[0]) and not moments.add_to_kept(store, "a", "1", parts[1])
+    assert moments.add_to_kept(store, "b", "1", parts[1]) and moments.add_to_kept(store, "none", "1", df.limit(0))
+    # A run that was stopped before its list of sources was written has not happened.
+    moments.moment_state(parts[0]).write.parquet(f"{store}/state/version=3")
+    assert moments.add_to_kept(store, "c", "1", parts[2])
+    with pytest.raises(ValueError, match="changed"):
+        moments.add_to_kept(store, "b", "2", parts[1])
+    got = moments.moments_of(moments.kept_state(spark, store)).orderBy("side", "i").collect()
+    want = moments.feature_moments(df).orderBy("side", "i").collect()
+    assert [(r.side, r.i, r.n) for r in got] == [(r.side, r.i, r.n) for r in want]
+    np.testing.assert_allclose([r["mean"] for r in got], [r["mean"] for r in want], rtol=1e-12)
+    np.testing.assert_allclose([r["cov"] for r in got], [r["cov"] for r in want], rtol=1e-8, atol=1e-9)
+
+
+def test_folder_fingerprint_follows_the_listing(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    none = paths.folder_fingerprint(spark, str(folder))
+    (folder / "a.png").write_bytes(b"one")
+    one = paths.folder_fingerprint(spark, str(folder))
+    assert none != one == paths.folder_fingerprint(spark, str(folder))
+    (folder / "b.png").write_bytes(b"two")
+    assert paths.folder_fingerprint(spark, str(folder)) != one == paths.folder_fingerprint(spark, str(folder), "a*")
+
+
 def fid_twin(x, y):
     a, b = np.cov(x.T), np.cov(y.T)
     diff = x.mean(axis=0) - y.mean(axis=0)
