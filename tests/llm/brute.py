@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -226,3 +227,26 @@ def dialogue(rows):
             sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
         ))
     return out
+
+
+def differencing(groups, parts):
+    """Sizes of all parts, largest first, by plain differencing of (bytes, name) groups: every part written out."""
+    left = [(n, [size] + [0] * (parts - 1)) for n, (size, _) in enumerate(sorted(groups, key=lambda g: (-g[0], g[1])))]
+    made = len(left)
+    while len(left) > 1:
+        left.sort(key=lambda p: (p[1][-1] - p[1][0], p[0]))
+        (_, a), (_, b), *left = left
+        left.append((made, sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)))
+        made += 1
+    return left[0][1]
+
+
+def decode(margins, langs, codewords, trust):
+    """The language whose codeword costs least, first by name, with its score: bit by bit."""
+    losses = []
+    for word in codewords:
+        losses.append(sum(t * max(0.0, 1 - m * bit) for m, bit, t in zip(margins, word, trust)))
+    best = min(losses)
+    full = 2 * sum(trust)
+    score = 1 / sum(math.exp(max(-50.0, (best - loss) * 20 / full)) for loss in losses)
+    return langs[losses.index(best)], score

@@ -146,6 +146,45 @@ def test_sharding(docs, pairs, no_docs):
     assert shown.count() == len(pairs) and set(docs.columns) == set(shown.columns)
 
 
+def test_shard_sizes_equal_plain_differencing(spark, docs, pairs):
+    groups = Counter()
+    for _, text in pairs:
+        groups["" if text is None else hashlib.md5(text.encode()).hexdigest()] += len((text or "").encode()) + 8
+    sizes = Counter()
+    for r in sharding.report(docs).collect():
+        sizes[r["shard"]] += r["size"]
+    want = brute.differencing([(size, node) for node, size in groups.items()], 24)
+    assert sorted((sizes[k] for k in range(24)), reverse=True) == want
+
+
+@pytest.mark.parametrize("parts", [2, 5])
+def test_differencing_with_ties(spark, parts):
+    """Many groups of the same bytes, groups of none, one above all others, and fewer groups than parts."""
+    rng = np.random.default_rng(parts)
+    for n in (1, 3, 300):
+        rows = [(f"g{i:03d}", int(x)) for i, x in enumerate(rng.integers(0, 4, n) * 10)] + [("large", 500)]
+        frame = spark.createDataFrame(rows, "node string, bytes long")
+        sizes, whole = Counter(), dict(rows)
+        for r in sharding.assign_groups(frame, parts).collect():
+            sizes[r["shard"]] += whole[r["node"]]
+        want = brute.differencing([(b, g) for g, b in rows], parts)
+        assert sorted((sizes[k] for k in range(parts)), reverse=True) == want
+
+
+def test_languages_equal_plain_decoding(spark, docs, pairs):
+    model = langid.learn(docs, 60)
+    assert len(model.langs) > 1
+    found = langid.predict(docs.select("doc_id", "text"), model).collect()
+    for r in found:
+        got = r["lang_found"]
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (got["lang"], got["score"]) == ("und", 0.0)
+            continue
+        margins = [float(m) for m in langid.features(r["text"]) @ model.weights]
+        lang, score = brute.decode(margins, model.langs, model.words.tolist(), model.trust.tolist())
+        assert got["lang"] == lang and got["score"] == pytest.approx(score, abs=1e-4)
+
+
 def test_differencing_levels(spark):
     rng = np.random.default_rng(2)
     rows = [(f"g{i}", int(x)) for i, x in enumerate(rng.lognormal(7, 1.2, 4000))]
