@@ -167,11 +167,54 @@ def metric_windows(
     return _each_batch(flat, lambda batch, i: write_batch(batch, out, i), checkpoint, "update")
 
 
+def _newest(rows: DataFrame, series: str) -> DataFrame:
+    last = rows.groupBy(series, "start", "end").agg(F.max(F.struct("batch_id", "n", "mean_value")).alias("_last"))
+    return last.select(series, "start", "end", "_last.n", "_last.mean_value", "_last.batch_id")
+
+
+def _compacted(spark: SparkSession, out: str) -> int:
+    """The last micro-batch that a finished snapshot of ``out`` holds; -1 without one."""
+    try:
+        return spark.read.parquet(f"{out}-snapshot/done").agg(F.max("through")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+
+
+def _window_rows(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
+    """The snapshot, if there is one, and what was written after it."""
+    through = _compacted(spark, out)
+    rows = spark.read.parquet(out).withColumn("batch_id", F.col("batch_id").cast("long")).filter(F.col("batch_id") > through)
+    if through >= 0:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{out}-snapshot/through={through}"))
+    return rows, through
+
+
 def latest_windows(spark: SparkSession, out: str, series: str = "series") -> DataFrame:
-    """The last state written of each window."""
-    kept = F.max(F.struct("batch_id", "n", "mean_value")).alias("_last")
-    latest = spark.read.parquet(out).groupBy(series, "start", "end").agg(kept)
-    return latest.select(series, "start", "end", "_last.n", "_last.mean_value")
+    """The last state written of each window: reads the last snapshot and the micro-batches after it."""
+    return _newest(_window_rows(spark, out)[0], series).drop("batch_id")
+
+
+def compact_windows(spark: SparkSession, out: str, series: str = "series") -> None:
+    """Puts all micro-batches but the last, which may be written again, into a snapshot of one row a window.
+
+    A snapshot counts once its mark is written; only then the micro-batches in it and the snapshot before it are
+    dropped, so a run that was stopped can be repeated. One caller at a time; the stream may go on.
+    """
+    rows, before = _window_rows(spark, out)
+    written = [r[0] for r in spark.read.parquet(out).select(F.col("batch_id").cast("long")).distinct().collect()]
+    through = max(written) - 1
+    if through > before:
+        closed = _newest(rows.filter(F.col("batch_id") <= through), series)
+        closed.write.mode("overwrite").parquet(f"{out}-snapshot/through={through}")
+        mark = spark.createDataFrame([(through,)], "through long")
+        mark.coalesce(1).write.mode("append").parquet(f"{out}-snapshot/done")
+        if before >= 0:
+            drop_path(spark, f"{out}-snapshot/through={before}")
+    for batch_id in written:
+        if batch_id <= through:
+            drop_path(spark, f"{out}/batch_id={batch_id}")
 
 
 def ema_local_stream(

@@ -84,6 +84,31 @@ def test_windows_over_batches(spark, log_files, tmp_path, slide):
     assert got == {(r.series, r.w.start): (r.n, round(r.m, 9)) for r in rows}
 
 
+def test_compacted_windows_are_the_same(spark, log_files, tmp_path):
+    out, ck = str(tmp_path / "w"), str(tmp_path / "ck")
+
+    def state():
+        return {(r.series, r.start): (r.n, r.mean_value) for r in jobs.latest_windows(spark, out).collect()}
+
+    jobs.metric_windows(stream_of(spark, log_files), out, ck, "10 minutes").awaitTermination()
+    before = state()
+    batches = lambda: sorted(p.name for p in (tmp_path / "w").glob("batch_id=*"))
+    last = max(int(name.split("=")[1]) for name in batches())
+    # A snapshot without its mark has not happened.
+    spark.read.parquet(out).limit(1).write.parquet(f"{out}-snapshot/through={last - 1}")
+    assert state() == before
+    jobs.compact_windows(spark, out)
+    assert batches() == [f"batch_id={last}"] and state() == before
+    jobs.compact_windows(spark, out)
+    assert batches() == [f"batch_id={last}"] and state() == before
+    grown = spark.read.parquet(out).drop("batch_id").limit(3).withColumn("n", F.col("n") + 5)
+    grown.write.parquet(f"{out}/batch_id={last + 1}")
+    changed = {(r.series, r.start): (r.n, r.mean_value) for r in grown.collect()}
+    jobs.compact_windows(spark, out)
+    assert batches() == [f"batch_id={last + 1}"] and state() == before | changed
+    assert sorted(p.name for p in (tmp_path / "w-snapshot").glob("through=*")) == [f"through={last}"]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     path = str(tmp_path / "in")
     # A batch is filtered by the watermark the batch before it ran with, so one batch lies between.
