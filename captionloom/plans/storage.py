@@ -378,6 +378,18 @@ def stream_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.substring_index("shard", "-", -1).alias("shard"), "key", F.md5(shards.member("txt")).alias("text_md5"))
 
 
+def stream_tars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to tars as they come, and a second stream that follows the tars."""
+    root = fresh_dir(spark, "tarstream")
+    members = F.create_map(F.lit("txt"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    docs = _stream(spark, sf_dir, "documents", ["doc_id", "text"])
+    samples = docs.select(ordering.sample_key("doc_id").alias("key"), members.alias("members"))
+    shards.shard_sink(samples, f"{root}/tars", f"{root}/checkpoint-out", 500).awaitTermination()
+    rows = shards.follow_shards(spark, f"{root}/tars").select("key", F.md5(shards.member("txt")).alias("text_md5"))
+    jobs.ingest(rows, lambda new: new, f"{root}/seen", f"{root}/checkpoint-in").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{root}/seen")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value"])
     return events.select(
@@ -411,7 +423,7 @@ QUERIES = {
     for f in (
         metadata_formats, caption_file, shard_roundtrip, shard_quarantine, image_scan,
         score_folders, clip_score_folder, prepared_funnel, latent_shards, latent_batches, stage_encode, quarantine, vector_store,
-        vocab_files, metric_log_file, stream_metric_log, stale_tokens, stream_ingest, stream_funnel, stream_shards, stream_windows, stream_ema,
+        vocab_files, metric_log_file, stream_metric_log, stale_tokens, stream_ingest, stream_funnel, stream_shards, stream_tars, stream_windows, stream_ema,
     )
 }
 
@@ -521,6 +533,7 @@ WHERE regexp_extract(source, '[0-9]+')::INT % 2 = 1""",
     "stream_funnel": PREPARE_SQL["filter_funnel"],
     "stream_shards": """WITH ranked AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)
 SELECT printf('%06d', r // 100) AS shard, printf('sample-%09d', doc_id) AS key, md5(text) AS text_md5 FROM ranked""",
+    "stream_tars": "SELECT printf('sample-%09d', doc_id) AS key, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "stream_windows": """SELECT event_type AS series, epoch(time_bucket(INTERVAL 6 HOURS, ts))::BIGINT AS start_s,
   count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""",
     "stream_ema": FEATURE_SQL["ema_series"],

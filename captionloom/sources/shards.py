@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import io
 import json
+import re
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,19 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamArrowWriter,
+    DataSourceStreamReader,
+    InputPartition,
+    WriterCommitMessage,
+)
+from pyspark.sql.streaming import StreamingQuery
 
 from captionloom.sources.paths import expand_braces, list_files, open_fs
 
@@ -36,17 +47,36 @@ class _Tar(InputPartition):
     path: str
 
 
-def _listed(system: fs.FileSystem, root: str) -> list[str] | None:
-    """Names of the tars that committed writes to a folder have listed; None where there is no list."""
+def _lists(system: fs.FileSystem, root: str) -> list[tuple[int, str]]:
+    """Number and path of the list of each committed write to a folder, in the order of their numbers."""
     folder = f"{root}/{LISTS}"
     if system.get_file_info(folder).type != fs.FileType.Directory:
+        return []
+    paths = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".json")]
+    number = lambda path: re.match(r"(\d{10})-", path.rsplit("/", 1)[-1])
+    return sorted((int(m[1]) if (m := number(path)) else 0, path) for path in paths)
+
+
+def _names(system: fs.FileSystem, path: str) -> list[str]:
+    with system.open_input_stream(path) as stream:
+        return json.loads(stream.read())
+
+
+def _listed(system: fs.FileSystem, root: str) -> list[str] | None:
+    """Names of the tars that committed writes to a folder have listed; None where there is no list."""
+    if system.get_file_info(f"{root}/{LISTS}").type != fs.FileType.Directory:
         return None
-    names: set[str] = set()
-    for info in system.get_file_info(fs.FileSelector(folder)):
-        if info.base_name.endswith(".json"):
-            with system.open_input_stream(info.path) as stream:
-                names.update(json.loads(stream.read()))
-    return sorted(names)
+    return sorted({name for _, path in _lists(system, root) for name in _names(system, path)})
+
+
+def _put_list(system: fs.FileSystem, root: str, label: str, names: list[str]) -> None:
+    """Commits tars: their list gets the next number. It is written aside first, so that nobody reads half of it."""
+    system.create_dir(f"{root}/{LISTS}", recursive=True)
+    before = _lists(system, root)
+    final = f"{root}/{LISTS}/{before[-1][0] + 1 if before else 1:010d}-{label}.json"
+    with system.open_output_stream(f"{final}.part") as out:
+        out.write(json.dumps(sorted(names)).encode())
+    system.move(f"{final}.part", final)
 
 
 def _shard_files(pattern: str) -> list[str]:
@@ -77,14 +107,12 @@ def _shard_files(pattern: str) -> list[str]:
     return paths
 
 
-class _ShardReader(DataSourceReader):
+class _TarReading:
+    """Reads one tar a task, in batches of bounded size."""
+
     def __init__(self, options: dict):
         self.skip_bad = str(options.get("skipbad", "false")).lower() == "true"
         self.names_only = str(options.get("members", "all")).lower() == "none"
-        self.paths = _shard_files(options["path"])
-
-    def partitions(self):
-        return [_Tar(p) for p in self.paths]
 
     def read(self, partition: _Tar) -> Iterator[pa.RecordBatch]:
         system, inner = open_fs(partition.path)
@@ -110,6 +138,44 @@ class _ShardReader(DataSourceReader):
             yield batch()
 
 
+class _ShardReader(_TarReading, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.paths = _shard_files(options["path"])
+
+    def partitions(self):
+        return [_Tar(p) for p in self.paths]
+
+
+class _ShardFollower(_TarReading, DataSourceStreamReader):
+    """A folder's committed lists as a stream: an offset is the number of the last list and how many there are up to it.
+
+    Numbers rise by commit, so each list falls into one micro-batch. A list that turns up behind the offset (two
+    writers at once) or is gone (the folder was overwritten) shows in the count, and fails the stream.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.root = options["path"].rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {"number": -1, "lists": 0}
+
+    def latestOffset(self) -> dict:
+        lists = _lists(*open_fs(self.root))
+        return {"number": lists[-1][0] if lists else -1, "lists": len(lists)}
+
+    def partitions(self, start: dict, end: dict) -> list[_Tar]:
+        system, root = open_fs(self.root)
+        lists = _lists(system, root)
+        for offset in (start, end):
+            there = sum(number <= offset["number"] for number, _ in lists)
+            if there != offset["lists"]:
+                raise RuntimeError(f"{self.root} has {there} committed lists up to number {offset['number']}, not {offset['lists']} as before")
+        new = [path for number, path in lists if start["number"] < number <= end["number"]]
+        return [_Tar(f"{self.root}/{name}.tar") for path in new for name in _names(system, path)]
+
+
 def _is_blank(stream, start: int, end: int) -> bool:
     """Whether a stretch of a file holds nothing but zeros, as between and behind the members of a tar."""
     stream.seek(start)
@@ -214,81 +280,148 @@ def _samples(stream, data: bool) -> Iterator[tuple[str | None, list[tuple[str, b
 @dataclass
 class _Written(WriterCommitMessage):
     names: list
+    query: str = ""
+
+
+class _TarOut:
+    """Tars of one task: each is written under a name of its own, and gets its final name when it is whole."""
+
+    def __init__(self, system: fs.FileSystem, root: str, staging: str):
+        self.system, self.root, self.staging = system, root, staging
+        self.attempt = uuid.uuid4().hex
+        self.names: list[str] = []
+        self.shard = self.tar = self.stream = self.part = None
+        system.create_dir(staging, recursive=True)
+
+    def begin(self, shard: str) -> None:
+        self.close()
+        self.shard = shard
+        self.part = f"{self.staging}/{shard}-{self.attempt}.part"
+        self.stream = self.system.open_output_stream(self.part)
+        self.tar = tarfile.open(fileobj=self.stream, mode="w|")
+
+    def add(self, key: str, members) -> None:
+        for ext, data in sorted(dict(members).items()):
+            info = tarfile.TarInfo(f"{key}.{ext}")
+            info.size = len(data)
+            self.tar.addfile(info, io.BytesIO(data))
+
+    def close(self) -> None:
+        if self.tar is not None:
+            self.tar.close()
+            self.stream.close()
+            self.system.move(self.part, f"{self.root}/{self.shard}.tar")
+            self.names.append(self.shard)
+            self.tar = None
+
+
+class _Staging:
+    """Folders, named by run, in which the tasks of a write make their tars."""
+
+    def __init__(self, options: dict):
+        self.root = options["path"].rstrip("/")
+
+    def tars(self, run: str) -> _TarOut:
+        system, root = open_fs(self.root)
+        return _TarOut(system, root, f"{root}/_staging-{run}")
+
+    def drop(self, run: str) -> None:
+        system, root = open_fs(self.root)
+        staging = f"{root}/_staging-{run}"
+        if system.get_file_info(staging).type == fs.FileType.Directory:
+            system.delete_dir(staging)
 
 
 class _ShardWriter(DataSourceArrowWriter):
-    """Tasks write under names of their own and give whole tars their final name; commit lists them."""
+    """Rows of a shard come together, by name; commit lists the tars."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.root = options["path"].rstrip("/")
-        self.overwrite = overwrite
+        self.staging = _Staging(options)
         self.run = uuid.uuid4().hex
-        system, root = open_fs(self.root)
-        self.old = _listed(system, root) or []
+        self.overwrite = overwrite
+        self.old = _listed(*open_fs(self.staging.root)) or []
         replace = str(options.get("replace", "false")).lower() == "true"
         self.taken = set() if overwrite or replace else set(self.old)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        system, root = open_fs(self.root)
-        staging = f"{root}/_staging-{self.run}"
-        system.create_dir(staging, recursive=True)
-        attempt = uuid.uuid4().hex
-        names: list[str] = []
-        tar = stream = shard = part = None
-
-        def close() -> None:
-            tar.close()
-            stream.close()
-            system.move(part, f"{root}/{shard}.tar")
-            names.append(shard)
-
+        out = self.staging.tars(self.run)
+        shard = None
         for batch in iterator:
             for name, key, members in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "members"))):
                 if name != shard:
-                    if tar is not None:
-                        close()
                     if name in self.taken:
                         raise RuntimeError(f"shard {name} is there already; overwrite, or give the batch names of its own")
                     shard = name
-                    part = f"{staging}/{name}-{attempt}.part"
-                    stream = system.open_output_stream(part)
-                    tar = tarfile.open(fileobj=stream, mode="w|")
-                for ext, data in sorted(dict(members).items()):
-                    info = tarfile.TarInfo(f"{key}.{ext}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-        if tar is not None:
-            close()
-        return _Written(names)
+                    out.begin(name)
+                out.add(key, members)
+        out.close()
+        return _Written(out.names)
 
     def commit(self, messages) -> None:
-        system, root = open_fs(self.root)
+        system, root = open_fs(self.staging.root)
         names = [name for m in messages if m for name in m.names]
         if len(names) != len(set(names)):
             raise RuntimeError("a shard was written by more than one task; repartition by shard first")
-        system.create_dir(f"{root}/{LISTS}", recursive=True)
-        before = [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/{LISTS}"))]
-        with system.open_output_stream(f"{root}/{LISTS}/{self.run}.json") as out:
-            out.write(json.dumps(sorted(names)).encode())
+        before = _lists(system, root)
+        _put_list(system, root, self.run, names)
         if self.overwrite:
-            for path in before:
+            for _, path in before:
                 system.delete_file(path)
             for name in set(self.old) - set(names):
                 system.delete_file(f"{root}/{name}.tar")
-        self._drop_staging()
+        self.staging.drop(self.run)
 
     def abort(self, messages) -> None:
-        self._drop_staging()
+        self.staging.drop(self.run)
 
-    def _drop_staging(self) -> None:
-        system, root = open_fs(self.root)
-        staging = f"{root}/_staging-{self.run}"
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+
+class _ShardSink(DataSourceStreamArrowWriter):
+    """Each task of a micro-batch fills tars of a fixed number of samples in the order in which rows come.
+
+    A tar's name says epoch, task and number, and ends with the attempt, so that no attempt touches another's.
+    The list of an epoch bears the query's id, which lives in the checkpoint: an epoch that has been committed
+    before is not listed again, and what its second run wrote is taken away.
+    """
+
+    def __init__(self, options: dict):
+        self.staging = _Staging(options)
+        self.size = int(options.get("shardsize", 1000))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        # Spark makes commit a sink of its own: what both must know goes by the query's id and the epoch.
+        task = TaskContext.get()
+        query, epoch = (task.getLocalProperty(p) for p in ("sql.streaming.queryId", "streaming.sql.batchId"))
+        out = self.staging.tars(f"{query}-{epoch}")
+        prefix = f"{int(epoch):06d}-{task.partitionId():05d}"
+        count = 0
+        for batch in iterator:
+            for key, members in zip(*(batch.column(c).to_pylist() for c in ("key", "members"))):
+                if count % self.size == 0:
+                    out.begin(f"{prefix}-{count // self.size:05d}-{out.attempt[:12]}")
+                out.add(key, members)
+                count += 1
+        out.close()
+        return _Written(out.names, query)
+
+    def commit(self, messages, batchId: int) -> None:
+        system, root = open_fs(self.staging.root)
+        names = [name for m in messages if m for name in m.names]
+        for query in {m.query for m in messages if m}:
+            label = f"{query}-{batchId}"
+            if any(path.endswith(f"-{label}.json") for _, path in _lists(system, root)):
+                for name in names:
+                    system.delete_file(f"{root}/{name}.tar")
+            elif names:
+                _put_list(system, root, label, names)
+        self.abort(messages, batchId)
+
+    def abort(self, messages, batchId: int) -> None:
+        for query in {m.query for m in messages if m}:
+            self.staging.drop(f"{query}-{batchId}")
 
 
 class TarShards(DataSource):
-    """``spark.read.format("tarshards").load(pattern)`` and the matching write."""
+    """``format("tarshards")``: tars of a path or pattern, and a folder's committed tars as a stream; both ways."""
 
     @classmethod
     def name(cls) -> str:
@@ -303,6 +436,12 @@ class TarShards(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _ShardWriter(self.options, overwrite)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ShardFollower(self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _ShardSink(self.options)
+
 
 def read_shards(spark: SparkSession, pattern: str, skip_bad: bool = False, members: bool = True) -> DataFrame:
     """``shard, key, members`` of a tar, a folder of tars, or a pattern with brace ranges.
@@ -322,8 +461,37 @@ def shard_faults(spark: SparkSession, pattern: str) -> DataFrame:
 
 def _read(spark: SparkSession, pattern: str, skip_bad: bool, members: bool) -> DataFrame:
     spark.dataSource.register(TarShards)
-    reader = spark.read.format("tarshards").option("skipbad", str(skip_bad)).option("members", "all" if members else "none")
-    return reader.load(pattern)
+    return _opened(spark.read, pattern, skip_bad, members)
+
+
+def _opened(reader, path: str, skip_bad: bool, members: bool) -> DataFrame:
+    return reader.format("tarshards").option("skipbad", str(skip_bad)).option("members", "all" if members else "none").load(path)
+
+
+def follow_shards(spark: SparkSession, folder: str, skip_bad: bool = False, members: bool = True) -> DataFrame:
+    """A stream of ``shard, key, members`` of the tars that writes to a folder commit, each of them once.
+
+    What is there already comes first; a folder without a commit yet is waited for. One writer at a time: a
+    list out of turn, or a folder that was overwritten, fails the stream. Damage as in ``read_shards``.
+    """
+    spark.dataSource.register(TarShards)
+    return _opened(spark.readStream, folder, skip_bad, members).filter("key IS NOT NULL").drop("error")
+
+
+def shard_sink(
+    samples: DataFrame, path: str, checkpoint: str, shard_size: int = 1000, key: str = "key", members: str = "members"
+) -> StreamingQuery:
+    """A stream's samples as tars of ``shard_size``, written where the rows are: no exchange, and bytes written once.
+
+    A tar belongs to one task of one micro-batch, so the last of each is shorter. Readers see whole epochs.
+    """
+    if shard_size < 1:
+        raise ValueError(f"shards of {shard_size} samples")
+    samples.sparkSession.dataSource.register(TarShards)
+    none = F.lit(None).cast("string")
+    rows = samples.select(none.alias("shard"), F.col(key).alias("key"), F.col(members).alias("members"), none.alias("error"))
+    writer = rows.writeStream.format("tarshards").option("path", path).option("shardsize", shard_size)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def member(*extensions: str) -> Column:

@@ -184,3 +184,76 @@ def test_token_ingest_over_restarts(spark, tmp_path):
     other = bpe.bpe_train(words, 20, coverage=1.0)
     with pytest.raises(ValueError, match="was begun with"):
         jobs.ingest_tokens(stream_of(spark, path), other, out, checkpoint)
+
+def _texts(spark, path):
+    back = shards.read_shards(spark, path).select(F.decode(shards.member("txt"), "UTF-8").alias("t"))
+    return sorted(r.t for r in back.collect())
+
+
+def _sink(spark, path, tmp_path, size=10):
+    rows = stream_of(spark, path).select(
+        F.format_string("k%06d", "id").alias("key"), F.create_map(F.lit("txt"), F.encode("text", "UTF-8")).alias("members")
+    )
+    return shards.shard_sink(rows, str(tmp_path / "tars"), str(tmp_path / "ck"), size)
+
+
+def _follow(spark, tmp_path):
+    rows = shards.follow_shards(spark, str(tmp_path / "tars")).select("key", F.decode(shards.member("txt"), "UTF-8").alias("t"))
+    jobs.ingest(rows, lambda x: x, str(tmp_path / "seen"), str(tmp_path / "ck-follow")).awaitTermination()
+    return sorted(r.t for r in spark.read.parquet(str(tmp_path / "seen")).collect())
+
+
+def _more(spark, path, first, n=25):
+    rows = spark.range(first, first + n).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_committed_shards_come_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    want = []
+    for first in (0, 25, 50):
+        _more(spark, path, first)
+        want = sorted(want + [f"text {i}" for i in range(first, first + 25)])
+        _sink(spark, path, tmp_path).awaitTermination()
+        assert _texts(spark, str(tmp_path / "tars")) == want
+        # The follower starts again each time, and goes on behind what it has seen.
+        assert _follow(spark, tmp_path) == want
+    # An uncommitted tar and a batch write beside the stream.
+    (tmp_path / "tars" / "stray.tar").write_bytes(b"not a tar")
+    batch = spark.createDataFrame([("extra", "k", {"txt": bytearray(b"late")})], "shard string, key string, members map<string,binary>")
+    shards.write_shards(batch, str(tmp_path / "tars"))
+    assert _follow(spark, tmp_path) == sorted([*want, "late"])
+    names = sorted(p.name for p in (tmp_path / "tars").glob("0*.tar"))
+    assert len(names) == 9 and not list((tmp_path / "tars").glob("_staging*"))
+
+
+def test_an_epoch_that_runs_again_is_listed_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    _more(spark, path, 0)
+    _sink(spark, path, tmp_path).awaitTermination()
+    before = sorted(p.name for p in (tmp_path / "tars").iterdir())
+    # Killed after the commit of the folder, before that of the checkpoint.
+    for p in (tmp_path / "ck" / "commits").iterdir():
+        p.unlink()
+    _sink(spark, path, tmp_path).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "tars").iterdir()) == before
+    assert _follow(spark, tmp_path) == sorted(f"text {i}" for i in range(25))
+
+
+def test_follower_refuses_an_overwritten_folder(spark, tmp_path):
+    path = str(tmp_path / "in")
+    _more(spark, path, 0)
+    _sink(spark, path, tmp_path).awaitTermination()
+    fresh = spark.createDataFrame([("a", "k", {"txt": bytearray(b"x")})], "shard string, key string, members map<string,binary>")
+    _follow(spark, tmp_path)
+    shards.write_shards(fresh, str(tmp_path / "tars"), mode="overwrite")
+    with pytest.raises(Exception, match="committed lists"):
+        _follow(spark, tmp_path)
+
+
+def test_following_a_folder_without_commits(spark, tmp_path):
+    (tmp_path / "tars").mkdir()
+    rows = shards.follow_shards(spark, str(tmp_path / "tars")).select("key")
+    jobs.ingest(rows, lambda x: x, str(tmp_path / "seen"), str(tmp_path / "ck-follow")).awaitTermination()
+    with pytest.raises(ValueError):
+        shards.shard_sink(rows.withColumn("members", F.create_map(F.lit("a"), F.lit(b"b"))), str(tmp_path / "o"), str(tmp_path / "c"), 0).awaitTermination()
