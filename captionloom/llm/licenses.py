@@ -1,10 +1,12 @@
-"""License scans: fixed phrases, and alignment of rare licence words to templates by position.
-
-The words of the templates that are not everyday words are counted over all files. Of each template's key
-phrase the rarest of them is looked up at all its places in a file; each place in the file less the place in
-the template is an offset at which the template may stand. An offset is verified: the key phrase must stand
-there, several licence words and enough of the template's words. Nothing depends on what else a
-file holds. All of it is column functions; texts are read once and never exchanged.
+"""License scans: fixed phrases, and a positional index of rare licence words in notices.
+
+The licence words (those of the notices' key phrases that are not everyday words) are counted over all files. A
+file's own licence words are taken in the order of their inverse document frequency, highest first, and looked
+up in the key phrases until every notice that shares one has been tried: its place in the file less its place in
+the notice is an offset at which the notice may stand. There the postings of all words of the notice are intersected with
+the file's by relative position, give or take ``GAP`` words, so that a few words may be missing or put in; the key
+phrase must stand word by word. So a notice is found wherever its key phrase stands and ``COVER`` of its words stand
+about it, whatever else the file holds. All of it is column functions; texts are read once and never exchanged.
 """
 
 from __future__ import annotations
@@ -39,17 +41,26 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "copy modify merge publish distribute sublicense"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("bsl", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 ]
 #: Words too common to be looked up, in any of the languages.
 EVERYDAY = set(
-    "a and any are by can code copy form free in into is it mit modify nc of or person sa source subject terms the this to "
-    "under use with without work you 0 2 3 4".split()
+    "a above all and any are authors be by can charge code copy derived event form forms free from held in into is it mit "
+    "modify must nc no notice of or person products related released rights sa software source subject terms the this to under "
+    "use used will with without work you 0 1 2 3 4".split()
 )
-#: Rarest licence words of a file that the SQL of ``op9_licenses`` looks up; here all files are searched for every template.
-RAREST = 6
-#: How many licence words must agree on an offset; share of the template that must stand there.
-AGREE = 2
-COVER = 0.8
+#: Words by which a word of a notice may be out of its place; share of the notice's words that must stand.
+GAP = 4
+COVER = 0.7
 
 
 def _words(text: str) -> list[str]:
@@ -60,7 +71,8 @@ def _key_at(text: str, key: str) -> int:
     return len(f" {text} ".split(f" {key} ")[0].split())
 
 
-VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in _words(t)} - EVERYDAY)
+#: The licence words that are looked up.
+VOCABULARY = sorted({w for _, _, k in TEMPLATES for w in _words(k)} - EVERYDAY)
 
 
 def _literal(rows: list) -> Column:
@@ -98,18 +110,14 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = tokenized(docs.select("doc_id", "text"))
     weights = idf(rows)
     vocabulary = _literal([F.lit(w) for w in VOCABULARY])
-    by_word: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, key) in enumerate(TEMPLATES):
-        rarest = max((w for w in _words(key) if w in weights), key=lambda w: (weights[w], w))
-        by_word.setdefault(rarest, []).append((t, _key_at(text, key) + _words(key).index(rarest)))
-    postings = F.create_map(
-        *[
-            c
-            for w, places in sorted(by_word.items())
-            for c in (F.lit(w), _literal([F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in places]))
+    by_rarity = _literal([F.lit(w) for w in sorted(VOCABULARY, key=lambda w: (-weights[w], w))])
+    # Where each licence word of a notice's key phrase stands in the notice, by the notice's number.
+    postings = _literal(
+        [
+            F.create_map(*[c for w in dict.fromkeys(_words(key)) if w in weights for c in (F.lit(w), F.lit(_key_at(text, key) + _words(key).index(w)))])
+            for _, text, key in TEMPLATES
         ]
     )
-    anchors = _literal([F.lit(w) for w in sorted(by_word)])
     texts = _literal([_literal([F.lit(w) for w in _words(t)]) for _, t, _ in TEMPLATES])
     keys = _literal([_literal([F.lit(w) for w in _words(k)]) for _, _, k in TEMPLATES])
     key_at = _literal([F.lit(_key_at(t, k)) for _, t, k in TEMPLATES])
@@ -121,16 +129,23 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
     def offsets(hits: Column) -> Column:
-        looked_up = F.filter(hits, lambda s: F.array_contains(anchors, s["w"]))
-        at = lambda s: F.transform(postings[s["w"]], lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["i"]).alias("at")))
-        return F.flatten(F.transform(looked_up, at))
+        """Of each notice that shares a licence word with the file, the offsets of the rarest such word."""
+
+        def tried(own: Column) -> Column:
+            chosen = F.transform(postings, lambda p, t: F.struct(t.alias("t"), F.get(F.filter(own, lambda w: F.map_contains_key(p, w)), 0).alias("w")))
+            at = lambda c: F.transform(
+                F.filter(hits, lambda s: s["w"] == c["w"]), lambda s: F.struct(c["t"].alias("t"), (s["i"] - postings[c["t"]][c["w"]]).alias("at"))
+            )
+            return F.flatten(F.transform(F.filter(chosen, lambda c: c["w"].isNotNull()), at))
+
+        return let(F.array_intersect(by_rarity, F.transform(hits, lambda s: s["w"])), tried)
 
     def standing(o: Column) -> Column:
-        """The words of the template that stand in place."""
+        """The words of the notice that the file has within ``GAP`` words of their place."""
 
         def stands(w: Column, k: Column) -> Column:
-            at = o["at"] + k
-            return (at >= 0) & F.coalesce(F.get(words, F.greatest(at, F.lit(0))) == w, F.lit(False))
+            first = F.greatest(o["at"] + k - GAP, F.lit(0))
+            return F.array_contains(F.slice(words, first + 1, F.greatest(o["at"] + k + GAP + 1 - first, F.lit(0))), w)
 
         return F.filter(texts[o["t"]], stands)
 
@@ -140,18 +155,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def verified(offsets: Column) -> Column:
         def told(o: Column) -> Column:
-            return let(
-                standing(o),
-                lambda there: F.struct(
-                    names[o["t"]].alias("label"),
-                    o["at"].alias("start"),
-                    (F.size(there) / F.size(texts[o["t"]])).alias("cover"),
-                    F.size(F.filter(there, lambda w: F.array_contains(vocabulary, w))).alias("agree"),
-                ),
-            )
+            cover = F.size(standing(o)) / F.size(texts[o["t"]])
+            return F.struct(names[o["t"]].alias("label"), F.greatest(o["at"], F.lit(0)).alias("start"), cover.alias("cover"))
 
-        kept = F.transform(F.filter(offsets, keyed), told)
-        return F.filter(kept, lambda v: (v["cover"] >= COVER) & (v["agree"] >= AGREE))
+        return F.filter(F.transform(F.filter(offsets, keyed), told), lambda v: v["cover"] >= COVER)
 
     def labelled(hits: Column, phrase: str, label: str) -> Column:
         """Places of a base phrase, found from its word that is in the vocabulary."""
@@ -182,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every row.
 
-    ``score`` is 1 where a base phrase stands, else the share of the best template's words that stand in place, or 0.
+    ``score`` is 1 where a base phrase stands, else the share of the best notice's words that stand about their place, or 0.
     """
     rows = scan(docs)
     starts = F.transform("places", lambda p: p["start"])

@@ -144,26 +144,28 @@ base AS (
     FROM spots s JOIN docs USING (rid) JOIN phrases p ON s.w = split_part(p.phrase, ' ', 1)) WHERE ok),
 own AS (SELECT DISTINCT rid, w FROM spots SEMI JOIN vocabulary USING (w)),
 df AS (SELECT w, count(*) AS n FROM own GROUP BY w),
-rare AS (SELECT rid, w FROM own JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, w DESC) <= {licenses.RAREST}),
-parts AS (SELECT t, unnest(string_split(body, ' ')) AS w, generate_subscripts(string_split(body, ' '), 1) - 1 AS k FROM templates),
-offsets AS (
-  SELECT rid, t, s.i - k AS spot FROM spots s JOIN rare USING (rid, w) JOIN parts USING (w)
-  GROUP BY rid, t, s.i - k HAVING count(*) >= {licenses.AGREE}),
-covers AS (
-  SELECT o.rid, o.t, o.spot, avg((s.w IS NOT NULL)::INT) AS cover
-  FROM offsets o JOIN parts p USING (t) LEFT JOIN spots s ON s.rid = o.rid AND s.i = o.spot + p.k AND s.w = p.w GROUP BY ALL),
+keys AS (SELECT t, string_split(key, ' ') AS ks, len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')) - 1 AS key_at FROM templates),
+postings AS (
+  SELECT t, w, min(k) AS k FROM (SELECT t, unnest(ks) AS w, key_at + generate_subscripts(ks, 1) - 1 AS k FROM keys) SEMI JOIN vocabulary USING (w) GROUP BY t, w),
+rare AS (SELECT rid, t, w, k FROM own JOIN df USING (w) JOIN postings USING (w) QUALIFY row_number() OVER (PARTITION BY rid, t ORDER BY n, w) = 1),
+offsets AS (SELECT rid, t, s.i - k AS spot FROM spots s JOIN rare USING (rid, w)),
 keyed AS (
-  SELECT c.rid, t.label, c.cover FROM covers c JOIN templates t USING (t) JOIN docs USING (rid)
-  WHERE cover >= {licenses.COVER} AND spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')) - 1 >= 0
-    AND array_to_string(list_slice(ws,
-      (spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')))::BIGINT,
-      (spot + len(string_split(split_part(' ' || body || ' ', ' ' || key || ' ', 1), ' ')) + len(string_split(key, ' ')) - 1)::BIGINT), ' ') = key),
+  SELECT rid, t, spot FROM offsets JOIN keys USING (t) JOIN docs USING (rid)
+  WHERE spot + key_at >= 0 AND list_slice(ws, (spot + key_at + 1)::BIGINT, (spot + key_at + len(ks))::BIGINT) = ks),
+parts AS (SELECT t, unnest(string_split(body, ' ')) AS w, generate_subscripts(string_split(body, ' '), 1) - 1 AS k FROM templates),
+near AS (
+  SELECT DISTINCT o.rid, o.t, o.spot, p.k FROM keyed o JOIN parts p USING (t)
+  JOIN spots s ON s.rid = o.rid AND s.w = p.w AND s.i BETWEEN o.spot + p.k - {licenses.GAP} AND o.spot + p.k + {licenses.GAP}),
+standing AS (
+  SELECT rid, label, cover FROM (
+    SELECT rid, t, spot, count(*)::DOUBLE / (SELECT count(*) FROM parts p WHERE p.t = near.t) AS cover FROM near GROUP BY rid, t, spot)
+  JOIN templates USING (t) WHERE cover >= {licenses.COVER}),
 b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY rid),
 named AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels
-  FROM (SELECT rid, label, true AS is_base FROM base UNION ALL SELECT rid, label, false FROM keyed) GROUP BY rid),
-best AS (SELECT rid, max(cover) AS cover FROM keyed GROUP BY rid)
+  FROM (SELECT rid, label, true AS is_base FROM base UNION ALL SELECT rid, label, false FROM standing) GROUP BY rid),
+best AS (SELECT rid, max(cover) AS cover FROM standing GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(cover, 0.0::DOUBLE) END AS score

@@ -131,6 +131,26 @@ def licenses(docs):
     return out
 
 
+def notices(text):
+    """Labels and score, every place of a text tried for every notice."""
+    from captionloom.llm.licenses import COVER, GAP, TEMPLATES
+
+    (_, _, n_base, _, _, labels), w = licenses([(0, text)])[0], words(text)
+    found, best = set(filter(None, labels.split(","))), 0.0
+    for label, body, key in TEMPLATES:
+        body, key = body.split(), key.split()
+        key_at = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+        for place in range(len(w)):
+            if w[place : place + len(key)] != key:
+                continue
+            at = [place - key_at + k for k in range(len(body))]
+            cover = sum(x in w[max(i - GAP, 0) : max(i + GAP + 1, 0)] for x, i in zip(body, at)) / len(body)
+            if cover >= COVER:
+                found.add(label)
+                best = max(best, cover)
+    return ",".join(sorted(found)), 1.0 if n_base else best
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower_az(text))
     shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []

@@ -361,6 +361,32 @@ def test_templates_align(spark):
     assert got[1]["score"] == 1 and 0.8 <= got[4]["score"] < 1 and got[5]["score"] == 0
 
 
+def test_notices_with_words_put_in_or_left_out(spark, docs, pairs):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person really obtaining a copy of this software",
+        "redistribution and use in source and binary forms are permitted provided that",
+        "cc by nc nd 4 0",
+        "Permission is hereby freely granted",
+        # The rarest word stands elsewhere too, and the notice begins the text in the middle.
+        "sublicense x y z copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, without restriction to use the rights",
+        "this software is provided without any warranty in no event will the authors be held liable for any damages arising from the use of the software",
+        *[text for _, text, _ in licenses.TEMPLATES],
+    ]
+    rng = np.random.default_rng(11)
+    pool = [*licenses.VOCABULARY, "the", "of", "and", "cc", "by", "mit"]
+    for _, text, _ in licenses.TEMPLATES:
+        for _ in range(6):
+            parts = text.split()
+            for _ in range(int(rng.integers(0, 6))):
+                at = int(rng.integers(0, len(parts)))
+                parts[at : at + int(rng.integers(0, 3))] = list(rng.choice(pool, int(rng.integers(0, 3))))
+            texts.append(" ".join([*rng.choice(pool, 9), *parts, *rng.choice(pool, 9)]))
+    rows = [*enumerate(texts), *[(1000 + i, t) for i, (_, t) in enumerate(pairs)]]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute.notices(t) for i, t in rows}
+    assert [got[i][0] for i in range(4)] == ["mit", "bsd", "cc-by,cc-by-nc", ""] and got[5][0] == "zlib"
+
+
 def test_every_notice_of_a_file_is_found(spark):
     notice = {t: text for t, (_, text, _) in enumerate(licenses.TEMPLATES)}
     label = {t: name for t, (name, _, _) in enumerate(licenses.TEMPLATES)}
