@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from captionloom.functions.hashing import U32, digest, u32
+from captionloom.functions.hashing import digest
 from captionloom.functions.vectors import as_double, cosine
 from captionloom.session import materialize
 
+#: Fixed values of SplitMix64.
+STEP = 0x9E3779B97F4A7C15
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
 
 def clip_pairs(images: DataFrame, texts: DataFrame, key: str, image: str = "image", text: str = "text") -> DataFrame:
     """Cosine of the image and the text vector of each key."""
@@ -32,31 +38,55 @@ def clip_score(pairs: DataFrame, *groups: str) -> DataFrame:
     )
 
 
+def _mixed(h: np.ndarray, subset: int) -> np.ndarray:
+    """The draw of rows with hash ``h`` for a subset: the step and the mix of the public SplitMix64 generator."""
+    z = h + np.uint64((subset + 1) * STEP % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[1])
+    return z ^ (z >> np.uint64(31))
+
+
 def draw_subsets(df: DataFrame, key: str, side: str, subsets: int, size: int, seed) -> DataFrame:
-    """``side, subset, key``: per side and subset the ``size`` rows of smallest hash.
+    """``side, subset, key``: per side and subset the ``size`` rows of smallest draw.
 
-    A row is tested against a threshold that a few times ``size`` rows pass, so only
-    candidates become rows. Too tight a threshold shows in the counts, and is then widened, up
-    to all rows: the result is always the exact choice.
+    A row is hashed once: the first 64 bits of md5 of ``seed|key``. Its draw for a subset is that number, mixed with the
+    subset's (``_mixed``); of equal draws the smaller key counts. Rows have a side. One pass: each task keeps no more than the ``size``
+    smallest draws a side and subset, and those of all tasks are ranked together.
     """
-    totals = {r[0]: r[1] for r in df.groupBy(side).count().collect()}
-    short = {k: n for k, n in totals.items() if n < size}
-    if short or len(totals) < 2:
-        raise ValueError(f"both sides need at least {size} rows: {totals}")
-    slack = size + 12 * math.sqrt(size) + 40
-    while True:
-        bound = F.lit(0.0)
-        for name, n in totals.items():
-            bound = F.when(F.col(side) == name, F.lit(min(1.0, slack / n) * U32)).otherwise(bound)
-        hits = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: u32(seed, s, F.col(key)) < bound)
-        candidates = df.select(side, key, F.explode(hits).alias("subset"))
-        order = W.partitionBy(side, "subset").orderBy(digest(seed, F.col("subset"), F.col(key)), key)
-        chosen = materialize(
-            candidates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size).drop("_r"), "subsets"
-        )
-        if chosen.count() == subsets * size * len(totals):
-            return chosen
-        slack *= 4
+    kind = df.schema[key].dataType.simpleString()
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[str, int], pa.Table] = {}
+        for batch in batches:
+            h = batch.column("_h").to_numpy().view(np.uint64)
+            sides = batch.column(side)
+            for name in sides.unique().to_pylist():
+                rows = np.flatnonzero(np.asarray(pc.equal(sides, name)))
+                for subset in range(subsets):
+                    # The sign bit turned, so that signed order is that of the draws.
+                    draw = (_mixed(h[rows], subset) ^ np.uint64(1 << 63)).view(np.int64)
+                    held = kept.get((name, subset))
+                    low = np.arange(len(rows))
+                    if held is not None and len(held) >= size:
+                        low = np.flatnonzero(draw <= held.column("draw")[size - 1].as_py())
+                    if not len(low):
+                        continue
+                    found = pa.table({"key": batch.column(key).take(pa.array(rows[low])), "draw": draw[low]})
+                    both = found if held is None else pa.concat_tables([held, found])
+                    kept[name, subset] = both.sort_by([("draw", "ascending"), ("key", "ascending")]).slice(0, size).combine_chunks()
+        for (name, subset), rows in kept.items():
+            columns = [pa.array([name] * len(rows)), pa.array([subset] * len(rows), pa.int32()), rows["key"], rows["draw"]]
+            yield from pa.table(columns, [side, "subset", key, "_draw"]).to_batches()
+
+    hashed = df.select(side, key, F.conv(F.substring(digest(seed, F.col(key)), 1, 16), 16, -10).cast("bigint").alias("_h"))
+    lowest = hashed.mapInArrow(smallest, f"`{side}` string, subset int, `{key}` {kind}, _draw bigint")
+    place = F.row_number().over(W.partitionBy(side, "subset").orderBy("_draw", key))
+    chosen = materialize(lowest.withColumn("_r", place).filter(F.col("_r") <= size).drop("_r", "_draw"), "subsets")
+    # At most ``size`` rows a side and subset.
+    least = {r[0]: r[1] for r in chosen.filter("subset = 0").groupBy(side).count().collect()}
+    if len(least) < 2 or min(least.values()) < size:
+        raise ValueError(f"both sides need at least {size} rows: {least}")
+    return chosen
 
 
 def kernel_scores(

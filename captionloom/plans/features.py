@@ -274,10 +274,14 @@ SELECT (SELECT max(n) FROM m WHERE side = 'real') AS n_real, (SELECT max(n) FROM
              + (SELECT sum(v) FROM c WHERE i = j) - 2 * tr, 6) AS fid FROM root""",
     "kid": f"""WITH v AS (
   SELECT vec_id, embedding, CASE WHEN label < 5 THEN 'real' ELSE 'fake' END AS side FROM embeddings),
+hashed AS (
+  SELECT s.range AS subset, v.*, (('0x' || substr(md5('{SEED}|' || vec_id), 1, 16))::UBIGINT::UHUGEINT
+         + (s.range + 1)::UHUGEINT * {scores.STEP}::UHUGEINT) % {2**64}::UHUGEINT AS a FROM v, range(0, 10) s),
+mixed AS (SELECT *, (xor(a, a // {2**30}::UHUGEINT) * {scores.MIX[0]}::UHUGEINT) % {2**64}::UHUGEINT AS b FROM hashed),
+drawn AS (SELECT *, (xor(b, b // {2**27}::UHUGEINT) * {scores.MIX[1]}::UHUGEINT) % {2**64}::UHUGEINT AS c FROM mixed),
 ranked AS (
-  SELECT s.range AS subset, v.*, row_number() OVER (
-    PARTITION BY side, s.range ORDER BY md5('{SEED}|' || s.range || '|' || vec_id), vec_id) AS r
-  FROM v, range(0, 10) s),
+  SELECT subset, vec_id, embedding, side, row_number() OVER (
+    PARTITION BY side, subset ORDER BY xor(c, c // {2**31}::UHUGEINT), vec_id) AS r FROM drawn),
 chosen AS (SELECT * FROM ranked WHERE r <= 50),
 pairs AS (
   SELECT a.subset, a.side AS sa, b.side AS sb, a.vec_id = b.vec_id AS same,

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,10 +89,8 @@ def test_kid_equals_pairwise(spark, sets):
     df = df.withColumn("embedding", F.transform("embedding", lambda v: (v - 1000.0) / 5))
     x, y = (x - 1000) / 5, (y - 1000) / 5
     got = {r.subset: r.mmd2 for r in scores.kernel_scores(df, subsets=4, subset_size=20, seed=9).collect()}
-    import hashlib
-
     for s in range(4):
-        pick = lambda keys: sorted(keys, key=lambda k: (hashlib.md5(f"9|{s}|{k}".encode()).hexdigest(), k))[:20]
+        pick = lambda keys: sorted(keys, key=lambda k: (_draw(f"9|{k}", s), k))[:20]
         a, b = x[pick(range(700))], y[[k - 700 for k in pick(range(700, 1350))]]
         k = lambda p, q: (p @ q / 6 + 1) ** 3
         within = sum(k(z[i], z[j]) for z in (a, b) for i in range(20) for j in range(20) if i != j) / (20 * 19)
@@ -103,12 +103,29 @@ def test_kid_equals_pairwise(spark, sets):
         scores.kid(df, subsets=2, subset_size=660)
 
 
-def test_subset_threshold_is_widened(spark, monkeypatch):
-    rows = spark.range(200).select(F.col("id").alias("key"), F.when(F.col("id") < 100, "real").otherwise("fake").alias("side"))
-    exact = {tuple(r) for r in scores.draw_subsets(rows, "key", "side", 3, 90, 1).select("side", "subset", "key").collect()}
-    monkeypatch.setattr(scores.math, "sqrt", lambda v: -10.0)
-    tight = {tuple(r) for r in scores.draw_subsets(rows, "key", "side", 3, 90, 1).select("side", "subset", "key").collect()}
-    assert tight == exact and len(exact) == 540
+@pytest.mark.parametrize("parts, batch", [(1, 10_000), (7, 16)])
+def test_subsets_do_not_depend_on_tasks(spark, parts, batch):
+    sides = {k: "real" if k < 100 or k > 950 else "fake" for k in range(1000)}
+    rows = spark.createDataFrame([(f"k{k}", s) for k, s in sides.items()], "key string, side string").repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {tuple(r) for r in scores.draw_subsets(rows, "key", "side", 3, 40, 1).select("side", "subset", "key").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = set()
+    for subset in range(3):
+        for side in ("real", "fake"):
+            order = sorted((_draw(f"1|k{k}", subset), f"k{k}") for k, s in sides.items() if s == side)
+            want |= {(side, subset, key) for _, key in order[:40]}
+    assert got == want
+
+
+def _draw(text, subset):
+    z = (int(hashlib.md5(text.encode()).hexdigest()[:16], 16) + (subset + 1) * 0x9E3779B97F4A7C15) % 2**64
+    z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ (z >> 27)) * 0x94D049BB133111EB % 2**64
+    return z ^ (z >> 31)
 
 
 def test_masked_mean_both_ways(spark):
