@@ -225,6 +225,30 @@ noised AS (
 
 _HALF = "list_transform(embedding, lambda x: (floor((x::DOUBLE + 1.0) * 127.5) / 255.0 - 0.5) / 0.5)"
 
+
+def kid_sql(vectors: str, dim: int, subsets: int, size: int, seed: int, digits: int = 9) -> str:
+    """KID of ``key, side, embedding`` rows, with the draws of ``scores.draw_subsets``."""
+    wrap = f"% {2**64}::UHUGEINT"
+    return f"""WITH v AS ({vectors}),
+hashed AS (
+  SELECT s.range AS subset, v.*, (('0x' || substr(md5('{seed}|' || key), 1, 16))::UBIGINT::UHUGEINT
+         + (s.range + 1)::UHUGEINT * {scores.STEP}::UHUGEINT) {wrap} AS a FROM v, range(0, {subsets}) s),
+mixed AS (SELECT *, (xor(a, a // {2**30}::UHUGEINT) * {scores.MIX[0]}::UHUGEINT) {wrap} AS b FROM hashed),
+drawn AS (SELECT *, (xor(b, b // {2**27}::UHUGEINT) * {scores.MIX[1]}::UHUGEINT) {wrap} AS c FROM mixed),
+ranked AS (
+  SELECT subset, key, embedding, side, row_number() OVER (
+    PARTITION BY side, subset ORDER BY xor(c, c // {2**31}::UHUGEINT), key) AS r FROM drawn),
+chosen AS (SELECT * FROM ranked WHERE r <= {size}),
+pairs AS (
+  SELECT a.subset, a.side AS sa, b.side AS sb, a.key = b.key AS same,
+         pow({_DOT.format(a='a.embedding', b='b.embedding')} / {dim} + 1, 3) AS k
+  FROM chosen a JOIN chosen b USING (subset)),
+scored AS (
+  SELECT subset, sum(k) FILTER (sa = sb AND NOT same) / ({size} * {size - 1})
+       - 2 * avg(k) FILTER (sa = 'real' AND sb = 'fake') AS mmd2 FROM pairs GROUP BY 1)
+SELECT count(*) AS subsets, round(avg(mmd2), {digits}) AS kid_mean, round(stddev_pop(mmd2), {digits}) AS kid_std FROM scored"""
+
+
 ORACLES = {
     "pixel_norm": f"""SELECT vec_id, {_vec_sql('p')} AS normalized,
   {_vec_sql('list_transform(p, lambda y: (greatest(least(y * 2.0, 1.0), -1.0) + 1.0) / 2.0)')} AS clamped
@@ -272,25 +296,7 @@ root AS (SELECT sum(v) * sqrt(any_value(s)) AS tr FROM steps, s WHERE w = 'y' AN
 SELECT (SELECT max(n) FROM m WHERE side = 'real') AS n_real, (SELECT max(n) FROM m WHERE side = 'fake') AS n_fake,
        round((SELECT sum((a.mean - b.mean) ** 2) FROM m a JOIN m b USING (i) WHERE a.side = 'real' AND b.side = 'fake')
              + (SELECT sum(v) FROM c WHERE i = j) - 2 * tr, 6) AS fid FROM root""",
-    "kid": f"""WITH v AS (
-  SELECT vec_id, embedding, CASE WHEN label < 5 THEN 'real' ELSE 'fake' END AS side FROM embeddings),
-hashed AS (
-  SELECT s.range AS subset, v.*, (('0x' || substr(md5('{SEED}|' || vec_id), 1, 16))::UBIGINT::UHUGEINT
-         + (s.range + 1)::UHUGEINT * {scores.STEP}::UHUGEINT) % {2**64}::UHUGEINT AS a FROM v, range(0, 10) s),
-mixed AS (SELECT *, (xor(a, a // {2**30}::UHUGEINT) * {scores.MIX[0]}::UHUGEINT) % {2**64}::UHUGEINT AS b FROM hashed),
-drawn AS (SELECT *, (xor(b, b // {2**27}::UHUGEINT) * {scores.MIX[1]}::UHUGEINT) % {2**64}::UHUGEINT AS c FROM mixed),
-ranked AS (
-  SELECT subset, vec_id, embedding, side, row_number() OVER (
-    PARTITION BY side, subset ORDER BY xor(c, c // {2**31}::UHUGEINT), vec_id) AS r FROM drawn),
-chosen AS (SELECT * FROM ranked WHERE r <= 50),
-pairs AS (
-  SELECT a.subset, a.side AS sa, b.side AS sb, a.vec_id = b.vec_id AS same,
-         pow({_DOT.format(a='a.embedding', b='b.embedding')} / 64 + 1, 3) AS k
-  FROM chosen a JOIN chosen b USING (subset)),
-scored AS (
-  SELECT subset, sum(k) FILTER (sa = sb AND NOT same) / (50 * 49)
-       - 2 * avg(k) FILTER (sa = 'real' AND sb = 'fake') AS mmd2 FROM pairs GROUP BY 1)
-SELECT count(*) AS subsets, round(avg(mmd2), 9) AS kid_mean, round(stddev_pop(mmd2), 9) AS kid_std FROM scored""",
+    "kid": kid_sql("SELECT vec_id AS key, embedding, CASE WHEN label < 5 THEN 'real' ELSE 'fake' END AS side FROM embeddings", 64, 10, 50, SEED),
     "masked_mean": f"""WITH tok AS (
   SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
 live AS (SELECT conv_id, turn FROM tok WHERE r <= 77),

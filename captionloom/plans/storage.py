@@ -20,6 +20,7 @@ from captionloom.plans import jobs as jobs_plan
 from captionloom.plans import tokens as token_plans
 from captionloom.plans import views
 from captionloom.plans.features import ORACLES as FEATURE_SQL
+from captionloom.plans.features import kid_sql
 from captionloom.plans.prepare import ORACLES as PREPARE_SQL
 from captionloom.plans.tokens import ORACLES as TOKEN_SQL
 from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql, u32_sql
@@ -156,7 +157,7 @@ def score_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side in ("real", "fake"):
         _save_pictures(vectors.filter(F.col("side") == side), f"{root}/{side}")
     scored = jobs_plan.score_folders(spark, f"{root}/real", f"{root}/fake", _row_means, subsets=5, subset_size=20)
-    return scored.select("n_real", "n_fake", F.round("fid", 6).alias("fid"))
+    return scored.select("n_real", "n_fake", *[F.round(c, 6).alias(c) for c in ("fid", "kid_mean", "kid_std")])
 
 
 def clip_score_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,8 +429,9 @@ QUERIES = {
 }
 
 _VECTOR_CELLS = """unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
-_PICTURE_CELLS = """unnest(list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
-           lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0)))) AS x, unnest(range(8)) AS i FROM embeddings)"""
+_PICTURE = """list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
+           lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0)))"""
+_PICTURE_CELLS = f"""unnest({_PICTURE}) AS x, unnest(range(8)) AS i FROM embeddings)"""
 # Captions are cut before they are encoded: their last words are folded as well.
 _INGEST_ENCODE = token_plans._ENCODE.replace(
     "FROM words, ways)", "FROM (SELECT word, n FROM words UNION ALL SELECT word, NULL FROM cut_words) x, ways)"
@@ -467,7 +469,8 @@ SELECT printf('%06d', r // 50) AS shard, printf('sample-%09d', idx) AS key, capt
   CASE WHEN doc_id % 30 % 3 = 0 THEN 0 ELSE count(*) END AS read,
   CASE WHEN doc_id % 30 % 3 = 0 THEN count(*) ELSE 0 END AS lost, doc_id % 30 % 3 = 0 AS damaged
 FROM documents GROUP BY doc_id % 30""",
-    "score_folders": FEATURE_SQL["fid"].replace(_VECTOR_CELLS, _PICTURE_CELLS),
+    "score_folders": f"""SELECT f.*, kid_mean, kid_std FROM ({FEATURE_SQL["fid"].replace(_VECTOR_CELLS, _PICTURE_CELLS)}) f,
+({kid_sql(f"SELECT side || printf('/img-%09d.png', vec_id) AS key, side, {_PICTURE} AS embedding FROM (SELECT *, CASE WHEN label < 5 THEN 'real' ELSE 'fake' END AS side FROM embeddings)", 8, 5, 20, 0, 6)})""",
     "clip_score_folder": """WITH pictures AS (
   SELECT vec_id, list_transform(range(8), lambda k: list_avg(list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8),
          lambda x: floor((x::DOUBLE + 1.0) * 127.5) / 255.0))) AS image, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
