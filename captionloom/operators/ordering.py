@@ -20,6 +20,10 @@ from captionloom.functions.hashing import digest
 from captionloom.session import materialize
 
 
+#: Rows of a sorted chunk, at most: what one task sorts.
+CHUNK_ROWS = 2_000_000
+
+
 def _offsets(counts: DataFrame, bucket: str, n: str = "_n") -> DataFrame:
     """Rows before each bucket. ``counts`` has one row per bucket."""
     before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -96,8 +100,7 @@ def sample_key(idx: str = "idx", prefix: str = "sample") -> Column:
 def shuffle_rank(df: DataFrame, key: str, seed, epoch=0, name: str = "shuffle_rank") -> DataFrame:
     """A full, repeatable shuffle: rank by hash of (seed, epoch, key).
 
-    Range partitions of the hash: their number is that of the session's shuffle partitions, whatever the
-    size of the table.
+    Range partitions of the hash, as many as the rows of the table ask for.
     """
     hashed = df.withColumn("_hash", digest(seed, epoch, F.col(key)))
     return global_rank(hashed, ["_hash", key], name).drop("_hash")
@@ -154,6 +157,19 @@ def batches(df: DataFrame, rank: str, columns: list[str], batch_size: int) -> Da
     )
 
 
+def chunks_for(spark: SparkSession, rows: int) -> int:
+    """Into how many chunks a table of so many rows is sorted.
+
+    On average a chunk has half of ``spark.captionloom.chunkRows`` (default ``CHUNK_ROWS``), so that one that the split points make
+    twice as large still keeps to it. A smaller table is spread over the cores, down to a sixteenth of that.
+    """
+    most = int(spark.conf.get("spark.captionloom.chunkRows", str(CHUNK_ROWS)))
+    if most < 2:
+        raise ValueError(f"chunks of {most} rows")
+    for_cores = min(spark.sparkContext.defaultParallelism, -(-rows * 16 // most))
+    return max(1, -(-rows * 2 // most), for_cores)
+
+
 def range_chunks(
     df: DataFrame,
     order: list[str],
@@ -163,13 +179,17 @@ def range_chunks(
 ) -> DataFrame:
     """The table in sorted chunks: adds ``_chunk``, rising with ``order``, and ``_place`` in it.
 
-    Spark's range partitioning picks split points that give chunks of about equal size. The last
+    The table is written out once, so that looking for split points and cutting see the same rows and compute nothing twice; its
+    rows, counted from the files' footers, say how many chunks there are (``chunks_for``), unless ``parts`` does. Split points
+    come from Spark's sample of every file, which gives chunks of about equal size. The last
     order column should be unique, so that ties of the others, however many, are split as
     well. ``stage`` is run on the sorted chunks, one chunk a partition, in the same pass.
-    Written out once, because the chunks must be the same for every later use: by ``store``, which gives
+    Written out once more, because the chunks must be the same for every later use: by ``store``, which gives
     the written table back, or to the shared folder.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        df = materialize(df, "unordered")
+        parts = chunks_for(df.sparkSession, df.count())
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     spot = F.monotonically_increasing_id()
     numbered = ordered.withColumn("_spot", spot).select(
@@ -184,11 +204,11 @@ def range_chunks(
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Rank from 0 by any sortable columns, the last of them unique.
 
-    The starts have one row per chunk, so their number is that of the range partitions.
+    The starts have one row per chunk; written out, they are broadcast by Spark if their size on disk allows.
     """
     chunks = range_chunks(df, order)
-    starts = _offsets(chunks.groupBy("_chunk").agg(F.count("*").alias("_n")), "_chunk")
-    ranked = chunks.join(F.broadcast(starts), "_chunk")
+    starts = materialize(_offsets(chunks.groupBy("_chunk").agg(F.count("*").alias("_n")), "_chunk"), "starts")
+    ranked = chunks.join(starts, "_chunk")
     return ranked.select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))
 
 

@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
+            # Small, so that small tables are cut into several chunks.
+            "spark.captionloom.chunkRows": "400",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

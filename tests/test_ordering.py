@@ -45,6 +45,24 @@ def test_shuffle_does_not_depend_on_partitions(spark, parts):
     assert got == sorted(range(500), key=lambda k: hashlib.md5(f"3|1|{k}".encode()).hexdigest())
 
 
+def test_chunks_follow_the_rows(spark):
+    before = spark.conf.get("spark.captionloom.chunkRows")
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for most, rows, least in ((400, 5000, 25), (400, 0, 1), (400, 7, 1), (400, 100, min(cores, 4)), (100_000, 5000, 1)):
+            spark.conf.set("spark.captionloom.chunkRows", str(most))
+            assert ordering.chunks_for(spark, rows) == least
+            # A third of the rows share a name.
+            df = spark.range(rows).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("name"))
+            chunks = ordering.range_chunks(df, ["name", "id"])
+            sizes = [r["count"] for r in chunks.groupBy("_chunk").count().collect()]
+            assert sum(sizes) == rows and max(sizes, default=0) <= most
+            got = [r.id for r in chunks.orderBy("_chunk", "_place").collect()]
+            assert got == [r.id for r in df.orderBy("name", "id").collect()]
+    finally:
+        spark.conf.set("spark.captionloom.chunkRows", before)
+
+
 def test_global_rank_with_heavy_ties(spark):
     rows = spark.range(0, 5000, 1, 6).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("name"), "id")
     got = ordering.global_rank(rows, ["name", "id"])
