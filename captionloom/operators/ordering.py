@@ -212,6 +212,23 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     return ranked.select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))
 
 
+SPOT = ["_spot_file", "_spot_row"]
+
+
+def with_spot(written: DataFrame) -> DataFrame:
+    """Adds ``SPOT``, a row's file and place in it, to a table read straight from Parquet files."""
+    return written.select("*", F.xxhash64("_metadata.file_path").alias(SPOT[0]), F.col("_metadata.row_index").alias(SPOT[1]))
+
+
+def rank_by_spot(df: DataFrame, order: list[str], rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rank`` of the ``order`` columns alone, joined to the rows by ``SPOT``: what is wide is neither sorted nor written.
+
+    Rows that are alike in ``order`` get ranks of their own.
+    """
+    ranks = rank(df.select(*order, *SPOT))
+    return df.join(ranks.drop(*order), SPOT).drop(*SPOT)
+
+
 def zip_by_rank(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:
     """Pairs the i-th row of one side with the i-th of the other, each in its own order.
 

@@ -74,11 +74,12 @@ def encode_latent_shards(
         return lambda values: [npy(np.asarray(x, np.float32) * np.float32(scale)) for x in model(values)]
 
     samples = shards.image_samples(shards.read_shards(spark, pattern))
-    numbered = ordering.global_rank(samples, ["shard", "key"], "rank")
     latent = stages.map_values(make, "image", "binary", batch_size)
+    # Images stay in the task that read them; latents and captions are what is written and exchanged.
+    made = ordering.with_spot(materialize(samples.select("shard", "key", "caption", latent.alias("latent")), "latents"))
+    numbered = ordering.rank_by_spot(made, ["shard", "key"], lambda keys: ordering.global_rank(keys, ["shard", "key", *ordering.SPOT]))
     members = F.create_map(F.lit("npy"), F.col("latent"), F.lit("txt"), F.encode("caption", "UTF-8"))
-    made = numbered.withColumn("latent", latent)
-    shards.write_shards(made.select("shard", ordering.sample_key("rank", "latent").alias("key"), members.alias("members")), out)
+    shards.write_shards(numbered.select("shard", ordering.sample_key("rank", "latent").alias("key"), members.alias("members")), out)
     return shards.read_shards(spark, out, members=False).groupBy("shard").agg(F.count("*").alias("samples"))
 
 
@@ -92,9 +93,10 @@ def prepare_shards(
     """
     safe = filters.safe_captions(meta)
     joined = payload.attach_payload(safe, fetched)
-    tried = materialize(joined.withColumn("result", stages.try_map(decode, body, "binary")), "decoded")
-    good, bad = stages.split_bad(tried.drop(body), "result", "image")
-    ranked = ordering.kept_rank(good)
+    # The payload is not kept beside what was made of it.
+    tried = materialize(joined.withColumn("result", stages.try_map(decode, body, "binary")).drop(body), "decoded")
+    good, bad = stages.split_bad(ordering.with_spot(tried), "result", "image")
+    ranked = ordering.rank_by_spot(good, ["idx"], ordering.kept_rank)
     members = F.create_map(F.lit("jpg"), F.col("image"), F.lit("txt"), F.encode("caption", "UTF-8"))
     shards.write_shards(
         ranked.select(ordering.shard_id("kept_rank", shard_size).alias("shard"), ordering.sample_key("idx").alias("key"), members.alias("members")),

@@ -20,7 +20,7 @@ from captionloom.functions.text import clamp_text
 from captionloom.functions.tokens import CONTEXT_LENGTH, attention_mask, pad_truncate
 from captionloom.operators.encode import bpe_encode
 from captionloom.operators.filters import KEPT, with_reason
-from captionloom.operators.ordering import global_rank, sample_key, shard_id
+from captionloom.operators.ordering import SPOT, global_rank, rank_by_spot, sample_key, shard_id, with_spot
 from captionloom.operators.series import ema_ends, ema_local, fold_ends
 from captionloom.session import drop_path, fresh_dir, make_path
 from captionloom.sources.shards import write_shards
@@ -129,12 +129,13 @@ def _staged(batch: DataFrame) -> Iterator[DataFrame]:
 def shard_stream(stream: DataFrame, key: str, members, out: str, checkpoint: str, shard_size: int = 1000) -> StreamingQuery:
     """Each micro-batch as tar shards named by batch and shard number.
 
-    ``members`` is the map column of a sample's files.
+    ``members`` is the map column of a sample's files. Rows are written down once to be ranked by key; ``shards.shard_sink``
+    does without that, and names tars by task.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with _staged(batch.select(F.col(key).alias("idx"), members.alias("members"))) as rows:
-            ranked = global_rank(rows, ["idx"], "kept_rank")
+            ranked = rank_by_spot(with_spot(rows), ["idx"], lambda keys: global_rank(keys, ["idx", *SPOT], "kept_rank"))
             shard = F.concat(F.lit(f"{batch_id:06d}-"), shard_id("kept_rank", shard_size))
             write_shards(ranked.select(shard.alias("shard"), sample_key("idx").alias("key"), "members"), out, replace=True)
 

@@ -261,3 +261,20 @@ def test_buffer_shuffle_in_a_stream(spark, tmp_path):
     assert [r.id for r in rows] == _buffered(list(range(300)), 0, 20)
     with pytest.raises(ValueError, match="buffer"):
         ordering.buffer_shuffle(stream, 7, size=0)
+
+
+def test_rows_are_ranked_without_their_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 5, f"b{i}") for i in range(2000)], "k int, wide string")
+    rows.write.parquet(str(tmp_path / "rows"))
+    seen = []
+
+    def rank(keys):
+        seen.extend(keys.columns)
+        return ordering.global_rank(keys, ["k", *ordering.SPOT])
+
+    got = ordering.rank_by_spot(ordering.with_spot(spark.read.parquet(str(tmp_path / "rows"))), ["k"], rank)
+    assert got.columns == ["k", "wide", "rank"] and seen == ["k", *ordering.SPOT]
+    out = sorted(got.collect(), key=lambda r: r.rank)
+    assert [r.rank for r in out] == list(range(2000))
+    assert [r.k for r in out] == sorted(i % 5 for i in range(2000))
+    assert sorted(r.wide for r in out) == sorted(f"b{i}" for i in range(2000))
