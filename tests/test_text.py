@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from captionloom.functions import text
 from captionloom.functions.text import clamp_text, clean_caption, first_truthy
 from captionloom.operators import filters
 
@@ -103,3 +104,15 @@ def test_limit_input_zero_keeps_all(spark):
     rows = spark.range(5).withColumnRenamed("id", "idx")
     assert filters.limit_input(rows, 0).count() == filters.limit_input(rows, None).count() == 5
     assert filters.limit_input(rows, 2).count() == 2
+
+
+def test_every_kind_of_space_and_no_other_character_is_one(spark):
+    marks = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(ord(c), f"a{c}b", f"a {c}b", f"a{c} b") for c in marks], "n int, lone string, after string, before string")
+    clean = rows.select("n", *[F.regexp_replace(c, text.WHITESPACE, "_").alias(c) for c in ("lone", "after", "before")])
+    for n, *got in clean.collect():
+        c = chr(n)
+        if c == " ":
+            assert got == ["a b", "a_b", "a_b"]
+        else:
+            assert got == (["a_b"] * 3 if c.isspace() else [f"a{c}b", f"a {c}b", f"a{c} b"]), hex(n)

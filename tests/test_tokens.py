@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from captionloom.functions.text import clean_caption
 from captionloom.functions.tokens import attention_mask, check_length, null_tokens, pad_truncate
 from captionloom.operators import bpe, encode, lexicon
+from captionloom.plans import tokens as token_plans
 
 
 @pytest.fixture(scope="module")
@@ -222,3 +223,13 @@ def test_training_stops_when_nothing_is_left(spark):
     words = spark.createDataFrame([("▁ab", 5)], "word string, n bigint")
     rows = [r.piece for r in bpe.bpe_train(words, 100).orderBy("id").collect()]
     assert rows == ["<pad>", "<s>", "</s>", "<unk>", "<null>", "ab", "▁ab", "a", "b", "▁"]
+
+
+def test_prompts_with_and_without_text_are_made_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "A  <b>cat</b>"), (2, None), (3, " &nbsp; ")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = token_plans.guidance_rows(spark, str(tmp_path))
+    got = {(r.doc_id, r.is_uncond): r.tokens.split(" ")[:3] for r in made.collect()}
+    assert got == {(1, False): ["1", "3", "0"], (1, True): ["4", "0", "0"]}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # One scan, and cleaning (two patterns) for the result alone, not for a test on it too.
+    assert plan.count("Relation [") == 1 and plan.count("regexp_replace(") == 2
