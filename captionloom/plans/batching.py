@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionloom.functions.text import clean_caption
+from captionloom.functions.text import clean_rows
 from captionloom.functions.vectors import has_rank
-from captionloom.operators import encode, filters, ordering, sampling
+from captionloom.operators import encode, ordering, sampling
 from captionloom.settings import DataSettings
 from captionloom.sources import shards
 from captionloom.sources.vocab import read_vocab
@@ -64,8 +64,7 @@ def token_batches(
         drawn = sampling.resample_shards(picked, "shard", seed, draws=draws, epoch=epoch)
         picked = drawn.withColumn("key", F.concat_ws("/", F.format_string("%09d", "draw"), "key"))
     columns = ["key", "tokens", "mask"]
-    kept = picked.withColumn("caption", clean_caption("caption"))
-    kept = filters.drop_empty_caption(kept)
+    kept = clean_rows(picked, "caption", "key", name)
     if media is None:
         kept = kept.select("key", "caption")
     else:

@@ -1,4 +1,4 @@
-"""Tar shards as a Spark data source: one read partition per tar, one write task per few tars.
+"""Tar shards as a Spark data source: read and write tasks take a few tars each, a large tar is a task of its own.
 
 A sample is a key and its members by extension. The key of a member is its name up to the first
 dot of the base name, the extension what follows.
@@ -40,11 +40,39 @@ LISTS = "_shards"
 IMAGE_EXTENSIONS = ("jpg", "png", "jpeg")
 BATCH_BYTES = 16 << 20
 BATCH_SAMPLES = 1000
+#: Tars are read together up to so many bytes a task; what opening one costs, in bytes.
+TASK_BYTES = 64 << 20
+OPEN_BYTES = 256 << 10
 
 
 @dataclass
-class _Tar(InputPartition):
-    path: str
+class _Tars(InputPartition):
+    paths: list[str]
+
+
+def _sizes(paths: list[str]) -> list[int]:
+    """Bytes of each file, from one listing per folder; 0 where it is not listed."""
+    listed: dict[str, dict[str, int]] = {}
+    for folder in {p.rpartition("/")[0] for p in paths}:
+        system, inner = open_fs(folder or "/")
+        found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        listed[folder] = {f.base_name: f.size or 0 for f in found}
+    return [listed[folder].get(name, 0) for folder, _, name in (p.rpartition("/") for p in paths)]
+
+
+def _packed(paths: list[str], cores: int) -> list[_Tars]:
+    """Tars in their order, put together so that every core has some and no task reads much more than its bytes."""
+    costs = [size + OPEN_BYTES for size in _sizes(paths)]
+    most = min(TASK_BYTES, sum(costs) / max(1, cores))
+    tasks: list[_Tars] = []
+    held = 0
+    for path, cost in zip(paths, costs):
+        if not tasks or held + cost > most:
+            tasks.append(_Tars([]))
+            held = 0
+        tasks[-1].paths.append(path)
+        held += cost
+    return tasks
 
 
 def _lists(system: fs.FileSystem, root: str) -> list[tuple[int, str]]:
@@ -108,14 +136,19 @@ def _shard_files(pattern: str) -> list[str]:
 
 
 class _TarReading:
-    """Reads one tar a task, in batches of bounded size."""
+    """Reads a task's tars one after the other, in batches of bounded size."""
 
     def __init__(self, options: dict):
+        self.cores = int(options.get("cores", 1))
         self.skip_bad = str(options.get("skipbad", "false")).lower() == "true"
         self.names_only = str(options.get("members", "all")).lower() == "none"
 
-    def read(self, partition: _Tar) -> Iterator[pa.RecordBatch]:
-        system, inner = open_fs(partition.path)
+    def read(self, partition: _Tars) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            yield from self._read_tar(path)
+
+    def _read_tar(self, path: str) -> Iterator[pa.RecordBatch]:
+        system, inner = open_fs(path)
         shard = inner.rsplit("/", 1)[-1].removesuffix(".tar")
         rows: list[tuple] = []
         size = 0
@@ -128,7 +161,7 @@ class _TarReading:
         with system.open_input_file(inner) as stream:
             for key, members, error in _samples(stream, not self.names_only):
                 if error is not None and not self.skip_bad:
-                    raise tarfile.ReadError(f"{partition.path}: {error}")
+                    raise tarfile.ReadError(f"{path}: {error}")
                 rows.append((key, members, error))
                 size += sum(len(data) for _, data in members or ())
                 if size >= BATCH_BYTES or len(rows) >= BATCH_SAMPLES:
@@ -144,7 +177,7 @@ class _ShardReader(_TarReading, DataSourceReader):
         self.paths = _shard_files(options["path"])
 
     def partitions(self):
-        return [_Tar(p) for p in self.paths]
+        return _packed(self.paths, self.cores)
 
 
 class _ShardFollower(_TarReading, DataSourceStreamReader):
@@ -165,7 +198,7 @@ class _ShardFollower(_TarReading, DataSourceStreamReader):
         lists = _lists(*open_fs(self.root))
         return {"number": lists[-1][0] if lists else -1, "lists": len(lists)}
 
-    def partitions(self, start: dict, end: dict) -> list[_Tar]:
+    def partitions(self, start: dict, end: dict) -> list[_Tars]:
         system, root = open_fs(self.root)
         lists = _lists(system, root)
         for offset in (start, end):
@@ -173,7 +206,7 @@ class _ShardFollower(_TarReading, DataSourceStreamReader):
             if there != offset["lists"]:
                 raise RuntimeError(f"{self.root} has {there} committed lists up to number {offset['number']}, not {offset['lists']} as before")
         new = [path for number, path in lists if start["number"] < number <= end["number"]]
-        return [_Tar(f"{self.root}/{name}.tar") for path in new for name in _names(system, path)]
+        return _packed([f"{self.root}/{name}.tar" for path in new for name in _names(system, path)], self.cores)
 
 
 def _is_blank(stream, start: int, end: int) -> bool:
@@ -461,11 +494,12 @@ def shard_faults(spark: SparkSession, pattern: str) -> DataFrame:
 
 def _read(spark: SparkSession, pattern: str, skip_bad: bool, members: bool) -> DataFrame:
     spark.dataSource.register(TarShards)
-    return _opened(spark.read, pattern, skip_bad, members)
+    return _opened(spark, spark.read, pattern, skip_bad, members)
 
 
-def _opened(reader, path: str, skip_bad: bool, members: bool) -> DataFrame:
-    return reader.format("tarshards").option("skipbad", str(skip_bad)).option("members", "all" if members else "none").load(path)
+def _opened(spark: SparkSession, reader, path: str, skip_bad: bool, members: bool) -> DataFrame:
+    tars = reader.format("tarshards").option("skipbad", str(skip_bad)).option("members", "all" if members else "none")
+    return tars.option("cores", spark.sparkContext.defaultParallelism).load(path)
 
 
 def follow_shards(spark: SparkSession, folder: str, skip_bad: bool = False, members: bool = True) -> DataFrame:
@@ -475,7 +509,7 @@ def follow_shards(spark: SparkSession, folder: str, skip_bad: bool = False, memb
     list out of turn, or a folder that was overwritten, fails the stream. Damage as in ``read_shards``.
     """
     spark.dataSource.register(TarShards)
-    return _opened(spark.readStream, folder, skip_bad, members).filter("key IS NOT NULL").drop("error")
+    return _opened(spark, spark.readStream, folder, skip_bad, members).filter("key IS NOT NULL").drop("error")
 
 
 def shard_sink(

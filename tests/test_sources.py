@@ -212,3 +212,19 @@ def test_vocab_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(encode, "MAX_VOCAB", 2)
     with pytest.raises(ValueError):
         encode.vocab_rows(spark.createDataFrame([(i, str(i), 0.0) for i in range(3)], "id int, piece string, score double"))
+
+
+def test_small_tars_are_read_together_and_large_ones_alone(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).select(
+        F.format_string("%03d", "id").alias("shard"), F.format_string("k%d", "id").alias("key"),
+        F.create_map(F.lit("txt"), F.encode(F.col("id").cast("string"), "UTF-8")).alias("members"),
+    )
+    shards.write_shards(rows, f"{tmp_path}/many")
+    read = shards.read_shards(spark, f"{tmp_path}/many")
+    assert spark.sparkContext.defaultParallelism <= read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert {(r.shard, r.key, bytes(r.members["txt"])) for r in read.collect()} == {(f"{i:03d}", f"k{i}", b"%d" % i) for i in range(300)}
+    paths = [f"{tmp_path}/many/{i:03d}.tar" for i in range(300)]
+    monkeypatch.setattr(shards, "TASK_BYTES", 1)
+    assert [t.paths for t in shards._packed(paths, 8)] == [[p] for p in paths]
