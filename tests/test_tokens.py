@@ -233,3 +233,18 @@ def test_prompts_with_and_without_text_are_made_in_one_pass(spark, tmp_path):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     # One scan, and cleaning (two patterns) for the result alone, not for a test on it too.
     assert plan.count("Relation [") == 1 and plan.count("regexp_replace(") == 2
+
+
+def test_stretches_are_cut_where_no_merge_can_span_and_added_up(spark):
+    rows = [([1, 2, 3, 4], 5), ([1, 2, 4, 3], 7), ([3, 4], 2), ([2, 1], 9)]
+    runs = spark.createDataFrame(rows, "symbols array<int>, n long").repartition(3)
+    alive = [a << 32 | b for a, b in ((1, 2), (3, 4))]
+    got = bpe.apply_merges(runs, [], bpe.np.array(sorted(alive)))
+    assert sorted((tuple(r.symbols), r.n) for r in got.collect()) == [((1, 2), 12), ((3, 4), 7)]
+
+
+def test_a_task_holds_a_bounded_part_of_its_stretches(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2, 3]] * 10, pa.list_(pa.int32())), pa.array([1] * 10)], ["symbols", "n"])
+    monkeypatch.setattr(bpe, "CHUNK_SYMBOLS", 60)
+    sizes = [(flat > 0).sum() for flat, _ in bpe._chunks(iter([batch] * 7))]
+    assert sizes == [60, 60, 60, 30]
