@@ -248,3 +248,11 @@ def test_a_task_holds_a_bounded_part_of_its_stretches(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_SYMBOLS", 60)
     sizes = [(flat > 0).sum() for flat, _ in bpe._chunks(iter([batch] * 7))]
     assert sizes == [60, 60, 60, 30]
+
+
+def test_ids_of_long_batches_are_made_in_parts(spark, monkeypatch):
+    vocab = spark.createDataFrame([(i, p, float(min(0, 5 - i))) for i, p in enumerate([*"01234", "▁a", "▁", "a", "b"])], "id int, piece string, score double")
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "ab " * 50), (5, "x")], "k int, t string").coalesce(1)
+    monkeypatch.setattr(encode, "_PART_CHARS", 3)
+    coded = {r.k: r.ids for r in rows.select("k", encode.bpe_encode("t", vocab).alias("ids")).collect()}
+    assert coded == {1: [5, 6, 8], 2: [], 3: [], 4: [5, 8] * 50, 5: [6, 3]}
