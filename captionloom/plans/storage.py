@@ -24,7 +24,7 @@ from captionloom.plans.features import kid_sql
 from captionloom.plans.prepare import ORACLES as PREPARE_SQL
 from captionloom.plans.tokens import ORACLES as TOKEN_SQL
 from captionloom.plans.views import METADATA_SQL, PAYLOAD_SQL, SAFE_SQL, clean_sql, u32_sql
-from captionloom.session import fresh_dir
+from captionloom.session import fresh_dir, materialize
 from captionloom.settings import DataSettings
 from captionloom.sources import images, metric_log, shards
 from captionloom.sources import metadata as meta_source
@@ -140,9 +140,11 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write(b"not a picture")
     pixels = images.scan_images(spark, folder).withColumn("rgb", images.rgb_pixels())
     total = F.aggregate("rgb", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return pixels.select(
+    sums = pixels.select(
         "name", *[F.col(c).cast("bigint").alias(c) for c in ("width", "height", "channels")], total.alias("pixel_sum")
-    ).orderBy("name")
+    )
+    # A sort first draws its split points: over the files themselves each would be read and decoded twice.
+    return materialize(sums, "scanned").orderBy("name")
 
 
 def _row_means():

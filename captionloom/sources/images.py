@@ -19,6 +19,8 @@ def scan_images(spark: SparkSession, folder: str, pattern: str = "*.png") -> Dat
     Pixel bytes are row-major, blue first, as the image source gives them.
     """
     files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder)
+    # A file counts as so many MB when Spark deals files to tasks, which makes a task of some thirty small pictures.
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-files.rdd.getNumPartitions() // 16)))
     scanned = files.select(
         F.substring_index("image.origin", "/", -1).alias("name"),
         F.col("image.width").alias("width"),

@@ -228,3 +228,14 @@ def test_small_tars_are_read_together_and_large_ones_alone(spark, tmp_path, monk
     paths = [f"{tmp_path}/many/{i:03d}.tar" for i in range(300)]
     monkeypatch.setattr(shards, "TASK_BYTES", 1)
     assert [t.paths for t in shards._packed(paths, 8)] == [[p] for p in paths]
+
+
+def test_small_pictures_are_scanned_together(spark, tmp_path):
+    from captionloom.plans import storage
+
+    raw = storage._png(storage.np.zeros((8, 8)))
+    for i in range(1300):
+        (tmp_path / f"img-{i:05d}.png").write_bytes(raw)
+    scanned = images.scan_images(spark, str(tmp_path))
+    assert scanned.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert scanned.filter("width = 8 AND height = 8").select("name").distinct().count() == 1300
